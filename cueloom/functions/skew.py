@@ -1,0 +1,31 @@
+"""Joins that keep a hot key spread out."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 8
+
+
+def salted_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str] | str,
+    how: str = "left",
+    salts: int = SALTS,
+    spread_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """Join many rows per key (left) with a narrow table of one row per key (right).
+
+    Left rows of one key go to ``salts`` tasks by a hash of ``spread_by`` (columns that differ within a
+    key; all columns by default), and each right row is sent to all of them. The hash is a function of the
+    row, so a task that runs again sends its rows to the same place.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    cells = list(spread_by or left.columns)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*cells), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
