@@ -53,7 +53,7 @@ def stem_of(name: Column) -> Column:
 
 def join_path(folder: Column, name: Column) -> Column:
     return F.when(folder == "", name).when(folder.endswith("/"), F.concat(folder, name)).otherwise(
-        F.concat_ws("/", folder, name)
+        F.concat(folder, F.lit("/"), name)
     )
 
 

@@ -81,9 +81,10 @@ def match_batch_outputs(
     open_names = first.filter(F.col("_exact").isNull()).select(group, "source_name").distinct()
     lengths = open_names.select(F.collect_set(F.length("source_name")).alias("n")).scalar()
     size = F.length("name")
+    offered = offered.withColumn("_lengths", lengths)
     parts = F.flatten(
         F.transform(
-            F.filter(lengths, lambda n: (n > 0) & (n <= size)),
+            F.filter("_lengths", lambda n: (n > 0) & (n <= size)),
             lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(F.col("name"), at, n)),
         )
     )

@@ -339,19 +339,25 @@ def align_to_onset(pos_ms: Column, onset_ms: Column, sample_rate: int) -> tuple[
 
 # --- channel energy ---------------------------------------------------------
 
-@F.pandas_udf(DoubleType())
-def voice_band_energy(windows: pd.Series, rates: pd.Series) -> pd.Series:
-    """power between 85 and 3000 Hz of each Hann-weighted window."""
-    if windows.empty:
-        return pd.Series([], dtype="float64")
-    block = np.stack([np.asarray(w, dtype=np.float64)[:FFT_LEN] for w in windows])
-    power = np.abs(np.fft.rfft(block * np.hanning(FFT_LEN), axis=1)) ** 2
-    bins = np.fft.rfftfreq(FFT_LEN)[None, :] * rates.to_numpy(dtype=np.float64)[:, None]
-    band = (bins >= VOICE_BAND[0]) & (bins <= VOICE_BAND[1])
-    return pd.Series((power * band).sum(axis=1))
-
-
-def channel_energy(pieces: DataFrame, keys: Sequence[str], sample_rate: int) -> DataFrame:
+def voice_band_energy(fft_len: int):
+    """Arrow function of (window, sample rate): power between 85 and 3000 Hz, Hann-weighted."""
+
+    @F.pandas_udf(DoubleType())
+    def energy(windows: pd.Series, rates: pd.Series) -> pd.Series:
+        if windows.empty:
+            return pd.Series([], dtype="float64")
+        block = np.stack([np.asarray(w, dtype=np.float64)[:fft_len] for w in windows])
+        power = np.abs(np.fft.rfft(block * np.hanning(fft_len), axis=1)) ** 2
+        bins = np.fft.rfftfreq(fft_len)[None, :] * rates.to_numpy(dtype=np.float64)[:, None]
+        band = (bins >= VOICE_BAND[0]) & (bins <= VOICE_BAND[1])
+        return pd.Series((power * band).sum(axis=1))
+
+    return energy
+
+
+def channel_energy(
+    pieces: DataFrame, keys: Sequence[str], sample_rate: int, fft_len: int = FFT_LEN, hop: int = FFT_HOP
+) -> DataFrame:
     """voice-band energy per key (which names the channel too), over decimated pieces.
 
     One window is one row, so windows are transformed wherever they lie and Spark adds them up.
@@ -360,8 +366,8 @@ def channel_energy(pieces: DataFrame, keys: Sequence[str], sample_rate: int) ->
     rate = sample_rate // stride
     thin = decimate(pieces.select(*keys, "at", "samples"), F.lit(stride)) if stride > 1 else pieces
     # A window that ends with the last sample is left out, so one more sample must follow it.
-    windows = cut_windows(thin, keys, FFT_LEN, FFT_HOP, grown=1)
-    energy = voice_band_energy(F.col("samples"), F.lit(float(rate)))
+    windows = cut_windows(thin, keys, fft_len, hop, grown=1)
+    energy = voice_band_energy(fft_len)(F.col("samples"), F.lit(float(rate)))
     return windows.select(*keys, energy.alias("_e")).groupBy(*keys).agg(F.sum("_e").alias("energy"))
 
 
@@ -406,7 +412,7 @@ def slice_intervals(intervals: DataFrame, blocks: DataFrame, block_size: int, ke
 
 def detect_sides(
     clips: DataFrame, blocks: DataFrame, lengths: DataFrame, sample_rate: int, block_size: int,
-    channel_map: dict[str, int] | None = None,
+    channel_map: dict[str, int] | None = None, fft_len: int = FFT_LEN, hop: int = FFT_HOP,
 ) -> DataFrame:
     """M5: clips (signal_id, clip_id, start_ms) with ``side`` and ``angle``, from ten seconds of the signal.
 
@@ -421,7 +427,7 @@ def detect_sides(
         F.col("to_frame") - F.col("from_frame") >= SIDE_MIN_S * sample_rate
     ).select("signal_id", "clip_id", "from_frame", "to_frame")
     cut = slice_intervals(long_enough, blocks, block_size)
-    energy = channel_energy(cut, ["signal_id", "clip_id", "channel"], sample_rate)
+    energy = channel_energy(cut, ["signal_id", "clip_id", "channel"], sample_rate, fft_len, hop)
     e = F.coalesce("energy", F.lit(0.0))
     sides = energy.groupBy("signal_id", "clip_id").agg(
         F.sum(F.when(F.col("channel") == 0, e)).alias("_l"), F.sum(F.when(F.col("channel") == 1, e)).alias("_r")

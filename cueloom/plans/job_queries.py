@@ -187,10 +187,14 @@ _ETA = """
            count(*) OVER (PARTITION BY task_id) AS total FROM job_events"""
 
 
-@query("g7_eta", "event_id:l done:l total:l avg_sec:d left_sec:d", with_tables("job_events", """
-    SELECT event_id, done, total, elapsed / done AS avg_sec, elapsed / done * (total - done) AS left_sec FROM eta""", eta=_ETA))
+@query("g7_eta", "event_id:l done:l total:l avg_ms:l left_ms:l", with_tables("job_events", """
+    SELECT event_id, done, total, floor(elapsed / done * 1000) AS avg_ms,
+           floor(elapsed / done * (total - done) * 1000) AS left_ms FROM eta""", eta=_ETA))
 def g7(t):
-    return jb.with_eta(fx.job_events(t), ["task_id"])
+    eta = jb.with_eta(fx.job_events(t), ["task_id"])
+    return eta.withColumns({
+        "avg_ms": F.floor(F.col("avg_sec") * 1000), "left_ms": F.floor(F.col("left_sec") * 1000)
+    })
 
 
 @query("g8_stage_percent", "event_id:l stage_pct:l", with_tables("job_events", """

@@ -117,7 +117,7 @@ def f21(t):
 
 # Misses of documents with an even id come back computed; the others get no answer.
 @query("i2_merged_results", "doc_id:l ok:b result_path:s message:s", with_tables("doc_keys cache", """
-    SELECT doc_id, c.cache_key IS NOT NULL OR f.cache_key IS NOT NULL AS ok,
+    SELECT d.doc_id, c.cache_key IS NOT NULL OR f.cache_key IS NOT NULL AS ok,
            coalesce(c.result_path, '/new/' || f.cache_key) AS result_path,
            CASE WHEN c.cache_key IS NOT NULL THEN '缓存复用' WHEN f.cache_key IS NOT NULL THEN '批量完成'
                 ELSE '服务器未返回音频' END AS message
