@@ -241,9 +241,9 @@ _FFT = 256
 _BAND = f"""
     SELECT {{keys}}, sum(re * re + im * im) AS energy FROM (
         SELECT {{keys}}, win, bin, sum(x * cos(2 * pi() * bin * p / {_FFT})) AS re, sum(x * sin(2 * pi() * bin * p / {_FFT})) AS im
-        FROM (SELECT {{keys}}, win, at - win * {_FFT // 2} AS p,
-                     value * (0.5 - 0.5 * cos(2 * pi() * (at - win * {_FFT // 2}) / {_FFT - 1})) AS x
-              FROM (SELECT *, unnest([at // {_FFT // 2}, at // {_FFT // 2} - 1]) AS win FROM {{source}})
+        FROM (SELECT {{keys}}, win, place - win * {_FFT // 2} AS p,
+                     value * (0.5 - 0.5 * cos(2 * pi() * (place - win * {_FFT // 2}) / {_FFT - 1})) AS x
+              FROM (SELECT *, unnest([place // {_FFT // 2}, place // {_FFT // 2} - 1]) AS win FROM {{source}})
               WHERE win >= 0 AND win * {_FFT // 2} + {_FFT} < n)
         JOIN (SELECT unnest(range({_FFT // 2 + 1})) AS bin) b ON bin * {RATE} / {_FFT}.0 BETWEEN 85 AND 3000
         GROUP BY ALL) GROUP BY ALL"""
@@ -251,7 +251,7 @@ _BAND = f"""
 
 @query("f17_voice_band_energy", "signal_id:s channel:l log_energy:d", with_tables(
     "samples", "SELECT signal_id, channel, log10(energy) AS log_energy FROM band",
-    cut="SELECT signal_id, channel, frame_no AS at, value, count(*) OVER (PARTITION BY signal_id, channel) AS n FROM samples",
+    cut="SELECT signal_id, channel, frame_no AS place, value, count(*) OVER (PARTITION BY signal_id, channel) AS n FROM samples",
     band=_BAND.format(keys="signal_id, channel", source="cut")))
 def f17(t):
     pieces = sg.pieces_of(fx.blocks(t), BLOCK)
@@ -266,17 +266,13 @@ _SIDE = """CASE WHEN l + r < 1e-10 THEN 'both' WHEN l > r * 1.2::DOUBLE THEN 'le
     "samples", f"""SELECT signal_id, {_SIDE} AS side FROM (
         SELECT signal_id, sum(CASE WHEN channel = 0 THEN energy ELSE 0 END) AS l,
                sum(CASE WHEN channel = 1 THEN energy ELSE 0 END) AS r FROM band GROUP BY 1)""",
-    cut="SELECT signal_id, channel, frame_no AS at, value, count(*) OVER (PARTITION BY signal_id, channel) AS n FROM samples",
+    cut="SELECT signal_id, channel, frame_no AS place, value, count(*) OVER (PARTITION BY signal_id, channel) AS n FROM samples",
     band=_BAND.format(keys="signal_id, channel", source="cut")))
 def f18(t):
     pieces = sg.pieces_of(fx.blocks(t), BLOCK)
     e = sg.channel_energy(pieces, ["signal_id", "channel"], RATE, _FFT, _FFT // 2)
     sums = [F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("energy"))), F.lit(0.0)) for c in (0, 1)]
-    return e.groupBy("signal_id").agg(sd_side(*sums).alias("side"))
-
-
-def sd_side(left, right):
-    return sg.side_of(left, right)
+    return e.groupBy("signal_id").agg(sg.side_of(*sums).alias("side"))
 
 
 # One clip per vector, 50 ms apart on the signal of its label.
