@@ -22,16 +22,20 @@ def segmented_scan(
     order: Sequence[str],
     chunk: Column,
     rank: str | None = None,
+    size: str | None = None,
+    lows: Mapping[str, str] | None = None,
     sums: Mapping[str, str] | None = None,
     lags: Mapping[str, str] | None = None,
     leads: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Row number, running sums (inclusive), previous and next values per key.
 
-    ``chunk`` must not decrease along ``order`` within a key. ``sums``, ``lags`` and ``leads`` map a new
-    column to an input column; previous and next are NULL at the ends. ``order`` must be unique in a key.
+    ``chunk`` must not decrease along ``order`` within a key. ``lows``, ``sums``, ``lags`` and ``leads`` map
+    a new column to an input column; previous and next are NULL at the ends. ``size`` is the number of rows
+    and ``lows`` the smallest value of the whole key: the chunk table has them at no extra shuffle.
+    ``order`` must be unique in a key.
     """
-    sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
+    lows, sums, lags, leads = dict(lows or {}), dict(sums or {}), dict(lags or {}), dict(leads or {})
     keys, order = list(keys), list(order)
     cut = df.withColumn("_chunk", chunk)
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
@@ -49,15 +53,19 @@ def segmented_scan(
 
     at = F.struct(*order)
     ends = [F.count(F.lit(1)).alias("_n")]
+    ends += [F.min(src).alias(f"_low_{out}") for out, src in lows.items()]
     ends += [F.sum(src).alias(f"_sum_{out}") for out, src in sums.items()]
     ends += [F.max_by(F.struct(src), at).alias(f"_tail_{out}") for out, src in lags.items()]
     ends += [F.min_by(F.struct(src), at).alias(f"_head_{out}") for out, src in leads.items()]
     across = W.partitionBy(*keys).orderBy("_chunk")
     before = across.rowsBetween(W.unboundedPreceding, -1)
+    entire = W.partitionBy(*keys)
     carry = cut.groupBy(*keys, "_chunk").agg(*ends).select(
         *keys,
         "_chunk",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
+        F.sum("_n").over(entire).alias("_whole"),
+        *[F.min(f"_low_{o}").over(entire).alias(o) for o in lows],
         *[F.sum(f"_sum_{o}").over(before).alias(f"_sum_{o}") for o in sums],
         *[F.lag(f"_tail_{o}").over(across).alias(f"_tail_{o}") for o in lags],
         *[F.lead(f"_head_{o}").over(across).alias(f"_head_{o}") for o in leads],
@@ -66,6 +74,8 @@ def segmented_scan(
     joined = local.join(carry, [*keys, "_chunk"])
     if rank:
         joined = joined.withColumn(rank, F.col("_rn") + F.col("_base"))
+    if size:
+        joined = joined.withColumn(size, F.col("_whole"))
     for out in sums:
         joined = joined.withColumn(out, F.col(out) + F.coalesce(F.col(f"_sum_{out}"), F.lit(0)))
     for out, src in lags.items():
@@ -76,7 +86,7 @@ def segmented_scan(
         joined = joined.withColumn(
             out, F.when(F.col("_last"), F.col(f"_head_{out}")[src]).otherwise(F.col(out))
         )
-    new = ([rank] if rank else []) + [*sums, *lags, *leads]
+    new = [c for c in (rank, size) if c] + [*lows, *sums, *lags, *leads]
     return joined.select(*[c for c in df.columns if c not in new], *new)
 
 
@@ -94,9 +104,10 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], out: str) -> DataF
             F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
         ).alias("_start"),
     )
+    # One row per partition of the sort, so its size is bounded by the partition count, not by the data.
     return (
         frozen.withColumn("_part", part)
-        .join(starts, "_part")
+        .join(F.broadcast(starts), "_part")
         .withColumn(out, F.col("_start") + local + 1)
         .drop("_at", "_part", "_start")
     )

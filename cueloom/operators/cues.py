@@ -1,11 +1,13 @@
 """Timed text to cues.
 
 One document is one row, so a document is parsed inside its row: lines become an array, the array becomes
-cues, and only cues leave the row. Nothing is shuffled and no document is split or gathered.
+cues, and only cues leave the row. Parsing shuffles nothing and gathers no document.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,73 +170,143 @@ def sources_without_cues(sources: DataFrame, cues: DataFrame) -> DataFrame:
     )
 
 
+MERGE_CHUNK_ROWS = 50_000
+
+
 def merge_close_segments(
     segments: DataFrame,
     max_gap_ms: int = 300,
     max_duration_ms: int | None = 30000,
     window_ms: int = 3_600_000,
+    chunk_rows: int = MERGE_CHUNK_ROWS,
 ) -> DataFrame:
     """Join neighbouring segments (source_id, seg_no, start_ms, end_ms, text) with a small gap.
 
-    Segments are ordered and do not overlap. Gaps above ``max_gap_ms`` cut a source into runs, found by a
-    chunked scan. With a length cap the rule is greedy from the start of each run, so a run is folded in
-    order; a run is one stretch of speech without a pause. ``max_duration_ms=None`` drops the cap.
+    Segments of a source are ordered and do not overlap. A gap above ``max_gap_ms`` always cuts. With a
+    length cap the rule is greedy: a merged segment grows until the next part would make it too long.
+    ``max_duration_ms=None`` drops the cap, and then the text, which would be of any length.
+
+    The greedy rule runs over chunks of rows, not whole sources. What a chunk does depends only on the
+    start of the merged segment still open when it begins, and only a few starts lead to different ends;
+    so each chunk of a long source first reports its end for each of them (:func:`_chunk_exits`), the
+    reports of a source are chained (:func:`_chain_exits`), and every chunk then merges on its own.
     """
     chunk = F.floor(F.col("start_ms") / window_ms)
-    gaps = segmented_scan(
-        segments, ["source_id"], ["start_ms", "seg_no"], chunk, lags={"_prev_end": "end_ms"}
+    order = ["start_ms", "seg_no"]
+    scanned = segmented_scan(
+        segments, ["source_id"], order, chunk, rank="_n", size="_size", lags={"_prev_end": "end_ms"}
     )
     cut = F.col("_prev_end").isNull() | (F.col("start_ms") - F.col("_prev_end") > max_gap_ms)
-    runs = segmented_scan(
-        gaps.withColumn("_cut", cut.cast("long")), ["source_id"], ["start_ms", "seg_no"], chunk,
-        sums={"_run": "_cut"},
-    )
-    item = F.struct("start_ms", "seg_no", "end_ms", "text")
     if max_duration_ms is None:
+        runs = segmented_scan(
+            scanned.withColumn("_cut", cut.cast("long")), ["source_id"], order, chunk, sums={"_run": "_cut"}
+        )
         return runs.groupBy("source_id", "_run").agg(
-            F.min("start_ms").alias("start_ms"),
-            F.max("end_ms").alias("end_ms"),
+            F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
             F.count(F.lit(1)).alias("n_parts"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["text"]), " ").alias("text"),
         ).drop("_run")
 
-    ordered = F.array_sort(F.collect_list(item))
-    blank = "struct<start_ms:bigint,end_ms:bigint,n_parts:bigint,parts:array<string>>"
-    start = F.named_struct(
-        F.lit("done"), F.array().cast(f"array<{blank}>"), F.lit("open"), F.lit(None).cast(blank)
+    rows = scanned.select(
+        "source_id", "seg_no", F.col("start_ms").cast("long").alias("start_ms"),
+        F.col("end_ms").cast("long").alias("end_ms"), "text", "_n", "_size", cut.alias("_cut"),
+        F.floor((F.col("_n") - 1) / chunk_rows).alias("_chunk"),
     )
-
-    def opened(s: Column) -> Column:
-        return F.named_struct(
-            F.lit("start_ms"), s["start_ms"].cast("bigint"), F.lit("end_ms"), s["end_ms"].cast("bigint"),
-            F.lit("n_parts"), F.lit(1).cast("bigint"), F.lit("parts"), F.array(s["text"]),
-        )
-
-    def step(acc: Column, s: Column) -> Column:
-        cur = acc["open"]
-        grown = F.named_struct(
-            F.lit("start_ms"), cur["start_ms"], F.lit("end_ms"), s["end_ms"].cast("bigint"),
-            F.lit("n_parts"), cur["n_parts"] + 1, F.lit("parts"), F.concat(cur["parts"], F.array(s["text"])),
-        )
-        fits = s["end_ms"] - cur["start_ms"] <= max_duration_ms
-        return F.when(
-            cur.isNull(), F.named_struct(F.lit("done"), acc["done"], F.lit("open"), opened(s))
-        ).when(fits, F.named_struct(F.lit("done"), acc["done"], F.lit("open"), grown)).otherwise(
-            F.named_struct(
-                F.lit("done"), F.concat(acc["done"], F.array(cur)), F.lit("open"), opened(s)
-            )
-        )
-
-    merged = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    return (
-        runs.groupBy("source_id", "_run")
-        .agg(merged.alias("_m"))
-        .select("source_id", F.explode("_m").alias("_s"))
-        .select(
-            "source_id", "_s.start_ms", "_s.end_ms", "_s.n_parts",
-            F.array_join("_s.parts", " ").alias("text"),
-        )
+    id_type = segments.schema["source_id"].dataType.simpleString()
+    long_rows = rows.filter(F.col("_size") > chunk_rows)
+    exits = long_rows.select("source_id", "_chunk", "_n", "start_ms", "end_ms", "_cut").groupBy(
+        "source_id", "_chunk"
+    ).applyInPandas(
+        lambda pdf: _chunk_exits(pdf, max_duration_ms),
+        f"source_id {id_type}, _chunk long, _rows long, _limits array<long>, _exit_n array<long>, "
+        "_exit_start array<long>",
+    )
+    entries = exits.groupBy("source_id").applyInPandas(
+        lambda pdf: _chain_exits(pdf, max_duration_ms),
+        f"source_id {id_type}, _chunk long, _open_n long, _open_start long",
+    )
+    entered = rows.join(entries, ["source_id", "_chunk"], "left")
+    headed = entered.select(
+        "source_id", "_chunk", "_n", "start_ms", "end_ms", "_cut", "_open_n", "_open_start", "text"
+    ).groupBy("source_id", "_chunk").applyInPandas(
+        lambda pdf: _assign_heads(pdf, max_duration_ms),
+        f"source_id {id_type}, _n long, start_ms long, end_ms long, text string, _head long",
     )
+    words = F.array_sort(F.collect_list(F.struct("_n", "text")))
+    return headed.groupBy("source_id", "_head").agg(
+        F.min("start_ms").alias("start_ms"),
+        F.max("end_ms").alias("end_ms"),
+        F.count(F.lit(1)).alias("n_parts"),
+        F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"),
+    ).drop("_head")
+
+
+def _next_heads(starts: np.ndarray, ends: np.ndarray, cut: np.ndarray, cap: int) -> np.ndarray:
+    """For a merged segment that begins at each row, the row where the next one has to begin."""
+    by_length = np.maximum(np.searchsorted(ends, starts + cap, side="right"), np.arange(len(starts)) + 1)
+    cuts = np.append(np.flatnonzero(cut), len(starts))
+    return np.minimum(by_length, cuts[np.searchsorted(cuts, np.arange(len(starts)), side="right")])
+
+
+def _entry_row(ends: np.ndarray, cut: np.ndarray, open_start: int, cap: int) -> int:
+    """Rows of a chunk that still belong to a merged segment opened before it."""
+    first_cut = int(np.argmax(cut)) if cut.any() else len(ends)
+    return min(int(np.searchsorted(ends, open_start + cap, side="right")), first_cut)
+
+
+def _chunk_exits(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """For each number of rows an open segment may take from this chunk, the segment open at its end."""
+    pdf = pdf.sort_values("_n")
+    starts, ends = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()
+    cut, numbers = pdf["_cut"].to_numpy(dtype=bool), pdf["_n"].to_numpy()
+    following = _next_heads(starts, ends, cut, cap)
+    most = _entry_row(ends, cut, int(starts[0]), cap)
+    limits, exit_n, exit_start = [], [], []
+    for taken in range(most + 1):
+        # Taking the whole chunk leaves the segment open as it came.
+        head = taken if taken < len(starts) else -1
+        while head >= 0 and following[head] < len(starts):
+            head = int(following[head])
+        limits.append(int(ends[taken]) if taken < most else np.iinfo(np.int64).max)
+        exit_n.append(int(numbers[head]) if head >= 0 else -1)
+        exit_start.append(int(starts[head]) if head >= 0 else -1)
+    first = pdf.iloc[0]
+    return pd.DataFrame({
+        "source_id": [first["source_id"]], "_chunk": [int(first["_chunk"])], "_rows": [len(starts)],
+        "_limits": [limits], "_exit_n": [exit_n], "_exit_start": [exit_start],
+    })
+
+
+def _chain_exits(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """The merged segment open at the beginning of each chunk of a source, -1 at the first."""
+    out, open_n, open_start = [], -1, 0
+    for row in pdf.sort_values("_chunk").itertuples(index=False, name=None):
+        source, chunk, _rows, limits, exit_n, exit_start = row
+        out.append((source, chunk, open_n, open_start))
+        taken = 0 if open_n < 0 else int(np.searchsorted(np.asarray(limits), open_start + cap, side="right"))
+        if exit_n[taken] >= 0:
+            open_n, open_start = int(exit_n[taken]), int(exit_start[taken])
+    return pd.DataFrame(out, columns=["source_id", "_chunk", "_open_n", "_open_start"])
+
+
+def _assign_heads(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """Number of the row each row is merged into."""
+    pdf = pdf.sort_values("_n")
+    starts, ends = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()
+    cut, numbers = pdf["_cut"].to_numpy(dtype=bool), pdf["_n"].to_numpy()
+    following = _next_heads(starts, ends, cut, cap)
+    heads = np.empty(len(starts), dtype=np.int64)
+    opened = pdf["_open_n"].iloc[0]
+    at = 0
+    if not pd.isna(opened) and opened >= 0:
+        at = _entry_row(ends, cut, int(pdf["_open_start"].iloc[0]), cap)
+        heads[:at] = int(opened)
+    while at < len(starts):
+        heads[at:following[at]] = numbers[at]
+        at = int(following[at])
+    return pd.DataFrame({
+        "source_id": pdf["source_id"], "_n": numbers, "start_ms": starts, "end_ms": ends,
+        "text": pdf["text"], "_head": heads,
+    })
 
 
 def threshold_segments(

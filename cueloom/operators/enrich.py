@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.scan import segmented_scan
+from ..session import freeze
 from .reuse import distinct_work, merge_results, upsert_cache
 
 Compute = Callable[[Sequence[str], str], Sequence[str]]
@@ -156,10 +157,10 @@ def cached_enrichment(
     """K1: (requests with outcome, new cache).
 
     Distinct contents are taken before the cache lookup (K6), so a content requested many times is looked
-    up and computed once. Both results depend on the computed rows: write those first when calls cost
-    money, see :func:`fresh_results`.
+    up and computed once. The computed rows are written to the shared folder before anything uses them, so
+    no call is made twice for the two results.
     """
-    fresh = fresh_results(requests, cache, compute, **options)
+    fresh = freeze(fresh_results(requests, cache, compute, **options))
     outcome = merge_results(requests, cache, fresh)
     return outcome, upsert_cache(cache, to_cache_rows(fresh, created_at))
 

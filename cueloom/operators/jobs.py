@@ -222,17 +222,16 @@ def without_failed(tasks: DataFrame, failed: DataFrame) -> DataFrame:
 def with_eta(events: DataFrame, keys: Sequence[str], window: str = "hour") -> DataFrame:
     """After each finished item of a run: items done, mean seconds per item, seconds left.
 
-    ``events`` has (event_id, ts) and the run's ``keys``; a run starts at its first event. Totals come
-    from one aggregate; the running count is a chunked scan, so one long run is not one task.
+    ``events`` has (event_id, ts) and the run's ``keys``; a run starts at its first event. Count, total and
+    start come from one chunked scan, so one long run is not one task and nothing is joined twice.
     """
-    keys = list(keys)
-    totals = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.min("ts").alias("_t0"))
-    numbered = segmented_scan(events, keys, ["ts", "event_id"], F.date_trunc(window, "ts"), rank="done")
-    joined = salted_lookup(numbered, totals, keys, "inner", spread_by=["event_id"])
+    numbered = segmented_scan(
+        events, keys, ["ts", "event_id"], F.date_trunc(window, "ts"), rank="done", size="total", lows={"_t0": "ts"}
+    )
     elapsed = (F.unix_micros("ts") - F.unix_micros("_t0")) / 1e6
     left = elapsed / F.col("done") * (F.col("total") - F.col("done"))
     return (
-        joined.withColumn("avg_sec", elapsed / F.col("done"))
+        numbered.withColumn("avg_sec", elapsed / F.col("done"))
         .withColumn("left_sec", left)
         .withColumn("eta", tx.eta_text(left))
         .drop("_t0")
@@ -241,11 +240,10 @@ def with_eta(events: DataFrame, keys: Sequence[str], window: str = "hour") -> Da
 
 def stage_percent(events: DataFrame, keys: Sequence[str], window: str = "hour") -> DataFrame:
     """Cumulative percent of a stage after each finished task."""
-    keys = list(keys)
-    totals = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    numbered = segmented_scan(events, keys, ["ts", "event_id"], F.date_trunc(window, "ts"), rank="done")
-    joined = salted_lookup(numbered, totals, keys, "inner", spread_by=["event_id"])
-    return joined.withColumn("stage_pct", tx.percent(F.col("done"), F.col("total")))
+    numbered = segmented_scan(
+        events, keys, ["ts", "event_id"], F.date_trunc(window, "ts"), rank="done", size="total"
+    )
+    return numbered.withColumn("stage_pct", tx.percent(F.col("done"), F.col("total")))
 
 
 def log_tail(log: DataFrame, n: int = 5000, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:

@@ -154,19 +154,19 @@ def mix(
     onset_grid: str = "global",
     onset_frame: int = sg.ONSET_FRAME,
     onset_hop: int = sg.ONSET_HOP,
+    channels: int | None = None,
 ) -> DataFrame:
     """M4: mix clips into their base signals: (signal_id, channel, block_no, samples array<int>), stereo.
 
     ``base`` is (signal_id, channel, block_no, samples), ``clips`` (signal_id, clip_id, seq, start_ms,
     angle), ``clip_blocks`` (clip_id, block_no, samples) of one channel. Order of work: content alignment,
     onset alignment, width, gain, trim, placement, pan, sum, limit. All positions are per clip, all sample
-    work is per block.
+    work is per block. ``channels`` says that every signal has that many; without it the blocks are
+    grouped once more to see which have one channel only.
     """
     base = sg.pieces_of(base, block_size)
     mono = sg.mono_pieces(base, "signal_id")
-    lengths = mono.groupBy("signal_id").agg(
-        F.max(F.col("at") + F.size("samples")).alias("n_frames"), F.lit(1).alias("_one")
-    ).drop("_one")
+    lengths = base.groupBy("signal_id").agg(F.max(F.col("at") + F.size("samples")).alias("n_frames"))
     pos = clips.withColumn("pos_ms", F.col("start_ms").cast("double"))
     if content_alignment:
         durations = lengths.withColumn("duration_ms", F.floor(F.col("n_frames") * 1000 / sample_rate))
@@ -228,15 +228,20 @@ def mix(
         "signal_id", F.col("_side.channel").alias("channel"), "block_no", "offset",
         scale_samples(F.col("samples"), F.col("_side.g")).alias("samples"),
     )
-    ground = stereo_ground(base).select(
+    ground = stereo_ground(base, channels).select(
         "signal_id", "channel", "block_no", F.lit(0).alias("offset"), F.col("samples").cast("array<double>")
     )
     summed = overlay_add(ground.unionByName(panned), ["signal_id", "channel", "block_no"])
     return limit_blocks(summed, width)
 
 
-def stereo_ground(base: DataFrame) -> DataFrame:
-    """Base blocks as two channels; a block with one channel is copied to the other."""
+def stereo_ground(base: DataFrame, channels: int | None = None) -> DataFrame:
+    """Base blocks as two channels; one channel is copied to the other."""
+    if channels == 2:
+        return base.select("signal_id", "block_no", "channel", "samples")
+    if channels == 1:
+        both = F.explode(F.array(F.lit(0), F.lit(1))).alias("channel")
+        return base.select("signal_id", "block_no", both, "samples")
     side = [F.max(F.when(F.col("channel") == c, F.col("samples"))).alias(f"_c{c}") for c in (0, 1)]
     pair = F.array(
         F.struct(F.lit(0).alias("channel"), F.coalesce("_c0", "_c1").alias("samples")),

@@ -236,9 +236,8 @@ def nearest_onsets(
     Rises of at least 30 % of the largest one in the search range are onsets; the nearest to the cue
     is taken, the earliest on a tie, if it is within ``max_offset_ms``; otherwise the cue stays.
 
-    Cues list the time buckets of their range and meet the rises on (signal, bucket). The largest rise
-    is an aggregate over that join; only rises within ``max_offset_ms`` of the cue can win, so the pick
-    looks at those alone. ``grid='cue'`` anchors the frames at each search start, ``'global'`` at 0.
+    Cues list the time buckets of their range and meet the rises on (signal, bucket). One aggregate over
+    that join keeps the largest rise and the few rises within ``max_offset_ms``, which alone can win. ``grid='cue'`` anchors the frames at each search start, ``'global'`` at 0.
     """
     cue = [key, "seq"]
     ms_of = 1000.0 / sample_rate
@@ -276,17 +275,15 @@ def nearest_onsets(
     timed = seen.withColumn("_ms", F.col("_place") * ms_of).withColumn(
         "_off", F.abs(F.col("_ms") - F.col("start_ms"))
     )
-    largest = timed.groupBy(*cue).agg(F.max("rise").alias("_max"), F.count(F.lit(1)).alias("_n"))
-    near = (
-        timed.filter(F.col("_off") <= max_offset_ms)
-        .select(*cue, "rise", "_ms", "_off")
-        .join(largest.filter((F.col("_max") >= 1e-10) & (F.col("_n") >= 2)), cue)
-        .filter(F.col("rise") >= F.col("_max") * ONSET_SHARE)
-        .groupBy(*cue)
-        .agg(F.min(F.struct("_off", "_ms")).alias("_b"))
-    )
+    # At most 2 * max_offset_ms / hop rises are near a cue, so the list is short.
+    close = F.collect_list(F.when(F.col("_off") <= max_offset_ms, F.struct("_off", "_ms", "rise")))
+    per_cue = timed.groupBy(*cue).agg(
+        F.max("rise").alias("_max"), F.count(F.lit(1)).alias("_n"), close.alias("_close")
+    ).filter((F.col("_max") >= 1e-10) & (F.col("_n") >= 2))
+    onsets = F.filter("_close", lambda c: c["rise"] >= F.col("_max") * ONSET_SHARE)
+    best = per_cue.select(*cue, F.array_min(onsets).alias("_b"))
     return (
-        bounded.join(near, cue, "left")
+        bounded.join(best, cue, "left")
         .withColumn("aligned_ms", F.coalesce(F.floor(F.col("_b._ms")), F.col("start_ms")))
         .drop("_b")
     )

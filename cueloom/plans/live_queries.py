@@ -20,8 +20,7 @@ from .registry import query
 def j1(t):
     out = fresh_dir(t.spark, "micro-out")
 
-    def handle(batch):
-        trigger = batch.sparkSession.sparkContext.getLocalProperty("streaming.sql.batchId")
+    def handle(batch, trigger):
         batch.groupBy("trigger_no", "batch_no").agg(
             F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first")
         ).write.mode("overwrite").parquet(f"{out}/trigger={trigger}")
@@ -46,7 +45,7 @@ def j3(t):
 
 @query("j4_step_progress", "step:l pct:l", with_tables("job_events", "SELECT step, max(pct) AS pct FROM job_events GROUP BY 1"))
 def j4(t):
-    return lv.to_table(lv.step_progress(fx.event_stream(t)), "complete")
+    return lv.latest_update(lv.to_table(lv.step_progress(fx.event_stream(t)), "update"), "step")
 
 
 @query("j5_live_rollup", "task_id:s status:s progress:d", with_tables("job_events", """
@@ -58,7 +57,8 @@ def j4(t):
           FROM (SELECT task_id, step, CASE WHEN arg_max(ok, (ts, event_id)) THEN 'done' ELSE 'failed' END AS s
                 FROM job_events GROUP BY 1, 2) GROUP BY 1)"""))
 def j5(t):
-    wide = lv.widen_status(lv.to_table(lv.latest_status(fx.event_stream(t)), "complete"))
+    updates = lv.to_table(lv.latest_status(fx.event_stream(t)), "update")
+    wide = lv.widen_status(lv.latest_update(updates, "task_id", "step"))
     return wide.withColumn("status", jb.task_status()).withColumn("progress", jb.task_progress())
 
 
@@ -67,7 +67,8 @@ def j5(t):
            CASE kind WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' WHEN 'purchase' THEN 'success' ELSE 'info' END AS severity,
            count(*) AS n FROM job_events GROUP BY 1, 2"""))
 def j6(t):
-    counts = lv.to_table(lv.severity_counts(fx.event_stream(t)), "complete")
+    updates = lv.to_table(lv.severity_counts(fx.event_stream(t)), "update")
+    counts = lv.latest_update(updates, "window_start", "severity")
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))
 
 

@@ -39,8 +39,8 @@ def run_to_end(
 def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to its end and read what it wrote.
 
-    Every batch goes to its own folder, so a batch that runs again replaces itself. ``complete`` keeps the
-    last batch only; ``append`` and ``update`` keep all, with ``batch_id``.
+    Every batch goes to its own folder, so a batch that runs again replaces itself. ``append`` and ``update``
+    keep all batches, with ``batch_id``; see :func:`latest_update`. ``complete`` keeps the last one only.
     """
     spark = stream.sparkSession
     base = fresh_dir(spark, "stream-out")
@@ -59,10 +59,17 @@ def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema.add("batch_id", "long")).option("basePath", base).parquet(base)
 
 
+def latest_update(updates: DataFrame, *keys: str) -> DataFrame:
+    """The newest row of each key of an ``update`` stream's table."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch_id")]
+    newest = F.max_by(F.struct(*rest), "batch_id")
+    return updates.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
+
+
 # --- J1 ---------------------------------------------------------------------
 
 def micro_batches(
-    stream: DataFrame, handle: Callable[[DataFrame], None], size: int = 20, linger: str = "300 milliseconds",
+    stream: DataFrame, handle: Callable[[DataFrame, int], None], size: int = 20, linger: str = "300 milliseconds",
     keys: tuple[str, ...] = (), order: tuple[str, ...] = ("event_id",), chunk_rows: int = 4096,
     available_now: bool = False, location: str | None = None,
 ):
@@ -75,7 +82,7 @@ def micro_batches(
         numbered = en.number_micro_batches(
             batch, order, F.floor(F.col(order[0]) / chunk_rows), size, keys
         )
-        handle(numbered.withColumn("trigger_no", F.lit(batch_id).cast("long")))
+        handle(numbered.withColumn("trigger_no", F.lit(batch_id).cast("long")), batch_id)
 
     writer = stream.writeStream.foreachBatch(on_batch).option(
         "checkpointLocation", location or fresh_dir(stream.sparkSession, "micro")
@@ -109,7 +116,7 @@ def severity_counts(log: DataFrame, window: str = "1 hour", delay: str = "1 hour
 # --- J5 ---------------------------------------------------------------------
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Latest status per task and step; feed complete or update batches to the group rollups."""
+    """Latest status per task and step; feed update batches to the rollups."""
     status = F.when(F.col("ok"), K.DONE).otherwise(K.FAILED)
     return events.groupBy("task_id", "step").agg(
         F.max_by(status, F.struct("ts", "event_id")).alias("status")
