@@ -128,10 +128,10 @@ def a3(t):
 # Segments from events: start at the event, length from its value; overlapping ones are cut at the next start.
 _SEGMENTS = """
     SELECT user_id AS source_id, event_id AS seg_no, event_type AS text, start_ms,
-           least(start_ms + 1 + CAST(floor(value * 36000) AS BIGINT),
+           least(start_ms + 1 + CAST(floor(value * 360000) AS BIGINT),
                  coalesce(lead(start_ms) OVER (PARTITION BY user_id ORDER BY start_ms, event_id), 9e15)) AS end_ms
     FROM (SELECT *, epoch_us(ts) // 1000 AS start_ms FROM events)"""
-_GAP_MS, _CAP_MS = 600_000, 14_400_000
+_GAP_MS, _CAP_MS = 600_000, 200_000_000
 
 
 def _segments(t):
@@ -145,7 +145,7 @@ def _segments(t):
     nxt = segmented_scan(
         e, ["source_id"], ["start_ms", "seg_no"], F.floor(F.col("start_ms") / 3_600_000), leads={"_next": "start_ms"}
     )
-    length = F.col("start_ms") + 1 + F.floor(F.col("value") * 36000)
+    length = F.col("start_ms") + 1 + F.floor(F.col("value") * 360000)
     return nxt.withColumn("end_ms", F.least(length, "_next")).drop("_next", "value")
 
 
