@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode whitespace character at both ends."""
     return F.btrim(c, F.lit(K.WHITESPACE))
@@ -102,14 +109,19 @@ def sanitize_name(name: Column) -> Column:
 
 
 def short_text(text: Column) -> Column:
-    kept = F.regexp_replace(text, r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9]", "")
-    return F.when(kept == "", F.lit(K.NO_TEXT)).otherwise(F.substring(kept, 1, 2))
+    """The first two CJK or ASCII alphanumeric characters; the match stops there."""
+    kept, other = r"[\x{4e00}-\x{9fa5}a-zA-Z0-9]", r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9]*"
+    pattern = f"^{other}({kept})(?:{other}({kept}))?"
+    two = F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2))
+    return bind(two, lambda t: F.when(t == "", F.lit(K.NO_TEXT)).otherwise(t))
 
 
 def clip_name(idx: Column, ts_text: Column, text: Column) -> Column:
     """``0001_00-00-01.50_Hi.wav``; more than four index digits stay whole."""
-    return F.format_string(
-        "%04d_%s_%s.wav", idx.cast("long"), F.translate(ts_text, ":", "-"), short_text(text)
+    number = idx.cast("string")
+    padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    return F.concat(
+        padded, F.lit("_"), F.translate(ts_text, ":", "-"), F.lit("_"), short_text(text), F.lit(".wav")
     )
 
 
@@ -119,14 +131,15 @@ def clip_parts(name: Column, exact: bool = False) -> Column:
     ``exact`` keeps the rule of exactly four index digits, which loses clips from 10000 on.
     """
     digits = "{4}" if exact else "{4,}"
-    pattern = rf"(?s)^([0-9]{digits})_([0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}\.[0-9]{{2}})_(.+)\.wav$"
-    stamp = F.regexp_extract(name, pattern, 2)
+    pattern = rf"(?s)^[0-9]{digits}_[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}\.[0-9]{{2}}_.+\.wav$"
+    number = F.substring_index(name, "_", 1)
+    at = F.length(number)
     return F.when(
         name.rlike(pattern),
         F.struct(
-            F.regexp_extract(name, pattern, 1).cast("long").alias("seq"),
-            stamp_ms(stamp).alias("start_ms"),
-            F.regexp_extract(name, pattern, 3).alias("short_text"),
+            number.cast("long").alias("seq"),
+            stamp_ms(F.substring(name, at + 2, F.lit(11))).alias("start_ms"),
+            F.substring(name, at + 14, F.length(name) - at - 17).alias("short_text"),
         ),
     )
 
@@ -283,26 +296,32 @@ def prefix_variants(path: Column) -> Column:
 
     Array of struct(depth, path); empty for a path without directories.
     """
-    parts = F.filter(F.split(dir_name(path), "/"), lambda p: (p != "") & (p != "."))
     root = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    last = F.size(parts) - 1
+    none = F.array().cast("array<struct<depth:int,path:string>>")
 
-    def variant(depth: Column) -> Column:
-        rebuilt = F.transform(
-            parts, lambda p, i: F.when(i == last - depth, toggle_prefix(p)).otherwise(p)
-        )
-        return F.struct(
-            depth.alias("depth"),
-            F.concat(root, F.array_join(rebuilt, "/"), F.lit("/"), base_name(path)).alias("path"),
-        )
+    def variants(known: Column) -> Column:
+        parts, last = known["parts"], F.size(known["parts"]) - 1
 
-    depths = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(depths, variant)
+        def variant(depth: Column) -> Column:
+            at = last - depth
+            rebuilt = F.concat(
+                F.slice(parts, F.lit(1), at), F.array(toggle_prefix(F.get(parts, at))), F.slice(parts, at + 2, depth)
+            )
+            whole = F.concat(known["root"], F.array_join(rebuilt, "/"), F.lit("/"), known["name"])
+            return F.struct(depth.alias("depth"), whole.alias("path"))
+
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), variant)).otherwise(none)
+
+    parts = F.filter(F.split(dir_name(path), "/"), lambda p: (p != "") & (p != "."))
+    return bind(F.struct(parts.alias("parts"), root.alias("root"), base_name(path).alias("name")), variants)
 
 
 def ancestors(path: Column) -> Column:
     """All directories above a path, without a trailing slash."""
-    parts = F.split(dir_name(path), "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
-    )
+
+    def above(parts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+        )
+
+    return bind(F.split(dir_name(path), "/"), above)

@@ -6,6 +6,8 @@ cues, and only cues leave the row. Parsing shuffles nothing and gathers no docum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -189,7 +191,8 @@ def merge_close_segments(
     The greedy rule runs over chunks of rows, not whole sources. What a chunk does depends only on the
     start of the merged segment still open when it begins, and only a few starts lead to different ends;
     so each chunk of a long source first reports its end for each of them (:func:`_chunk_exits`), the
-    reports of a source are chained (:func:`_chain_exits`), and every chunk then merges on its own.
+    reports of a source are chained (:func:`_chain_exits`), and every chunk then merges on its own, row by
+    row in order (:func:`_merge_in_order`).
     """
     chunk = F.floor(F.col("start_ms") / window_ms)
     order = ["start_ms", "seg_no"]
@@ -224,11 +227,13 @@ def merge_close_segments(
         lambda pdf: _chain_exits(pdf, max_duration_ms),
         f"source_id {id_type}, _chunk long, _open_n long, _open_start long",
     )
-    entered = rows.join(entries, ["source_id", "_chunk"], "left")
-    headed = entered.select(
-        "source_id", "_chunk", "_n", "start_ms", "end_ms", "_cut", "_open_n", "_open_start", "text"
-    ).groupBy("source_id", "_chunk").applyInPandas(
-        lambda pdf: _assign_heads(pdf, max_duration_ms),
+    entered = rows.join(entries, ["source_id", "_chunk"], "left").select(
+        "source_id", "_chunk", "_n", "start_ms", "end_ms", "text", "_cut",
+        *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("_open_n", "_open_start")],
+    )
+    sorted_rows = entered.repartition("source_id", "_chunk").sortWithinPartitions("source_id", "_chunk", "_n")
+    headed = sorted_rows.mapInPandas(
+        lambda batches: _merge_in_order(batches, max_duration_ms, chunk_rows),
         f"source_id {id_type}, _n long, start_ms long, end_ms long, text string, _head long",
     )
     words = F.array_sort(F.collect_list(F.struct("_n", "text")))
@@ -288,25 +293,23 @@ def _chain_exits(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source_id", "_chunk", "_open_n", "_open_start"])
 
 
-def _assign_heads(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """Number of the row each row is merged into."""
-    pdf = pdf.sort_values("_n")
-    starts, ends = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()
-    cut, numbers = pdf["_cut"].to_numpy(dtype=bool), pdf["_n"].to_numpy()
-    following = _next_heads(starts, ends, cut, cap)
-    heads = np.empty(len(starts), dtype=np.int64)
-    opened = pdf["_open_n"].iloc[0]
-    at = 0
-    if not pd.isna(opened) and opened >= 0:
-        at = _entry_row(ends, cut, int(pdf["_open_start"].iloc[0]), cap)
-        heads[:at] = int(opened)
-    while at < len(starts):
-        heads[at:following[at]] = numbers[at]
-        at = int(following[at])
-    return pd.DataFrame({
-        "source_id": pdf["source_id"], "_n": numbers, "start_ms": starts, "end_ms": ends,
-        "text": pdf["text"], "_head": heads,
-    })
+def _merge_in_order(batches: Iterator[pd.DataFrame], cap: int, chunk_rows: int) -> Iterator[pd.DataFrame]:
+    """Number of the row each row is merged into, over sorted rows; only the open segment is remembered."""
+    head, opened = 0, 0
+    for pdf in batches:
+        heads = []
+        for n, start, end, cut, open_n, open_start in zip(
+            pdf["_n"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["_cut"].tolist(),
+            pdf["_open_n"].tolist(), pdf["_open_start"].tolist(),
+        ):
+            if (n - 1) % chunk_rows == 0 and open_n >= 0:
+                head, opened = open_n, open_start
+            if cut or end - opened > cap:
+                head, opened = n, start
+            heads.append(head)
+        out = pdf[["source_id", "_n", "start_ms", "end_ms", "text"]].copy()
+        out["_head"] = heads
+        yield out
 
 
 def threshold_segments(

@@ -126,15 +126,17 @@ def enrich(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            order, answers = [], []
             for model, part in pdf.groupby("model", sort=False, dropna=False):
-                for at in range(0, len(part), batch_size):
-                    rows = part.iloc[at: at + batch_size]
-                    texts = rows["text"].tolist()
-                    answers = call_batch(compute, texts, model, max_tries, pause_s, fallback)
-                    out = pd.DataFrame(answers, columns=["result_path", "ok", "message", "attempts"])
-                    for name in ("cache_key", "text", "model"):
-                        out[name] = rows[name].to_numpy()
-                    yield out[["cache_key", "text", "model", "result_path", "ok", "message", "attempts"]]
+                texts = part["text"].tolist()
+                for at in range(0, len(texts), batch_size):
+                    answers += call_batch(compute, texts[at: at + batch_size], model, max_tries, pause_s, fallback)
+                order.append(part)
+            if not order:
+                continue
+            out = pd.concat(order, ignore_index=True)
+            out[["result_path", "ok", "message", "attempts"]] = answers
+            yield out
 
     rows = work.select("cache_key", "text", "model")
     if parallelism:

@@ -33,14 +33,18 @@ def match_subtitles(media: DataFrame, inventory: DataFrame) -> DataFrame:
     subs = inventory.select("dir", "name", order_index(F.col("ext"), K.SUBTITLE_EXTS).alias("_e")).filter(
         F.col("_e").isNotNull()
     )
-    pieces = F.split(low, r"\.")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        lambda n: F.struct(
-            F.array_join(F.slice(pieces, F.lit(1), n), ".").alias("prefix"),
-            F.when(n == F.size(pieces) - 1, 0).otherwise(1).alias("loose"),
-        ),
-    )
+
+    def stems(pieces: Column) -> Column:
+        whole = F.size(pieces) - 1
+        return F.transform(
+            F.sequence(F.lit(1), whole),
+            lambda n: F.struct(
+                F.array_join(F.slice(pieces, F.lit(1), n), ".").alias("prefix"),
+                F.when(n == whole, 0).otherwise(1).alias("loose"),
+            ),
+        )
+
+    prefixes = tx.bind(F.split(low, r"\."), stems)
     options = subs.select("dir", "name", "_e", F.explode(prefixes).alias("_p")).select(
         "dir",
         F.col("_p.prefix").alias("_stem"),

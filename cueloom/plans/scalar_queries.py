@@ -50,10 +50,9 @@ _CLIP_NAMES = """
 def a5(t):
     lines = fx.line_requests(t)
     name = tx.clip_name(F.col("idx"), F.col("ts_text"), F.col("text"))
-    # Names with another extension or pattern do not become clips.
-    inv = lines.select(F.col("source").alias("dir"), name.alias("name")).unionByName(
-        lines.select(F.col("source").alias("dir"), F.concat(F.lit("x"), name).alias("name"))
-    )
+    # Each clip has a neighbour whose name does not parse.
+    named = lines.select(F.col("source").alias("dir"), name.alias("name"))
+    inv = named.select("dir", F.explode(F.array("name", F.concat(F.lit("x"), "name"))).alias("name"))
     return fl.clip_inventory(inv).groupBy("folder", "seq").agg(F.count(F.lit(1)).alias("n"))
 
 
