@@ -20,7 +20,7 @@ def segmented_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     rank: str | None = None,
     size: str | None = None,
     lows: Mapping[str, str] | None = None,
@@ -30,14 +30,19 @@ def segmented_scan(
 ) -> DataFrame:
     """Row number, running sums (inclusive), previous and next values per key.
 
-    ``chunk`` must not decrease along ``order`` within a key. ``lows``, ``sums``, ``lags`` and ``leads`` map
+    ``chunk`` must not decrease along ``order`` within a key, and one chunk of a key goes to one task. Where
+    no expression cuts evenly, ``None`` sorts the table by range, writes it, and takes the sort's partitions
+    as chunks: these hold about the same number of rows whatever the keys and the order. ``lows``, ``sums``, ``lags`` and ``leads`` map
     a new column to an input column; previous and next are NULL at the ends. ``size`` is the number of rows
     and ``lows`` the smallest value of the whole key: the chunk table has them at no extra shuffle.
     ``order`` must be unique in a key.
     """
     lows, sums, lags, leads = dict(lows or {}), dict(sums or {}), dict(lags or {}), dict(leads or {})
     keys, order = list(keys), list(order)
-    cut = df.withColumn("_chunk", chunk)
+    if chunk is None:
+        cut = freeze(df.orderBy(*keys, *order).withColumn("_chunk", F.spark_partition_id()))
+    else:
+        cut = df.withColumn("_chunk", chunk)
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
 

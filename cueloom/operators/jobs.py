@@ -219,14 +219,19 @@ def without_failed(tasks: DataFrame, failed: DataFrame) -> DataFrame:
 
 # --- running figures --------------------------------------------------------
 
-def with_eta(events: DataFrame, keys: Sequence[str], window: str = "hour") -> DataFrame:
+def _time_chunk(window: str | None) -> Column | None:
+    return None if window is None else F.date_trunc(window, "ts")
+
+
+def with_eta(events: DataFrame, keys: Sequence[str], window: str | None = "minute") -> DataFrame:
     """After each finished item of a run: items done, mean seconds per item, seconds left.
 
     ``events`` has (event_id, ts) and the run's ``keys``; a run starts at its first event. Count, total and
-    start come from one chunked scan, so one long run is not one task and nothing is joined twice.
+    start come from one chunked scan, so one long run is not one task and nothing is joined twice. ``window``
+    is the time span of a chunk; ``None`` where one minute of a run may be too much for a task.
     """
     numbered = segmented_scan(
-        events, keys, ["ts", "event_id"], F.date_trunc(window, "ts"), rank="done", size="total", lows={"_t0": "ts"}
+        events, keys, ["ts", "event_id"], _time_chunk(window), rank="done", size="total", lows={"_t0": "ts"}
     )
     elapsed = (F.unix_micros("ts") - F.unix_micros("_t0")) / 1e6
     left = elapsed / F.col("done") * (F.col("total") - F.col("done"))
@@ -238,10 +243,10 @@ def with_eta(events: DataFrame, keys: Sequence[str], window: str = "hour") -> Da
     )
 
 
-def stage_percent(events: DataFrame, keys: Sequence[str], window: str = "hour") -> DataFrame:
-    """Cumulative percent of a stage after each finished task."""
+def stage_percent(events: DataFrame, keys: Sequence[str], window: str | None = "minute") -> DataFrame:
+    """Cumulative percent of a stage after each finished task; ``window`` as in :func:`with_eta`."""
     numbered = segmented_scan(
-        events, keys, ["ts", "event_id"], F.date_trunc(window, "ts"), rank="done", size="total"
+        events, keys, ["ts", "event_id"], _time_chunk(window), rank="done", size="total"
     )
     return numbered.withColumn("stage_pct", tx.percent(F.col("done"), F.col("total")))
 

@@ -192,7 +192,9 @@ def detect_speech(tasks: DataFrame, clips: DataFrame) -> DataFrame:
         clips.filter(F.col("name").endswith(".wav")).select("dir").distinct().withColumnRenamed("dir", "_dir")
     )
     folder = tx.join_path(F.col("workspace"), F.col("fingerprint"))
-    return tasks.withColumn("_dir", folder).join(ready, "_dir", "left_semi").withColumn("speech_dir", folder)
+    # Copies of one subtitle share a folder, so that key may be hot.
+    found = salted_lookup(tasks.withColumn("_dir", folder), ready, "_dir", "left_semi")
+    return found.withColumnRenamed("_dir", "speech_dir")
 
 
 def repair_paths(rows: DataFrame, inventory: DataFrame, key: str = "task_id", path: str = "source_path") -> DataFrame:
@@ -230,10 +232,9 @@ def apply_renames(rows: DataFrame, renames: DataFrame, key: str, path: str = "so
 
     Each path lists its folders and joins on equality; only rows that move come back from the join.
     """
-    hits = (
-        rows.select(key, F.col(path).alias("_path"), F.explode(tx.ancestors(F.col(path))).alias("old"))
-        .filter(F.col("old") != "")
-        .join(renames.select("old", "new"), "old")
+    above = rows.select(key, F.col(path).alias("_path"), F.explode(tx.ancestors(F.col(path))).alias("old"))
+    hits = salted_lookup(
+        above.filter(F.col("old") != ""), renames.select("old", "new"), "old", "inner", spread_by=[key]
     )
     moved = hits.groupBy(key).agg(
         F.max_by(F.struct("old", "new", "_path"), F.length("old")).alias("_m")

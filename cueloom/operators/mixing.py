@@ -14,6 +14,9 @@ from ..functions.skew import salted_lookup
 from . import signals as sg
 
 
+HELD_SAMPLES = 4_000_000
+
+
 def place_pieces(pieces: DataFrame, block_size: int, keys: Sequence[str]) -> DataFrame:
     """Pieces at absolute places cut at block borders: (keys, block_no, offset, samples).
 
@@ -31,31 +34,30 @@ def place_pieces(pieces: DataFrame, block_size: int, keys: Sequence[str]) -> Dat
         *keys,
         "block_no",
         (s - begin).cast("int").alias("offset"),
-        F.slice("samples", (s - F.col("at") + 1).cast("int"), (e - s).cast("int")).alias("samples"),
+        sg.part_of("samples", F.col("at"), s, e).alias("samples"),
     )
 
 
 def overlay_add(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """add parts (keys, offset, samples) that fall on the same block, sample by sample.
 
-    Each task first adds what it holds batch by batch, so many parts of one block become one; then parts
-    of a block meet in order of key, and a running sum per block reads them one at a time. No group is
-    gathered, whatever the number of parts.
+    Each task first adds the parts it holds, block by block, so that many parts of one block leave it as
+    one; it keeps at most ``HELD_SAMPLES`` sums at a time. Then the parts of a block meet in order of key and
+    are added as they are read. No group is gathered, whatever the number of parts.
     """
     keys = list(keys)
     fields = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", offset int, samples array<double>"
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_key, total = None, None
+        sums: dict[tuple, np.ndarray] = {}
 
-        def row(key, samples):
-            return {**dict(zip(keys, key)), "offset": 0, "samples": samples}
+        def table(done: list[tuple]) -> pd.DataFrame:
+            rows = [{**dict(zip(keys, k)), "offset": 0, "samples": sums.pop(k)} for k in done]
+            return pd.DataFrame(rows, columns=[*keys, "offset", "samples"])
 
         for pdf in batches:
-            sums: dict[tuple, np.ndarray] = {}
-            if open_key is not None:
-                sums[open_key] = total
+            key = None
             for *key, offset, samples in zip(*[pdf[k] for k in keys], pdf["offset"], pdf["samples"]):
                 key = tuple(key)
                 piece = np.asarray(samples, dtype=np.float64)
@@ -67,13 +69,11 @@ def overlay_add(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
                     have = np.concatenate([have, np.zeros(need - len(have))])
                 have[int(offset):need] += piece
                 sums[key] = have
-                open_key = key
-            if open_key is not None:
-                total = sums.pop(open_key)
-            if sums:
-                yield pd.DataFrame([row(k, v) for k, v in sums.items()])
-        if open_key is not None:
-            yield pd.DataFrame([row(open_key, total)])
+            # The last key may go on in the next batch; in sorted rows all others are complete.
+            if len(sums) > 1 and sum(map(len, sums.values())) > HELD_SAMPLES:
+                yield table([k for k in sums if k != key])
+        if sums:
+            yield table(list(sums))
 
     columns = [*keys, "offset", "samples"]
     partial = parts.select(*columns).mapInPandas(combine, schema)
@@ -103,9 +103,10 @@ def scale_samples(samples: Column, gain: Column) -> Column:
 def follow_envelope(
     pieces: DataFrame, env: DataFrame, hop_frames: int, volume_db: float, fallback_db: Column
 ) -> DataFrame:
-    """M3: pieces (signal_id, clip_id, at, samples, clip_db) whose gain follows the envelope under them.
+    """M3: pieces (signal_id, clip_id, at, samples, clip_db, last_hop) whose gain follows the envelope.
 
-    Pieces are cut at envelope points, so each needs the two points around it: one join on (signal, hop).
+    Pieces are cut at envelope points, so each needs the two points around it: one join on (signal, hop),
+    salted because many clips may lie on one place. ``last_hop`` is the signal's last envelope point.
     A signal without an envelope uses ``fallback_db``, its overall level.
     """
     end = F.col("at") + F.size("samples")
@@ -115,15 +116,13 @@ def follow_envelope(
     begin = F.col("_hop") * hop_frames
     s, e = F.greatest(F.col("at"), begin), F.least(end, begin + hop_frames)
     cut = cut.withColumns({
-        "samples": F.slice("samples", (s - F.col("at") + 1).cast("int"), (e - s).cast("int")),
+        "samples": sg.part_of("samples", F.col("at"), s, e),
         "at": s,
+        "hop_no": F.least("_hop", "last_hop"),
     })
-    last = env.groupBy("signal_id").agg(F.max("hop_no").alias("_last"))
-    near = salted_lookup(cut, last, "signal_id", "left").withColumn(
-        "hop_no", F.least("_hop", "_last")
-    )
-    joined = near.join(sg.envelope_segments(env, ["signal_id"]), ["signal_id", "hop_no"], "left")
-    beyond = F.col("_hop") >= F.col("_last")
+    segments = sg.envelope_segments(env, ["signal_id"])
+    joined = salted_lookup(cut, segments, ["signal_id", "hop_no"], "left", spread_by=["clip_id", "at"])
+    beyond = F.col("_hop") >= F.col("last_hop")
 
     def gained(x: Column, i: Column) -> Column:
         frac = (F.col("at") + i) / hop_frames - F.col("_hop")
@@ -135,7 +134,7 @@ def follow_envelope(
         return x * sd.db_to_linear(sd.clamp_gain(level + volume_db - F.col("clip_db")))
 
     return joined.withColumn("samples", F.transform("samples", gained)).drop(
-        "_hop", "_last", "hop_no", "e0", "e1"
+        "_hop", "last_hop", "hop_no", "e0", "e1"
     )
 
 
@@ -172,14 +171,14 @@ def mix(
         durations = lengths.withColumn("duration_ms", F.floor(F.col("n_frames") * 1000 / sample_rate))
         bounded = sg.neighbour_bounds(clips, durations)
         pos = sg.nearest_onsets(
-            bounded, sg.frames_of(mono, "signal_id"), sample_rate, onset_frame, onset_hop, grid=onset_grid
+            bounded, mono, sample_rate, onset_frame, onset_hop, grid=onset_grid
         ).withColumn("pos_ms", F.col("aligned_ms").cast("double"))
     pos = pos.select("signal_id", "clip_id", "angle", "pos_ms").withColumn("trim", F.lit(0).cast("long"))
 
     clip_pieces = sg.pieces_of(clip_blocks, block_size).select("clip_id", "at", "samples")
     clip_frames = sg.frames_of(clip_pieces, "clip_id")
     if align_onset:
-        onsets = sg.clip_onsets(clip_frames, sample_rate)
+        onsets = sg.clip_onsets(clip_pieces, sample_rate)
         moved, trim = sg.align_to_onset(F.col("pos_ms"), F.coalesce("onset_ms", F.lit(0.0)), sample_rate)
         pos = pos.join(onsets, "clip_id", "left").withColumns({"pos_ms": moved, "trim": trim}).drop("onset_ms")
 
@@ -199,6 +198,12 @@ def mix(
         ).select("signal_id", F.col("rms_db").alias("base_db"))
         placed = salted_lookup(placed, base_level, "signal_id", "inner", spread_by=["clip_id"])
 
+    env = None
+    if auto_volume == "auto":
+        env = sg.envelope(sg.frames_of(mono, "signal_id"), ["signal_id"], sample_rate, width)
+        last = env.groupBy("signal_id").agg(F.max("hop_no").alias("last_hop"))
+        placed = salted_lookup(placed, last, "signal_id", "left", spread_by=["clip_id"])
+
     pieces = clip_pieces.join(placed, "clip_id")
     if clip_width and clip_width != width:
         pieces = pieces.withColumn("samples", sg.rescale_width(F.col("samples"), clip_width, width))
@@ -206,11 +211,10 @@ def mix(
     drop_n = F.greatest(F.lit(0), F.col("trim") - F.col("at"))
     left = F.size("samples") - drop_n
     pieces = pieces.filter(left > 0).withColumns({
-        "samples": F.slice("samples", (drop_n + 1).cast("int"), left.cast("int")),
+        "samples": sg.part_of("samples", F.lit(0), drop_n, drop_n + left),
         "at": F.greatest(F.col("at"), F.col("trim")) - F.col("trim") + F.col("_start"),
     })
-    if auto_volume == "auto":
-        env = sg.envelope(sg.frames_of(mono, "signal_id"), ["signal_id"], sample_rate, width)
+    if env is not None:
         hop_frames = int(50 * sample_rate / 1000)
         pieces = follow_envelope(pieces, env, hop_frames, volume_db, F.col("base_db"))
     elif auto_volume == "fixed":

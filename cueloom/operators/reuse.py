@@ -55,7 +55,8 @@ def cache_misses(requests: DataFrame, cache: DataFrame, files: DataFrame | None
 def missing_outputs(cues: DataFrame, existing: DataFrame, folder: str = "folder") -> DataFrame:
     """Cues whose clip file does not exist yet. ``existing`` has (folder, file_name)."""
     named = cues.withColumn("file_name", tx.clip_name(F.col("idx"), F.col("ts_text"), F.col("text")))
-    return named.join(existing.select(folder, "file_name"), [folder, "file_name"], "left_anti")
+    there = existing.select(folder, "file_name").distinct()
+    return salted_lookup(named, there, [folder, "file_name"], "left_anti")
 
 
 def distinct_work(requests: DataFrame) -> DataFrame:

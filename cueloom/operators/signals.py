@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import sound as sd
 from ..functions.scan import neighbours, segmented_scan
-from ..functions.skew import salted_lookup
+from ..functions.skew import salted_lookup, split_hot_join
 
 VOICE_BAND = (85.0, 3000.0)
 FFT_LEN, FFT_HOP = 2048, 1024
@@ -30,6 +30,15 @@ ONSET_SHARE, ONSET_MAX_MS = 0.3, 500
 CUES_PER_CHUNK = 4096
 
 
+def part_of(samples: Column | str, at: Column, start: Column, end: Column) -> Column:
+    """Samples between two places of a piece that begins at ``at``; empty when the places are reversed.
+
+    The optimizer may evaluate a slice before the filter that stands in front of it, so this never fails.
+    """
+    first = F.greatest(F.lit(1), start - at + 1).cast("int")
+    return F.slice(samples, first, F.greatest(F.lit(0), end - start).cast("int"))
+
+
 # --- forms ------------------------------------------------------------------
 
 def decode_pcm(rows: DataFrame, content: str = "content", width: str = "width") -> DataFrame:
@@ -101,9 +110,7 @@ def cut_windows(pieces: DataFrame, keys: Sequence[str], size: int, hop: int, gro
         .filter(F.col("_e") > F.col("_s"))
         .withColumn(
             "_part",
-            F.slice(
-                "samples", (F.col("_s") - F.col("at") + 1).cast("int"), (F.col("_e") - F.col("_s")).cast("int")
-            ),
+            part_of("samples", F.col("at"), F.col("_s"), F.col("_e")),
         )
     )
     parts = F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_part").alias("p"))))
@@ -223,7 +230,7 @@ def neighbour_bounds(cues: DataFrame, durations: DataFrame, key: str = "signal_i
 
 def nearest_onsets(
     bounded: DataFrame,
-    frames: DataFrame,
+    pieces: DataFrame,
     sample_rate: int,
     frame_len: int = ONSET_FRAME,
     hop: int = ONSET_HOP,
@@ -237,7 +244,9 @@ def nearest_onsets(
     is taken, the earliest on a tie, if it is within ``max_offset_ms``; otherwise the cue stays.
 
     Cues list the time buckets of their range and meet the rises on (signal, bucket). One aggregate over
-    that join keeps the largest rise and the few rises within ``max_offset_ms``, which alone can win. ``grid='cue'`` anchors the frames at each search start, ``'global'`` at 0.
+    that join keeps the largest rise and the few rises within ``max_offset_ms``, which alone can win.
+    ``pieces`` are the signal's samples (signal, at, samples). ``grid='cue'`` anchors the frames at each
+    search start, ``'global'`` at 0.
     """
     cue = [key, "seq"]
     ms_of = 1000.0 / sample_rate
@@ -253,16 +262,24 @@ def nearest_onsets(
         F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))),
     )
     if grid == "cue":
+        end = F.col("at") + F.size("samples")
+        touched = F.sequence(F.floor(F.col("at") / bucket), F.floor((end - 1) / bucket))
+        s = F.greatest("at", "_from", F.col("_bucket") * bucket)
+        e = F.least(end, F.col("_to"), (F.col("_bucket") + 1) * bucket)
         inside = (
-            frames.withColumn("_bucket", F.floor(F.col("frame_no") / bucket))
+            pieces.filter(F.size("samples") > 0)
+            .withColumn("_bucket", F.explode(touched))
             .join(spread, [key, "_bucket"])
-            .filter((F.col("frame_no") >= F.col("_from")) & (F.col("frame_no") < F.col("_to")))
-            .select(*cue, (F.col("frame_no") - F.col("_from")).alias("frame_no"), "value")
+            .filter(e > s)
+            .withColumns({
+                "samples": part_of("samples", F.col("at"), s, e),
+                "at": s - F.col("_from"),
+            })
         )
-        rises = energy_rises(inside, cue, frame_len, hop).filter(F.col("rise").isNotNull())
+        rises = energy_rises(frames_of(inside, *cue), cue, frame_len, hop).filter(F.col("rise").isNotNull())
         seen = rises.join(usable, cue).withColumn("_place", F.col("_from") + F.col("hop_no") * hop)
     else:
-        rises = energy_rises(frames, [key], frame_len, hop).filter(F.col("rise").isNotNull())
+        rises = energy_rises(frames_of(pieces, key), [key], frame_len, hop).filter(F.col("rise").isNotNull())
         seen = (
             rises.withColumn("_place", F.col("hop_no") * hop)
             .withColumn("_bucket", F.floor(F.col("_place") / bucket))
@@ -290,20 +307,22 @@ def nearest_onsets(
 
 
 def clip_onsets(
-    frames: DataFrame, sample_rate: int, key: str = "clip_id", ratio: float = 0.02, min_ms: float = 10.0
+    pieces: DataFrame, sample_rate: int, key: str = "clip_id", ratio: float = 0.02, min_ms: float = 10.0
 ) -> DataFrame:
     """Where a clip's sound starts, in ms; 0 if it never does or the clip is too short.
 
+    ``pieces`` are (clip, at, samples). Samples travel as arrays and are exploded only for aggregates.
+
     Frames of min(1024, n/4) samples overlap by half; the first whose RMS reaches 2 % of the clip's own,
     or 1, counts. A frame that ends with the last sample is left out.
     """
     sq = F.col("value") * F.col("value")
-    whole = frames.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.avg(sq).alias("_ms"))
+    whole = frames_of(pieces, key).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.avg(sq).alias("_ms"))
     length = F.least(F.lit(1024), F.floor(F.col("_n") / 4))
     whole = whole.withColumn("_len", length).withColumn("_hop", F.floor(length / 2))
     fit = whole.filter((F.col("_len") >= 64) & (F.col("_n") >= sample_rate // 10))
-    spread = salted_lookup(frames, fit.select(key, "_hop"), key, "inner")
-    cells = spread.groupBy(key, F.floor(F.col("frame_no") / F.col("_hop")).alias("cell")).agg(
+    known = salted_lookup(pieces.select(key, "at", "samples"), fit.select(key, "_hop"), key, "inner", spread_by=[key, "at"])
+    cells = frames_of(known, key, "_hop").groupBy(key, F.floor(F.col("frame_no") / F.col("_hop")).alias("cell")).agg(
         F.sum(sq).alias("ss"),
         # An odd frame reaches one sample into a third cell.
         F.max(F.when(F.col("frame_no") % F.col("_hop") == 0, sq)).alias("head"),
@@ -394,14 +413,13 @@ def slice_intervals(intervals: DataFrame, blocks: DataFrame, block_size: int, ke
     s = F.greatest(F.col("from_frame"), begin)
     e = F.least(F.col("to_frame"), begin + F.size("samples"))
     return (
-        wanted.join(blocks.select(key, "channel", "block_no", "samples"), [key, "block_no"])
+        split_hot_join(
+            wanted, blocks.select(key, "channel", "block_no", "samples"), [key, "block_no"], intervals.columns
+        )
         .withColumn("_s", s)
         .withColumn("_e", e)
         .filter(F.col("_e") > F.col("_s"))
-        .withColumn(
-            "samples",
-            F.slice("samples", (F.col("_s") - begin + 1).cast("int"), (F.col("_e") - F.col("_s")).cast("int")),
-        )
+        .withColumn("samples", part_of("samples", begin, F.col("_s"), F.col("_e")))
         .withColumn("at", F.col("_s") - F.col("from_frame"))
         .drop("_s", "_e", "block_no")
     )

@@ -104,7 +104,6 @@ _RISES = """
        with_tables("series", "SELECT * FROM rises", hops=_HOPS.format(hop=2, last=3), rises=_RISES))
 def g3(t):
     rises = sg.energy_rises(fx.series(t), ["signal_id"], 4, 2)
-    # The last frame has no next one; SQL's greatest and Spark's both skip the NULL.
     return rises
 
 
@@ -140,6 +139,11 @@ def _cues(t, series):
     return segmented_scan(cues, ["signal_id"], ["frame_no"], F.floor(F.col("frame_no") / 4096), rank="seq")
 
 
+def _as_pieces(series):
+    """Frames as pieces of one sample each."""
+    return series.select("signal_id", F.col("frame_no").alias("at"), F.array("value").alias("samples"))
+
+
 def _bounded(t):
     series = fx.series(t)
     durations = series.groupBy("signal_id").agg((F.count(F.lit(1)) * 100).alias("duration_ms"))
@@ -168,7 +172,7 @@ _NEAREST = """
     WHERE hi_ms // 100 - lo_ms // 100 >= 10"""))
 def e11(t):
     bounded, series = _bounded(t)
-    return sg.nearest_onsets(bounded, series, SERIES_RATE, 4, 2)
+    return sg.nearest_onsets(bounded, _as_pieces(series), SERIES_RATE, 4, 2)
 
 
 @query("g4_onsets_on_cue_grid", "signal_id:s seq:l aligned_ms:l", with_tables(
@@ -185,7 +189,7 @@ def e11(t):
         FROM grid WHERE k % 2 = 0 AND n = 4) WHERE nxt IS NOT NULL"""))
 def g4(t):
     bounded, series = _bounded(t)
-    return sg.nearest_onsets(bounded, series, SERIES_RATE, 4, 2, grid="cue")
+    return sg.nearest_onsets(bounded, _as_pieces(series), SERIES_RATE, 4, 2, grid="cue")
 
 
 @query("h6_moved_cues", "moved:b n:l", with_tables(
@@ -196,7 +200,7 @@ def g4(t):
     WHERE hi_ms // 100 - lo_ms // 100 >= 10"""))
 def h6(t):
     bounded, series = _bounded(t)
-    near = sg.nearest_onsets(bounded, series, SERIES_RATE, 4, 2)
+    near = sg.nearest_onsets(bounded, _as_pieces(series), SERIES_RATE, 4, 2)
     moved = F.col("aligned_ms") != F.col("start_ms")
     return near.groupBy(moved.alias("moved")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -208,7 +212,7 @@ _SWELL = "SELECT signal_id, frame_no, value * pow(block_no, 4) / 1e5 AS value FR
 def _swell(t):
     left = sg.pieces_of(fx.blocks(t), BLOCK).filter(F.col("channel") == 0)
     grown = left.withColumn("samples", F.transform("samples", lambda x: x * F.pow("block_no", F.lit(4)) / 1e5))
-    return sg.frames_of(grown, "signal_id")
+    return grown.select("signal_id", "at", "samples")
 
 
 @query("g5_clip_onsets", "signal_id:s onset_ms:d", with_tables("samples", """

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import constants as K
 from ..functions import text as tx
@@ -52,11 +53,13 @@ def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     run_to_end(stream, write, mode)
     if last["id"] < 0:
-        return spark.createDataFrame([], stream.schema)
+        extra = [] if mode == "complete" else [StructField("batch_id", LongType())]
+        return spark.createDataFrame([], StructType([*stream.schema.fields, *extra]))
     schema = stream.schema
+    with_batch = StructType([*schema.fields, StructField("batch_id", LongType())])
     if mode == "complete":
         return spark.read.schema(schema).parquet(f"{base}/batch_id={last['id']}")
-    return spark.read.schema(schema.add("batch_id", "long")).option("basePath", base).parquet(base)
+    return spark.read.schema(with_batch).option("basePath", base).parquet(base)
 
 
 def latest_update(updates: DataFrame, *keys: str) -> DataFrame:
@@ -144,21 +147,19 @@ class HandOff(StatefulProcessor):
         self._state = handle.getValueState("state", "stage string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stage = self._state.get()[0] if self._state.exists() else "waiting"
-        out = []
+        if self._state.exists():
+            return
+        # Rows of one trigger may come in several frames in any order; the earliest decisive one counts.
+        best = None
         for pdf in rows:
-            for event in pdf.sort_values("event_id").itertuples(index=False):
-                if stage != "waiting" or event.step > 2:
-                    continue
-                if not event.ok:
-                    stage = "failed"
-                    out.append((key[0], "drop", event.event_id))
-                elif event.step == 2:
-                    stage = "mixing"
-                    out.append((key[0], "mix", event.event_id))
-        self._state.update((stage,))
-        if out:
-            yield pd.DataFrame(out, columns=["task_id", "action", "event_id"])
+            decisive = pdf[(pdf["step"] <= 2) & (~pdf["ok"].astype(bool) | (pdf["step"] == 2))]
+            if len(decisive):
+                first = decisive.loc[decisive["event_id"].idxmin()]
+                if best is None or first["event_id"] < best[2]:
+                    best = (key[0], "mix" if first["ok"] else "drop", int(first["event_id"]))
+        if best is not None:
+            self._state.update((best[1],))
+            yield pd.DataFrame([best], columns=["task_id", "action", "event_id"])
 
     def close(self) -> None:
         pass

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import scan as sc
+from cueloom.functions import skew as sk
 from cueloom.functions.skew import salted_lookup
 from cueloom.operators import cues as cu
 from cueloom.operators import mixing as mx
@@ -86,6 +87,30 @@ def test_segmented_scan(spark):
         assert {r.n for r in theirs} == {len(mine)} and {r.lo for r in theirs} == {min(vs)}
 
 
+def test_range_sorted_scan(spark):
+    """Without a chunk expression a key with most rows is still numbered whole and in order."""
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 4 > 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("k"),
+        (F.xxhash64("id") % 10**9).alias("t"), "id",
+    )
+    got = sc.segmented_scan(df, ["k"], ["t", "id"], None, rank="rn", lags={"p": "t"}).orderBy("k", "rn").collect()
+    for key in {r.k for r in got}:
+        mine = [r for r in got if r.k == key]
+        assert [r.rn for r in mine] == list(range(1, len(mine) + 1))
+        assert [r.t for r in mine] == sorted(r.t for r in mine)
+        assert [r.p for r in mine] == [None, *[r.t for r in mine][:-1]]
+
+
+def test_hot_join(spark):
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"))
+    right = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    hot = sk.hot_keys(left, ["k"], at_least=100).collect()
+    assert [(r.k, r._fan) for r in hot] == [(0, 21)]
+    got = sk.split_hot_join(left, right, ["k"], ["id"], at_least=100)
+    want = left.join(right, "k")
+    assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, want.select("id", "k", "v").collect()))
+
+
 def test_global_rank(spark):
     df = spark.range(5000).select((F.xxhash64("id") % 1000).alias("h"), "id").repartition(7)
     got = [(r.h, r.id, r.pos) for r in sc.global_rank(df, ["h", "id"], "pos").collect()]

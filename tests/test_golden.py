@@ -174,7 +174,9 @@ def test_nearest_onset_picks(spark, onsets, want):
         if any(i == o + 10 for o in onsets):
             level += 1000.0
         samples.append(("s", i, level))
-    frames = spark.createDataFrame(samples, "signal_id string, frame_no long, value double")
+    frames = spark.createDataFrame(samples, "signal_id string, at long, value double").select(
+        "signal_id", "at", F.array("value").alias("samples")
+    )
     cue = spark.createDataFrame([("s", 1, 2000, 1000, 4000, 4200)], "signal_id string, seq int, start_ms long, lo_ms long, hi_ms long, duration_ms long")
     got = sg.nearest_onsets(cue, frames, 1000, 10, 10).first().aligned_ms
     assert got == want
