@@ -119,12 +119,12 @@ def reuse_by_group(requests: DataFrame, cache: DataFrame, group: str) -> DataFra
     """Per group: requests, distinct contents, requests the cache answers, contents still to compute.
 
     Counts per (group, key) are taken first, so a content that fills a third of the table is one row per
-    group before it meets the cache.
+    group before it meets the cache; should the groups be very many, those rows are salted.
     """
     counts = requests.groupBy(group, "cache_key").agg(F.count(F.lit(1)).alias("_n"))
     known = cache.select("cache_key").withColumn("_known", F.lit(True))
     hit = F.col("_known").isNotNull()
-    return counts.join(known, "cache_key", "left").groupBy(group).agg(
+    return salted_lookup(counts, known, "cache_key", "left").groupBy(group).agg(
         F.sum("_n").alias("n_cues"),
         F.count(F.lit(1)).alias("n_texts"),
         F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0)).alias("n_reused"),

@@ -68,13 +68,13 @@ def e3(t):
     SELECT '/drop/' || d.doc_id || '/' || d.source || '.lrc' AS path, coalesce(CAST(q.task AS VARCHAR), 'cur') AS task_id,
            CASE WHEN q.task IS NULL THEN 'current' ELSE 'name' END AS match_kind
     FROM documents d LEFT JOIN q ON q.source = d.source""",
-    q="SELECT source, min(doc_id) AS task FROM documents WHERE doc_id % 2 = 0 AND source < 'src5' GROUP BY source"))
+    q="SELECT source, min(doc_id) AS task FROM documents WHERE source < 'src5' GROUP BY source"))
 def e4(t):
     subs = t.documents.select(
         F.concat(F.lit("/drop/"), F.col("doc_id").cast("string"), F.lit("/"), "source", F.lit(".lrc")).alias("path"),
         F.col("source").alias("stem"),
     )
-    tasks = t.documents.filter((F.col("doc_id") % 2 == 0) & (F.col("source") < "src5")).select(
+    tasks = t.documents.filter(F.col("source") < "src5").select(
         F.col("doc_id").cast("string").alias("task_id"), F.col("source").alias("source_name"),
         F.col("doc_id").alias("queue_pos"),
     )

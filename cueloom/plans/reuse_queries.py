@@ -36,14 +36,14 @@ def a6(t):
     return tb.read_result_cache(t.spark, path)
 
 
-# All documents are saved anew under their language, half of the cached ones among them.
+# Documents in other languages than English are saved anew, some of the cached ones among them.
 @query("a7_cache_upsert", "cache_key:s result_path:s endpoint:s use_count:l", with_tables("doc_keys cache", """
     SELECT cache_key, coalesce(n.result_path, c.result_path) AS result_path,
            CASE WHEN n.cache_key IS NULL THEN 'local' ELSE 'new' END AS endpoint, 1 AS use_count
     FROM cache c FULL JOIN n USING (cache_key)""", n="""
-    SELECT cache_key, '/new/' || max(doc_id) AS result_path FROM doc_keys WHERE doc_id % 2 = 0 GROUP BY cache_key"""))
+    SELECT cache_key, '/new/' || max(doc_id) AS result_path FROM doc_keys WHERE lang <> 'en' GROUP BY cache_key"""))
 def a7(t):
-    new = fx.doc_requests(t).filter(F.col("doc_id") % 2 == 0).select(
+    new = fx.doc_requests(t).filter(F.col("model") != "en").select(
         "cache_key", "text", F.concat(F.lit("/new/"), F.col("doc_id").cast("string")).alias("result_path"), "model",
         F.lit("new").alias("endpoint"), F.timestamp_seconds(F.lit(1800000000) + F.col("doc_id")).alias("created_at"),
         F.length("text").cast("long").alias("file_size"), F.lit(1).alias("batch_no"),
@@ -64,18 +64,18 @@ def e6(t):
     return ru.cache_misses(fx.doc_requests(t).select("doc_id", "cache_key"), fx.result_cache(t), fx.cache_files(t))
 
 
-# Clips of every third document of a folder are there already.
+# Clips of the documents in other languages than English are there already.
 @query("e7_missing_outputs", "doc_id:l idx:l file_name:s", with_tables("plain", """
     SELECT doc_id, idx, file_name FROM named a WHERE NOT EXISTS (
-        SELECT 1 FROM named b WHERE b.doc_id % 3 = 0 AND b.source = a.source AND b.file_name = a.file_name)""",
+        SELECT 1 FROM named b WHERE b.lang <> 'en' AND b.source = a.source AND b.file_name = a.file_name)""",
     named="""
-    SELECT doc_id, idx, source, printf('%04d', CAST(idx AS INTEGER)) || '_00-00-00.00_' ||
+    SELECT doc_id, idx, source, lang, printf('%04d', CAST(idx AS INTEGER)) || '_00-00-00.00_' ||
            CASE WHEN safe = '' THEN '无' ELSE substr(safe, 1, 2) END || '.wav' AS file_name
     FROM (SELECT *, regexp_replace(text, '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9]', '', 'g') AS safe FROM plain)"""))
 def e7(t):
-    cues = fx.line_requests(t).select("doc_id", "idx", "ts_text", "text", F.col("source").alias("folder"))
+    cues = fx.line_requests(t).select("doc_id", "idx", "ts_text", "text", F.col("source").alias("folder"), "model")
     name = tx.clip_name(F.col("idx"), F.col("ts_text"), F.col("text"))
-    done = cues.filter(F.col("doc_id") % 3 == 0).select("folder", name.alias("file_name")).distinct()
+    done = cues.filter(F.col("model") != "en").select("folder", name.alias("file_name")).distinct()
     return ru.missing_outputs(cues, done)
 
 
@@ -115,18 +115,18 @@ def f21(t):
     return ru.clear_report(fx.result_cache(t), fx.cache_files(t))
 
 
-# Misses of documents with an even id come back computed; the others get no answer.
+# Misses of English documents come back computed; the others get no answer.
 @query("i2_merged_results", "doc_id:l ok:b result_path:s message:s", with_tables("doc_keys cache", """
     SELECT d.doc_id, c.cache_key IS NOT NULL OR f.cache_key IS NOT NULL AS ok,
            coalesce(c.result_path, '/new/' || f.cache_key) AS result_path,
            CASE WHEN c.cache_key IS NOT NULL THEN '缓存复用' WHEN f.cache_key IS NOT NULL THEN '批量完成'
                 ELSE '服务器未返回音频' END AS message
     FROM doc_keys d LEFT JOIN cache c USING (cache_key)
-    LEFT JOIN (SELECT DISTINCT cache_key FROM doc_keys WHERE doc_id % 2 = 0) f USING (cache_key)"""))
+    LEFT JOIN (SELECT DISTINCT cache_key FROM doc_keys WHERE lang = 'en') f USING (cache_key)"""))
 def i2(t):
-    requests = fx.doc_requests(t).select("doc_id", "cache_key")
+    requests = fx.doc_requests(t).select("doc_id", "model", "cache_key")
     cache = fx.result_cache(t)
-    fresh = ru.cache_misses(requests, cache).filter(F.col("doc_id") % 2 == 0).select(
+    fresh = ru.cache_misses(requests, cache).filter(F.col("model") == "en").select(
         "cache_key", F.concat(F.lit("/new/"), "cache_key").alias("result_path"), F.lit(True).alias("ok"),
         F.lit("批量完成").alias("message"),
     )

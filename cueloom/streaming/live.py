@@ -82,10 +82,13 @@ def micro_batches(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        # The numbering reads the batch twice; a source should be read once.
+        batch.persist()
         numbered = en.number_micro_batches(
             batch, order, F.floor(F.col(order[0]) / chunk_rows), size, keys
         )
         handle(numbered.withColumn("trigger_no", F.lit(batch_id).cast("long")), batch_id)
+        batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(on_batch).option(
         "checkpointLocation", location or fresh_dir(stream.sparkSession, "micro")
