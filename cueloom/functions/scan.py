@@ -7,7 +7,7 @@ step sees one row per chunk, so a key with a third of all rows stays spread out.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,6 +95,40 @@ def segmented_scan(
     return joined.select(*[c for c in df.columns if c not in new], *new)
 
 
+def segmented_runs(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, start: str, end: str,
+    apart: Callable[[Column], Column], out: str,
+) -> DataFrame:
+    """Number of the run each interval lies in; a run ends where ``apart(start - previous end)`` holds.
+
+    Inside a chunk the cuts are counted by a window. Whether the first interval of a chunk begins a run is
+    known from the end of the chunk before, so the chunk table settles both the cut and the count.
+    """
+    keys, order = list(keys), list(order)
+    cut = df.withColumn("_chunk", chunk)
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    gap = F.col(start) - F.lag(end).over(inside)
+    local = cut.withColumn("_cut", F.coalesce(apart(gap), F.lit(False)).cast("long")).withColumn(
+        out, F.sum("_cut").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    )
+    at = F.struct(*order)
+    across = W.partitionBy(*keys).orderBy("_chunk")
+    carry = (
+        local.groupBy(*keys, "_chunk")
+        .agg(F.sum("_cut").alias("_cuts"), F.min_by(start, at).alias("_head"), F.max_by(end, at).alias("_tail"))
+        .withColumn("_first", F.coalesce(apart(F.col("_head") - F.lag("_tail").over(across)), F.lit(True)).cast("long"))
+        .select(
+            *keys, "_chunk",
+            (F.sum(F.col("_cuts") + F.col("_first")).over(across) - F.col("_cuts")).alias("_base"),
+        )
+    )
+    return (
+        local.join(carry, [*keys, "_chunk"])
+        .withColumn(out, F.col(out) + F.col("_base"))
+        .select(*df.columns, out)
+    )
+
+
 def global_rank(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
     """Position of each row in the sort over the whole table, from 1.
 

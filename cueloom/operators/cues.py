@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.scan import segmented_scan
+from ..functions.scan import segmented_runs, segmented_scan
 
 # Marks between parsed lines: three Unicode noncharacters, which text does not contain.
 BLANK, TIME, WORDS = "\ufdd0", "\ufdd1", "\ufdd2"
@@ -196,19 +196,19 @@ def merge_close_segments(
     """
     chunk = F.floor(F.col("start_ms") / window_ms)
     order = ["start_ms", "seg_no"]
-    scanned = segmented_scan(
-        segments, ["source_id"], order, chunk, rank="_n", size="_size", lags={"_prev_end": "end_ms"}
-    )
-    cut = F.col("_prev_end").isNull() | (F.col("start_ms") - F.col("_prev_end") > max_gap_ms)
     if max_duration_ms is None:
-        runs = segmented_scan(
-            scanned.withColumn("_cut", cut.cast("long")), ["source_id"], order, chunk, sums={"_run": "_cut"}
+        runs = segmented_runs(
+            segments, ["source_id"], order, chunk, "start_ms", "end_ms", lambda gap: gap > max_gap_ms, "_run"
         )
         return runs.groupBy("source_id", "_run").agg(
             F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
             F.count(F.lit(1)).alias("n_parts"),
         ).drop("_run")
 
+    scanned = segmented_scan(
+        segments, ["source_id"], order, chunk, rank="_n", size="_size", lags={"_prev_end": "end_ms"}
+    )
+    cut = F.col("_prev_end").isNull() | (F.col("start_ms") - F.col("_prev_end") > max_gap_ms)
     rows = scanned.select(
         "source_id", "seg_no", F.col("start_ms").cast("long").alias("start_ms"),
         F.col("end_ms").cast("long").alias("end_ms"), "text", "_n", "_size", cut.alias("_cut"),
@@ -329,12 +329,9 @@ def threshold_segments(
         F.min("start_ms").alias("_from"), F.max("end_ms").alias("_to")
     )
     speech = scores.filter(F.col("score") >= threshold).select("signal_id", "start_ms", "end_ms")
-    chunk = F.floor(F.col("start_ms") / window_ms)
-    order = ["start_ms"]
-    gaps = segmented_scan(speech, ["signal_id"], order, chunk, lags={"_prev_end": "end_ms"})
-    cut = F.col("_prev_end").isNull() | (F.col("start_ms") - F.col("_prev_end") >= min_silence_ms)
-    runs = segmented_scan(
-        gaps.withColumn("_cut", cut.cast("long")), ["signal_id"], order, chunk, sums={"_run": "_cut"}
+    runs = segmented_runs(
+        speech, ["signal_id"], ["start_ms"], F.floor(F.col("start_ms") / window_ms), "start_ms", "end_ms",
+        lambda gap: gap >= min_silence_ms, "_run",
     )
     segments = runs.groupBy("signal_id", "_run").agg(
         F.min("start_ms").alias("_start"), F.max("end_ms").alias("_end")

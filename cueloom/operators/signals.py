@@ -249,61 +249,54 @@ def nearest_onsets(
     search start, ``'global'`` at 0.
     """
     cue = [key, "seq"]
-    ms_of = 1000.0 / sample_rate
     start = F.floor(F.col("lo_ms") * sample_rate / 1000)
     stop = F.floor(F.least(F.col("hi_ms"), F.col("duration_ms")) * sample_rate / 1000)
     ranged = bounded.withColumn("_from", start).withColumn("_to", stop)
-    usable = ranged.filter(
-        (F.col("hi_ms") > F.col("lo_ms")) & (F.col("_to") - F.col("_from") >= sample_rate)
-    ).select(*cue, "start_ms", "_from", "_to")
+    usable = (F.col("hi_ms") > F.col("lo_ms")) & (F.col("_to") - F.col("_from") >= sample_rate)
     bucket = 64 * hop
-    spread = usable.withColumn(
-        "_bucket",
-        F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))),
-    )
+    buckets = F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))
+
+    place_ms = F.col("_place") * (1000.0 / sample_rate)
+    off = F.abs(place_ms - F.col("start_ms"))
+    # At most 2 * max_offset_ms / hop rises are near a cue, so the list is short.
+    close = F.collect_list(F.when(off <= max_offset_ms, F.struct(off.alias("off"), place_ms.alias("ms"), "rise")))
+    picks = [F.max("rise").alias("_max"), F.count("rise").alias("_n"), close.alias("_close")]
+    loud = F.filter("_close", lambda c: c["rise"] >= F.col("_max") * ONSET_SHARE)
+    found = F.when((F.col("_max") >= 1e-10) & (F.col("_n") >= 2), F.array_min(loud)["ms"])
+    aligned = F.coalesce(F.floor(found), F.col("start_ms")).alias("aligned_ms")
+
     if grid == "cue":
         end = F.col("at") + F.size("samples")
         touched = F.sequence(F.floor(F.col("at") / bucket), F.floor((end - 1) / bucket))
         s = F.greatest("at", "_from", F.col("_bucket") * bucket)
         e = F.least(end, F.col("_to"), (F.col("_bucket") + 1) * bucket)
+        known = [*cue, "start_ms", "_from"]
+        spread = ranged.filter(usable).select(*known, "_to", F.explode(buckets).alias("_bucket"))
         inside = (
             pieces.filter(F.size("samples") > 0)
             .withColumn("_bucket", F.explode(touched))
             .join(spread, [key, "_bucket"])
             .filter(e > s)
-            .withColumns({
-                "samples": part_of("samples", F.col("at"), s, e),
-                "at": s - F.col("_from"),
-            })
+            .withColumns({"samples": part_of("samples", F.col("at"), s, e), "at": s - F.col("_from")})
         )
-        rises = energy_rises(frames_of(inside, *cue), cue, frame_len, hop).filter(F.col("rise").isNotNull())
-        seen = rises.join(usable, cue).withColumn("_place", F.col("_from") + F.col("hop_no") * hop)
-    else:
-        rises = energy_rises(frames_of(pieces, key), [key], frame_len, hop).filter(F.col("rise").isNotNull())
-        seen = (
-            rises.withColumn("_place", F.col("hop_no") * hop)
-            .withColumn("_bucket", F.floor(F.col("_place") / bucket))
-            .join(spread, [key, "_bucket"])
-            .filter(
-                (F.col("_place") >= F.col("_from"))
-                & (F.col("_place") + hop + frame_len <= F.col("_to"))
-            )
-        )
-    timed = seen.withColumn("_ms", F.col("_place") * ms_of).withColumn(
-        "_off", F.abs(F.col("_ms") - F.col("start_ms"))
+        rises = energy_rises(frames_of(inside, *known), known, frame_len, hop)
+        placed = rises.withColumn("_place", F.col("_from") + F.col("hop_no") * hop)
+        best = placed.groupBy(*cue).agg(*picks)
+        return bounded.join(best, cue, "left").select(*bounded.columns, aligned)
+
+    # Cues without a usable range keep one row with no bucket, so they come through the left join.
+    none = F.array(F.lit(None).cast("bigint"))
+    spread = ranged.withColumn("_bucket", F.explode(F.when(usable, buckets).otherwise(none))).alias("c")
+    rises = energy_rises(frames_of(pieces, key), [key], frame_len, hop).filter(F.col("rise").isNotNull())
+    placed = rises.select(
+        F.col(key).alias("_key"), (F.col("hop_no") * hop).alias("_place"), "rise",
+        F.floor(F.col("hop_no") * hop / bucket).alias("_of"),
     )
-    # At most 2 * max_offset_ms / hop rises are near a cue, so the list is short.
-    close = F.collect_list(F.when(F.col("_off") <= max_offset_ms, F.struct("_off", "_ms", "rise")))
-    per_cue = timed.groupBy(*cue).agg(
-        F.max("rise").alias("_max"), F.count(F.lit(1)).alias("_n"), close.alias("_close")
-    ).filter((F.col("_max") >= 1e-10) & (F.col("_n") >= 2))
-    onsets = F.filter("_close", lambda c: c["rise"] >= F.col("_max") * ONSET_SHARE)
-    best = per_cue.select(*cue, F.array_min(onsets).alias("_b"))
-    return (
-        bounded.join(best, cue, "left")
-        .withColumn("aligned_ms", F.coalesce(F.floor(F.col("_b._ms")), F.col("start_ms")))
-        .drop("_b")
+    met = (
+        (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_of"))
+        & (F.col("_place") >= F.col("_from")) & (F.col("_place") + hop + frame_len <= F.col("_to"))
     )
+    return spread.join(placed, met, "left").groupBy(*bounded.columns).agg(*picks).select(*bounded.columns, aligned)
 
 
 def clip_onsets(

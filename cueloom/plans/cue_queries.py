@@ -131,7 +131,7 @@ _SEGMENTS = """
            least(start_ms + 1 + CAST(floor(value * 360000) AS BIGINT),
                  coalesce(lead(start_ms) OVER (PARTITION BY user_id ORDER BY start_ms, event_id), 9e15)) AS end_ms
     FROM (SELECT *, epoch_us(ts) // 1000 AS start_ms FROM events)"""
-_GAP_MS, _CAP_MS = 600_000, 200_000_000
+_GAP_MS, _CAP_MS = 600_000, 60_000_000
 
 
 def _segments(t):

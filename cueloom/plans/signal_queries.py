@@ -122,7 +122,7 @@ def e12(t):
 # --- onsets -----------------------------------------------------------------
 
 _CUES = """
-    SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY frame_no) AS seq, frame_no * 100 AS start_ms
+    SELECT signal_id, frame_no AS seq, frame_no * 100 AS start_ms
     FROM series WHERE event_type = 'purchase'"""
 _BOUNDS = """
     SELECT c.*, coalesce(lag(start_ms) OVER w, 0) AS lo_ms, coalesce(lead(start_ms) OVER w, n * 100) AS hi_ms, n * 100 AS duration_ms
@@ -130,15 +130,6 @@ _BOUNDS = """
     WINDOW w AS (PARTITION BY signal_id ORDER BY seq)"""
 
 
-def _cues(t, series):
-    from ..functions.scan import segmented_scan
-
-    cues = series.filter(F.col("event_type") == "purchase").select(
-        "signal_id", "frame_no", (F.col("frame_no") * 100).alias("start_ms")
-    )
-    return segmented_scan(cues, ["signal_id"], ["frame_no"], F.floor(F.col("frame_no") / 4096), rank="seq")
-
-
 def _as_pieces(series):
     """Frames as pieces of one sample each."""
     return series.select("signal_id", F.col("frame_no").alias("at"), F.array("value").alias("samples"))
@@ -146,8 +137,13 @@ def _as_pieces(series):
 
 def _bounded(t):
     series = fx.series(t)
-    durations = series.groupBy("signal_id").agg((F.count(F.lit(1)) * 100).alias("duration_ms"))
-    return sg.neighbour_bounds(_cues(t, series), durations), series
+    cues = series.filter(F.col("event_type") == "purchase").select(
+        "signal_id", F.col("frame_no").alias("seq"), (F.col("frame_no") * 100).alias("start_ms")
+    )
+    durations = t.events.groupBy(F.col("user_id").cast("string").alias("signal_id")).agg(
+        (F.count(F.lit(1)) * 100).alias("duration_ms")
+    )
+    return sg.neighbour_bounds(cues, durations), series
 
 
 @query("g1_neighbour_bounds", "signal_id:s seq:l lo_ms:l hi_ms:l",
