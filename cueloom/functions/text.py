@@ -36,12 +36,8 @@ def base_name(path: Column) -> Column:
 
 
 def dir_name(path: Column) -> Column:
-    cut = F.length(path) - F.length(base_name(path)) - 1
-    return (
-        F.when(cut > 0, F.substring(path, F.lit(1), cut))
-        .when(path.startswith("/"), F.lit("/"))
-        .otherwise(F.lit(""))
-    )
+    """Everything before the last slash; ``/`` for a name under the root, empty without a slash."""
+    return F.regexp_extract(path, r"(?s)^(/(?=[^/]*$)|.*(?=/[^/]*$))", 1)
 
 
 def dotted_ext(name: Column) -> Column:
@@ -59,9 +55,7 @@ def stem_of(name: Column) -> Column:
 
 
 def join_path(folder: Column, name: Column) -> Column:
-    return F.when(folder == "", name).when(folder.endswith("/"), F.concat(folder, name)).otherwise(
-        F.concat(folder, F.lit("/"), name)
-    )
+    return F.when(folder == "", name).otherwise(F.concat(F.rtrim(folder, F.lit("/")), F.lit("/"), name))
 
 
 # --- file kinds -------------------------------------------------------------

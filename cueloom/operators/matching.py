@@ -165,11 +165,10 @@ def detect_mix_outputs(tasks: DataFrame, inventory: DataFrame) -> DataFrame:
     found = (
         inventory.filter(F.col("ext").isin(*K.MIX_OUTPUT_EXTS))
         .groupBy(F.col("dir").alias("_dir"), bare.alias("source_name"))
-        .agg(F.min(F.struct(tx.natural_key(F.col("name")).alias("nk"), F.col("path").alias("path"))).alias("_o"))
-        .select("_dir", "source_name", F.col("_o.path").alias("_path"))
+        # Names with one stem differ only behind it, where natural order is letter order.
+        .agg(F.min_by("path", F.struct(F.lower("name"), "name")).alias("_path"))
     )
-    src = tx.dir_name(F.col("source_path"))
-    leaf, parent = tx.base_name(src), tx.dir_name(src)
+    src, leaf, parent = F.col("_src"), F.col("_leaf"), F.col("_parent")
     sub = tx.join_path(src, F.lit(K.BILINGUAL_DIR))
     sibling = tx.join_path(parent, F.concat(F.lit(K.BILINGUAL_PREFIX), leaf))
     folders = (
@@ -178,7 +177,9 @@ def detect_mix_outputs(tasks: DataFrame, inventory: DataFrame) -> DataFrame:
         .otherwise(F.array(sub))
     )
     picked = (
-        tasks.select("task_id", "source_name", F.posexplode(folders).alias("_at", "_dir"))
+        tasks.select("task_id", "source_name", "from_folder", tx.dir_name(F.col("source_path")).alias("_src"))
+        .withColumns({"_leaf": tx.base_name(src), "_parent": tx.dir_name(src)})
+        .select("task_id", "source_name", F.posexplode(folders).alias("_at", "_dir"))
         .join(found, ["_dir", "source_name"])
         .groupBy("task_id")
         .agg(F.min_by("_path", "_at").alias("mix_output"))

@@ -22,7 +22,7 @@ from ..functions.scan import neighbours, segmented_scan
 from ..functions.skew import salted_lookup, split_hot_join
 
 VOICE_BAND = (85.0, 3000.0)
-FFT_LEN, FFT_HOP = 2048, 1024
+FFT_LEN, FFT_HOP, FFT_RUN = 2048, 1024, 16
 SIDE_RATIO = 1.2
 SIDE_WINDOW_S, SIDE_MIN_S = 10, 2
 ONSET_FRAME, ONSET_HOP = 1024, 512
@@ -93,12 +93,11 @@ def decimate(pieces: DataFrame, stride: Column) -> DataFrame:
     return pieces.withColumn("samples", kept).withColumn("at", F.ceil(F.col("at") / stride))
 
 
-def cut_windows(pieces: DataFrame, keys: Sequence[str], size: int, hop: int, grown: int = 0) -> DataFrame:
-    """Windows of ``size + grown`` samples every ``hop``: (keys, window_no, samples), whole ones only.
+def cut_windows(pieces: DataFrame, keys: Sequence[str], span: int, hop: int) -> DataFrame:
+    """Windows of up to ``span`` samples every ``hop``: (keys, window_no, samples); short at the signal's end.
 
     Each piece is sliced for the windows it touches; a window gathers at most its own length.
     """
-    span = size + grown
     end = F.col("at") + F.size("samples")
     first = F.greatest(F.lit(0), F.floor((F.col("at") - span) / hop) + 1)
     last = F.floor((end - 1) / hop)
@@ -114,10 +113,8 @@ def cut_windows(pieces: DataFrame, keys: Sequence[str], size: int, hop: int, gro
         )
     )
     parts = F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_part").alias("p"))))
-    return (
-        sliced.groupBy(*keys, "window_no")
-        .agg(F.flatten(F.transform(parts, lambda x: x["p"])).alias("samples"))
-        .filter(F.size("samples") == span)
+    return sliced.groupBy(*keys, "window_no").agg(
+        F.flatten(F.transform(parts, lambda x: x["p"])).alias("samples")
     )
 
 
@@ -348,18 +345,25 @@ def align_to_onset(pos_ms: Column, onset_ms: Column, sample_rate: int) -> tuple[
 
 # --- channel energy ---------------------------------------------------------
 
-def voice_band_energy(fft_len: int):
-    """Arrow function of (window, sample rate): power between 85 and 3000 Hz, Hann-weighted."""
+def voice_band_energy(fft_len: int, hop: int):
+    """Arrow function of (samples, sample rate): power between 85 and 3000 Hz over Hann-weighted windows.
+
+    Windows begin every ``hop`` samples; one that ends with the last sample is left out.
+    """
 
     @F.pandas_udf(DoubleType())
-    def energy(windows: pd.Series, rates: pd.Series) -> pd.Series:
-        if windows.empty:
-            return pd.Series([], dtype="float64")
-        block = np.stack([np.asarray(w, dtype=np.float64)[:fft_len] for w in windows])
-        power = np.abs(np.fft.rfft(block * np.hanning(fft_len), axis=1)) ** 2
-        bins = np.fft.rfftfreq(fft_len)[None, :] * rates.to_numpy(dtype=np.float64)[:, None]
-        band = (bins >= VOICE_BAND[0]) & (bins <= VOICE_BAND[1])
-        return pd.Series((power * band).sum(axis=1))
+    def energy(stretches: pd.Series, rates: pd.Series) -> pd.Series:
+        weights = np.hanning(fft_len)
+        out = np.zeros(len(stretches))
+        for i, (samples, rate) in enumerate(zip(stretches, rates)):
+            x = np.asarray(samples, dtype=np.float64)
+            if len(x) <= fft_len:
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(x[:-1], fft_len)[::hop]
+            power = np.abs(np.fft.rfft(windows * weights, axis=1)) ** 2
+            bins = np.fft.rfftfreq(fft_len) * rate
+            out[i] = power[:, (bins >= VOICE_BAND[0]) & (bins <= VOICE_BAND[1])].sum()
+        return pd.Series(out)
 
     return energy
 
@@ -369,15 +373,16 @@ def channel_energy(
 ) -> DataFrame:
     """voice-band energy per key (which names the channel too), over decimated pieces.
 
-    One window is one row, so windows are transformed wherever they lie and Spark adds them up.
+    The signal is cut into stretches of ``FFT_RUN`` windows, which overlap by what the windows at their
+    border share. A stretch is one row, so the work is spread whatever the length of a signal.
     """
     stride = max(1, sample_rate // 16000) if sample_rate > 16000 else 1
     rate = sample_rate // stride
     thin = decimate(pieces.select(*keys, "at", "samples"), F.lit(stride)) if stride > 1 else pieces
-    # A window that ends with the last sample is left out, so one more sample must follow it.
-    windows = cut_windows(thin, keys, fft_len, hop, grown=1)
-    energy = voice_band_energy(fft_len)(F.col("samples"), F.lit(float(rate)))
-    return windows.select(*keys, energy.alias("_e")).groupBy(*keys).agg(F.sum("_e").alias("energy"))
+    # The sample after a stretch's last window belongs to it: it shows that the window is not the end.
+    stretches = cut_windows(thin, keys, (FFT_RUN - 1) * hop + fft_len + 1, FFT_RUN * hop)
+    energy = voice_band_energy(fft_len, hop)(F.col("samples"), F.lit(float(rate)))
+    return stretches.select(*keys, energy.alias("_e")).groupBy(*keys).agg(F.sum("_e").alias("energy"))
 
 
 def side_of(left: Column, right: Column, seconds: Column | None = None) -> Column:

@@ -255,7 +255,7 @@ _BAND = f"""
     band=_BAND.format(keys="signal_id, channel", source="cut")))
 def f17(t):
     pieces = sg.pieces_of(fx.blocks(t), BLOCK)
-    energy = sg.channel_energy(pieces, ["signal_id", "channel"], RATE, _FFT, _FFT // 2)
+    energy = sg.channel_energy(pieces, ["signal_id", "channel"], RATE, _FFT, _FFT // 2).filter("energy > 0")
     return energy.withColumn("log_energy", F.log10("energy"))
 
 

@@ -52,10 +52,9 @@ def spread_rows(df: DataFrame) -> DataFrame:
 
 
 def output_dir(
-    source_path: Column, from_folder: Column, custom_dir: str = "", folder_prefix: bool = False
+    src: Column, from_folder: Column, custom_dir: str = "", folder_prefix: bool = False
 ) -> Column:
-    """Custom folder, else the prefixed sibling for folder imports, else the sub-folder."""
-    src = tx.dir_name(source_path)
+    """Custom folder, else the prefixed sibling of ``src`` for folder imports, else its sub-folder."""
     sub = tx.join_path(src, F.lit(K.BILINGUAL_DIR))
     if custom_dir.strip():
         return F.lit(custom_dir.strip())
@@ -77,8 +76,9 @@ def route_outputs(
     ext = tx.ext_of(tx.base_name(F.col("source_path")))
     form = tx.output_format(ext, None if fmt is None else F.lit(fmt))
     suffix = K.MIXED_SUFFIX if add_suffix else ""
-    routed = tasks.withColumn(
-        "out_dir", output_dir(F.col("source_path"), F.col("from_folder"), custom_dir, folder_prefix)
-    )
+    sourced = tasks.withColumn("_src", tx.dir_name(F.col("source_path")))
+    routed = sourced.withColumn(
+        "out_dir", output_dir(F.col("_src"), F.col("from_folder"), custom_dir, folder_prefix)
+    ).drop("_src")
     name = F.concat(F.col("source_name"), F.lit(suffix + "."), form)
     return routed.withColumn("out_path", tx.join_path(F.col("out_dir"), name))
