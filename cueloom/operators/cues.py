@@ -220,11 +220,10 @@ def merge_close_segments(
         "source_id", "_chunk"
     ).applyInPandas(
         lambda pdf: _chunk_exits(pdf, max_duration_ms),
-        f"source_id {id_type}, _chunk long, _rows long, _limits array<long>, _exit_n array<long>, "
-        "_exit_start array<long>",
+        f"source_id {id_type}, _chunk long, _limits array<long>, _exit_n array<long>, _exit_start array<long>",
     )
-    entries = exits.groupBy("source_id").applyInPandas(
-        lambda pdf: _chain_exits(pdf, max_duration_ms),
+    entries = exits.repartition("source_id").sortWithinPartitions("source_id", "_chunk").mapInPandas(
+        lambda batches: _chain_exits(batches, max_duration_ms),
         f"source_id {id_type}, _chunk long, _open_n long, _open_start long",
     )
     entered = rows.join(entries, ["source_id", "_chunk"], "left").select(
@@ -276,21 +275,26 @@ def _chunk_exits(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
         exit_start.append(int(starts[head]) if head >= 0 else -1)
     first = pdf.iloc[0]
     return pd.DataFrame({
-        "source_id": [first["source_id"]], "_chunk": [int(first["_chunk"])], "_rows": [len(starts)],
+        "source_id": [first["source_id"]], "_chunk": [int(first["_chunk"])],
         "_limits": [limits], "_exit_n": [exit_n], "_exit_start": [exit_start],
     })
 
 
-def _chain_exits(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """The merged segment open at the beginning of each chunk of a source, -1 at the first."""
-    out, open_n, open_start = [], -1, 0
-    for row in pdf.sort_values("_chunk").itertuples(index=False, name=None):
-        source, chunk, _rows, limits, exit_n, exit_start = row
-        out.append((source, chunk, open_n, open_start))
-        taken = 0 if open_n < 0 else int(np.searchsorted(np.asarray(limits), open_start + cap, side="right"))
-        if exit_n[taken] >= 0:
-            open_n, open_start = int(exit_n[taken]), int(exit_start[taken])
-    return pd.DataFrame(out, columns=["source_id", "_chunk", "_open_n", "_open_start"])
+def _chain_exits(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+    """The merged segment open at the beginning of each chunk, -1 at a source's first; rows come in order."""
+    source, open_n, open_start = None, -1, 0
+    for pdf in batches:
+        out = []
+        for key, chunk, limits, exit_n, exit_start in zip(
+            pdf["source_id"], pdf["_chunk"], pdf["_limits"], pdf["_exit_n"], pdf["_exit_start"]
+        ):
+            if key != source:
+                source, open_n, open_start = key, -1, 0
+            out.append((key, chunk, open_n, open_start))
+            taken = 0 if open_n < 0 else int(np.searchsorted(np.asarray(limits), open_start + cap, side="right"))
+            if exit_n[taken] >= 0:
+                open_n, open_start = int(exit_n[taken]), int(exit_start[taken])
+        yield pd.DataFrame(out, columns=["source_id", "_chunk", "_open_n", "_open_start"])
 
 
 def _merge_in_order(batches: Iterator[pd.DataFrame], cap: int, chunk_rows: int) -> Iterator[pd.DataFrame]:
