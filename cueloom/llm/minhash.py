@@ -42,7 +42,7 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     if not k:
         return words
     n = len(words) - k + 1
-    h = np.full(n, _C[SHINGLE] * np.uint64(k), np.uint64)
+    h = np.full(n, k, np.uint64) * _C[SHINGLE]
     for j in range(k):
         h += words[j : j + n] * _C[j]
     return np.unique(tokens.mix(h))
