@@ -243,3 +243,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, unchanged; all columns stay.
+
+    Documents without words are kept, as they are linked with nothing. Of several rows with one doc_id, all stay if
+    that id is kept.
+    """
+    gone = near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash
-from .registry import ORACLE, QUERIES, query, table
+from pyspark.sql import functions as F
+
+from . import (
+    ball_tree, decontaminate, line_dedup, minhash, packing, quality_rules, span_dedup, toxicity, url_filter, warc,
+)
+from .registry import ORACLE, QUERIES, query, table, tokenizer_path
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -31,3 +35,99 @@ FROM sets JOIN low ON u = doc_id
 @query("op10_minhash_near_dedup", OP10_SQL)
 def op10(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity_ftrl")
+def op7(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
+    weights = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")), ~held)
+    return toxicity.score(docs, weights).select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
+@query("op8_line_dedup")
+def op8(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_power_of_two_packing")
+def op4(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op3_sentence_span_dedup")
+def op3(spark, sf_dir):
+    out = span_dedup.dedup_spans(table(spark, sf_dir, "documents")).filter("removed_spans IS NOT NULL")
+    return out.select("doc_id", F.explode("removed_spans").alias("s")).select(
+        "doc_id", F.col("s.first").alias("first_sentence"), F.col("s.last").alias("last_sentence"),
+        F.col("s.start").alias("start_byte"), F.col("s.end").alias("end_byte"),
+    )
+
+
+@query("op9_quality_rules")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    model = quality_rules.fit(docs, labels.select("doc_id", F.col("quality").alias("label")), ~held)
+    return quality_rules.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP1_SQL = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32),
+    lambda i: '{B32}'[1 + (CAST('0x' || h[1 + 5 * (i // 4):5 + 5 * (i // 4)] AS INTEGER) >> (15 - 5 * (i % 4))) % 32]), '')
+    AS payload_digest FROM p
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM r
+"""
+
+
+@query("op1_warc_revisits", OP1_SQL)
+def op1(spark, sf_dir):
+    return warc.deduplicate(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+RULES = (
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+)
+
+
+@query("op5_url_language_ratio")
+def op5(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@query("op6_ball_tree_top_k", OP6_SQL)
+def op6(spark, sf_dir):
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
