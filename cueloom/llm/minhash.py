@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         ).alias("key"), "node",
     )
     multi = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    members = freeze(keys.join(multi.select("key", "hub"), "key").select("key", "node", "hub"))
+    # Both sides of the large joins grow with the input: they are merge joins at every size.
+    members = freeze(keys.join(multi.select("key", "hub").hint("merge"), "key").select("key", "node", "hub"))
     named = members.groupBy("node").agg(F.min("hub").alias("hub")).join(
         classes.select("node", "set_lo", "n_shingles"), "node"
     )
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         )
     )
     own = placed.select(F.col("node").alias("doc_id"), "set_lo", "block")
-    sets = source.join(own, "doc_id").select("doc_id", "text", "set_lo", "block").mapInArrow(
+    sets = source.join(own.hint("merge"), "doc_id").select("doc_id", "text", "set_lo", "block").mapInArrow(
         _sets, "block string, node long, elements binary"
     )
     blocks = freeze(sets.groupBy("block").agg(F.collect_list(F.struct("node", "elements")).alias("rows")))
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     final = classes.drop("groups").join(named.withColumnRenamed("component", "low"), "node", "left").select(
         *same, F.coalesce("low", "node").alias("component")
     )
-    joined = info.drop("groups").join(final, same, "left")
+    joined = info.drop("groups").join(final.hint("merge"), same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"),
