@@ -47,7 +47,32 @@ def op7(spark, sf_dir):
     )
 
 
-@query("op8_line_dedup")
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+), k AS (SELECT * FROM l WHERE length(line) >= 20),
+u AS (SELECT line, min((doc_id, pos)) AS first, count(*) AS n, length(line) AS len FROM k GROUP BY line),
+near AS (
+  SELECT DISTINCT b.line FROM u a JOIN u b ON b.len BETWEEN a.len - 1 AND a.len + 1 AND a.first < b.first
+  WHERE (left(a.line, least(a.len, b.len) // 2) = left(b.line, least(a.len, b.len) // 2)
+      OR right(a.line, least(a.len, b.len) - least(a.len, b.len) // 2) = right(b.line, least(a.len, b.len) - least(a.len, b.len) // 2))
+    AND levenshtein(a.line, b.line) <= 1
+), gone AS (
+  SELECT k.doc_id, k.pos FROM k JOIN u USING (line) LEFT JOIN near USING (line)
+  WHERE near.line IS NOT NULL OR (k.doc_id, k.pos) <> u.first
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN k.doc_id IS NULL THEN d.text ELSE k.text END AS text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op8_line_dedup", OP8_SQL)
 def op8(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
 

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from ..session import freeze
 from . import tokens
 
-BITS = 18
+BITS = 20
 SHARDS = 4
-ROUNDS = 8
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 0.1
+ROUNDS = 6
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
 #: Most labelled rows that training reads.
 MAX_ROWS = 16_000
 #: Hash place of the constant feature.
