@@ -37,7 +37,8 @@ def base_name(path: Column) -> Column:
 
 def dir_name(path: Column) -> Column:
     """Everything before the last slash; ``/`` for a name under the root, empty without a slash."""
-    return F.regexp_extract(path, r"(?s)^(/(?=[^/]*$)|.*(?=/[^/]*$))", 1)
+    before = F.length(path) - F.length(base_name(path)) - 1
+    return F.when(before < 0, "").when(before == 0, "/").otherwise(F.left(path, before))
 
 
 def dotted_ext(name: Column) -> Column:
@@ -147,17 +148,6 @@ def stamp_ms(stamp: Column) -> Column:
     return number(1) * 3600000 + number(4) * 60000 + number(7) * 1000 + number(10) * 10
 
 
-def ms_stamp(ms: Column) -> Column:
-    """Inverse of :func:`stamp_ms`, centiseconds cut off."""
-    cs = F.floor(ms / 10)
-    return F.format_string(
-        "%02d:%02d:%02d.%02d",
-        F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100,
-    )
-
-
-# --- keys -------------------------------------------------------------------
-
 def cache_key(text: Column, model: Column, version: Column, *extra: Column) -> Column:
     """MD5 of ``text|model|version``; NULL counts as empty. ``extra`` widens the key."""
     parts = [or_empty(c.cast("string")) for c in (text, model, version, *extra)]

@@ -16,11 +16,27 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.scan import segmented_runs, segmented_scan
 
-# Marks between parsed lines: three Unicode noncharacters, which text does not contain.
-BLANK, TIME, WORDS = "\ufdd0", "\ufdd1", "\ufdd2"
+# Marks between parsed lines, and the character that stands before an escaped one of the four.
+BLANK, TIME, WORDS, ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_ESCAPES = {ESCAPE: "e", BLANK: "b", TIME: "t", WORDS: "w"}
 _STAMP_LEN, _LINE_LEN = 11, 9
 
 
+def _escaped(text: Column) -> Column:
+    """Text without marks: those it contains become two characters each."""
+    out = text
+    for mark, letter in _ESCAPES.items():
+        out = F.replace(out, F.lit(mark), F.lit(ESCAPE + letter))
+    return F.when(text.rlike("[" + "".join(_ESCAPES) + "]"), out).otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    out = text
+    for mark, letter in reversed(_ESCAPES.items()):
+        out = F.replace(out, F.lit(ESCAPE + letter), F.lit(mark))
+    return F.when(F.contains(text, F.lit(ESCAPE)), out).otherwise(text)
+
+
 def lines_of(text: Column) -> Column:
     """Trimmed lines of a text; any of the three line ends."""
     one_end = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -89,7 +105,7 @@ def _block_cues(text: Column, dot: str, skip) -> Column:
             .otherwise(F.concat(F.lit(WORDS), s["line"]))
         )
 
-    marked = F.array_join(F.transform(_stamped_lines(text, stamp), piece), "")
+    marked = F.array_join(F.transform(_stamped_lines(_escaped(text), stamp), piece), "")
     found = F.regexp_extract_all(marked, F.lit(f"{TIME}[^{WORDS}]*{WORDS}[^{BLANK}]*"), 0)
 
     def cue(match: Column) -> Column:
@@ -99,7 +115,7 @@ def _block_cues(text: Column, dot: str, skip) -> Column:
             F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, TIME, 1)
         )
         clock = F.translate(F.substring(head, 1, _STAMP_LEN), ",", ".")
-        return _cue(F.substring(head, _STAMP_LEN + 1, _LINE_LEN), clock, F.array_join(words, " "))
+        return _cue(F.substring(head, _STAMP_LEN + 1, _LINE_LEN), clock, _unescaped(F.array_join(words, " ")))
 
     return F.transform(found, cue)
 
@@ -185,40 +201,33 @@ def merge_close_segments(
     """Join neighbouring segments (source_id, seg_no, start_ms, end_ms, text) with a small gap.
 
     Segments of a source are ordered and do not overlap. A gap above ``max_gap_ms`` always cuts. With a
-    length cap the rule is greedy: a merged segment grows until the next part would make it too long.
-    ``max_duration_ms=None`` drops the cap, and then the text, which would be of any length.
+    length cap the rule is greedy: a merged segment grows until the next part would make it too long;
+    ``max_duration_ms=None`` drops the cap. Texts are joined in order either way, so without a cap one row
+    holds the text of a whole stretch without gaps.
 
     The greedy rule runs over chunks of rows, not whole sources. What a chunk does depends only on the
     start of the merged segment still open when it begins, and only a few starts lead to different ends;
-    so each chunk of a long source first reports its end for each of them (:func:`_chunk_exits`), the
-    reports of a source are chained (:func:`_chain_exits`), and every chunk then merges on its own, row by
-    row in order (:func:`_merge_in_order`).
+    so each chunk first reports its end for each of them (:func:`_chunk_exits`), the reports of a source are
+    chained (:func:`_chain_exits`), and every chunk then finds its heads on its own (:func:`_chunk_heads`).
+    Only times go through Python; texts stay where they are and meet their heads by row number.
     """
     chunk = F.floor(F.col("start_ms") / window_ms)
     order = ["start_ms", "seg_no"]
     if max_duration_ms is None:
-        runs = segmented_runs(
-            segments, ["source_id"], order, chunk, "start_ms", "end_ms", lambda gap: gap > max_gap_ms, "_run"
+        headed = segmented_runs(
+            segments, ["source_id"], order, chunk, "start_ms", "end_ms", lambda gap: gap > max_gap_ms, "_head"
         )
-        return runs.groupBy("source_id", "_run").agg(
-            F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
-            F.count(F.lit(1)).alias("n_parts"),
-        ).drop("_run")
+        return _joined_texts(headed, order)
 
-    scanned = segmented_scan(
-        segments, ["source_id"], order, chunk, rank="_n", size="_size", lags={"_prev_end": "end_ms"}
-    )
+    scanned = segmented_scan(segments, ["source_id"], order, chunk, rank="_n", lags={"_prev_end": "end_ms"})
     cut = F.col("_prev_end").isNull() | (F.col("start_ms") - F.col("_prev_end") > max_gap_ms)
     rows = scanned.select(
-        "source_id", "seg_no", F.col("start_ms").cast("long").alias("start_ms"),
-        F.col("end_ms").cast("long").alias("end_ms"), "text", "_n", "_size", cut.alias("_cut"),
-        F.floor((F.col("_n") - 1) / chunk_rows).alias("_chunk"),
+        "source_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"),
+        "text", "_n", cut.alias("_cut"), F.floor((F.col("_n") - 1) / chunk_rows).alias("_chunk"),
     )
     id_type = segments.schema["source_id"].dataType.simpleString()
-    long_rows = rows.filter(F.col("_size") > chunk_rows)
-    exits = long_rows.select("source_id", "_chunk", "_n", "start_ms", "end_ms", "_cut").groupBy(
-        "source_id", "_chunk"
-    ).applyInPandas(
+    times = rows.select("source_id", "_chunk", "_n", "start_ms", "end_ms", "_cut")
+    exits = times.groupBy("source_id", "_chunk").applyInPandas(
         lambda pdf: _chunk_exits(pdf, max_duration_ms),
         f"source_id {id_type}, _chunk long, _limits array<long>, _exit_n array<long>, _exit_start array<long>",
     )
@@ -226,16 +235,16 @@ def merge_close_segments(
         lambda batches: _chain_exits(batches, max_duration_ms),
         f"source_id {id_type}, _chunk long, _open_n long, _open_start long",
     )
-    entered = rows.join(entries, ["source_id", "_chunk"], "left").select(
-        "source_id", "_chunk", "_n", "start_ms", "end_ms", "text", "_cut",
-        *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("_open_n", "_open_start")],
-    )
-    sorted_rows = entered.repartition("source_id", "_chunk").sortWithinPartitions("source_id", "_chunk", "_n")
-    headed = sorted_rows.mapInPandas(
-        lambda batches: _merge_in_order(batches, max_duration_ms, chunk_rows),
-        f"source_id {id_type}, _n long, start_ms long, end_ms long, text string, _head long",
+    heads = times.join(entries, ["source_id", "_chunk"]).groupBy("source_id", "_chunk").applyInPandas(
+        lambda pdf: _chunk_heads(pdf, max_duration_ms), f"source_id {id_type}, _n long, _head long"
     )
-    words = F.array_sort(F.collect_list(F.struct("_n", "text")))
+    headed = rows.select("source_id", "_n", "start_ms", "end_ms", "text").join(heads, ["source_id", "_n"])
+    return _joined_texts(headed, ["_n"])
+
+
+def _joined_texts(headed: DataFrame, order: list[str]) -> DataFrame:
+    """One row per source and head: bounds, parts, and the texts in order."""
+    words = F.array_sort(F.collect_list(F.struct(*order, "text")))
     return headed.groupBy("source_id", "_head").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
@@ -297,23 +306,19 @@ def _chain_exits(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataF
         yield pd.DataFrame(out, columns=["source_id", "_chunk", "_open_n", "_open_start"])
 
 
-def _merge_in_order(batches: Iterator[pd.DataFrame], cap: int, chunk_rows: int) -> Iterator[pd.DataFrame]:
-    """Number of the row each row is merged into, over sorted rows; only the open segment is remembered."""
-    head, opened = 0, 0
-    for pdf in batches:
-        heads = []
-        for n, start, end, cut, open_n, open_start in zip(
-            pdf["_n"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["_cut"].tolist(),
-            pdf["_open_n"].tolist(), pdf["_open_start"].tolist(),
-        ):
-            if (n - 1) % chunk_rows == 0 and open_n >= 0:
-                head, opened = open_n, open_start
-            if cut or end - opened > cap:
-                head, opened = n, start
-            heads.append(head)
-        out = pdf[["source_id", "_n", "start_ms", "end_ms", "text"]].copy()
-        out["_head"] = heads
-        yield out
+def _chunk_heads(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """Number of the row each row of a chunk is merged into, given the segment open at its beginning."""
+    pdf = pdf.sort_values("_n")
+    starts, ends = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()
+    cut, numbers = pdf["_cut"].to_numpy(dtype=bool), pdf["_n"].to_numpy()
+    following = _next_heads(starts, ends, cut, cap)
+    open_n = int(pdf["_open_n"].iloc[0])
+    head = 0 if open_n < 0 else _entry_row(ends, cut, int(pdf["_open_start"].iloc[0]), cap)
+    heads = np.full(len(starts), open_n, np.int64)
+    while head < len(starts):
+        heads[head:following[head]] = numbers[head]
+        head = int(following[head])
+    return pd.DataFrame({"source_id": pdf["source_id"].to_numpy(), "_n": numbers, "_head": heads})
 
 
 def threshold_segments(

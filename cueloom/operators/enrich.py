@@ -8,21 +8,29 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as CallTimeout
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.scan import segmented_scan
+from ..functions.scan import global_rank, segmented_scan
 from ..session import freeze
-from .reuse import distinct_work, merge_results, upsert_cache
+from .reuse import count_reuse, distinct_work, live_entries, merge_results, upsert_cache
 
-Compute = Callable[[Sequence[str], str], Sequence[str]]
-"""(texts, model) -> one result path per text, in order; may return fewer, or raise."""
+Compute = Callable[[Sequence[str], str, str], Sequence[str | Exception | None]]
+"""(texts, model, endpoint) -> one result path per text, in order; may return fewer, or raise.
+
+``None`` or an exception in place of a path is the failure of that text alone. ``endpoint`` is the name the work was
+spread to, empty without endpoints."""
+
+#: Seconds an attempt for one text may take, and a call for many.
+SINGLE_LIMIT_S, BULK_LIMIT_S = 15.0, 300.0
 
 RESULT_SCHEMA = (
-    "cache_key string, text string, model string, result_path string, ok boolean, message string, "
+    "cache_key string, text string, model string, endpoint string, result_path string, ok boolean, message string, "
     "attempts int"
 )
 
@@ -63,25 +71,67 @@ def spread_over_endpoints(work: DataFrame, n_endpoints: Column | int, key: str =
     return work.withColumn("slot", F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long"), n))
 
 
+def assign_endpoints(work: DataFrame, endpoints: DataFrame, key: str = "cache_key") -> DataFrame:
+    """K4: work with the ``endpoint`` (name) its key is spread to, of ``endpoints(pos, name)`` in order of ``pos``.
+
+    A list of endpoints is a configuration: it is numbered and broadcast. Without any the endpoint is empty.
+    """
+    names = [r["name"] for r in endpoints.orderBy("pos").select("name").collect()]
+    if not names:
+        return work.withColumn("endpoint", F.lit(""))
+    listed = F.array(*[F.lit(n) for n in names])
+    return spread_over_endpoints(work, len(names), key).withColumn(
+        "endpoint", F.get(listed, F.col("slot").cast("int"))
+    ).drop("slot")
+
+
 def number_micro_batches(
-    work: DataFrame, order: Sequence[str], chunk: Column, size: int = 20, keys: Sequence[str] = ()
+    work: DataFrame, order: Sequence[str], chunk: Column | None, size: int = 20, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """``batch_no`` of consecutive groups of at most ``size`` rows per key, in order."""
+    """``batch_no`` of consecutive groups of at most ``size`` rows per key, in order.
+
+    Without keys the numbers run over the whole table: they come from one sort by range, so no task sees a row, or a
+    chunk, of every other task.
+    """
+    if not keys:
+        return global_rank(work, list(order), "_rn").withColumn("batch_no", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
     ranked = segmented_scan(work, list(keys), list(order), chunk, rank="_rn")
     return ranked.withColumn("batch_no", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
 
 
 # --- calls ------------------------------------------------------------------
 
-def call_one(compute: Compute, text: str, model: str, max_tries: int, pause_s: float):
-    """K3: up to ``max_tries`` attempts with a pause; the last error is reported."""
+def _within(compute: Compute, texts: Sequence[str], model: str, endpoint: str, limit_s: float | None) -> list:
+    """The answer of one call; a call that takes longer than ``limit_s`` counts as lost."""
+    if not limit_s:
+        return list(compute(texts, model, endpoint))
+    # The pool is not waited for, so a hanging call keeps its thread but not the task.
+    pool = ThreadPoolExecutor(1)
+    try:
+        return list(pool.submit(compute, texts, model, endpoint).result(limit_s))
+    except CallTimeout:
+        raise ConnectionError(f"no answer in {limit_s:g} s") from None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def _failure(got) -> str | None:
+    """Why one entry of an answer is no result, or None."""
+    return K.MSG_NO_RESULT if got is None else str(got) if isinstance(got, Exception) else None
+
+
+def call_one(
+    compute: Compute, text: str, model: str, max_tries: int, pause_s: float, endpoint: str = "",
+    limit_s: float | None = SINGLE_LIMIT_S,
+):
+    """K3: up to ``max_tries`` attempts of ``limit_s`` seconds with a pause; the last error is reported."""
     error = ""
     for attempt in range(1, max_tries + 1):
         try:
-            got = list(compute([text], model))
-            if got:
+            got = _within(compute, [text], model, endpoint, limit_s)
+            error = _failure(got[0]) if got else K.MSG_NO_RESULT
+            if error is None:
                 return got[0], True, K.MSG_DONE, attempt
-            error = K.MSG_NO_RESULT
         except Exception as exc:  # noqa: BLE001 - any failure of a call is a row
             error = str(exc)
         if attempt < max_tries:
@@ -90,22 +140,30 @@ def call_one(compute: Compute, text: str, model: str, max_tries: int, pause_s: f
 
 
 def call_batch(
-    compute: Compute, texts: Sequence[str], model: str, max_tries: int, pause_s: float, fallback: str
+    compute: Compute, texts: Sequence[str], model: str, max_tries: int, pause_s: float, fallback: str,
+    endpoint: str = "", limit_s: float | None = SINGLE_LIMIT_S, bulk_limit_s: float | None = BULK_LIMIT_S,
 ):
     """K2: one call for many texts: (path, ok, message, attempts) per text.
 
-    Texts beyond a short answer fail. An answer without results or a lost connection falls back to one
-    call per text; with ``fallback='any'`` every error does, otherwise other errors fail the batch.
+    Texts beyond a short answer fail, and so does a text whose entry is None or an exception. An answer without
+    results or a lost connection falls back to one call per text; with ``fallback='any'`` every error does, otherwise
+    other errors fail the batch.
     """
+    def singly():
+        return [call_one(compute, t, model, max_tries, pause_s, endpoint, limit_s) for t in texts]
+
     if len(texts) == 1:
-        return [call_one(compute, texts[0], model, max_tries, pause_s)]
+        return singly()
     try:
-        got = list(compute(texts, model))
+        got = _within(compute, texts, model, endpoint, bulk_limit_s)
     except Exception as exc:  # noqa: BLE001
         if fallback == "any" or isinstance(exc, (NoResult, ConnectionError)):
-            return [call_one(compute, t, model, max_tries, pause_s) for t in texts]
+            return singly()
         return [(None, False, str(exc), 1) for _ in texts]
-    done = [(p, True, K.MSG_BULK_DONE, 1) for p in got[: len(texts)]]
+    done = []
+    for one in got[: len(texts)]:
+        error = _failure(one)
+        done.append((one, True, K.MSG_BULK_DONE, 1) if error is None else (None, False, error, 1))
     return done + [(None, False, K.MSG_NO_RESULT, 1)] * (len(texts) - len(done))
 
 
@@ -117,20 +175,28 @@ def enrich(
     pause_s: float = 1.0,
     parallelism: int | None = None,
     fallback: str = "any",
+    endpoints: DataFrame | None = None,
+    limit_s: float | None = SINGLE_LIMIT_S,
+    bulk_limit_s: float | None = BULK_LIMIT_S,
 ) -> DataFrame:
-    """K1-K3, K5: compute (cache_key, text, model) rows in batches of one model.
+    """K1-K5: compute (cache_key, text, model) rows in batches of one model and endpoint.
 
     ``parallelism`` caps how many calls run at once over the whole job: it is the partition count of this
-    stage. Rows are spread by key hash, so a model with most of the work still fills every partition.
+    stage. Rows are spread by key hash, so a model with most of the work still fills every partition. With
+    ``endpoints`` (pos, name, status; see :func:`available_endpoints`) each row is called at the one its key is
+    spread to.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             order, answers = [], []
-            for model, part in pdf.groupby("model", sort=False, dropna=False):
+            for (model, endpoint), part in pdf.groupby(["model", "endpoint"], sort=False, dropna=False):
                 texts = part["text"].tolist()
                 for at in range(0, len(texts), batch_size):
-                    answers += call_batch(compute, texts[at: at + batch_size], model, max_tries, pause_s, fallback)
+                    answers += call_batch(
+                        compute, texts[at: at + batch_size], model, max_tries, pause_s, fallback, endpoint, limit_s,
+                        bulk_limit_s,
+                    )
                 order.append(part)
             if not order:
                 continue
@@ -139,32 +205,37 @@ def enrich(
             yield out
 
     rows = work.select("cache_key", "text", "model")
+    rows = rows.withColumn("endpoint", F.lit("")) if endpoints is None else assign_endpoints(rows, endpoints)
     if parallelism:
         rows = rows.repartition(parallelism, "cache_key")
     return rows.mapInPandas(run, RESULT_SCHEMA)
 
 
-def to_cache_rows(results: DataFrame, created_at: Column, endpoint: str = "", batch_no: int = 0) -> DataFrame:
-    """Successful results as new cache rows."""
+def to_cache_rows(results: DataFrame, created_at: Column, batch_no: int = 0) -> DataFrame:
+    """Successful results as new cache rows, with the endpoint that made them."""
     return results.filter("ok").select(
-        "cache_key", "text", "result_path", "model", F.lit(endpoint).alias("endpoint"),
+        "cache_key", "text", "result_path", "model", "endpoint",
         created_at.alias("created_at"), F.lit(None).cast("long").alias("file_size"),
         F.lit(batch_no).alias("batch_no"),
     )
 
 
 def cached_enrichment(
-    requests: DataFrame, cache: DataFrame, compute: Compute, created_at: Column, **options
+    requests: DataFrame, cache: DataFrame, compute: Compute, created_at: Column, files: DataFrame | None = None,
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """K1: (requests with outcome, new cache).
 
-    Distinct contents are taken before the cache lookup (K6), so a content requested many times is looked
-    up and computed once. The computed rows are written to the shared folder before anything uses them, so
-    no call is made twice for the two results.
+    A cache row counts only if its file is in ``files`` (path); without ``files`` all rows count. Distinct contents are
+    taken before the cache lookup (K6), so a content requested many times is looked up and computed once. The computed
+    rows are written to the shared folder before anything uses them, so no call is made twice for the two results.
+    The new cache has no rows whose file is gone, one more use for every request that a kept row answers, and the
+    computed rows with a use count of 1.
     """
-    fresh = freeze(fresh_results(requests, cache, compute, **options))
-    outcome = merge_results(requests, cache, fresh)
-    return outcome, upsert_cache(cache, to_cache_rows(fresh, created_at))
+    usable = cache if files is None else live_entries(cache, files)
+    fresh = freeze(fresh_results(requests, usable, compute, **options))
+    outcome = merge_results(requests, usable, fresh)
+    return outcome, upsert_cache(count_reuse(usable, requests), to_cache_rows(fresh, created_at))
 
 
 def fresh_results(requests: DataFrame, cache: DataFrame, compute: Compute, **options) -> DataFrame:

@@ -121,7 +121,10 @@ def group_rollup(tasks: DataFrame, groups: DataFrame | None = None) -> DataFrame
 
 
 def group_step_status(tasks: DataFrame) -> DataFrame:
-    """status per group and step: running > failed > all done or skipped > pending."""
+    """status per group and step: running > failed > all done or skipped > pending.
+
+    Tasks without a group are in none.
+    """
     aggs = []
     for s in K.STEPS:
         aggs.append(
@@ -131,14 +134,14 @@ def group_step_status(tasks: DataFrame) -> DataFrame:
             .otherwise(K.PENDING)
             .alias(f"step{s}")
         )
-    wide = tasks.groupBy("group_id").agg(*aggs)
+    wide = tasks.filter(F.col("group_id") != "").groupBy("group_id").agg(*aggs)
     pairs = [F.struct(F.lit(s).alias("step"), F.col(f"step{s}").alias("status")) for s in K.STEPS]
     return wide.select("group_id", F.explode(F.array(*pairs)).alias("_s")).select("group_id", "_s.*")
 
 
 def progress_levels(tasks: DataFrame) -> DataFrame:
-    """F3, F4 as one table: a row per task, per group (task NULL) and for all (both NULL)."""
-    return tasks.rollup("group_id", "task_id").agg(
+    """F3, F4 as one table: a row per task, per group (task NULL) and for all (both NULL); tasks without a group are left out."""
+    return tasks.filter(F.col("group_id") != "").rollup("group_id", "task_id").agg(
         F.count(F.lit(1)).alias("n_tasks"), F.avg(task_progress()).alias("progress")
     )
 

@@ -200,14 +200,16 @@ def interpolate_envelope(
 def energy_rises(
     frames: DataFrame, keys: Sequence[str], frame_len: int = ONSET_FRAME, hop: int = ONSET_HOP
 ) -> DataFrame:
-    """Short-time RMS and its rise to the next frame, kept at the earlier frame; never negative."""
+    """Short-time RMS and its rise to the next frame, kept at the earlier frame; never negative.
+
+    The last frame has no rise.
+    """
     rms = sliding_mean_square(frames, keys, frame_len, hop).select(
         *keys, "hop_no", F.sqrt("mean_square").alias("rms")
     )
     pairs = neighbours(rms, keys, "hop_no", ["rms"])
-    return pairs.select(
-        *keys, "hop_no", "rms", F.greatest(F.col("rms_1") - F.col("rms"), F.lit(0.0)).alias("rise")
-    )
+    rise = F.when(F.col("rms_1").isNotNull(), F.greatest(F.col("rms_1") - F.col("rms"), F.lit(0.0)))
+    return pairs.select(*keys, "hop_no", "rms", rise.alias("rise"))
 
 
 def neighbour_bounds(cues: DataFrame, durations: DataFrame, key: str = "signal_id") -> DataFrame:

@@ -155,16 +155,18 @@ _RUNS = """
                        <= {gap} THEN 0 ELSE 1 END AS cut FROM segments)"""
 
 
-@query("c9_merge_by_gap", "source_id:s start_ms:l end_ms:l n_parts:l", with_tables("", """
-    SELECT source_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_parts
+@query("c9_merge_by_gap", "source_id:s start_ms:l end_ms:l n_parts:l text:s", with_tables("", """
+    SELECT source_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_parts,
+           string_agg(text, ' ' ORDER BY start_ms, seg_no) AS text
     FROM runs GROUP BY source_id, run""", segments=_SEGMENTS, runs=_RUNS.format(gap=_GAP_MS)))
 def c9_gap(t):
     return cu.merge_close_segments(_segments(t), _GAP_MS, None)
 
 
 # The greedy rule as a recursion: each merged segment starts where the one before had to stop.
-@query("c9_merge_with_cap", "source_id:s start_ms:l end_ms:l n_parts:l", with_tables("", """
-    SELECT w.source_id, min(s.start_ms) AS start_ms, max(s.end_ms) AS end_ms, count(*) AS n_parts
+@query("c9_merge_with_cap", "source_id:s start_ms:l end_ms:l n_parts:l text:s", with_tables("", """
+    SELECT w.source_id, min(s.start_ms) AS start_ms, max(s.end_ms) AS end_ms, count(*) AS n_parts,
+           string_agg(s.text, ' ' ORDER BY s.start_ms, s.seg_no) AS text
     FROM walk w JOIN numbered s USING (source_id, run, n) GROUP BY w.source_id, w.run, w.part""",
     segments=_SEGMENTS, runs=_RUNS.format(gap=_GAP_MS),
     numbered="SELECT *, row_number() OVER (PARTITION BY source_id, run ORDER BY start_ms, seg_no) AS n FROM runs",

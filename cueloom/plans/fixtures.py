@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.scan import segmented_scan
-from ..sources.tables import spread_rows
 
 LINE_CS = 237
 EVENT_RATE = 100
@@ -76,7 +75,7 @@ def render(doc_id: Column, text: Column, fmt: str) -> Column:
 
 def sources(t: Tables, fmt: str) -> DataFrame:
     """Every document as a file of one format."""
-    return spread_rows(t.documents).select(
+    return t.documents.select(
         F.col("doc_id").cast("string").alias("source_id"),
         F.lit(fmt).alias("format"),
         render(F.col("doc_id"), F.col("text"), fmt).alias("text"),
@@ -92,7 +91,7 @@ def mixed_sources(t: Tables) -> DataFrame:
     text = F.lit(None).cast("string")
     for name in K.CUE_FORMATS:
         text = F.when(fmt == name, render(F.col("doc_id"), F.col("text"), name)).otherwise(text)
-    return spread_rows(t.documents).select(
+    return t.documents.select(
         F.col("doc_id").cast("string").alias("source_id"), fmt.alias("format"), text.alias("text"),
         F.lit("0").alias("source_version"),
     )
@@ -102,7 +101,7 @@ def line_requests(t: Tables) -> DataFrame:
     """Lines of all documents as requests: place, text, model (language), key."""
     from ..operators.cues import parse_plain
 
-    docs = spread_rows(t.documents).select(
+    docs = t.documents.select(
         F.col("doc_id").cast("string").alias("source_id"), "doc_id", "text", "lang", "source",
         F.lit("0").alias("source_version"),
     )
@@ -175,8 +174,8 @@ def cache_files(t: Tables) -> DataFrame:
 def step_events(t: Tables) -> DataFrame:
     code = F.concat("l_returnflag", "l_linestatus")
     pairs = [F.lit(v) for kv in STEP_STATES.items() for v in kv]
-    return t.lineitem.filter(F.col("l_linenumber") <= 3).select(
-        F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("step"),
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("task_id"), ((F.col("l_linenumber") - 1) % 3 + 1).cast("int").alias("step"),
         F.element_at(F.create_map(*pairs), code).alias("status"),
         F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"),
     )

@@ -29,10 +29,20 @@ def j1(t):
     return t.spark.read.schema("trigger_no long, batch_no long, n long, first long").parquet(f"{out}/*")
 
 
-# One trigger reads the whole table, so the first report kept is one per task and step.
-@query("j2_first_reports", "task_id:s step:l", with_tables("job_events", "SELECT DISTINCT task_id, step FROM job_events"))
+def _cut_stream(t, files: int = 6):
+    """The events as a stream of several files, two in each trigger; the files are cut across the order of time."""
+    folder = fresh_dir(t.spark, "events")
+    t.events.repartition(files, F.pmod(F.col("event_id"), F.lit(files))).write.parquet(folder)
+    raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return fx.event_rows(raw)
+
+
+@query("j2_first_reports", "task_id:s step:l ok:b msg:s", with_tables("job_events", """
+    SELECT task_id, step, arg_min(ok, (ts, event_id)) AS ok, arg_min(msg, (ts, event_id)) AS msg
+    FROM job_events GROUP BY 1, 2"""))
 def j2(t):
-    return lv.to_table(lv.first_reports(fx.event_stream(t), "60 days")).select("task_id", "step")
+    updates = lv.to_table(lv.first_reports(_cut_stream(t)), "update")
+    return lv.latest_update(updates, "task_id", "step")
 
 
 @query("j3_stage_hand_off", "task_id:s action:s event_id:l", with_tables("job_events", """
@@ -48,18 +58,41 @@ def j4(t):
     return lv.latest_update(lv.to_table(lv.step_progress(fx.event_stream(t)), "update"), "step")
 
 
-@query("j5_live_rollup", "task_id:s status:s progress:d", with_tables("job_events", """
-    SELECT task_id, CASE WHEN s3 = 'done' THEN 'done' WHEN 'failed' IN (s1, s2, s3) THEN 'failed' ELSE 'pending' END AS status,
-           (CAST(s1 = 'done' AS INTEGER) + CAST(s2 = 'done' AS INTEGER) + CAST(s3 = 'done' AS INTEGER)) / 3.0 AS progress
-    FROM (SELECT task_id, coalesce(max(CASE WHEN step = 1 THEN s END), 'pending') AS s1,
-                 coalesce(max(CASE WHEN step = 2 THEN s END), 'pending') AS s2,
-                 coalesce(max(CASE WHEN step = 3 THEN s END), 'pending') AS s3
-          FROM (SELECT task_id, step, CASE WHEN arg_max(ok, (ts, event_id)) THEN 'done' ELSE 'failed' END AS s
-                FROM job_events GROUP BY 1, 2) GROUP BY 1)"""))
+_LIVE = """
+    SELECT task_id, CASE WHEN CAST(task_id AS BIGINT) % 9 = 0 THEN '' ELSE 'g' || (CAST(task_id AS BIGINT) % 9) END AS group_id,
+           coalesce(max(CASE WHEN step = 1 THEN s END), 'pending') AS s1, coalesce(max(CASE WHEN step = 2 THEN s END), 'pending') AS s2,
+           coalesce(max(CASE WHEN step = 3 THEN s END), 'pending') AS s3
+    FROM (SELECT task_id, step, CASE WHEN arg_max(ok, (ts, event_id)) THEN 'done' ELSE 'failed' END AS s
+          FROM job_events GROUP BY 1, 2) GROUP BY 1"""
+_PART = "(CAST(s1 = 'done' AS INTEGER) + CAST(s2 = 'done' AS INTEGER) + CAST(s3 = 'done' AS INTEGER)) / 3.0"
+
+
+# The last update of every task and of every group; each trigger reports what it changed.
+@query("j5_live_rollup", "kind:s id:s status:s progress:d", with_tables("job_events", f"""
+    SELECT 'task' AS kind, task_id AS id,
+           CASE WHEN s3 = 'done' THEN 'done' WHEN 'failed' IN (s1, s2, s3) THEN 'failed' ELSE 'pending' END AS status,
+           {_PART} AS progress FROM live
+    UNION ALL
+    SELECT 'group', group_id, CASE WHEN bool_and(s3 = 'done') THEN 'done' WHEN bool_or('failed' IN (s1, s2, s3)) THEN 'failed'
+           ELSE 'pending' END, avg({_PART}) FROM live WHERE group_id <> '' GROUP BY group_id""", live=_LIVE))
 def j5(t):
-    updates = lv.to_table(lv.latest_status(fx.event_stream(t)), "update")
-    wide = lv.widen_status(lv.latest_update(updates, "task_id", "step"))
-    return wide.withColumn("status", jb.task_status()).withColumn("progress", jb.task_progress())
+    number = F.col("task_id").cast("long") % 9
+    groups = fx.job_events(t).select("task_id").distinct().filter(number != 0).withColumn(
+        "group_id", F.concat(F.lit("g"), number.cast("string"))
+    )
+    out = fresh_dir(t.spark, "rollup-out")
+
+    def keep(tasks, rolled, trigger):
+        rows = tasks.select(F.lit("task").alias("kind"), F.col("task_id").alias("id"), jb.task_status().alias("status"),
+                            jb.task_progress().alias("progress"))
+        both = rows.union(rolled.select(F.lit("group"), "group_id", "status", "progress"))
+        both.write.mode("overwrite").parquet(f"{out}/batch_id={trigger}")
+
+    lv.live_rollup(_cut_stream(t), groups, keep)
+    updates = t.spark.read.schema("kind string, id string, status string, progress double, batch_id long").option(
+        "basePath", out
+    ).parquet(out)
+    return lv.latest_update(updates, "kind", "id")
 
 
 @query("j6_severity_counts", "window_start:s severity:s n:l", with_tables("job_events", """

@@ -53,12 +53,12 @@ CTES = {
     "files": """
         SELECT result_path AS path FROM cache WHERE substr(cache_key, 1, 1) NOT IN ('0', '1')""",
     "step_events": """
-        SELECT l_orderkey AS task_id, l_linenumber AS step,
+        SELECT l_orderkey AS task_id, (l_linenumber - 1) % 3 + 1 AS step,
                CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'done' WHEN 'AO' THEN 'running'
                     WHEN 'RF' THEN 'failed' WHEN 'RO' THEN 'pending' WHEN 'NF' THEN 'skipped' ELSE 'done' END AS status,
-               row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+               row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) % 3
                    ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS newest
-        FROM lineitem WHERE l_linenumber <= 3""",
+        FROM lineitem""",
     "wide": """
         SELECT task_id, max(CASE WHEN step = 1 THEN status END) AS s1, max(CASE WHEN step = 2 THEN status END) AS s2,
                max(CASE WHEN step = 3 THEN status END) AS s3

@@ -96,8 +96,9 @@ def g2(t):
 
 
 _RISES = """
-    SELECT signal_id, hop_no, rms, greatest(lead(rms) OVER (PARTITION BY signal_id ORDER BY hop_no) - rms, 0) AS rise
-    FROM (SELECT signal_id, hop_no, sqrt(ms) AS rms FROM hops)"""
+    SELECT signal_id, hop_no, rms, CASE WHEN after IS NOT NULL THEN greatest(after - rms, 0) END AS rise
+    FROM (SELECT *, lead(rms) OVER (PARTITION BY signal_id ORDER BY hop_no) AS after
+          FROM (SELECT signal_id, hop_no, sqrt(ms) AS rms FROM hops))"""
 
 
 @query("g3_energy_rises", "signal_id:s hop_no:l rms:d rise:d",
@@ -201,14 +202,15 @@ def h6(t):
     return near.groupBy(moved.alias("moved")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Left channels that swell, so the sound starts some way in.
-_SWELL = "SELECT signal_id, frame_no, value * pow(block_no, 4) / 1e5 AS value FROM samples WHERE channel = 0"
+# Channels that swell, so the sound starts some way in; each is a clip.
+_SWELL = "SELECT signal_id || '/' || channel AS signal_id, frame_no, value * pow(block_no, 4) / 1e5 AS value FROM samples"
 
 
 def _swell(t):
-    left = sg.pieces_of(fx.blocks(t), BLOCK).filter(F.col("channel") == 0)
-    grown = left.withColumn("samples", F.transform("samples", lambda x: x * F.pow("block_no", F.lit(4)) / 1e5))
-    return grown.select("signal_id", "at", "samples")
+    grown = sg.pieces_of(fx.blocks(t), BLOCK).withColumn(
+        "samples", F.transform("samples", lambda x: x * F.pow("block_no", F.lit(4)) / 1e5)
+    )
+    return grown.select(F.concat_ws("/", "signal_id", "channel").alias("signal_id"), "at", "samples")
 
 
 @query("g5_clip_onsets", "signal_id:s onset_ms:d", with_tables("samples", """

@@ -32,14 +32,22 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is set (a local test) a temporary folder is made and remembered.
+    On a local master without the setting a temporary folder is made and remembered. On a cluster that folder would
+    be a different one on every machine, so there a missing setting is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not is_local(sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {sc.master} share")
         base = tempfile.mkdtemp(prefix="cueloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc.getCheckpointDir() is None:

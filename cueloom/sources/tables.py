@@ -42,15 +42,6 @@ def read_task_snapshot(spark: SparkSession, path: str, fmt: str = "json") -> Dat
     return raw.select(*filled)
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Spread a table that has fewer splits than there are cores, before heavy work on each row.
-
-    A table with more splits than cores, as any large one, is left as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def output_dir(
     src: Column, from_folder: Column, custom_dir: str = "", folder_prefix: bool = False
 ) -> Column:

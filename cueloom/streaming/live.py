@@ -17,6 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .. import constants as K
 from ..functions import text as tx
 from ..operators import enrich as en
+from ..operators import jobs as jb
 from ..session import fresh_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -99,9 +100,14 @@ def micro_batches(
 
 # --- J2, J4, J6 -------------------------------------------------------------
 
-def first_reports(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The first report per task and step within the watermark; repeats are dropped."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["task_id", "step"])
+def first_reports(events: DataFrame) -> DataFrame:
+    """The first report (by ts, then event_id) per task and step, for ``update`` mode.
+
+    A report that arrives late but is earlier replaces the one held, and goes out as an update; see
+    :func:`latest_update`. The state is one short row for each task and step.
+    """
+    first = F.min_by(F.struct("ok", "msg", "ts", "event_id"), F.struct("ts", "event_id"))
+    return events.groupBy("task_id", "step").agg(first.alias("_r")).select("task_id", "step", "_r.*")
 
 
 def step_progress(events: DataFrame) -> DataFrame:
@@ -138,6 +144,43 @@ def widen_status(latest: DataFrame) -> DataFrame:
     return latest.groupBy("task_id").agg(*picks)
 
 
+def live_rollup(
+    events: DataFrame, groups: DataFrame, on_update: Callable[[DataFrame, DataFrame, int], None],
+    location: str | None = None,
+) -> None:
+    """After every trigger, ``on_update(tasks, groups, trigger)`` with what changed in it.
+
+    ``tasks`` are the wide rows (task_id, group_id, s1_status .. s3_status) of tasks with a new report and ``groups``
+    the rollup (:func:`cueloom.operators.jobs.group_rollup`) of their groups. ``groups`` (task_id, group_id) is a table;
+    tasks it does not name are in no group. The stream keeps one row per task and step. The wide tasks of all groups
+    are kept as a table of the shared folder, of which a trigger reads the version before its own and writes the next,
+    so a trigger that runs again gives the same rows.
+    """
+    spark = events.sparkSession
+    base = location or fresh_dir(spark, "rollup")
+    shape = "task_id string, group_id string, s1_status string, s2_status string, s3_status string"
+
+    def version(number: int) -> str:
+        return f"{base}/tasks/version={number}"
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        status = [F.max(F.when(F.col("step") == s, F.col("status"))).alias(f"_{s}") for s in K.STEPS]
+        news = batch.groupBy("task_id").agg(*status)
+        before = spark.createDataFrame([], shape) if number == 0 else spark.read.schema(shape).parquet(version(number - 1))
+        both = before.join(news, "task_id", "full").join(groups.select("task_id", F.col("group_id").alias("_g")), "task_id", "left")
+        picks = [F.coalesce(f"_{s}", f"s{s}_status", F.lit(K.PENDING)).alias(f"s{s}_status") for s in K.STEPS]
+        changed = F.coalesce(*[f"_{s}" for s in K.STEPS]).isNotNull().alias("_changed")
+        both.select(
+            "task_id", F.coalesce("group_id", "_g", F.lit("")).alias("group_id"), *picks, changed
+        ).write.mode("overwrite").parquet(version(number))
+        now = spark.read.schema(f"{shape}, _changed boolean").parquet(version(number))
+        tasks = now.filter("_changed").drop("_changed")
+        touched = tasks.select("group_id").distinct()
+        on_update(tasks, jb.group_rollup(now.join(touched, "group_id", "left_semi")), number)
+
+    run_to_end(latest_status(events), on_batch, "update", f"{base}/checkpoint")
+
+
 # --- J3 ---------------------------------------------------------------------
 
 HANDOFF_SCHEMA = "task_id string, action string, event_id long"

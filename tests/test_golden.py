@@ -2,11 +2,13 @@
 
 import datetime as dt
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cueloom import constants as K
+from cueloom import session
 from cueloom.functions import sound as sd
 from cueloom.functions import text as tx
 from cueloom.operators import cues as cu
@@ -286,10 +288,10 @@ def test_pan_is_constant_power(spark):
 
 
 def test_calls_are_rows_not_failures():
-    def short(texts, model):
+    def short(texts, model, endpoint):
         return texts[:1]
 
-    def broken(texts, model):
+    def broken(texts, model, endpoint):
         raise ConnectionError("gone") if len(texts) > 1 else ValueError("bad")
 
     assert en.call_batch(short, ["a", "b"], "m", 1, 0, "any") == [
@@ -297,3 +299,63 @@ def test_calls_are_rows_not_failures():
     ]
     got = en.call_batch(broken, ["a", "b"], "m", 2, 0, "strict")
     assert [g[1] for g in got] == [False, False] and got[0][3] == 2 and "bad" in got[0][2]
+
+
+def test_rows_of_an_answer_fail_alone():
+    def holes(texts, model, endpoint):
+        return ["a", None, ValueError("bad")][: len(texts)]
+
+    got = en.call_batch(holes, ["x", "y", "z"], "m", 1, 0, "any")
+    assert got == [("a", True, K.MSG_BULK_DONE, 1), (None, False, K.MSG_NO_RESULT, 1), (None, False, "bad", 1)]
+    none = en.call_one(lambda texts, model, endpoint: [None], "x", "m", 2, 0)
+    assert none[1] is False and none[3] == 2 and K.MSG_NO_RESULT in none[2]
+
+
+def test_a_hanging_call_is_given_up():
+    begun = time.time()
+    got = en.call_one(lambda texts, model, endpoint: time.sleep(30), "x", "m", 2, 0, limit_s=0.2)
+    assert got[1] is False and got[3] == 2 and "0.2" in got[2] and time.time() - begun < 5
+
+
+def test_texts_may_hold_the_parsers_marks(spark):
+    text = "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\nhello \ufdd0world\ufdd1 \ufdd2 \ufdd3b\nsecond\n"
+    docs = spark.createDataFrame([("a", text, "0")], "source_id string, text string, source_version string")
+    assert [r["text"] for r in cu.parse_vtt(docs).collect()] == ["hello \ufdd0world\ufdd1 \ufdd2 \ufdd3b second"]
+    srt = docs.withColumn("text", F.translate("text", ".", ","))
+    assert [r["text"] for r in cu.parse_srt(srt).collect()] == ["hello \ufdd0world\ufdd1 \ufdd2 \ufdd3b second"]
+
+
+def test_merge_keeps_text_without_a_cap(spark):
+    rows = [("s", i, i * 1000, i * 1000 + 900, f"t{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "source_id string, seg_no long, start_ms long, end_ms long, text string")
+    free, capped = cu.merge_close_segments(df, 300, None), cu.merge_close_segments(df, 300, 10_000, chunk_rows=7)
+    assert sorted(free.columns) == sorted(capped.columns)
+    (one,) = free.collect()
+    assert one["n_parts"] == 30 and one["text"] == " ".join(f"t{i}" for i in range(30))
+    assert sorted(r["text"] for r in capped.collect()) == sorted(
+        " ".join(f"t{i}" for i in part) for part in (range(0, 10), range(10, 20), range(20, 30)))
+
+
+def test_last_frame_has_no_rise(spark):
+    frames = spark.createDataFrame([("s", i, float(i)) for i in range(8)], "signal_id string, frame_no long, value double")
+    rises = {r["hop_no"]: r["rise"] for r in sg.energy_rises(frames, ["signal_id"], 4, 2).collect()}
+    assert rises[max(rises)] is None and all(v is not None for k, v in rises.items() if k != max(rises))
+
+
+def test_tasks_without_a_group_are_in_none(spark):
+    tasks = spark.createDataFrame(
+        [("a", "g", "done", "done", "done"), ("b", "", "failed", "pending", "pending")],
+        "task_id string, group_id string, s1_status string, s2_status string, s3_status string")
+    assert {r["group_id"] for r in jb.group_step_status(tasks).collect()} == {"g"}
+    assert {r["group_id"] for r in jb.progress_levels(tasks).collect()} == {"g", None}
+
+
+def test_a_cluster_needs_the_shared_folder():
+    assert session.is_local("local[8]") and session.is_local("local")
+    assert not session.is_local("spark://host:7077") and not session.is_local("local-cluster[2,1,1024]")
+
+
+def test_folder_of_a_path(spark):
+    paths = ["a/b/c", "/x", "x", "", "/", "a/", "//x"]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").select("i", tx.dir_name(F.col("p")).alias("d"))
+    assert [r["d"] for r in sorted(got.collect())] == ["a/b", "/", "", "", "/", "a", "/"]

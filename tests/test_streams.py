@@ -16,8 +16,9 @@ def rows(df, *cols):
 
 def test_first_reports(spark):
     t = fx.Tables(spark, SMALL)
-    live = lv.to_table(lv.first_reports(fx.event_stream(t), "60 days"))
-    assert rows(live, "task_id", "step") == rows(jb.first_reports(fx.job_events(t), "step"), "task_id", "step")
+    live = lv.latest_update(lv.to_table(lv.first_reports(fx.event_stream(t)), "update"), "task_id", "step")
+    cols = ("task_id", "step", "ok", "msg")
+    assert rows(live, *cols) == rows(jb.first_reports(fx.job_events(t), "step"), *cols)
 
 
 def test_progress_and_severity(spark):
