@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -11,7 +12,7 @@ sys.path.insert(0, str(ROOT))
 def spark():
     from cueloom.session import build_session
 
-    session = build_session("tests", "local[8]", **{
+    session = build_session("tests", f"local[{os.environ.get('TEST_CPUS', '8')}]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
     })
     session.sparkContext.setLogLevel("ERROR")
