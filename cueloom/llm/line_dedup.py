@@ -99,28 +99,29 @@ def within_one_edit(s: Column, t: Column) -> Column:
     A word holds, for no error and for one error, a band of three diagonals: bit ``d`` is set when the automaton has
     read ``j`` characters of ``t`` and ``j + d - 1`` of ``s``. One character of ``t`` moves both bands by shifts.
     """
-    a, b = F.split(s, ""), F.split(t, "")
-    size = F.length(t)
-
-    def step(word: Column, j: Column) -> Column:
-        c = F.get(b, j)
-        same = sum(
-            (F.when(F.coalesce(F.get(a, j + d) == c, F.lit(False)), 1 << (d + 1)).otherwise(0) for d in (0, 1)),
-            F.when((j > 0) & F.coalesce(F.get(a, F.greatest(j - 1, F.lit(0))) == c, F.lit(False)), 1).otherwise(0),
-        )
+    gap = F.length(s) - F.length(t)
+
+    def mask(a: Column, c: Column, j: Column) -> Column:
+        """Bits of the diagonals on which the next character of ``s`` is ``c``."""
+        before = F.when(j > 0, F.get(a, j - 1) == c)
+        hits = (before, F.get(a, j) == c, F.get(a, j + 1) == c)
+        return sum((F.when(h, 1 << d).otherwise(0) for d, h in enumerate(hits)), F.lit(0))
+
+    def step(word: Column, same: Column) -> Column:
         exact, one = word.bitwiseAND(F.lit(7)), F.shiftright(word, 3)
-        exact2 = exact.bitwiseAND(same)
-        moved = one.bitwiseAND(same).bitwiseOR(exact).bitwiseOR(F.shiftright(exact, 1))
-        moved = moved.bitwiseOR(F.shiftleft(exact2, 1)).bitwiseAND(F.lit(7))
-        return exact2.bitwiseOR(F.shiftleft(moved, 3))
-
-    start = F.lit(2 | 4 << 3)
-    last = F.when(size == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), start, step))
-    gap = F.length(s) - size
-    reached = F.shiftright(last.bitwiseOR(F.shiftright(last, 3)), 0)
-    return (F.abs(gap) <= 1) & (
-        F.when(gap == -1, reached.bitwiseAND(F.lit(1))).when(gap == 0, reached.bitwiseAND(F.lit(2)))
-        .otherwise(reached.bitwiseAND(F.lit(4))) > 0
+        kept = exact.bitwiseAND(same)
+        moved = one.bitwiseAND(same).bitwiseOR(exact).bitwiseOR(F.shiftright(exact, 1)).bitwiseOR(F.shiftleft(kept, 1))
+        return kept.bitwiseOR(F.shiftleft(moved.bitwiseAND(F.lit(7)), 3))
+
+    def accept(word: Column) -> Column:
+        reached = word.bitwiseOR(F.shiftright(word, 3))
+        return F.call_function("shiftright", reached, gap + 1).bitwiseAND(F.lit(1)) == 1
+
+    # The one-element array binds both lists of characters to a name, so they are cut once for each pair.
+    chars = F.array(F.struct(F.split(s, "").alias("a"), F.split(t, "").alias("b")))
+    masks = F.transform(chars, lambda p: F.transform(p["b"], lambda c, j: mask(p["a"], c, j)))[0]
+    return F.when(F.abs(gap) > 1, False).when(F.length(t) == 0, True).otherwise(
+        F.aggregate(masks, F.lit(2 | 4 << 3), step, accept)
     )
 
 
