@@ -1,62 +1,17 @@
-"""Joins that keep a hot key spread out."""
+"""Joins with hot keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 8
-HOT_ROWS = 100_000
-MAX_HOT_KEYS = 10_000
 
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "left") -> DataFrame:
+    """Join many rows per key (left) with few rows per key (right), where some left keys may be very hot.
 
-def salted_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str] | str,
-    how: str = "left",
-    salts: int = SALTS,
-    spread_by: Sequence[str] | None = None,
-) -> DataFrame:
-    """Join many rows per key (left) with a narrow table of one row per key (right).
-
-    Left rows of one key go to ``salts`` tasks by a hash of ``spread_by`` (columns that differ within a
-    key; all columns by default), and each right row is sent to all of them. The hash is a function of the
-    row, so a task that runs again sends its rows to the same place.
-    """
-    keys = [on] if isinstance(on, str) else list(on)
-    cells = list(spread_by or left.columns)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*cells), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], at_least: int = HOT_ROWS) -> DataFrame:
-    """Keys with very many rows and ``_fan``, the number of parts to cut each into.
-
-    A key counts as hot above ``at_least`` rows and above a ten-thousandth of the table, so there are never
-    more than ten thousand of them: the result may be broadcast whatever the size of the table.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.select(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    bar = F.greatest(F.lit(at_least), total / MAX_HOT_KEYS)
-    return counts.filter(F.col("_n") > bar).select(*keys, F.ceil(F.col("_n") / bar).cast("int").alias("_fan"))
-
-
-def split_hot_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "inner",
-    at_least: int = HOT_ROWS,
-) -> DataFrame:
-    """Join where the right side is wide, so that only its rows of hot keys are worth copying.
-
-    Rows of a hot left key are cut into parts by a hash of ``spread_by``; the right row of that key is sent
-    to each part. All other keys are joined as they are.
+    No salt: adaptive execution measures the shuffled partitions and cuts those that are too large, copying only the
+    right rows that such a partition needs. It does so for inner, left, semi and anti joins, also where the result
+    would have to be shuffled again for it (``forceOptimizeSkewedJoin``); see ``cueloom.session.SETTINGS``.
     """
-    keys = list(on)
-    hot = F.broadcast(hot_keys(left, keys, at_least))
-    fan = F.coalesce("_fan", F.lit(1))
-    cut = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), fan).cast("int"))
-    copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1)))
-    return cut.drop("_fan").join(copies.drop("_fan"), [*keys, "_salt"], how).drop("_salt")
+    return left.join(right, [on] if isinstance(on, str) else list(on), how)

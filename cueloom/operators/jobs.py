@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.scan import segmented_scan
-from ..functions.skew import salted_lookup
+from ..functions.skew import lookup
 
 STEP_STATUS = {step: f"s{step}_status" for step in K.STEPS}
 
@@ -212,7 +212,7 @@ def completion_gate(tasks: DataFrame, folder: str = "folder") -> DataFrame:
     gates = tasks.groupBy(folder).agg(
         F.bool_and(status_of(3).isin(*K.TERMINAL)).alias("gate_open")
     )
-    return salted_lookup(tasks, gates, folder, "inner", spread_by=["task_id"])
+    return lookup(tasks, gates, folder, "inner")
 
 
 def without_failed(tasks: DataFrame, failed: DataFrame) -> DataFrame:
@@ -226,12 +226,12 @@ def _time_chunk(window: str | None) -> Column | None:
     return None if window is None else F.date_trunc(window, "ts")
 
 
-def with_eta(events: DataFrame, keys: Sequence[str], window: str | None = "minute") -> DataFrame:
+def with_eta(events: DataFrame, keys: Sequence[str], window: str | None = None) -> DataFrame:
     """After each finished item of a run: items done, mean seconds per item, seconds left.
 
     ``events`` has (event_id, ts) and the run's ``keys``; a run starts at its first event. Count, total and
-    start come from one chunked scan, so one long run is not one task and nothing is joined twice. ``window``
-    is the time span of a chunk; ``None`` where one minute of a run may be too much for a task.
+    start come from one chunked scan, so one long run is not one task and nothing is joined twice. Chunks are
+    cut by row count (a sort by range) unless ``window`` names a time span that bounds the rows of a run.
     """
     numbered = segmented_scan(
         events, keys, ["ts", "event_id"], _time_chunk(window), rank="done", size="total", lows={"_t0": "ts"}
@@ -246,7 +246,7 @@ def with_eta(events: DataFrame, keys: Sequence[str], window: str | None = "minut
     )
 
 
-def stage_percent(events: DataFrame, keys: Sequence[str], window: str | None = "minute") -> DataFrame:
+def stage_percent(events: DataFrame, keys: Sequence[str], window: str | None = None) -> DataFrame:
     """Cumulative percent of a stage after each finished task; ``window`` as in :func:`with_eta`."""
     numbered = segmented_scan(
         events, keys, ["ts", "event_id"], _time_chunk(window), rank="done", size="total"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.scan import global_rank
-from ..functions.skew import salted_lookup
+from ..functions.skew import lookup
 
 
 def order_index(ext: Column, order: Sequence[str]) -> Column:
@@ -73,7 +73,7 @@ def match_batch_outputs(
 
     The exact ``name.fmt`` in format order comes first, then the first file in natural order whose name
     contains the task's name. For the second rule each file lists the parts of its name that are as long
-    as some task name without an exact output, so the join is on equality.
+    as some task name of its group without an exact output, so the join is on equality.
     """
     offered = outputs.select(group, "name", order_index(tx.ext_of(F.col("name")), formats).alias("_f")).filter(
         F.col("_f").isNotNull()
@@ -83,9 +83,10 @@ def match_batch_outputs(
     )
     first = tasks.join(exact, [group, "source_name"], "left")
     open_names = first.filter(F.col("_exact").isNull()).select(group, "source_name").distinct()
-    lengths = open_names.select(F.collect_set(F.length("source_name")).alias("n")).scalar()
+    # No more lengths than the longest name of the group has characters.
+    lengths = open_names.groupBy(group).agg(F.collect_set(F.length("source_name")).alias("_lengths"))
     size = F.length("name")
-    offered = offered.withColumn("_lengths", lengths)
+    offered = lookup(offered, lengths, group, "inner")
     parts = F.flatten(
         F.transform(
             F.filter("_lengths", lambda n: (n > 0) & (n <= size)),
@@ -111,8 +112,8 @@ def match_folder_outputs(
 ) -> DataFrame:
     """Tasks (dir, source_name) with the exact output, else the first file of the folder in a format.
 
-    The folder's first file is found once per folder and looked up with salt, since a folder may hold
-    a large share of the tasks.
+    The folder's first file is found once per folder and looked up, since a folder may hold a large share of
+    the tasks.
     """
     offered = outputs.select(
         "dir", "name", order_index(tx.ext_of(F.col("name")), formats).alias("_f")
@@ -125,7 +126,7 @@ def match_folder_outputs(
     ).select("dir", F.col("_o.name").alias("_first"))
     named = tasks.join(exact, ["dir", "source_name"], "left")
     return (
-        salted_lookup(named, first, "dir", "left")
+        lookup(named, first, "dir", "left")
         .withColumn("output", F.coalesce("_exact", "_first"))
         .drop("_exact", "_first")
     )
@@ -144,7 +145,7 @@ def match_dropped_subtitles(
     )
     fallback = F.lit(current_task).cast("string")
     return (
-        salted_lookup(subs, firsts, "stem", "left")
+        lookup(subs, firsts, "stem", "left")
         .withColumn("task_id", F.coalesce(F.col("_task"), fallback))
         .withColumn(
             "match_kind",
@@ -194,7 +195,7 @@ def detect_speech(tasks: DataFrame, clips: DataFrame) -> DataFrame:
     )
     folder = tx.join_path(F.col("workspace"), F.col("fingerprint"))
     # Copies of one subtitle share a folder, so that key may be hot.
-    found = salted_lookup(tasks.withColumn("_dir", folder), ready, "_dir", "left_semi")
+    found = lookup(tasks.withColumn("_dir", folder), ready, "_dir", "left_semi")
     return found.withColumnRenamed("_dir", "speech_dir")
 
 
@@ -234,8 +235,8 @@ def apply_renames(rows: DataFrame, renames: DataFrame, key: str, path: str = "so
     Each path lists its folders and joins on equality; only rows that move come back from the join.
     """
     above = rows.select(key, F.col(path).alias("_path"), F.explode(tx.ancestors(F.col(path))).alias("old"))
-    hits = salted_lookup(
-        above.filter(F.col("old") != ""), renames.select("old", "new"), "old", "inner", spread_by=[key]
+    hits = lookup(
+        above.filter(F.col("old") != ""), renames.select("old", "new"), "old", "inner"
     )
     moved = hits.groupBy(key).agg(
         F.max_by(F.struct("old", "new", "_path"), F.length("old")).alias("_m")
@@ -291,7 +292,7 @@ def tree_rank(tasks: DataFrame, groups: DataFrame, out: str = "pos") -> DataFram
     ``tasks`` has (task_id, source_name, group_id), ``groups`` has (group_id, group_name).
     """
     named = tasks.filter(F.col("group_id") != "")
-    children = salted_lookup(named, groups, "group_id", "inner", spread_by=["task_id"]).select(
+    children = lookup(named, groups, "group_id", "inner").select(
         F.lit("task").alias("kind"), F.col("task_id").alias("id"), F.col("source_name").alias("name"),
         F.col("group_name").alias("_top"), "group_id", F.lit(1).alias("_child"),
     )

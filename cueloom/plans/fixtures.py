@@ -247,7 +247,7 @@ def series(t: Tables) -> DataFrame:
         (F.col("value") * 50).alias("value"), "event_type",
     )
     numbered = segmented_scan(
-        rows, ["signal_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), rank="_rn"
+        rows, ["signal_id"], ["ts", "event_id"], None, rank="_rn"
     )
     return numbered.select("signal_id", (F.col("_rn") - 1).alias("frame_no"), "value", "event_type", "event_id")
 

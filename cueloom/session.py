@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -25,10 +26,10 @@ def build_session(app: str = "cueloom", master: str | None = None, **conf: str)
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the time zone results depend on, on a session made elsewhere."""
-    key = "spark.sql.session.timeZone"
-    if spark.conf.get(key) != SETTINGS[key]:
-        spark.conf.set(key, SETTINGS[key])
+    """Set what results and plans depend on, on a session made elsewhere."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -9,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import scan as sc
-from cueloom.functions import skew as sk
-from cueloom.functions.skew import salted_lookup
+from cueloom.functions.skew import lookup
 from cueloom.operators import cues as cu
 from cueloom.operators import mixing as mx
 from cueloom.operators import signals as sg
@@ -101,16 +100,6 @@ def test_range_sorted_scan(spark):
         assert [r.p for r in mine] == [None, *[r.t for r in mine][:-1]]
 
 
-def test_hot_join(spark):
-    left = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"))
-    right = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    hot = sk.hot_keys(left, ["k"], at_least=100).collect()
-    assert [(r.k, r._fan) for r in hot] == [(0, 21)]
-    got = sk.split_hot_join(left, right, ["k"], ["id"], at_least=100)
-    want = left.join(right, "k")
-    assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, want.select("id", "k", "v").collect()))
-
-
 def test_global_rank(spark):
     df = spark.range(5000).select((F.xxhash64("id") % 1000).alias("h"), "id").repartition(7)
     got = [(r.h, r.id, r.pos) for r in sc.global_rank(df, ["h", "id"], "pos").collect()]
@@ -123,12 +112,29 @@ def test_neighbours(spark):
     assert got == {0: (1.0, 2.0, None), 1: (2.0, None, 4.0), 3: (4.0, None, None)}
 
 
-def test_salted_lookup_keeps_all_rows(spark):
-    left = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
-    right = spark.createDataFrame([("hot", 1), ("3", 2)], "k string, v int")
-    assert salted_lookup(left, right, "k", "left").count() == 1000
-    assert salted_lookup(left, right, "k", "inner").count() == left.filter("k in ('hot', '3')").count()
-    assert salted_lookup(left, right, "k", "left_anti").count() == left.filter("k not in ('hot', '3')").count()
+def test_lookup_splits_a_hot_key(spark):
+    """Adaptive execution cuts the hot partition, also in front of a grouping by the same key."""
+    tight = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in tight}
+    try:
+        for k, v in tight.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 20_000, 1, 8).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+        right = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        joined = lookup(left, right, "k", "left")
+        assert joined.count() == 20_000
+        grouped = joined.groupBy("k").agg(F.count("v").alias("n"))
+        assert grouped.filter("k = 0").first()["n"] == 6667
+        grouped.collect()
+        assert "isSkewJoin=true" in grouped._jdf.queryExecution().toString() or "skew=true" in grouped._jdf.queryExecution().toString()
+        assert lookup(left, right.filter("k > 5"), "k", "left_anti").count() == left.filter("k <= 5").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 # --- segments ---------------------------------------------------------------
