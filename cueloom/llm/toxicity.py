@@ -103,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = M
     if share < 1:
         marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # The sample is bounded by max_rows, so it may be broadcast.
-    sample = docs.join(F.broadcast(marked), "doc_id").select("doc_id", "text", F.col("label").cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(marked), "doc_id").select("doc_id", "text", F.col("label").cast("int"))
     rows = freeze(
         sample.mapInArrow(_encode, "doc_id long, label int, places binary")
         .repartition(SHARDS, F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
