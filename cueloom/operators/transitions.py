@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import text as tx
+from ..functions.skew import lookup
+from .matching import detect_mix_outputs
 
 
 def _set(tasks: DataFrame, **changes: Column) -> DataFrame:
@@ -51,6 +56,43 @@ def auto_skip(tasks: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Site:
+    """What lies where: an inventory (path, dir, name, stem, ext), fingerprints (path, fingerprint) of subtitle files,
+    and the folder that holds a speech folder for each fingerprint."""
+
+    inventory: DataFrame
+    fingerprints: DataFrame
+    workspace: str
+
+
+def find_inputs(tasks: DataFrame, site: Site, chosen: Column | None = None) -> DataFrame:
+    """Tasks with what the site holds for them: ``subtitle_found``, ``dub_found``, ``speech_dir``, ``mix_output``.
+
+    Speech is looked for under the fingerprint of the subtitle that stands for step 1: the given one if it exists,
+    else the step's output. For tasks that are not ``chosen`` nothing counts as found.
+    """
+    pick = F.lit(True) if chosen is None else F.coalesce(chosen, F.lit(False))
+    paths = site.inventory.select(F.col("path").alias("custom_subtitle")).distinct().withColumn("_sub", F.lit(True))
+    dirs = site.inventory.select(F.col("dir").alias("custom_mix_folder")).distinct().withColumn("_dub", F.lit(True))
+    spoken = site.inventory.filter(F.col("name").endswith(".wav")).select(F.col("dir").alias("_speech")).distinct()
+    prints = site.fingerprints.select(F.col("path").alias("_text"), tx.join_path(F.lit(site.workspace), F.col("fingerprint")).alias("_speech"))
+    speech = prints.join(spoken, "_speech", "left_semi")
+    found = lookup(lookup(tasks, paths, "custom_subtitle"), dirs, "custom_mix_folder")
+    found = found.withColumn("_text", F.when(F.col("_sub"), F.col("custom_subtitle")).otherwise(F.col("s1_output")))
+    found = detect_mix_outputs(lookup(found, speech, "_text"), site.inventory)
+    return found.withColumns({
+        "subtitle_found": pick & F.col("_sub").isNotNull(), "dub_found": pick & F.col("_dub").isNotNull(),
+        "speech_dir": F.when(pick, F.col("_speech")), "mix_output": F.when(pick, F.col("mix_output")),
+    }).drop("_sub", "_dub", "_text", "_speech")
+
+
+def detect_and_skip(tasks: DataFrame, site: Site, chosen: Column | None = None) -> DataFrame:
+    """L1 with its joins: look at the site and skip steps whose result is there already."""
+    found = auto_skip(find_inputs(tasks, site, chosen))
+    return found.drop("subtitle_found", "dub_found", "speech_dir", "mix_output")
+
+
 def rerun(tasks: DataFrame, step: int, chosen: Column | None = None) -> DataFrame:
     """L2: reset a step and all later ones; only the step's own error is cleared."""
     pick = F.lit(True) if chosen is None else chosen
@@ -66,11 +108,11 @@ def _chosen_value(tasks: DataFrame, updates: DataFrame, value: str) -> DataFrame
     return tasks.join(updates.select("task_id", F.col(value).alias("_new")), "task_id", "left")
 
 
-def set_subtitle(tasks: DataFrame, updates: DataFrame) -> DataFrame:
+def set_subtitle(tasks: DataFrame, updates: DataFrame, site: Site | None = None) -> DataFrame:
     """L3: a new (or, when empty, removed) subtitle per task in ``updates`` (task_id, custom_subtitle).
 
     Step 1's output and error are cleared; a removed subtitle un-skips step 1; later steps that are
-    neither done nor skipped go back to pending. Run :func:`auto_skip` afterwards.
+    neither done nor skipped go back to pending. With ``site`` the updated tasks are looked at anew (L1).
     """
     t = _chosen_value(tasks, updates, "custom_subtitle")
     hit = F.col("_new").isNotNull()
@@ -84,13 +126,18 @@ def set_subtitle(tasks: DataFrame, updates: DataFrame) -> DataFrame:
     for s in (2, 3):
         reset = hit & ~F.col(_status(s)).isin(*K.FINISHED)
         changes[_status(s)] = F.when(reset, K.PENDING).otherwise(F.col(_status(s)))
-    return _set(t, **changes).drop("_new")
+    return _looked_at(_set(t, **changes), site)
+
+
+def _looked_at(tasks: DataFrame, site: Site | None) -> DataFrame:
+    """Updated tasks (``_new`` not NULL) after a new detection."""
+    return (tasks if site is None else detect_and_skip(tasks, site, F.col("_new").isNotNull())).drop("_new")
 
 
-def set_dub_folder(tasks: DataFrame, updates: DataFrame) -> DataFrame:
+def set_dub_folder(tasks: DataFrame, updates: DataFrame, site: Site | None = None) -> DataFrame:
     """L4: a new dub folder per task in ``updates`` (task_id, custom_mix_folder).
 
-    Steps 2 and 3 go back to pending with no output unless done. Run :func:`auto_skip` afterwards.
+    Steps 2 and 3 go back to pending with no output unless done. With ``site`` the updated tasks are looked at anew (L1).
     """
     t = _chosen_value(tasks, updates, "custom_mix_folder")
     changes = {"custom_mix_folder": F.coalesce("_new", "custom_mix_folder")}
@@ -98,7 +145,7 @@ def set_dub_folder(tasks: DataFrame, updates: DataFrame) -> DataFrame:
         reset = F.col("_new").isNotNull() & (F.col(_status(s)) != K.DONE)
         changes[_status(s)] = F.when(reset, K.PENDING).otherwise(F.col(_status(s)))
         changes[_out(s)] = F.when(reset, F.lit("")).otherwise(F.col(_out(s)))
-    return _set(t, **changes).drop("_new")
+    return _looked_at(_set(t, **changes), site)
 
 
 def latest_results(events: DataFrame) -> DataFrame:

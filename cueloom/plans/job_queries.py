@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import text as tx
 from ..operators import jobs as jb
 from ..operators import transitions as tr
 from ..session import fresh_dir
@@ -217,20 +218,45 @@ def i4(t):
     return jb.without_failed(tasks, tasks.filter(jb._any([K.FAILED])))
 
 
+def _site(t):
+    """A subtitle for tasks by 8 plus 4, its speech if also by 3, a dub folder for tasks by 10 plus 5, a mix for those by 7."""
+    tasks, k = fx.tasks(t), F.col("task_id")
+    name = F.col("source_name")
+    print_of = tx.fingerprint(name)
+    kinds = (
+        (k % 8 == 4, F.lit("/subs"), F.concat(name, F.lit(".lrc"))),
+        ((k % 8 == 4) & (k % 3 == 0), F.concat(F.lit("/ws/"), print_of), F.lit("0001.wav")),
+        (k % 10 == 5, F.concat(F.lit("/dub/"), name), F.lit("0001.wav")),
+        (k % 7 == 0, F.concat(tx.dir_name(F.col("source_path")), F.lit(f"/{K.BILINGUAL_DIR}")), F.concat(name, F.lit(f"{K.MIXED_SUFFIX}.mp4"))),
+    )
+    rows = [tasks.filter(when).select(*fx.inventory_row(folder, file)) for when, folder, file in kinds]
+    inventory = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    prints = tasks.select(F.concat(F.lit("/subs/"), name, F.lit(".lrc")).alias("path"), print_of.alias("fingerprint"))
+    return tr.Site(inventory, prints, "/ws")
+
+
+_FOUND = """
+    SELECT *, task_id % 8 = 4 AS sub, task_id % 10 = 5 AS dub, task_id % 8 = 4 AND task_id % 3 = 0 AS spoken,
+           task_id % 7 = 0 AND NOT (from_folder AND dir LIKE '/jobs/双语-%') AS mixed,
+           '/subs/' || source_name || '.lrc' AS sub_path, '/dub/' || source_name AS dub_path,
+           '/ws/' || substr(md5(source_name), 1, 8) AS speech_path, dir || '/双语/' || source_name || '_mixed.mp4' AS mix_path
+    FROM full_tasks"""
+
+
+# Subtitles are given for tasks by 4 and dub folders for those by 5; half of each are gone.
 @query("l1_auto_skip", _SPEC, _full(
-    "(SELECT *, task_id % 4 = 0 AS sub, task_id % 5 = 0 AS dub, task_id % 2 = 0 AS spoken, task_id % 7 = 0 AS mixed FROM full_tasks)",
-    s1="CASE WHEN sub THEN 'skipped' ELSE s1 END", o1="CASE WHEN sub THEN '/sub.lrc' ELSE o1 END",
-    s2="CASE WHEN dub OR ((sub OR s1 = 'skipped') AND spoken) THEN 'skipped' ELSE s2 END",
-    o2="CASE WHEN dub THEN '/dub' WHEN (sub OR s1 = 'skipped') AND spoken THEN '/speech' ELSE o2 END",
-    s3="CASE WHEN mixed THEN 'skipped' ELSE s3 END", o3="CASE WHEN mixed THEN '/mix.mp4' ELSE o3 END"))
+    f"({_FOUND})",
+    s1="CASE WHEN sub THEN 'skipped' ELSE s1 END", o1="CASE WHEN sub THEN sub_path ELSE o1 END",
+    s2="CASE WHEN dub OR spoken THEN 'skipped' ELSE s2 END",
+    o2="CASE WHEN dub THEN dub_path WHEN spoken THEN speech_path ELSE o2 END",
+    s3="CASE WHEN mixed THEN 'skipped' ELSE s3 END", o3="CASE WHEN mixed THEN mix_path ELSE o3 END"))
 def l1(t):
     k = F.col("task_id")
     tasks = _full_tasks(t).withColumns({
-        "custom_subtitle": F.when(k % 4 == 0, "/sub.lrc").otherwise(""), "subtitle_found": F.lit(True),
-        "custom_mix_folder": F.when(k % 5 == 0, "/dub").otherwise(""), "dub_found": F.lit(True),
-        "speech_dir": F.when(k % 2 == 0, "/speech"), "mix_output": F.when(k % 7 == 0, "/mix.mp4"),
+        "custom_subtitle": F.when(k % 4 == 0, F.concat(F.lit("/subs/"), "source_name", F.lit(".lrc"))).otherwise(""),
+        "custom_mix_folder": F.when(k % 5 == 0, F.concat(F.lit("/dub/"), "source_name")).otherwise(""),
     })
-    return tr.auto_skip(tasks)
+    return tr.detect_and_skip(tasks, _site(t))
 
 
 @query("l2_rerun", _SPEC, _full("full_tasks", s2="'pending'", s3="'pending'", o2="''", o3="''", e2="''"))
@@ -241,26 +267,36 @@ def l2(t):
 _NOFIN = "CASE WHEN {0} AND NOT ({1} " + _FIN + ") THEN 'pending' ELSE {1} END"
 
 
+# Tasks by 3 get a subtitle, which is there for some, or lose theirs; then they are looked at anew.
 @query("l3_new_subtitle", _SPEC, _full(
-    "(SELECT *, task_id % 3 = 0 AS hit, task_id % 6 = 0 AS gone FROM full_tasks)",
-    s1="CASE WHEN gone AND s1 = 'skipped' THEN 'pending' ELSE s1 END", o1="CASE WHEN hit THEN '' ELSE o1 END",
-    e1="CASE WHEN hit THEN '' ELSE e1 END", s2=_NOFIN.format("hit", "s2"), s3=_NOFIN.format("hit", "s3")))
+    f"(SELECT *, hit AND NOT gone AND sub AS there FROM (SELECT *, task_id % 3 = 0 AS hit, task_id % 6 = 3 AS gone FROM ({_FOUND})))",
+    s1="CASE WHEN there THEN 'skipped' WHEN gone AND s1 = 'skipped' THEN 'pending' ELSE s1 END",
+    o1="CASE WHEN there THEN sub_path WHEN hit THEN '' ELSE o1 END", e1="CASE WHEN hit THEN '' ELSE e1 END",
+    s2="CASE WHEN there AND spoken THEN 'skipped' ELSE " + _NOFIN.format("hit", "s2") + " END",
+    o2="CASE WHEN there AND spoken THEN speech_path ELSE o2 END",
+    s3="CASE WHEN hit AND mixed THEN 'skipped' ELSE " + _NOFIN.format("hit", "s3") + " END",
+    o3="CASE WHEN hit AND mixed THEN mix_path ELSE o3 END"))
 def l3(t):
     tasks = _full_tasks(t)
+    path = F.concat(F.lit("/subs/"), "source_name", F.lit(".lrc"))
     updates = tasks.filter(F.col("task_id") % 3 == 0).select(
-        "task_id", F.when(F.col("task_id") % 6 == 0, "").otherwise("/new.lrc").alias("custom_subtitle")
+        "task_id", F.when(F.col("task_id") % 6 == 3, "").otherwise(path).alias("custom_subtitle")
     )
-    return tr.set_subtitle(tasks, updates)
+    return tr.set_subtitle(tasks, updates, _site(t))
 
 
 @query("l4_new_dub_folder", _SPEC, _full(
-    "(SELECT *, task_id % 3 = 0 AS hit FROM full_tasks)",
-    s2="CASE WHEN hit AND s2 <> 'done' THEN 'pending' ELSE s2 END", o2="CASE WHEN hit AND s2 <> 'done' THEN '' ELSE o2 END",
-    s3="CASE WHEN hit AND s3 <> 'done' THEN 'pending' ELSE s3 END", o3="CASE WHEN hit AND s3 <> 'done' THEN '' ELSE o3 END"))
+    f"(SELECT *, task_id % 3 = 0 AS hit FROM ({_FOUND}))",
+    s2="CASE WHEN hit AND dub THEN 'skipped' WHEN hit AND s2 <> 'done' THEN 'pending' ELSE s2 END",
+    o2="CASE WHEN hit AND dub THEN dub_path WHEN hit AND s2 <> 'done' THEN '' ELSE o2 END",
+    s3="CASE WHEN hit AND mixed THEN 'skipped' WHEN hit AND s3 <> 'done' THEN 'pending' ELSE s3 END",
+    o3="CASE WHEN hit AND mixed THEN mix_path WHEN hit AND s3 <> 'done' THEN '' ELSE o3 END"))
 def l4(t):
     tasks = _full_tasks(t)
-    updates = tasks.filter(F.col("task_id") % 3 == 0).select("task_id", F.lit("/dub").alias("custom_mix_folder"))
-    return tr.set_dub_folder(tasks, updates)
+    updates = tasks.filter(F.col("task_id") % 3 == 0).select(
+        "task_id", F.concat(F.lit("/dub/"), "source_name").alias("custom_mix_folder")
+    )
+    return tr.set_dub_folder(tasks, updates, _site(t))
 
 
 # Events of users as results of the tasks with the same number.
