@@ -14,6 +14,7 @@ from ..functions.skew import lookup
 from . import signals as sg
 
 
+#: Sums a task of :func:`overlay_add` keeps before it hands on what is complete.
 HELD_SAMPLES = 4_000_000
 
 
@@ -38,11 +39,11 @@ def place_pieces(pieces: DataFrame, block_size: int, keys: Sequence[str]) -> Dat
     )
 
 
-def overlay_add(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def overlay_add(parts: DataFrame, keys: Sequence[str], held_samples: int = HELD_SAMPLES) -> DataFrame:
     """add parts (keys, offset, samples) that fall on the same block, sample by sample.
 
     Each task first adds the parts it holds, block by block, so that many parts of one block leave it as
-    one; it keeps at most ``HELD_SAMPLES`` sums at a time. Then the parts of a block meet in order of key and
+    one; it keeps at most ``held_samples`` sums at a time. Then the parts of a block meet in order of key and
     are added as they are read. No group is gathered, whatever the number of parts.
     """
     keys = list(keys)
@@ -70,7 +71,7 @@ def overlay_add(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
                 have[int(offset):need] += piece
                 sums[key] = have
             # The last key may go on in the next batch; in sorted rows all others are complete.
-            if len(sums) > 1 and sum(map(len, sums.values())) > HELD_SAMPLES:
+            if len(sums) > 1 and sum(map(len, sums.values())) > held_samples:
                 yield table([k for k in sums if k != key])
         if sums:
             yield table(list(sums))
@@ -106,7 +107,7 @@ def follow_envelope(
     """M3: pieces (signal_id, clip_id, at, samples, clip_db, last_hop) whose gain follows the envelope.
 
     Pieces are cut at envelope points, so each needs the two points around it: one join on (signal, hop),
-    salted because many clips may lie on one place. ``last_hop`` is the signal's last envelope point.
+    where many clips may lie on one place. ``last_hop`` is the signal's last envelope point.
     A signal without an envelope uses ``fallback_db``, its overall level.
     """
     end = F.col("at") + F.size("samples")
@@ -176,13 +177,12 @@ def mix(
     pos = pos.select("signal_id", "clip_id", "angle", "pos_ms").withColumn("trim", F.lit(0).cast("long"))
 
     clip_pieces = sg.pieces_of(clip_blocks, block_size).select("clip_id", "at", "samples")
-    clip_frames = sg.frames_of(clip_pieces, "clip_id")
     if align_onset:
         onsets = sg.clip_onsets(clip_pieces, sample_rate)
         moved, trim = sg.align_to_onset(F.col("pos_ms"), F.coalesce("onset_ms", F.lit(0.0)), sample_rate)
         pos = pos.join(onsets, "clip_id", "left").withColumns({"pos_ms": moved, "trim": trim}).drop("onset_ms")
 
-    levels = sg.signal_level(clip_frames, ["clip_id"], clip_width or width)
+    levels = sg.signal_level(clip_pieces, ["clip_id"], clip_width or width)
     # A trim as long as the clip is ignored.
     trim = F.when(F.col("trim") < F.col("_n"), F.col("trim")).otherwise(F.lit(0))
     placed = (
@@ -193,14 +193,12 @@ def mix(
     )
     placed = lookup(placed, lengths, "signal_id", "inner")
     if auto_volume != "off":
-        base_level = sg.signal_level(
-            sg.frames_of(base, "signal_id", "channel"), ["signal_id"], width
-        ).select("signal_id", F.col("rms_db").alias("base_db"))
+        base_level = sg.signal_level(base, ["signal_id"], width).select("signal_id", F.col("rms_db").alias("base_db"))
         placed = lookup(placed, base_level, "signal_id", "inner")
 
     env = None
     if auto_volume == "auto":
-        env = sg.envelope(sg.frames_of(mono, "signal_id"), ["signal_id"], sample_rate, width)
+        env = sg.envelope(mono, ["signal_id"], sample_rate, width)
         last = env.groupBy("signal_id").agg(F.max("hop_no").alias("last_hop"))
         placed = lookup(placed, last, "signal_id", "left")
 

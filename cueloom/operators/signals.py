@@ -1,9 +1,9 @@
 """Sampled signals: pieces, levels, envelopes, onsets, channel energy.
 
-Two forms. *Pieces* (keys, ``at``, ``samples``) are runs of samples with the place of the first one; a
-block table is a piece table with ``at = block_no * block_size``. *Frames* (keys, ``frame_no``, ``value``)
-are exploded samples; they only feed aggregates, which combine before the shuffle. Shuffle keys always
-include a place in time, so a long signal is spread out.
+Signals are *pieces* (keys, ``at``, ``samples``): runs of samples with the place of the first one; a block table is a
+piece table with ``at = block_no * block_size``. Levels, envelopes and onsets are worked out from a few sums per piece
+and cell, taken inside the array, so a sample never becomes a row. Shuffle keys always include a place in time, so a
+long signal is spread out.
 """
 
 from __future__ import annotations
@@ -120,47 +120,75 @@ def cut_windows(pieces: DataFrame, keys: Sequence[str], span: int, hop: int) ->
 
 # --- levels -----------------------------------------------------------------
 
-def signal_level(frames: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+def _square_sum(samples: Column) -> Column:
+    return F.aggregate(samples, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+
+
+def _peak(samples: Column) -> Column:
+    return F.greatest(F.array_max(samples), -F.array_min(samples)).cast("double")
+
+
+def signal_level(pieces: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Level in dBFS, peak and length per signal."""
-    return frames.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_frames"),
-        sd.rms_db(F.avg(F.col("value") * F.col("value")), width).alias("rms_db"),
-        F.max(F.abs("value")).alias("peak"),
+    samples = F.col("samples")
+    return pieces.groupBy(*keys).agg(
+        F.sum(F.size(samples)).cast("long").alias("n_frames"),
+        sd.rms_db(F.sum(_square_sum(samples)) / F.sum(F.size(samples)), width).alias("rms_db"),
+        F.max(_peak(samples)).alias("peak"),
     )
 
 
-def sliding_mean_square(frames: DataFrame, keys: Sequence[str], window: int, hop: int) -> DataFrame:
-    """Mean square over ``window`` frames every ``hop``: (keys, hop_no, mean_square).
+def cells_of(pieces: DataFrame, keys: Sequence[str], cell: Column | int) -> DataFrame:
+    """Sums of squares per cell of ``cell`` samples: (keys, cell, ss, n, head).
+
+    Each piece gives one row for each cell it touches; ``head`` is the square of a cell's first sample, if it is here.
+    """
+    cell = F.lit(cell) if isinstance(cell, int) else cell
+    at, end = F.col("at"), F.col("at") + F.size("samples")
+
+    def sums(c: Column) -> Column:
+        begin = F.greatest(at, c * cell)
+        stop = F.least(end, (c + 1) * cell)
+        first = F.get(F.col("samples"), (c * cell - at).cast("int")).cast("double")
+        return F.struct(
+            c.alias("cell"), _square_sum(part_of("samples", at, begin, stop)).alias("ss"), (stop - begin).alias("n"),
+            F.when(c * cell >= at, first * first).alias("head"),
+        )
+
+    touched = F.sequence(F.floor(at / cell), F.floor((end - 1) / cell))
+    parts = pieces.filter(F.size("samples") > 0).select(*keys, F.explode(F.transform(touched, sums)).alias("c"))
+    return parts.groupBy(*keys, F.col("c.cell").alias("cell")).agg(
+        F.sum("c.ss").alias("ss"), F.sum("c.n").alias("n"), F.max("c.head").alias("head")
+    )
+
+
+def sliding_mean_square(pieces: DataFrame, keys: Sequence[str], window: int, hop: int) -> DataFrame:
+    """Mean square over ``window`` samples every ``hop``: (keys, hop_no, mean_square).
 
     Sums per cell (the common divisor of both lengths) come first, then each cell is added to the windows
     that cover it. Incomplete windows at the end drop out; a signal shorter than a window keeps one point.
     """
     cell = gcd(window, hop)
     per_hop, per_window = hop // cell, window // cell
-    x = F.col("value").cast("double")
-    cells = frames.groupBy(*keys, F.floor(F.col("frame_no") / cell).alias("_cell")).agg(
-        F.sum(x * x).alias("_ss"), F.count(F.lit(1)).alias("_n")
-    )
-    first = F.greatest(F.lit(0), F.ceil((F.col("_cell") - per_window + 1) / per_hop))
-    last = F.floor(F.col("_cell") / per_hop)
-    covered = cells.filter(first <= last).select(
-        *keys, "_ss", "_n", F.explode(F.sequence(first, last)).alias("hop_no")
-    )
+    cells = cells_of(pieces, keys, cell)
+    first = F.greatest(F.lit(0), F.ceil((F.col("cell") - per_window + 1) / per_hop))
+    last = F.floor(F.col("cell") / per_hop)
+    covered = cells.filter(first <= last).select(*keys, "ss", "n", F.explode(F.sequence(first, last)).alias("hop_no"))
     return (
         covered.groupBy(*keys, "hop_no")
-        .agg(F.sum("_ss").alias("_ss"), F.sum("_n").alias("_n"))
+        .agg(F.sum("ss").alias("_ss"), F.sum("n").alias("_n"))
         .filter((F.col("_n") == window) | (F.col("hop_no") == 0))
         .select(*keys, "hop_no", (F.col("_ss") / F.col("_n")).alias("mean_square"))
     )
 
 
 def envelope(
-    frames: DataFrame, keys: Sequence[str], sample_rate: int, width: int,
+    pieces: DataFrame, keys: Sequence[str], sample_rate: int, width: int,
     window_ms: int = 100, hop_ms: int = 50,
 ) -> DataFrame:
     """Loudness envelope (keys, hop_no, env_db)."""
     window, hop = int(window_ms * sample_rate / 1000), int(hop_ms * sample_rate / 1000)
-    ms = sliding_mean_square(frames, keys, window, hop)
+    ms = sliding_mean_square(pieces, keys, window, hop)
     return ms.select(*keys, "hop_no", sd.envelope_db(F.col("mean_square"), width).alias("env_db"))
 
 
@@ -198,13 +226,13 @@ def interpolate_envelope(
 # --- onsets -----------------------------------------------------------------
 
 def energy_rises(
-    frames: DataFrame, keys: Sequence[str], frame_len: int = ONSET_FRAME, hop: int = ONSET_HOP
+    pieces: DataFrame, keys: Sequence[str], frame_len: int = ONSET_FRAME, hop: int = ONSET_HOP
 ) -> DataFrame:
     """Short-time RMS and its rise to the next frame, kept at the earlier frame; never negative.
 
     The last frame has no rise.
     """
-    rms = sliding_mean_square(frames, keys, frame_len, hop).select(
+    rms = sliding_mean_square(pieces, keys, frame_len, hop).select(
         *keys, "hop_no", F.sqrt("mean_square").alias("rms")
     )
     pairs = neighbours(rms, keys, "hop_no", ["rms"])
@@ -278,7 +306,7 @@ def nearest_onsets(
             .filter(e > s)
             .withColumns({"samples": part_of("samples", F.col("at"), s, e), "at": s - F.col("_from")})
         )
-        rises = energy_rises(frames_of(inside, *known), known, frame_len, hop)
+        rises = energy_rises(inside, known, frame_len, hop)
         placed = rises.withColumn("_place", F.col("_from") + F.col("hop_no") * hop)
         best = placed.groupBy(*cue).agg(*picks)
         return bounded.join(best, cue, "left").select(*bounded.columns, aligned)
@@ -286,7 +314,7 @@ def nearest_onsets(
     # Cues without a usable range keep one row with no bucket, so they come through the left join.
     none = F.array(F.lit(None).cast("bigint"))
     spread = ranged.withColumn("_bucket", F.explode(F.when(usable, buckets).otherwise(none))).alias("c")
-    rises = energy_rises(frames_of(pieces, key), [key], frame_len, hop).filter(F.col("rise").isNotNull())
+    rises = energy_rises(pieces, [key], frame_len, hop).filter(F.col("rise").isNotNull())
     placed = rises.select(
         F.col(key).alias("_key"), (F.col("hop_no") * hop).alias("_place"), "rise",
         F.floor(F.col("hop_no") * hop / bucket).alias("_of"),
@@ -303,22 +331,21 @@ def clip_onsets(
 ) -> DataFrame:
     """Where a clip's sound starts, in ms; 0 if it never does or the clip is too short.
 
-    ``pieces`` are (clip, at, samples). Samples travel as arrays and are exploded only for aggregates.
+    ``pieces`` are (clip, at, samples).
 
     Frames of min(1024, n/4) samples overlap by half; the first whose RMS reaches 2 % of the clip's own,
     or 1, counts. A frame that ends with the last sample is left out.
     """
-    sq = F.col("value") * F.col("value")
-    whole = frames_of(pieces, key).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.avg(sq).alias("_ms"))
+    samples = F.col("samples")
+    whole = pieces.groupBy(key).agg(
+        F.sum(F.size(samples)).cast("long").alias("_n"), (F.sum(_square_sum(samples)) / F.sum(F.size(samples))).alias("_ms")
+    )
     length = F.least(F.lit(1024), F.floor(F.col("_n") / 4))
     whole = whole.withColumn("_len", length).withColumn("_hop", F.floor(length / 2))
     fit = whole.filter((F.col("_len") >= 64) & (F.col("_n") >= sample_rate // 10))
     known = lookup(pieces.select(key, "at", "samples"), fit.select(key, "_hop"), key, "inner")
-    cells = frames_of(known, key, "_hop").groupBy(key, F.floor(F.col("frame_no") / F.col("_hop")).alias("cell")).agg(
-        F.sum(sq).alias("ss"),
-        # An odd frame reaches one sample into a third cell.
-        F.max(F.when(F.col("frame_no") % F.col("_hop") == 0, sq)).alias("head"),
-    )
+    # An odd frame reaches one sample into a third cell, so cells carry their first square.
+    cells = cells_of(known, [key, "_hop"], F.col("_hop"))
     near = neighbours(cells, [key], "cell", ["ss", "head"], span=2)
     extra = F.when(F.col("_len") % 2 == 1, F.coalesce("head_2", F.lit(0.0))).otherwise(F.lit(0.0))
     level = F.sqrt((F.col("ss") + F.coalesce("ss_1", F.lit(0.0)) + extra) / F.col("_len"))

@@ -22,14 +22,14 @@ _DB = "CASE WHEN sqrt({ms}) < 1 THEN -100 ELSE 20 * log10(sqrt({ms}) / 32768.0)
 @query("f16_signal_level", "signal_id:s n_frames:l rms_db:d", with_tables("series", f"""
     SELECT signal_id, count(*) AS n_frames, {_DB.format(ms='avg(value * value)')} AS rms_db FROM series GROUP BY 1"""))
 def f16(t):
-    return sg.signal_level(fx.series(t), ["signal_id"], 2)
+    return sg.signal_level(_as_pieces(fx.series(t)), ["signal_id"], 2)
 
 
 @query("f20_peak", "signal_id:s channel:l peak:d", with_tables("samples", """
     SELECT signal_id, channel, max(abs(value)) AS peak FROM samples GROUP BY 1, 2"""))
 def f20(t):
     pieces = sg.pieces_of(fx.blocks(t), BLOCK)
-    return sg.signal_level(sg.frames_of(pieces, "signal_id", "channel"), ["signal_id", "channel"], 2)
+    return sg.signal_level(pieces, ["signal_id", "channel"], 2)
 
 
 @query("d18_mono_downmix", "signal_id:s n:l total:d", with_tables("samples", """
@@ -92,7 +92,7 @@ _ENV = "SELECT signal_id, hop_no, 20 * log10(greatest(sqrt(ms), 1) / 32768.0) AS
 @query("g2_envelope", "signal_id:s hop_no:l env_db:d",
        with_tables("series", "SELECT * FROM env", hops=_HOPS.format(hop=5, last=9), env=_ENV))
 def g2(t):
-    return sg.envelope(fx.series(t), ["signal_id"], 100, 2)
+    return sg.envelope(_as_pieces(fx.series(t)), ["signal_id"], 100, 2)
 
 
 _RISES = """
@@ -104,7 +104,7 @@ _RISES = """
 @query("g3_energy_rises", "signal_id:s hop_no:l rms:d rise:d",
        with_tables("series", "SELECT * FROM rises", hops=_HOPS.format(hop=2, last=3), rises=_RISES))
 def g3(t):
-    rises = sg.energy_rises(fx.series(t), ["signal_id"], 4, 2)
+    rises = sg.energy_rises(_as_pieces(fx.series(t)), ["signal_id"], 4, 2)
     return rises
 
 
@@ -117,7 +117,7 @@ def g3(t):
     hops=_HOPS.format(hop=5, last=9), env=_ENV))
 def e12(t):
     frames = fx.series(t).select("signal_id", "frame_no", "value")
-    return sg.interpolate_envelope(frames, sg.envelope(frames, ["signal_id"], 100, 2), 5)
+    return sg.interpolate_envelope(frames, sg.envelope(_as_pieces(frames), ["signal_id"], 100, 2), 5)
 
 
 # --- onsets -----------------------------------------------------------------

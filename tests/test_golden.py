@@ -100,7 +100,7 @@ def test_gain_pan_limit(spark):
 
 def test_signal_level(spark):
     rows = [("a", i, x) for i, x in enumerate([1000.0, -1000.0] * 2)] + [("z", i, 0.0) for i in range(4)]
-    df = spark.createDataFrame(rows, "signal_id string, frame_no long, value double")
+    df = spark.createDataFrame(rows, "signal_id string, at long, value double").withColumn("samples", F.array("value"))
     got = {r.signal_id: r.rms_db for r in sg.signal_level(df, ["signal_id"], 2).collect()}
     assert got["a"] == pytest.approx(-30.308999, abs=1e-6) and got["z"] == -100.0
 
@@ -337,8 +337,9 @@ def test_merge_keeps_text_without_a_cap(spark):
 
 
 def test_last_frame_has_no_rise(spark):
-    frames = spark.createDataFrame([("s", i, float(i)) for i in range(8)], "signal_id string, frame_no long, value double")
-    rises = {r["hop_no"]: r["rise"] for r in sg.energy_rises(frames, ["signal_id"], 4, 2).collect()}
+    rows = [("s", at, [float(x) for x in range(at, at + n)]) for at, n in ((0, 3), (3, 1), (4, 4))]
+    pieces = spark.createDataFrame(rows, "signal_id string, at long, samples array<double>")
+    rises = {r["hop_no"]: r["rise"] for r in sg.energy_rises(pieces, ["signal_id"], 4, 2).collect()}
     assert rises[max(rises)] is None and all(v is not None for k, v in rises.items() if k != max(rises))
 
 
