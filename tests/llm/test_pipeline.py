@@ -13,6 +13,7 @@ def planted(tmp_path, documents, spark):
     rows = [(i, f"{clean(60)}\n{clean(40)}") for i in range(300)]
     for i in range(0, 120, 2):
         rows[i] = (i, rows[i][1].replace("term1", "scum") + " idiot scum moron")
+    rows[201] = (201, f"{clean(200)}\n{clean(40)}")
     near = rows[201][1].split(" ")
     near[10] = "other"
     rows += [(1000, " ".join(near)), (1001, rows[203][1]), (1002, f"{clean(20)} {item} {clean(20)}"), (1003, ""), (1004, None), (None, clean(9))]
