@@ -357,7 +357,7 @@ def clip_onsets(
         .groupBy(key)
         .agg(F.min(begin).alias("_at"))
     )
-    onset = F.greatest(F.col("_at") / sample_rate * 1000.0, F.lit(min_ms))
+    onset = F.when(F.col("_at").isNotNull(), F.greatest(F.col("_at") / sample_rate * 1000.0, F.lit(min_ms)))
     return whole.select(key).join(first, key, "left").select(
         key, F.coalesce(onset, F.lit(0.0)).alias("onset_ms")
     )

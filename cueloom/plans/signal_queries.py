@@ -214,7 +214,7 @@ def _swell(t):
 
 
 @query("g5_clip_onsets", "signal_id:s onset_ms:d", with_tables("samples", """
-    SELECT w.signal_id, coalesce(greatest(min(k * hop) / 8000.0 * 1000, 10), 0) AS onset_ms
+    SELECT w.signal_id, CASE WHEN min(k) IS NULL THEN 0 ELSE greatest(min(k * hop) / 8000.0 * 1000, 10) END AS onset_ms
     FROM whole w LEFT JOIN (
         SELECT s.signal_id, k, sqrt(avg(value * value)) AS rms
         FROM (SELECT w.*, unnest(range(n // GREATEST(hop, 1) + 1)) AS k FROM whole w) c
@@ -238,23 +238,26 @@ def g6(t):
 
 # --- channel energy ---------------------------------------------------------
 
-_FFT = 256
-# A direct Fourier sum over the bins of the band.
-_BAND = f"""
-    SELECT {{keys}}, sum(re * re + im * im) AS energy FROM (
-        SELECT {{keys}}, win, bin, sum(x * cos(2 * pi() * bin * p / {_FFT})) AS re, sum(x * sin(2 * pi() * bin * p / {_FFT})) AS im
-        FROM (SELECT {{keys}}, win, place - win * {_FFT // 2} AS p,
-                     value * (0.5 - 0.5 * cos(2 * pi() * (place - win * {_FFT // 2}) / {_FFT - 1})) AS x
-              FROM (SELECT *, unnest([place // {_FFT // 2}, place // {_FFT // 2} - 1]) AS win FROM {{source}})
-              WHERE win >= 0 AND win * {_FFT // 2} + {_FFT} < n)
-        JOIN (SELECT unnest(range({_FFT // 2 + 1})) AS bin) b ON bin * {RATE} / {_FFT}.0 BETWEEN 85 AND 3000
+_FFT, _SHORT_FFT = 256, 64
+
+
+def _band(keys: str, source: str, fft: int = _FFT) -> str:
+    """A direct Fourier sum over the bins of the band."""
+    return f"""
+    SELECT {keys}, sum(re * re + im * im) AS energy FROM (
+        SELECT {keys}, win, bin, sum(x * cos(2 * pi() * bin * p / {fft})) AS re, sum(x * sin(2 * pi() * bin * p / {fft})) AS im
+        FROM (SELECT {keys}, win, place - win * {fft // 2} AS p,
+                     value * (0.5 - 0.5 * cos(2 * pi() * (place - win * {fft // 2}) / {fft - 1})) AS x
+              FROM (SELECT *, unnest([place // {fft // 2}, place // {fft // 2} - 1]) AS win FROM {source})
+              WHERE win >= 0 AND win * {fft // 2} + {fft} < n)
+        JOIN (SELECT unnest(range({fft // 2 + 1})) AS bin) b ON bin * {RATE} / {fft}.0 BETWEEN 85 AND 3000
         GROUP BY ALL) GROUP BY ALL"""
 
 
 @query("f17_voice_band_energy", "signal_id:s channel:l log_energy:d", with_tables(
     "samples", "SELECT signal_id, channel, log10(energy) AS log_energy FROM band",
     cut="SELECT signal_id, channel, frame_no AS place, value, count(*) OVER (PARTITION BY signal_id, channel) AS n FROM samples",
-    band=_BAND.format(keys="signal_id, channel", source="cut")))
+    band=_band("signal_id, channel", "cut")))
 def f17(t):
     pieces = sg.pieces_of(fx.blocks(t), BLOCK)
     energy = sg.channel_energy(pieces, ["signal_id", "channel"], RATE, _FFT, _FFT // 2).filter("energy > 0")
@@ -269,7 +272,7 @@ _SIDE = """CASE WHEN l + r < 1e-10 THEN 'both' WHEN l > r * 1.2::DOUBLE THEN 'le
         SELECT signal_id, sum(CASE WHEN channel = 0 THEN energy ELSE 0 END) AS l,
                sum(CASE WHEN channel = 1 THEN energy ELSE 0 END) AS r FROM band GROUP BY 1)""",
     cut="SELECT signal_id, channel, frame_no AS place, value, count(*) OVER (PARTITION BY signal_id, channel) AS n FROM samples",
-    band=_BAND.format(keys="signal_id, channel", source="cut")))
+    band=_band("signal_id, channel", "cut")))
 def f18(t):
     pieces = sg.pieces_of(fx.blocks(t), BLOCK)
     e = sg.channel_energy(pieces, ["signal_id", "channel"], RATE, _FFT, _FFT // 2)
@@ -324,10 +327,17 @@ def e13(t):
     )
 
 
-# No SQL: a Fourier sum per clip is too slow there; checked against numpy in the tests.
-@query("m5_clip_sides", "clip_id:l side:s angle:l")
+# A short transform, so that a Fourier sum for every clip is not too much for SQL.
+@query("m5_clip_sides", "clip_id:l side:s angle:l", with_tables("samples", f"""
+    SELECT clip_id, coalesce(side, 'both') AS side, CASE coalesce(side, 'both') WHEN 'left' THEN 155 WHEN 'right' THEN 25 ELSE 135 END AS angle
+    FROM clips LEFT JOIN (
+        SELECT clip_id, {_SIDE} AS side FROM (
+            SELECT clip_id, coalesce(max(CASE WHEN channel = 0 THEN energy END), max(energy)) AS l,
+                   coalesce(max(CASE WHEN channel = 1 THEN energy END), max(energy)) AS r FROM band GROUP BY 1)) USING (clip_id)""",
+    clips=_CLIPS, lengths=_LENGTHS, cut=_CUT, band=_band(
+        "clip_id, channel", "(SELECT clip_id, channel, \"at\" AS place, value, n FROM cut)", _SHORT_FFT)))
 def m5(t):
-    return sg.detect_sides(_clips(t), fx.blocks(t), _lengths(t), RATE, BLOCK, fft_len=_FFT, hop=_FFT // 2)
+    return sg.detect_sides(_clips(t), fx.blocks(t), _lengths(t), RATE, BLOCK, fft_len=_SHORT_FFT, hop=_SHORT_FFT // 2)
 
 
 @query("f15_pan_histogram", "event_type:s n_left:l n_center:l n_right:l", """
@@ -378,8 +388,12 @@ def f19(t):
     )
 
 
-def _mix_sql(gain: str, **more: str) -> str:
-    """SQL of a mix where ``gain`` is the factor of a placed sample; needs ``gained`` columns in scope."""
+def _mix_sql(gain: str, moved: dict[str, str] | None = None, **more: str) -> str:
+    """SQL of a mix where ``gain`` is the factor of a placed sample; needs ``gained`` columns in scope.
+
+    ``moved`` are tables in front of the others; the last one, ``clips``, has the clips where they come to lie.
+    """
+    first = moved or {"clips": _CLIPS, "lengths": _LENGTHS}
     return with_tables("samples", """
         SELECT signal_id, channel, f // 64 AS block_no, sum(y) AS total, min(y) AS lowest, max(y) AS highest FROM (
             SELECT *, CAST(trunc(greatest(-32768.0::DOUBLE, least(32767.0::DOUBLE, sign(x) * 32767 *
@@ -390,7 +404,7 @@ def _mix_sql(gain: str, **more: str) -> str:
                 SELECT signal_id, channel, f, v FROM ground UNION ALL
                 SELECT signal_id, 0, f, value * %s * cos(radians(angle) / 2) FROM gained UNION ALL
                 SELECT signal_id, 1, f, value * %s * sin(radians(angle) / 2) FROM gained) GROUP BY 1, 2, 3))
-        GROUP BY 1, 2, 3""" % (gain, gain), clips=_CLIPS, lengths=_LENGTHS, placed=_PLACED,
+        GROUP BY 1, 2, 3""" % (gain, gain), **first, placed=_PLACED,
         ground="""
         SELECT signal_id, c AS channel, frame_no AS f, coalesce(max(CASE WHEN channel = c THEN value END), max(value)) AS v
         FROM samples CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1) GROUP BY signal_id, frame_no, c""", **more)
@@ -442,8 +456,28 @@ def m3(t):
     return _mix(t, volume_db=-2.0, auto_volume="auto", align_onset=False)
 
 
-# No SQL: all stages together; checked against numpy in the tests.
-@query("m4_mix_aligned", _MIX)
+# Clips of 64 samples are too short to have an onset of their own, so only the alignment to the content moves them.
+_MOVED = {
+    "lengths": _LENGTHS, "given": _CLIPS,
+    "series": "SELECT signal_id, frame_no, avg(value) AS value FROM samples GROUP BY 1, 2",
+    "hops": _HOPS.format(hop=16, last=31), "rises": _RISES,
+    "bounds": f"""
+        SELECT signal_id, seq, start_ms, coalesce(lag(start_ms) OVER w, 0) AS lo_ms,
+               least(coalesce(lead(start_ms) OVER w, n_frames * 1000 // {RATE}), n_frames * 1000 // {RATE}) AS hi_ms
+        FROM given JOIN lengths USING (signal_id) WINDOW w AS (PARTITION BY signal_id ORDER BY seq)""",
+    "seen": f"""
+        SELECT b.signal_id, b.seq, b.start_ms, r.rise, r.hop_no * 16 * 1000.0::DOUBLE / {RATE} AS ms FROM bounds b JOIN rises r
+        ON r.signal_id = b.signal_id AND r.hop_no * 16 >= lo_ms * {RATE} // 1000 AND r.hop_no * 16 + 48 <= hi_ms * {RATE} // 1000
+        WHERE hi_ms > lo_ms AND hi_ms * {RATE} // 1000 - lo_ms * {RATE} // 1000 >= {RATE}""",
+    "near": _NEAREST,
+    "clips": f"""
+        SELECT signal_id, clip_id, seq, angle, CAST(round_even(aligned_ms * {RATE} / 1000, 0) AS BIGINT) AS start_frame
+        FROM given JOIN near USING (signal_id, seq)""",
+}
+
+
+@query("m4_mix_aligned", _MIX, _mix_sql(
+    "pow(10, greatest(-50, least(50, base_db - clip_db)) / 20)", _MOVED, gained=_LEVELS))
 def m4(t):
     return _mix(
         t, volume_db=0.0, auto_volume="fixed", align_onset=True, content_alignment=True, onset_frame=32, onset_hop=16

@@ -360,3 +360,10 @@ def test_folder_of_a_path(spark):
     paths = ["a/b/c", "/x", "x", "", "/", "a/", "//x"]
     got = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").select("i", tx.dir_name(F.col("p")).alias("d"))
     assert [r["d"] for r in sorted(got.collect())] == ["a/b", "/", "", "", "/", "a", "/"]
+
+
+def test_clips_without_an_onset(spark):
+    rows = [("short", 0, [900.0] * 64), ("silent", 0, [0.0] * 900), ("loud", 0, [900.0] * 900)]
+    pieces = spark.createDataFrame(rows, "clip_id string, at long, samples array<double>")
+    got = {r["clip_id"]: r["onset_ms"] for r in sg.clip_onsets(pieces, 8000).collect()}
+    assert got == {"short": 0.0, "silent": 0.0, "loud": 10.0}
