@@ -3,10 +3,9 @@
 Features of a text: its distinct words, bigrams and skip-grams (one word left out), hashed to ``2 ** BITS`` places;
 each counts once. Words are runs of ASCII letters, digits and bytes from 0x80, A-Z lower-cased.
 
-Training reads a bounded sample of the labelled rows (``max_rows``, chosen by a hash of doc_id). The sample is cut
-into a fixed number of shards; in each round every shard runs FTRL from the common state and the states are averaged.
-Only the state (two vectors of ``2 ** BITS`` numbers) passes through the driver, whatever the size of the tables. L1
-leaves few non-zero weights, which travel to the scoring tasks.
+Training reads a bounded sample of the labelled rows (``max_rows``, chosen by a hash of doc_id): texts are encoded where
+they lie, and one task runs FTRL over the encoded rows, in an order given by a hash, for a few epochs. Per-coordinate
+rates and L1 leave few non-zero weights; only these pass through the driver, and travel to the scoring tasks.
 """
 
 from __future__ import annotations
@@ -18,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import freeze
 from . import tokens
 
 BITS = 20
-SHARDS = 4
-ROUNDS = 6
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 8.0, 0.1
 #: Most labelled rows that training reads.
 MAX_ROWS = 16_000
 #: Hash place of the constant feature.
@@ -66,28 +63,25 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(keep, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
 
 
-def _learn(z: np.ndarray, n: np.ndarray):
-    """One FTRL pass over a partition's rows from the state ``z``, ``n``; returns the new state and the row count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zz, nn, rows = z.copy(), n.copy(), 0
-        for batch in batches:
-            for label, places in zip(batch.column("label").to_pylist(), batch.column("places").to_pylist()):
-                x = np.append(np.frombuffer(places, "<i4"), BIAS)
-                zx, nx = zz[x], nn[x]
-                w = _weights(zx, nx)
-                p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-                g = p - label
-                nn[x] = nx + g * g
-                zz[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / ALPHA * w
-                rows += 1
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows]), pa.array([zz.tobytes()], pa.binary()), pa.array([nn.tobytes()], pa.binary())],
-                ["rows", "z", "n"],
-            )
-
-    return run
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FTRL over all rows of the partition, ``EPOCHS`` times; the non-zero weights. Texts without words still move the constant."""
+    rows = [
+        (label, np.append(np.frombuffer(places, "<i4"), BIAS))
+        for batch in batches
+        for label, places in zip(batch.column("label").to_pylist(), batch.column("places").to_pylist())
+    ]
+    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for _ in range(EPOCHS):
+        for label, x in rows:
+            zx, nx = z[x], n[x]
+            w = _weights(zx, nx)
+            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
+            g = p - label
+            n[x] = nx + g * g
+            z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / ALPHA * w
+    w = _weights(z, n)
+    places = np.flatnonzero(w)
+    yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(w[places])], ["place", "weight"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = MAX_ROWS) -> np.ndarray:
@@ -105,20 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = M
     # The sample is bounded by max_rows, so it may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(marked), "doc_id").select("doc_id", "text", F.col("label").cast("int"))
-    rows = freeze(
-        sample.mapInArrow(_encode, "doc_id long, label int, places binary")
-        .repartition(SHARDS, F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
-        .sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "places")
-    )
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for _ in range(ROUNDS):
-        parts = rows.mapInArrow(_learn(z, n), "rows long, z binary, n binary").collect()
-        total = sum(r["rows"] for r in parts)
-        if not total:
-            break
-        z = sum(np.frombuffer(r["z"]) * (r["rows"] / total) for r in parts)
-        n = sum(np.frombuffer(r["n"]) * (r["rows"] / total) for r in parts)
-    return _weights(z, n).astype(np.float32)
+    encoded = sample.mapInArrow(_encode, "doc_id long, label int, places binary")
+    ordered = encoded.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "places")
+    weights = np.zeros(1 << BITS, np.float32)
+    for r in ordered.mapInArrow(_learn, "place long, weight double").collect():
+        weights[r["place"]] = r["weight"]
+    return weights
 
 
 def _score(places: np.ndarray, values: np.ndarray):
