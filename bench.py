@@ -13,7 +13,7 @@ import sys
 import time
 
 from cueloom.plans import QUERIES
-from cueloom.session import build_session
+from cueloom.session import build_session, release
 
 HEADLINE = (
     "flagship_reuse_by_source", "a1_timed_text_scan", "a7_cache_upsert", "c1_lrc_cues", "c2_vtt_cues", "c3_srt_cues",
@@ -28,7 +28,9 @@ HEADLINE = (
 def once(spark, name: str, folder: str) -> float:
     start = time.perf_counter()
     QUERIES[name].run(spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    spent = time.perf_counter() - start
+    release(spark)
+    return spent
 
 
 def main() -> None:

@@ -56,8 +56,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Folders handed out and not yet released, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder below the shared one; it stays until :func:`release`."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all folders this application got from :func:`fresh_dir`; their number.
+
+    For the owner of the session, once results are saved elsewhere: frames that read such a folder are void after it.
+    """
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(made)
 
 
 def freeze(df: DataFrame) -> DataFrame:

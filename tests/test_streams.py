@@ -39,3 +39,11 @@ def test_hand_off(spark):
     live = lv.to_table(lv.stage_hand_off(fx.event_stream(t)))
     cols = ("task_id", "action", "event_id")
     assert rows(live, *cols) == rows(lv.hand_off_batch(fx.job_events(t)), *cols)
+
+
+def test_folders_are_released(spark):
+    from cueloom import session
+
+    frozen = session.freeze(spark.range(5))
+    assert frozen.count() == 5 and session.release(spark) >= 1 and session.release(spark) == 0
+    assert not [f for f in frozen.inputFiles() if __import__("os").path.exists(f.removeprefix("file://"))]
