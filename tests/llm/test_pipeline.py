@@ -15,7 +15,8 @@ def planted(tmp_path, documents, spark):
         rows[i] = (i, rows[i][1].replace("term1", "scum") + " idiot scum moron")
     rows[201] = (201, f"{clean(200)}\n{clean(40)}")
     near = rows[201][1].split(" ")
-    near[10] = "other"
+    # A word of each line, so that line dedup leaves both lines.
+    near[10], near[215] = "other", "another"
     rows += [(1000, " ".join(near)), (1001, rows[203][1]), (1002, f"{clean(20)} {item} {clean(20)}"), (1003, ""), (1004, None), (None, clean(9))]
     line = "the same long line in two documents"
     rows += [(1005, f"{clean(50)}\n{line}"), (1006, f"{line}\n{clean(50)}")]
