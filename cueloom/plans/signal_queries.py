@@ -335,7 +335,7 @@ def e13(t):
             SELECT clip_id, coalesce(max(CASE WHEN channel = 0 THEN energy END), max(energy)) AS l,
                    coalesce(max(CASE WHEN channel = 1 THEN energy END), max(energy)) AS r FROM band GROUP BY 1)) USING (clip_id)""",
     clips=_CLIPS, lengths=_LENGTHS, cut=_CUT, band=_band(
-        "clip_id, channel", "(SELECT clip_id, channel, \"at\" AS place, value, n FROM cut)", _SHORT_FFT)))
+        "clip_id, channel", "(SELECT clip_id, channel, \"at\" AS place, value, count(*) OVER (PARTITION BY clip_id, channel) AS n FROM cut)", _SHORT_FFT)))
 def m5(t):
     return sg.detect_sides(_clips(t), fx.blocks(t), _lengths(t), RATE, BLOCK, fft_len=_SHORT_FFT, hop=_SHORT_FFT // 2)
 
