@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans (operator 3).
 
-A text is cut into sentences, every run of ``RUN`` consecutive sentences is hashed, and equal runs are found by one
-global aggregation. Sentences that a run covers go, unless the run is the first of its kind (smallest doc_id, then
+A text is cut into sentences, every run of ``RUN`` consecutive sentences (more, where they are so short that the run
+would have fewer than ``MIN_WORDS`` words) is hashed, and equal runs are found by one global aggregation. Sentences that a run covers go, unless the run is the first of its kind (smallest doc_id, then
 position). Sentences end after ``.``, ``!`` or ``?`` before a blank, or at a line end; one of more than ``PIECE`` words
 counts as several pieces, so a passage of a few long sentences has runs too.
 
@@ -23,13 +23,13 @@ from ..session import freeze
 from . import tokens
 
 RUN = 3
-#: Words of a run at least; shorter runs repeat by chance.
+#: Words of a run at least; runs of fewer repeat by chance, so they go on to the next sentences.
 MIN_WORDS = 10
 PIECE = 12
 
 _TABLE = tokens.blank_table()
 _rng = np.random.default_rng(3)
-_C = _rng.integers(1, 2**63, max(RUN, PIECE) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_C = _rng.integers(1, 2**63, max(RUN, PIECE, MIN_WORDS) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _marks() -> tuple[np.ndarray, np.ndarray]:
@@ -76,14 +76,17 @@ def sentence_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return hashes, size, starts[cut], ends[cut + size - 1], np.searchsorted(cut, bounds)
 
 
-def _run_hashes(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and words of the run that starts at each piece; runs may reach into the next text."""
-    n = len(h) - RUN + 1
-    total, words = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for j in range(RUN):
-        total += h[j : j + n] * _C[j]
-        words += size[j : j + n]
-    return tokens.mix(total).view(np.int64), words
+def _run_hashes(h: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the run that starts at each piece its hash, and its number of pieces (0 where the text ends before it)."""
+    words = np.concatenate([[0], np.cumsum(size)])
+    last = np.searchsorted(words, words[:-1] + MIN_WORDS)
+    at = np.arange(len(h))
+    length = np.maximum(last - at, RUN)
+    total = np.zeros(len(h), np.uint64)
+    for j in range(min(len(h), max(RUN, MIN_WORDS))):
+        total[: len(h) - j] += np.where(j < length[: len(h) - j], h[j:] * _C[j], np.uint64(0))
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    return tokens.mix(total + length.astype(np.uint64)).view(np.int64), np.where(at + length <= ends, length, 0)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +95,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = tokens.texts_of(batch.column(1))
         for lo, hi in tokens.chunks(off):
             h, size, _, _, bounds = sentence_pieces(data, off[lo : hi + 1])
-            n = len(h) - RUN + 1
-            if n <= 0:
+            if not len(h):
                 continue
-            run, words = _run_hashes(h, size)
-            ends = np.repeat(bounds[1:], np.diff(bounds))[:n]
-            good = np.flatnonzero((np.arange(n) + RUN <= ends) & (words >= MIN_WORDS))
+            run, length = _run_hashes(h, size, bounds)
+            good = np.flatnonzero(length)
             text = np.searchsorted(bounds, good, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(run[good]), ids.take(pa.array(lo + text)),
@@ -106,14 +107,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cover(starts: list[int]) -> list[tuple[int, int]]:
-    """Merge runs starting at ``starts`` into ranges of sentences (end excluded)."""
+def _cover(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Merge runs (start, pieces) into ranges of sentences (end excluded)."""
     out: list[tuple[int, int]] = []
-    for s in sorted(set(starts)):
+    for s, n in sorted(set(runs)):
         if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + RUN)
+            out[-1] = (out[-1][0], max(out[-1][1], s + n))
         else:
-            out.append((s, s + RUN))
+            out.append((s, s + n))
     return out
 
 
@@ -125,7 +126,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = batch.column(2).to_pylist()
         for lo, hi in tokens.chunks(off):
             h, size, begin, end, bounds = sentence_pieces(data, off[lo : hi + 1])
-            run = _run_hashes(h, size)[0] if len(h) >= RUN else np.zeros(0, np.int64)
+            run, length = _run_hashes(h, size, bounds)
             for i in range(lo, hi):
                 if not gone[i]:
                     continue
@@ -135,7 +136,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep, at, ranges = [], 0, []
                 first, own = int(bounds[i - lo]), len(a)
                 # A row that only shares the doc_id has other runs there.
-                mine = [g["at"] for g in gone[i] if g["at"] + RUN <= own and run[first + g["at"]] == g["run"]]
+                mine = [
+                    (g["at"], int(length[first + g["at"]]))
+                    for g in gone[i] if g["at"] < own and length[first + g["at"]] and run[first + g["at"]] == g["run"]
+                ]
                 for s, e in _cover(mine):
                     stop = int(a[e]) if e < len(a) else len(raw)
                     keep.append(raw[at : int(a[s])])

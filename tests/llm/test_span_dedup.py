@@ -27,10 +27,13 @@ def brute(rows):
     docs = sorted((i, t) for i, t in rows if i is not None and t is not None)
     for i, t in docs:
         p = pieces(t)
-        for a in range(len(p) - sp.RUN + 1):
-            run = tuple(tuple(x[0]) for x in p[a:a + sp.RUN])
-            if sum(map(len, run)) >= sp.MIN_WORDS and first.setdefault(run, (i, a)) != (i, a):
-                cut.setdefault((i, t), set()).update(range(a, a + sp.RUN))
+        for a in range(len(p)):
+            n = sp.RUN
+            while a + n <= len(p) and sum(len(x[0]) for x in p[a:a + n]) < sp.MIN_WORDS:
+                n += 1
+            run = tuple(tuple(x[0]) for x in p[a:a + n])
+            if a + n <= len(p) and first.setdefault(run, (i, a)) != (i, a):
+                cut.setdefault((i, t), set()).update(range(a, a + n))
     out = []
     for i, t in rows:
         gone = cut.get((i, t), set())
@@ -92,5 +95,12 @@ def test_odd_rows(documents, odd):
     assert texts[2] == ["Own start. Own end."] and texts[9003] == [" \n\t \n"] and texts[9001] == [None]
 
 
+def test_shouted_passages(documents):
+    passage = " ".join(f"WORD{i}!!" for i in range(60))
+    rows = [(1, f"Own words here. {passage} More of them."), (2, f"Other start here. {passage} Other end here."), (3, "Of. " * 5)]
+    got = {r["doc_id"]: r["text"] for r in sp.dedup_spans(documents(rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "Other start here. Other end here." and got[3] == rows[2][1]
+
+
 def test_empty_table(documents):
     assert sp.dedup_spans(documents([])).collect() == []
