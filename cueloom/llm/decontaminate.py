@@ -64,7 +64,7 @@ def _rows(bits: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for at, words, bounds in tokens.hashed(batch.column(1), _TABLE):
+            for at, words, bounds in tokens.hashed(batch.column(1), _TABLE, latin=True):
                 starts, text, seeds = _seeds(words, bounds)
                 hit = np.ones(seeds.shape, bool)
                 if bits is not None:
@@ -105,7 +105,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_windows, first_word, mismatches)`` for every document that leaks an item.
 
     ``n_windows`` counts window positions of the document that match the item, ``first_word`` is the first of them
-    and ``mismatches`` the fewest differing words. Words are split at ASCII blanks, A-Z lower-cased. Items and
+    and ``mismatches`` the fewest differing words. Words are split at ASCII blanks; A-Z and U+00C0-U+00DE are lower-cased. Items and
     documents with fewer than ``WINDOW`` words, null texts and null ids take no part; rows that repeat an id count as
     one document or item.
     """

@@ -103,9 +103,21 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return hashes, np.searchsorted(idx[first], at)
 
 
-def hashed(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals from U+00C0 to U+00DE made small (U+00D7 is no letter)."""
+    after = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    if not len(after):
+        return data
+    out = data.copy()
+    out[after] += 0x20
+    return out
+
+
+def hashed(column: pa.Array, table: np.ndarray, latin: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each chunk of a column: number of its first text, word hashes, first word of each text."""
     data, off = texts_of(column)
+    if latin:
+        data = lower_latin(data)
     for lo, hi in chunks(off):
         words, bounds = hash_words(data, off[lo : hi + 1], table)
         yield lo, words, bounds

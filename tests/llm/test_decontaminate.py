@@ -72,6 +72,12 @@ def test_odd_rows(spark, documents, odd):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in odd + [(2, ""), (None, "")])
 
 
+def test_capitals_do_not_hide_a_leak(spark, documents):
+    item = "été là où ça coûte ñandú über straße œuvre naïve über été là où"
+    got = dc.leaks(documents([(1, item.upper().replace("SS", "ß")), (2, "× " * 20)]), items_table(spark, [(1, item), (2, "÷ " * 20)]))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1)}
+
+
 def test_empty_tables(spark, documents, odd):
     assert dc.leaks(documents([]), items_table(spark, [(1, "a " * 20)])).collect() == []
     assert dc.drop_leaking(documents(odd), items_table(spark, [])).count() == len(odd)
