@@ -13,6 +13,8 @@ from cueloom.session import apply_settings, freeze
 
 #: Documents that score at least this are toxic.
 TOXIC = 0.7
+#: Documents that share at least this percentage of their word shingles are near duplicates.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return minhash.keep_one(docs)
+    """One document of each group of near duplicates (``NEAR``): the one with the smallest doc_id."""
+    return minhash.keep_one(docs, NEAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

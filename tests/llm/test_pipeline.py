@@ -65,3 +65,15 @@ def test_empty_tables(spark, documents, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_dedup_takes_four_fifths(spark, documents, tmp_path):
+    words = [f"word{i}" for i in range(54)]
+    other = words[:27] + ["new"] + words[28:]
+    # 45 of 55 shingles in common; the third text has 40 of 60.
+    third = other[:10] + ["newer"] + other[11:]
+    docs = documents([(1, " ".join(words)), (2, " ".join(other)), (4, " ".join(f"w{i}" for i in range(54)))])
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()} == {1, 4}
+    far = documents([(1, " ".join(words)), (3, " ".join(third))])
+    assert {r["doc_id"] for r in stage(spark, far, str(tmp_path)).collect()} == {1, 3}
