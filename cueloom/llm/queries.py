@@ -137,7 +137,7 @@ RULES = (
 
 @query("op5_url_language_ratio")
 def op5(spark, sf_dir):
-    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES, url_filter.BYTES, url_filter.LONG_ORDER)
 
 
 OP6_SQL = """

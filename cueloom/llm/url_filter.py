@@ -1,12 +1,13 @@
 """URL filter by rules and, where no rule fits, by a ratio of character language models (operator 5).
 
 URLs that a rule allows or blocks train two Markov models over characters, one of accepted and one of rejected URLs.
-Contexts have up to ``ORDER - 1`` characters; an estimate is mixed with that of the next shorter context in proportion
+Contexts have up to ``order - 1`` characters; an estimate is mixed with that of the next shorter context in proportion
 to how often and how variedly the context was seen, so the order varies with the evidence. A URL's score is the mean
 over its characters of the difference of log probabilities, and the cut is set on URLs that did not train.
 
-Counting is one Spark aggregation over all decided URLs. Characters fall into ``SYMBOLS`` classes, so the model has at
-most SYMBOLS ** ORDER numbers whatever the size of the input.
+Counts and estimates are tables keyed by context and character. They grow with the input, are made by aggregations
+and joins, and never pass through the driver or a broadcast. What a character is, is a table of 256 symbols, one for each
+byte: ``BYTES`` keeps all bytes apart, ``CLASSES`` merges letters of either case, digits, and bytes of no meaning.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER = 4
+from ..session import freeze
+
+#: Order over ``CLASSES``, and over ``BYTES``. At most eight, so that a context and its character are one 64-bit number.
+ORDER, LONG_ORDER = 4, 8
 #: Classes: 0 before the start, 1 any other byte, 2-27 letters, 28 digits, then the marks below.
 MARKS = "/.-_:%=&+~?#"
 SYMBOLS = 29 + len(MARKS)
@@ -39,7 +44,9 @@ def _classes() -> np.ndarray:
     return t
 
 
-_CLASS = _classes()
+CLASSES = _classes()
+#: Number of each byte plus one; UTF-8 has no byte 255.
+BYTES = np.minimum(np.arange(1, 257), 255).astype(np.uint8)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -60,63 +67,70 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def _grams(data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the full context and character at each byte of texts lo..hi, and the text it is in."""
-    base, sizes = off[lo], np.diff(off[lo : hi + 1])
-    symbol = _CLASS[data[base : off[hi]]].astype(np.int64)
-    owner = np.repeat(np.arange(hi - lo), sizes)
-    place = np.arange(len(symbol)) - np.repeat(off[lo:hi] - base, sizes)
-    gram = symbol.copy()
-    for back in range(1, ORDER):
-        before = np.zeros_like(symbol)
-        before[back:] = symbol[:-back]
-        gram += np.where(place >= back, before, 0) * SYMBOLS**back
-    return gram, owner
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from . import tokens
-
-    for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        data, off = tokens.texts_of(batch.column(0))
-        for lo, hi in tokens.chunks(off):
-            gram, owner = _grams(data, off, lo, hi)
-            code, n = np.unique(gram * 2 + label[lo + owner], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-
-
-def _model(counts: np.ndarray) -> np.ndarray:
-    """Log probability of every (context, character), flat, from counts of full contexts."""
-    p = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for order in range(1, ORDER + 1):
-        width = SYMBOLS ** (order - 1)
-        # The last axis is the character, the ones before it the nearest characters of the context.
-        n = counts.reshape(-1, width, SYMBOLS).sum(axis=0).astype(float)
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        shorter = np.tile(p, (width // len(p), 1))
-        p = np.where(total > 0, (n + kinds * shorter) / np.maximum(total + kinds, 1), shorter)
-    return np.log(p).ravel()
-
-
-def _score(table):
+def _grams(symbols: np.ndarray, order: int):
+    """Map ``(id, url)`` to ``(id, gram, n)``: how often each character after its full context is in a URL.
+
+    A gram has eight bits for each symbol, the character itself lowest.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import tokens
 
-        ratio = table.value
         for batch in batches:
-            data, off = tokens.texts_of(batch.column(0))
-            score = np.zeros(batch.num_rows)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, off = tokens.texts_of(batch.column(1))
             for lo, hi in tokens.chunks(off):
-                gram, owner = _grams(data, off, lo, hi)
-                size = np.diff(off[lo : hi + 1])
-                total = np.bincount(owner, ratio[gram].astype(float), hi - lo)
-                score[lo:hi] = total / np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], [*batch.schema.names[1:], "score"])
+                base, sizes = off[lo], np.diff(off[lo : hi + 1])
+                symbol = symbols[data[base : off[hi]]].astype(np.uint64)
+                owner = np.repeat(np.arange(lo, hi), sizes)
+                place = np.arange(len(symbol)) - np.repeat(off[lo:hi] - base, sizes)
+                gram = symbol.copy()
+                for back in range(1, order):
+                    before = np.zeros_like(symbol)
+                    before[back:] = symbol[:-back]
+                    gram |= np.where(place >= back, before, np.uint64(0)) << np.uint64(8 * back)
+                at = np.lexsort((gram, owner))
+                gram, owner = gram[at], owner[at]
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+                first = np.flatnonzero(new)
+                n = np.diff(first, append=len(gram))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[owner[first]]), pa.array(gram[first].view(np.int64)), pa.array(n)], ["id", "gram", "n"]
+                )
 
     return run
 
 
+def _model(grams: DataFrame, kinds: int, order: int) -> DataFrame:
+    """``(gram, ratio)``: difference of the log probabilities, of each row of ``grams(gram, allow, block)``.
+
+    Rows with no counts are characters and contexts that only scored URLs have. Every level has one row for each
+    context and character; a group or a key has at most 256 of them.
+    """
+    out = None
+    for level in range(1, order + 1):
+        bits = (1 << 8 * level) - 1
+        low = F.col("gram") if level == 8 else F.col("gram").bitwiseAND(F.lit(bits))
+        context = W.partitionBy(F.call_function("shiftrightunsigned", F.col("gram"), F.lit(8)))
+        seen = grams.groupBy(low.alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        seen = seen.select(
+            "gram", "allow", "block", *[F.sum(c).over(context).alias(f"{c}_all") for c in ("allow", "block")],
+            *[F.count_if(F.col(c) > 0).over(context).alias(f"{c}_kinds") for c in ("allow", "block")],
+        )
+        if out is None:
+            mixed = seen.withColumns({f"{c}_p": F.lit(1 / kinds) for c in ("allow", "block")})
+        else:
+            mixed = seen.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(bits >> 8))).join(
+                out.withColumnRenamed("gram", "suffix"), "suffix"
+            )
+        out = mixed.select("gram", *[
+            F.when(F.col(f"{c}_all") > 0, (F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_p")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds")))
+            .otherwise(F.col(f"{c}_p")).alias(f"{c}_p") for c in ("allow", "block")
+        ])
+    return out.select("gram", (F.log("allow_p") - F.log("block_p")).alias("ratio"))
+
+
 def _cut(scored: DataFrame) -> float:
     """The score that errs least on held-back URLs, both kinds weighing the same; 0 without both kinds."""
     place = F.least(F.greatest(F.floor((F.col("score") + SPAN) * (BINS / (2 * SPAN))), F.lit(0)), F.lit(BINS - 1))
@@ -134,35 +148,42 @@ def _cut(scored: DataFrame) -> float:
     return float(edges[best][np.argmin(np.abs(edges[best]))])
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], symbols: np.ndarray = CLASSES, order: int = ORDER) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` of every row of ``pages(page_id, url)``.
 
     ``verdict`` is the rule's, else ``allow`` if the score reaches the cut. A null or empty url scores 0. If no URL is
-    allowed by a rule, or none is blocked, all scores are 0 and the cut is 0.
+    allowed by a rule, or none is blocked, all scores are 0 and the cut is 0. ``symbols`` is ``CLASSES`` or ``BYTES``.
     """
-    spark = pages.sparkSession
     host, path = parts(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select(
         "page_id", "url", host.alias("host"), path.alias("path")
     )
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    marked = urls.select("page_id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    decided = marked.filter("ruled IS NOT NULL AND url <> ''").select(
-        "url", (F.col("ruled") == "allow").cast("int").alias("label")
-    )
     held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
-    counts = np.zeros((SYMBOLS**ORDER, 2), np.int64)
-    grouped = decided.filter(~held).mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    for r in grouped.toLocalIterator():
-        counts[r["code"] >> 1, r["code"] & 1] = r["n"]
-    ratio = np.zeros(SYMBOLS**ORDER, np.float32)
-    if counts.sum(axis=0).all():
-        ratio = (_model(counts[:, 1]) - _model(counts[:, 0])).astype(np.float32)
-    # SYMBOLS ** ORDER numbers, a bound that no input exceeds.
-    table = spark.sparkContext.broadcast(ratio)
-    cut = _cut(decided.filter(held).mapInArrow(_score(table), "label int, score double"))
-    scored = marked.select("url", "page_id", "host", "path", "rule", "ruled").mapInArrow(
-        _score(table), "page_id long, host string, path string, rule string, ruled string, score double"
+    # A row is known by a number that stays the same when tasks run again.
+    marked = freeze(urls.select(
+        "page_id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"), held.alias("held")
+    ).withColumn("id", F.monotonically_increasing_id()))
+    grams = freeze(
+        marked.filter("url <> ''").select("id", "url").mapInArrow(_grams(symbols, order), "id long, gram long, n long")
     )
+    learns = marked.filter("ruled IS NOT NULL AND NOT held").select("id", "ruled")
+    known = {r["ruled"] for r in learns.join(grams.select("id"), "id", "left_semi").select("ruled").distinct().collect()}
+    if known == {"allow", "block"}:
+        counted = grams.join(learns, "id", "left").groupBy("gram").agg(*[
+            F.sum(F.when(F.col("ruled") == c, F.col("n")).otherwise(0)).alias(c) for c in ("allow", "block")
+        ])
+        kinds = SYMBOLS if symbols is CLASSES else 256
+        ratios = _model(freeze(counted), kinds, order)
+        sums = grams.join(ratios, "gram").groupBy("id").agg(F.sum(F.col("n") * F.col("ratio")).alias("total"))
+        scored = marked.join(sums, "id", "left").withColumn(
+            "score", F.coalesce(F.col("total") / F.octet_length("url"), F.lit(0.0))
+        )
+        scored = freeze(scored.select("page_id", "url", "host", "path", "rule", "ruled", "held", "score"))
+    else:
+        scored = marked.withColumn("score", F.lit(0.0))
+    cut = _cut(scored.filter("ruled IS NOT NULL AND url <> '' AND held").select(
+        (F.col("ruled") == "allow").cast("int").alias("label"), "score"
+    ))
     said = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", said.alias("verdict"), "score")

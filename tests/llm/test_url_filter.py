@@ -108,3 +108,34 @@ def test_nothing_to_learn_from(spark):
     got = uf.judge(table(spark, [(1, "http://a.fr/x"), (None, None), (1, "http://a.fr/x"), (2, "x" * 100_000)]), RULES).collect()
     assert len(got) == 4 and all(r["score"] == 0 and r["verdict"] == "allow" for r in got)
     assert uf.judge(table(spark, []), RULES).collect() == []
+
+
+def test_bytes_are_kept_apart(spark):
+    """Only the digit, the capital or the accent tells the kinds apart, in contexts of up to seven bytes."""
+    rows = [(i, f"https://{host}/{i:04d}") for i, host in enumerate(["example.com/en/7", "example.net/de/8"] * 100)]
+    free = ["x://site.info/en/7", "x://site.info/de/8"]
+    rows += [(1000, free[0]), (1001, free[1])]
+    got = {r["page_id"]: r for r in uf.judge(table(spark, rows), RULES, uf.BYTES, uf.LONG_ORDER).collect()}
+    assert got[1000]["rule"] is None and (got[1000]["verdict"], got[1001]["verdict"]) == ("allow", "block")
+    rules = (("allow", "one.com", ""), ("block", "two.com", ""))
+    for good, bad in (("Q", "q"), ("é", "è"), ("3", "4"), ("!", "$")):
+        rows = [(i, f"x://{('one', 'two')[i % 2]}.com/{(good, bad)[i % 2] * 9}") for i in range(60)]
+        rows += [(i + 60, f"x://one.com/{good * (i + 1)}") for i in range(30)] + [(i + 90, f"x://two.com/{bad * (i + 1)}") for i in range(30)]
+        rows += [(1000, f"x://six.com/{good * 9}"), (1001, f"x://six.com/{bad * 9}")]
+        got = {r["page_id"]: r for r in uf.judge(table(spark, rows), rules, uf.BYTES, uf.LONG_ORDER).collect()}
+        assert got[1000]["score"] > got[1001]["score"], good
+
+
+def test_scores_over_bytes_by_definition(spark, monkeypatch):
+    rows = corpus()[:200]
+    got = {r["page_id"]: r for r in uf.judge(table(spark, rows), RULES, uf.BYTES, 6).collect()}
+    from pyspark.sql import functions as F
+
+    held = {r["url"] for r in table(spark, rows).filter(F.pmod(F.xxhash64("url"), F.lit(uf.FOLDS)) == 0).collect()}
+    monkeypatch.setattr(uf, "ORDER", 6)
+    monkeypatch.setattr(uf, "SYMBOLS", 256)
+    monkeypatch.setitem(globals(), "symbols", lambda url: [b + 1 for b in url.encode()])
+    learn = {v: count([u for _, u in rows if ruled(u)[1] == v and u not in held]) for v in ("allow", "block")}
+    for i, u in rows:
+        score = (log_probability(u, learn["allow"]) - log_probability(u, learn["block"])) / len(u.encode())
+        assert math.isclose(got[i]["score"], score, abs_tol=1e-9)
