@@ -21,6 +21,8 @@ from ..session import freeze
 
 #: Shorter lines (in characters) take no part and stay.
 MIN_CHARS = 20
+#: A character that is not white space.
+INK = r"(?U)\S"
 #: Keys with more lines than this are cut again instead of being paired.
 PAIRS = 32
 #: Free characters at which cutting ends.
@@ -223,18 +225,49 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "pos", "line_id")
 
 
-def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
+def _short_repeats(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Short lines that go, ``(doc_id, pos, line_id)``, from rows that lose all their longer lines by ``gone(id, gone)``.
+
+    Of such a row every short line goes that stands at an earlier place of any row; blank lines stay.
+    """
+    places = F.transform(F.split("text", "\n"), lambda x, i: F.struct(
+        i.alias("pos"), F.xxhash64(x).alias("line_id"), (F.length(x) >= MIN_CHARS).alias("long"), x.rlike(INK).alias("ink")
+    ))
+    listed = docs.filter("doc_id IS NOT NULL").select("doc_id", places.alias("places")).select(
+        "doc_id", F.filter("places", lambda p: p["long"]).alias("long"),
+        F.transform(F.filter("places", lambda p: ~p["long"] & p["ink"]), lambda p: F.struct(p["pos"], p["line_id"])).alias("short"),
+    )
+    lost = listed.filter((F.size("long") > 0) & (F.size("short") > 0)).join(gone, F.col("doc_id") == F.col("id")).filter(
+        F.forall("long", lambda p: F.array_contains("gone", F.xxhash64(p["pos"], p["line_id"])))
+    )
+    loose = freeze(lost.select("doc_id", F.inline("short")))
+    ids = loose.select("line_id").distinct()
+    firsts = _maybe_in(listed.select("doc_id", F.inline("short")), ids).groupBy("line_id").agg(
+        F.min(F.struct("doc_id", "pos")).alias("first")
+    )
+    return loose.join(firsts, "line_id").filter(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos", "line_id")
+
+
+def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False) -> DataFrame:
     """``docs`` with repeated and nearly repeated lines taken out of ``text``; all columns stay.
 
     Every occurrence of a line of at least ``MIN_CHARS`` characters goes, except the first occurrence of a line that
     is not within one edit of an earlier one. With ``report``, ``(doc_id, n_lines, n_removed, text)`` instead.
     Null texts stay null; rows with a null doc_id stay as they are; rows that repeat a doc_id and a line at the same
     place are one occurrence. Two different lines count as one with probability 2 ** -64.
+
+    With ``short``, a row that loses all its lines of ``MIN_CHARS`` characters also loses those shorter lines that stand
+    at an earlier place, so nothing but blank lines is left of a copy.
     """
     source = docs.select(F.col("doc_id"), F.col("text"))
-    gone = line_decisions(source).groupBy(F.col("doc_id").alias("id")).agg(
+    decided = line_decisions(source)
+    by_row = lambda rows: rows.groupBy(F.col("doc_id").alias("id")).agg(
         F.collect_set(F.xxhash64("pos", "line_id")).alias("gone")
     )
+    if short:
+        decided = freeze(decided)
+        decided = decided.unionByName(_short_repeats(source, by_row(decided)))
+    gone = by_row(decided)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = whole.join(gone, F.col("row.doc_id") == F.col("id"), "left")
     lines = F.split("row.text", "\n")

@@ -77,3 +77,17 @@ def test_near_dedup_takes_four_fifths(spark, documents, tmp_path):
     assert {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()} == {1, 4}
     far = documents([(1, " ".join(words)), (3, " ".join(third))])
     assert {r["doc_id"] for r in stage(spark, far, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_no_short_lines_of_copies_are_left(spark, documents, tmp_path):
+    long = ["a first line that is long enough", "quite another line, as long as that"]
+    docs = documents([
+        (1, f"{long[0]}\nHaanth.\n{long[1]}"), (2, f"{long[0]}\nHaanth.\n{long[1]}"), (3, f"{long[0]}!\nHaanth."),
+        (4, f"{long[1]}\nHaanth.\nonly here"), (5, "Haanth.\nnothing long"), (6, f"{long[0]}\nHaanth.\nthis line is in no other document"),
+        (7, f"{long[1]}\ntwice\ntwice"),
+    ])
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    assert {r["doc_id"]: r["text"] for r in stage(spark, docs, str(tmp_path)).collect()} == {
+        1: f"{long[0]}\nHaanth.\n{long[1]}", 4: "only here", 5: "Haanth.\nnothing long",
+        6: "Haanth.\nthis line is in no other document", 7: "twice",
+    }
