@@ -26,9 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat; ``n_chars`` follows the text, and emptied documents go."""
-    out = line_dedup.dedup_lines(docs, short=True)
-    emptied = (F.trim(F.coalesce("text", F.lit(""))) == "") & F.coalesce(F.col("n_chars") > 0, F.lit(False))
-    return out.filter(~emptied).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+    out = line_dedup.dedup_lines(docs, short=True, emptied=False)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

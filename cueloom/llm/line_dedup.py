@@ -248,7 +248,7 @@ def _short_repeats(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return loose.join(firsts, "line_id").filter(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos", "line_id")
 
 
-def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False, emptied: bool = True) -> DataFrame:
     """``docs`` with repeated and nearly repeated lines taken out of ``text``; all columns stay.
 
     Every occurrence of a line of at least ``MIN_CHARS`` characters goes, except the first occurrence of a line that
@@ -257,7 +257,8 @@ def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False) -> D
     place are one occurrence. Two different lines count as one with probability 2 ** -64.
 
     With ``short``, a row that loses all its lines of ``MIN_CHARS`` characters also loses those shorter lines that stand
-    at an earlier place, so nothing but blank lines is left of a copy.
+    at an earlier place, so nothing but blank lines is left of a copy. Without ``emptied``, rows that lost a line and have
+    only white space left go.
     """
     source = docs.select(F.col("doc_id"), F.col("text"))
     decided = line_decisions(source)
@@ -279,4 +280,6 @@ def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False) -> D
             F.when(F.col("gone").isNull() | F.col("row.text").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_removed"),
             text.alias("text"),
         )
+    if not emptied:
+        joined = joined.filter(F.col("gone").isNull() | F.col("row.text").isNull() | (F.size(kept) == F.size(lines)) | text.rlike(INK))
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

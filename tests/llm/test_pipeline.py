@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cueloom.llm import line_dedup, minhash, toxicity
 
@@ -91,3 +93,12 @@ def test_no_short_lines_of_copies_are_left(spark, documents, tmp_path):
         1: f"{long[0]}\nHaanth.\n{long[1]}", 4: "only here", 5: "Haanth.\nnothing long",
         6: "Haanth.\nthis line is in no other document", 7: "twice",
     }
+
+
+def test_only_documents_that_lost_a_line_go(spark, documents, tmp_path):
+    text = "a first paragraph that is long enough\n\nand a second one, as long as that\n\t\nthe third of these paragraphs"
+    docs = documents([(1, text), (2, text), (3, text), (4, None), (5, " \n "), (6, "")])
+    n_chars = F.when(F.col("doc_id") == 3, F.lit(None)).otherwise(F.lit(7)).cast("long")
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    got = {r["doc_id"]: r["text"] for r in stage(spark, docs.withColumn("n_chars", n_chars), str(tmp_path)).collect()}
+    assert got == {1: text, 4: None, 5: " \n ", 6: ""}
