@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (
-    ball_tree, decontaminate, line_dedup, minhash, packing, quality_rules, span_dedup, toxicity, url_filter, warc,
+    ball_tree, decontaminate, line_dedup, minhash, packing, quality_rules, span_dedup, stream_dedup, toxicity, url_filter,
+    warc,
 )
 from .registry import ORACLE, QUERIES, query, table, tokenizer_path
 
@@ -156,3 +157,17 @@ FROM s QUALIFY rank <= 20
 @query("op6_ball_tree_top_k", OP6_SQL)
 def op6(spark, sf_dir):
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WINDOW same AS (PARTITION BY text)
+"""
+
+
+@query("op11_stream_exact_dedup", OP11_SQL)
+def op11(spark, sf_dir):
+    return stream_dedup.deduplicate(spark, f"{sf_dir.rstrip('/')}/documents.parquet").select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    )
