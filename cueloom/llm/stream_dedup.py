@@ -25,7 +25,11 @@ from ..streaming.live import ROCKSDB, latest_update, run_to_end
 PER_TRIGGER = 64 << 30
 #: Bits of the map for each hit, and the most bits it gets: 128 MB. A fuller map only lets more texts through.
 HIT_BITS, MOST_BITS = 8, 1 << 30
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state on disk; files are not made larger in advance, since there is one small store for each task.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -66,12 +70,14 @@ def update_state(
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{location}/changes/batch_id={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STORE}
+    for key, value in _STORE.items():
+        spark.conf.set(key, value)
     try:
         run_to_end(state, write, "update", f"{location}/checkpoint")
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 _AT = "struct<file: string, row: bigint>"
