@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -29,10 +31,38 @@ def j1(t):
     return t.spark.read.schema("trigger_no long, batch_no long, n long, first long").parquet(f"{out}/*")
 
 
-def _cut_stream(t, files: int = 6):
-    """The events as a stream of several files, two in each trigger; the files are cut across the order of time."""
+_LINGER = 2 * 86_400_000
+
+
+# Batches of each task: what it sends within two days of a batch's first event, four at most, as a recursion.
+@query("j1_keyed_batches", "key:s batch_no:l item_id:l", with_tables("job_events", f"""
+    SELECT key, batch_no, item_id FROM walk""",
+    items="""SELECT task_id AS key, event_id AS item_id, epoch_us(ts) // 1000 AS ms,
+        row_number() OVER (PARTITION BY task_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM job_events""",
+    walk=f"""
+        SELECT key, n, item_id, ms AS first_ms, 1 AS k, CAST(0 AS BIGINT) AS batch_no FROM items WHERE n = 1
+        UNION ALL
+        SELECT i.key, i.n, i.item_id, CASE WHEN w.k < 4 AND i.ms < w.first_ms + {_LINGER} THEN w.first_ms ELSE i.ms END,
+               CASE WHEN w.k < 4 AND i.ms < w.first_ms + {_LINGER} THEN w.k + 1 ELSE 1 END,
+               CASE WHEN w.k < 4 AND i.ms < w.first_ms + {_LINGER} THEN w.batch_no ELSE w.batch_no + 1 END
+        FROM walk w JOIN items i ON i.key = w.key AND i.n = w.n + 1"""))
+def j1_keyed(t):
+    lv.use_rocksdb(t.spark)
+    stream = _cut_stream(t, heartbeat=True)
+    return lv.to_table(lv.keyed_batches(stream, size=4, linger="2 days", delay="400 days"))
+
+
+def _cut_stream(t, files: int = 6, heartbeat: bool = False):
+    """The events as a stream of several files, two in each trigger; the files are cut across the order of time.
+
+    With ``heartbeat`` a last event, of task -1 and a hundred years later, moves the watermark past all others.
+    """
     folder = fresh_dir(t.spark, "events")
     t.events.repartition(files, F.pmod(F.col("event_id"), F.lit(files))).write.parquet(folder)
+    if heartbeat:
+        late = {"event_id": -1, "user_id": -1, "event_type": "view", "value": 0.0, "ts": datetime(2124, 1, 1)}
+        row = tuple(late.get(f.name) for f in t.events.schema)
+        t.spark.createDataFrame([row], t.events.schema).write.mode("append").parquet(folder)
     raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     return fx.event_rows(raw)
 
@@ -45,6 +75,17 @@ def j2(t):
     return lv.latest_update(updates, "task_id", "step")
 
 
+# Runs of a task's step, a day apart; all are over when the heartbeat has passed.
+@query("j2_first_reports_of_runs", "task_id:s step:l n_reports:l ok:b msg:s event_id:l", with_tables("job_events", """
+    SELECT task_id, step, count(*) AS n_reports, arg_min(ok, (ts, event_id)) AS ok, arg_min(msg, (ts, event_id)) AS msg,
+           arg_min(event_id, (ts, event_id)) AS event_id
+    FROM (SELECT *, sum(cut) OVER (PARTITION BY task_id, step ORDER BY ts, event_id) AS run FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY task_id, step ORDER BY ts, event_id) < INTERVAL 1 DAY THEN 0
+                       ELSE 1 END AS cut FROM job_events)) GROUP BY task_id, step, run"""))
+def j2_runs(t):
+    return lv.to_table(lv.first_reports_of_runs(_cut_stream(t, heartbeat=True), "1 day", "400 days"))
+
+
 @query("j3_stage_hand_off", "task_id:s action:s event_id:l", with_tables("job_events", """
     SELECT task_id, CASE WHEN arg_min(ok, event_id) THEN 'mix' ELSE 'drop' END AS action, min(event_id) AS event_id
     FROM job_events WHERE step <= 2 AND (NOT ok OR step = 2) GROUP BY task_id"""))
@@ -53,6 +94,18 @@ def j3(t):
     return lv.to_table(lv.stage_hand_off(fx.event_stream(t)))
 
 
+# Every fourth task has its speech already: it enters once, without an event.
+@query("j3_ready_hand_off", "task_id:s action:s event_id:l", with_tables("job_events", """
+    SELECT task_id, CASE WHEN arg_min(ok, event_id) THEN 'mix' ELSE 'drop' END AS action, min(event_id) AS event_id
+    FROM job_events WHERE step <= 2 AND (NOT ok OR step = 2) AND CAST(task_id AS BIGINT) % 4 <> 0 GROUP BY task_id
+    UNION ALL
+    SELECT DISTINCT task_id, 'mix', CAST(NULL AS BIGINT) FROM job_events WHERE CAST(task_id AS BIGINT) % 4 = 0"""))
+def j3_ready(t):
+    lv.use_rocksdb(t.spark)
+    ready = fx.job_events(t).select("task_id").filter(F.col("task_id").cast("long") % 4 == 0)
+    return lv.to_table(lv.stage_hand_off(fx.event_stream(t), ready))
+
+
 @query("j4_step_progress", "step:l pct:l", with_tables("job_events", "SELECT step, max(pct) AS pct FROM job_events GROUP BY 1"))
 def j4(t):
     return lv.latest_update(lv.to_table(lv.step_progress(fx.event_stream(t)), "update"), "step")

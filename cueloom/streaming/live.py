@@ -11,14 +11,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import constants as K
 from ..functions import text as tx
 from ..operators import enrich as en
-from ..operators import jobs as jb
 from ..session import fresh_dir
+from . import stateful as st
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,6 +62,13 @@ def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(with_batch).option("basePath", base).parquet(base)
 
 
+def span_ms(span: str) -> int:
+    """Milliseconds of a span such as ``300 milliseconds`` or ``2 days``."""
+    number, unit = span.split()
+    sizes = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+    return int(number) * sizes[unit.removesuffix("s")]
+
+
 def latest_update(updates: DataFrame, *keys: str) -> DataFrame:
     """The newest row of each key of an ``update`` stream's table."""
     rest = [c for c in updates.columns if c not in (*keys, "batch_id")]
@@ -98,6 +104,30 @@ def micro_batches(
     return writer.trigger(**trigger).start()
 
 
+BATCH_SCHEMA = "key string, batch_no long, at_ms long, item_id long, item string"
+
+
+def keyed_batches(
+    stream: DataFrame, key: str = "task_id", item_id: str = "event_id", item: str = "msg", size: int = 20,
+    linger: str = "300 milliseconds", delay: str = "1 minute",
+) -> DataFrame:
+    """Batches for each key, ``(key, batch_no, at_ms, item_id, item)`` in one row for each item.
+
+    A batch is opened by its key's first item that is in none, takes what the key brings before ``linger`` has passed,
+    and leaves with ``size`` items or at the end of that time, by event time ``ts``. Items count in the order of
+    (ts, item_id) whatever order they come in, so a batch waits until the watermark, ``delay`` behind the newest
+    event, is past its end; later items are left out. The state is a key's waiting items and its next batch number.
+    Needs the RocksDB state store (:func:`use_rocksdb`).
+    """
+    rows = stream.withWatermark("ts", delay).filter("ts IS NOT NULL").select(
+        F.col(key).cast("string").alias("key"), "ts", F.unix_millis("ts").alias("at_ms"),
+        F.col(item_id).cast("long").alias("item_id"), F.col(item).cast("string").alias("item"),
+    )
+    return rows.groupBy("key").transformWithState(
+        st.KeyedBatches(size, span_ms(linger)), BATCH_SCHEMA, "append", "EventTime"
+    )
+
+
 # --- J2, J4, J6 -------------------------------------------------------------
 
 def first_reports(events: DataFrame) -> DataFrame:
@@ -110,6 +140,22 @@ def first_reports(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id", "step").agg(first.alias("_r")).select("task_id", "step", "_r.*")
 
 
+def first_reports_of_runs(events: DataFrame, quiet: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """J2 with an end, for ``append`` mode: the first report (by ts, then event_id) of each run of a task and step.
+
+    A run is over once nothing was reported for ``quiet``, and when the watermark, ``delay`` behind the newest event,
+    is past that, its first report goes out, once, and the run leaves the state. Within a run reports may come in any
+    order; those that are late for a run that is over are left out.
+    """
+    first = F.min_by(F.struct("ok", "msg", "ts", "event_id"), F.struct("ts", "event_id"))
+    return (
+        events.withWatermark("ts", delay)
+        .groupBy("task_id", "step", F.session_window("ts", quiet).alias("_w"))
+        .agg(first.alias("_r"), F.count(F.lit(1)).alias("n_reports"))
+        .select("task_id", "step", F.col("_w.start").alias("run_start"), F.col("_w.end").alias("run_end"), "n_reports", "_r.*")
+    )
+
+
 def step_progress(events: DataFrame) -> DataFrame:
     """Percent per step that never goes back."""
     return events.groupBy("step").agg(F.max("pct").alias("pct"))
@@ -127,58 +173,82 @@ def severity_counts(log: DataFrame, window: str = "1 hour", delay: str = "1 hour
 
 # --- J5 ---------------------------------------------------------------------
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """Latest status per task and step; feed update batches to the rollups."""
-    status = F.when(F.col("ok"), K.DONE).otherwise(K.FAILED)
-    return events.groupBy("task_id", "step").agg(
-        F.max_by(status, F.struct("ts", "event_id")).alias("status")
+def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of tasks as they are, and one difference for each group instead of one for each of its tasks."""
+    for pdf in batches:
+        sums = pdf[pdf["kind"] == "group"].groupby(["kind", "id", "group_id"], as_index=False)[list(st.COUNTERS)].sum()
+        yield pd.concat([pdf[pdf["kind"] == "task"], sums])[list(pdf.columns)]
+
+
+def rollup_changes(events: DataFrame, groups: DataFrame, idle: str | None = None, delay: str = "1 day") -> DataFrame:
+    """The stream of changed tasks (kind ``task``) and of the new counters of their groups (kind ``group``).
+
+    Two stateful steps: a task's step sends what a change takes from and adds to its group, and the group's step adds
+    that up, so a trigger works on what changed and never on the table of all tasks. ``groups`` (task_id, group_id) is
+    the initial state; tasks it does not name are in no group. Differences are summed up in every task of the first
+    step, so a group with a third of all tasks sends a row from each.
+
+    The state is one row for each task and for each group. With ``idle`` a task without a report for so long (by event
+    time, once the watermark is past it) leaves the state and its group; reports that are more than ``delay`` late
+    are then left out. Without it nothing is late and nothing leaves. Needs the RocksDB state store
+    (:func:`use_rocksdb`).
+    """
+    rows = events if idle is None else events.withWatermark("ts", delay)
+    changes = (
+        rows.filter(F.col("ts").isNotNull() & F.col("step").isin(*K.STEPS))
+        .select("task_id", "step", "ok", "event_id", F.unix_micros("ts").alias("at_us"), *(["ts"] if idle else []))
+        .groupBy("task_id")
+        .transformWithState(
+            st.TaskChanges(None if idle is None else span_ms(idle)), st.CHANGE, "append", "none" if idle is None else "EventTime",
+            initialState=groups.select("task_id", "group_id").groupBy("task_id"),
+        )
+    )
+    # Changed tasks only pass the second step: a few keys are enough for them.
+    slot = F.when(F.col("kind") == "task", F.pmod(F.xxhash64("id"), F.lit(64)).cast("string")).otherwise(F.col("id"))
+    return (
+        changes.mapInPandas(_combined, st.CHANGE).withColumn("slot", slot).groupBy("kind", "slot")
+        .transformWithState(st.GroupTotals(), st.CHANGE, "append", "none")
     )
 
 
-def widen_status(latest: DataFrame) -> DataFrame:
-    """Latest (task_id, step, status) as wide tasks; a step without a report is pending."""
-    picks = [
-        F.coalesce(F.max(F.when(F.col("step") == s, F.col("status"))), F.lit(K.PENDING)).alias(f"s{s}_status")
-        for s in K.STEPS
-    ]
-    return latest.groupBy("task_id").agg(*picks)
+def group_state(changes: DataFrame) -> DataFrame:
+    """F4, F5, F6 from a group's counters: group_id, n_tasks, progress, n_done, status."""
+    n = F.col("n_tasks")
+    status = (
+        F.when(F.col("n_running") > 0, K.RUNNING)
+        .when((n > 0) & (F.col("n_done") == n), K.DONE)
+        .when(F.col("n_failed") > 0, K.FAILED)
+        .otherwise(K.PENDING)
+    )
+    progress = F.when(n > 0, F.col("n_steps") / (n * len(K.STEPS))).otherwise(0.0)
+    return changes.filter(F.col("kind") == "group").select(
+        "group_id", "n_tasks", progress.alias("progress"), "n_done", status.alias("status")
+    )
 
 
 def live_rollup(
     events: DataFrame, groups: DataFrame, on_update: Callable[[DataFrame, DataFrame, int], None],
-    location: str | None = None,
+    location: str | None = None, idle: str | None = None, delay: str = "1 day",
 ) -> None:
     """After every trigger, ``on_update(tasks, groups, trigger)`` with what changed in it.
 
     ``tasks`` are the wide rows (task_id, group_id, s1_status .. s3_status) of tasks with a new report and ``groups``
-    the rollup (:func:`cueloom.operators.jobs.group_rollup`) of their groups. ``groups`` (task_id, group_id) is a table;
-    tasks it does not name are in no group. The stream keeps one row per task and step. The wide tasks of all groups
-    are kept as a table of the shared folder, of which a trigger reads the version before its own and writes the next,
-    so a trigger that runs again gives the same rows.
+    the rollup (as of :func:`cueloom.operators.jobs.group_rollup`) of groups whose figures changed; a group that all its
+    tasks have left comes once more, with none. See :func:`rollup_changes`.
     """
-    spark = events.sparkSession
-    base = location or fresh_dir(spark, "rollup")
-    shape = "task_id string, group_id string, s1_status string, s2_status string, s3_status string"
-
-    def version(number: int) -> str:
-        return f"{base}/tasks/version={number}"
+    use_rocksdb(events.sparkSession)
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        status = [F.max(F.when(F.col("step") == s, F.col("status"))).alias(f"_{s}") for s in K.STEPS]
-        news = batch.groupBy("task_id").agg(*status)
-        before = spark.createDataFrame([], shape) if number == 0 else spark.read.schema(shape).parquet(version(number - 1))
-        both = before.join(news, "task_id", "full").join(groups.select("task_id", F.col("group_id").alias("_g")), "task_id", "left")
-        picks = [F.coalesce(f"_{s}", f"s{s}_status", F.lit(K.PENDING)).alias(f"s{s}_status") for s in K.STEPS]
-        changed = F.coalesce(*[f"_{s}" for s in K.STEPS]).isNotNull().alias("_changed")
-        both.select(
-            "task_id", F.coalesce("group_id", "_g", F.lit("")).alias("group_id"), *picks, changed
-        ).write.mode("overwrite").parquet(version(number))
-        now = spark.read.schema(f"{shape}, _changed boolean").parquet(version(number))
-        tasks = now.filter("_changed").drop("_changed")
-        touched = tasks.select("group_id").distinct()
-        on_update(tasks, jb.group_rollup(now.join(touched, "group_id", "left_semi")), number)
-
-    run_to_end(latest_status(events), on_batch, "update", f"{base}/checkpoint")
+        # Both frames come from one pass over the stateful steps.
+        batch.persist()
+        tasks = batch.filter(F.col("kind") == "task").select(
+            F.col("id").alias("task_id"), "group_id", *[f"s{s}_status" for s in K.STEPS]
+        )
+        on_update(tasks, group_state(batch), number)
+        batch.unpersist()
+
+    base = location or fresh_dir(events.sparkSession, "rollup")
+    run_to_end(rollup_changes(events, groups, idle, delay), on_batch, "append", f"{base}/checkpoint")
 
 
 # --- J3 ---------------------------------------------------------------------
@@ -186,40 +256,22 @@ def live_rollup(
 HANDOFF_SCHEMA = "task_id string, action string, event_id long"
 
 
-class HandOff(StatefulProcessor):
-    """Per task: speech done hands the task to mixing once; a failed step stops it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "stage string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self._state.exists():
-            return
-        # Rows of one trigger may come in several frames in any order; the earliest decisive one counts.
-        best = None
-        for pdf in rows:
-            decisive = pdf[(pdf["step"] <= 2) & (~pdf["ok"].astype(bool) | (pdf["step"] == 2))]
-            if len(decisive):
-                first = decisive.loc[decisive["event_id"].idxmin()]
-                if best is None or first["event_id"] < best[2]:
-                    best = (key[0], "mix" if first["ok"] else "drop", int(first["event_id"]))
-        if best is not None:
-            self._state.update((best[1],))
-            yield pd.DataFrame([best], columns=["task_id", "action", "event_id"])
-
-    def close(self) -> None:
-        pass
-
-
-def stage_hand_off(events: DataFrame) -> DataFrame:
+def stage_hand_off(
+    events: DataFrame, ready: DataFrame | None = None, keep: str = "365 days", delay: str = "1 day"
+) -> DataFrame:
     """One row per task when it becomes ready to mix or drops out, as soon as that is known.
 
-    Needs the RocksDB state store (:func:`use_rocksdb`).
+    Tasks of the table ``ready`` (task_id) have their speech already: they enter once, without an event, after the first
+    trigger that brings events, and reports of theirs do not hand them over again. A task that was handed over or
+    stopped is remembered for ``keep`` of event time and then leaves the state; what it reports later is a new run.
+    Events more than ``delay`` late are left out. Needs the RocksDB state store (:func:`use_rocksdb`).
     """
-    return (
-        events.select("task_id", "step", "ok", "event_id")
-        .groupBy("task_id")
-        .transformWithStateInPandas(HandOff(), HANDOFF_SCHEMA, "append", "none")
+    rows = events.withWatermark("ts", delay).filter("ts IS NOT NULL").select(
+        "task_id", "step", "ok", "event_id", "ts", F.unix_millis("ts").alias("at_ms")
+    )
+    start = None if ready is None else ready.select("task_id").distinct().groupBy("task_id")
+    return rows.groupBy("task_id").transformWithState(
+        st.HandOff(span_ms(keep)), HANDOFF_SCHEMA, "append", "EventTime", initialState=start
     )
 
 
@@ -233,4 +285,6 @@ def hand_off_batch(events: DataFrame) -> DataFrame:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """State on disk. There is one small store for each task, so files are not made larger in advance."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
