@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scan import segmented_runs, segmented_scan
+from ..session import freeze
 
 # Marks between parsed lines, and the character that stands before an escaped one of the four.
 BLANK, TIME, WORDS, ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
@@ -81,14 +82,30 @@ def plain_cues(text: Column) -> Column:
     return F.filter(cues, lambda c: c["text"] != "")
 
 
-def _block_cues(text: Column, dot: str, skip) -> Column:
-    """Blocks of a time line and text lines.
+#: A cue in marked lines; see :func:`marked_lines`.
+BLOCK_CUE = f"{TIME}[^{WORDS}]*{WORDS}[^{BLANK}]*"
 
-    Lines are re-written as one string of marked pieces: a blank mark, a time mark with stamp and line
-    number, or a words mark with the text. A cue is then a time mark, anything up to the first words,
-    and everything up to the next blank: so a time without words outlives blank lines, and a second time
-    before the blank replaces the first. The last time mark in the match is the cue's time.
+
+def _vtt_skips(line: Column) -> Column:
+    return (line == "WEBVTT") | line.startswith("NOTE")
+
+
+def _srt_skips(line: Column) -> Column:
+    return _starts_with_digit(line) & line.rlike("^[0-9]+$")
+
+
+#: For each block format, what stands before the fraction of a second, and lines that count as nothing.
+BLOCK_FORMATS = {"vtt": (r"\.", _vtt_skips), "srt": (",", _srt_skips)}
+
+
+def marked_lines(text: Column, fmt: str, first_line: Column | int = 0) -> Column:
+    """Lines of a block format as one string of marked pieces.
+
+    A piece is a blank mark, a time mark with stamp and line number, or a words mark with the text. A cue is then a
+    time mark, anything up to the first words, and everything up to the next blank: so a time without words outlives
+    blank lines, and a second time before the blank replaces the first. The last time mark in the match is the cue's time.
     """
+    dot, skip = BLOCK_FORMATS[fmt]
     pattern = rf"^([0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}{dot}[0-9]{{2}})[0-9] -->"
 
     def stamp(line: Column) -> Column:
@@ -97,7 +114,7 @@ def _block_cues(text: Column, dot: str, skip) -> Column:
         ).otherwise("")
 
     def piece(s: Column) -> Column:
-        at = F.lpad(s["at"].cast("string"), _LINE_LEN, "0")
+        at = F.lpad((s["at"] + first_line).cast("string"), _LINE_LEN, "0")
         return (
             F.when(s["line"] == "", F.lit(BLANK))
             .when(skip(s["line"]), F.lit(""))
@@ -105,8 +122,11 @@ def _block_cues(text: Column, dot: str, skip) -> Column:
             .otherwise(F.concat(F.lit(WORDS), s["line"]))
         )
 
-    marked = F.array_join(F.transform(_stamped_lines(_escaped(text), stamp), piece), "")
-    found = F.regexp_extract_all(marked, F.lit(f"{TIME}[^{WORDS}]*{WORDS}[^{BLANK}]*"), 0)
+    return F.array_join(F.transform(_stamped_lines(_escaped(text), stamp), piece), "")
+
+
+def cues_of_matches(found: Column) -> Column:
+    """Cues of an array of matches of :data:`BLOCK_CUE`."""
 
     def cue(match: Column) -> Column:
         head = F.substring_index(match, TIME, -1)
@@ -122,12 +142,12 @@ def _block_cues(text: Column, dot: str, skip) -> Column:
 
 def vtt_cues(text: Column) -> Column:
     """The header and notes are skipped."""
-    return _block_cues(text, r"\.", lambda line: (line == "WEBVTT") | line.startswith("NOTE"))
+    return cues_of_matches(F.regexp_extract_all(marked_lines(text, "vtt"), F.lit(BLOCK_CUE), 0))
 
 
 def srt_cues(text: Column) -> Column:
     """Lines of digits only are skipped."""
-    return _block_cues(text, ",", lambda line: _starts_with_digit(line) & line.rlike("^[0-9]+$"))
+    return cues_of_matches(F.regexp_extract_all(marked_lines(text, "srt"), F.lit(BLOCK_CUE), 0))
 
 
 CUES_BY_FORMAT = {"lrc": lrc_cues, "vtt": vtt_cues, "srt": srt_cues, "txt": plain_cues}
@@ -208,8 +228,9 @@ def merge_close_segments(
     The greedy rule runs over chunks of rows, not whole sources. What a chunk does depends only on the
     start of the merged segment still open when it begins, and only a few starts lead to different ends;
     so each chunk first reports its end for each of them (:func:`_chunk_exits`), the reports of a source are
-    chained (:func:`_chain_exits`), and every chunk then finds its heads on its own (:func:`_chunk_heads`).
-    Only times go through Python; texts stay where they are and meet their heads by row number.
+    chained (:func:`_chain_exits`), and every chunk then merges its rows on its own (:func:`_chunk_parts`). The numbered
+    rows are written once and the input is not worked out again; only times take part in the first step, and only
+    merged texts are grouped at the end.
     """
     chunk = F.floor(F.col("start_ms") / window_ms)
     order = ["start_ms", "seg_no"]
@@ -217,17 +238,16 @@ def merge_close_segments(
         headed = segmented_runs(
             segments, ["source_id"], order, chunk, "start_ms", "end_ms", lambda gap: gap > max_gap_ms, "_head"
         )
-        return _joined_texts(headed, order)
+        return _joined_texts(headed.withColumn("n_parts", F.lit(1)), order)
 
     scanned = segmented_scan(segments, ["source_id"], order, chunk, rank="_n", lags={"_prev_end": "end_ms"})
     cut = F.col("_prev_end").isNull() | (F.col("start_ms") - F.col("_prev_end") > max_gap_ms)
-    rows = scanned.select(
+    rows = freeze(scanned.select(
         "source_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"),
         "text", "_n", cut.alias("_cut"), F.floor((F.col("_n") - 1) / chunk_rows).alias("_chunk"),
-    )
+    ))
     id_type = segments.schema["source_id"].dataType.simpleString()
-    times = rows.select("source_id", "_chunk", "_n", "start_ms", "end_ms", "_cut")
-    exits = times.groupBy("source_id", "_chunk").applyInPandas(
+    exits = rows.select("source_id", "_chunk", "_n", "start_ms", "end_ms", "_cut").groupBy("source_id", "_chunk").applyInPandas(
         lambda pdf: _chunk_exits(pdf, max_duration_ms),
         f"source_id {id_type}, _chunk long, _limits array<long>, _exit_n array<long>, _exit_start array<long>",
     )
@@ -235,20 +255,20 @@ def merge_close_segments(
         lambda batches: _chain_exits(batches, max_duration_ms),
         f"source_id {id_type}, _chunk long, _open_n long, _open_start long",
     )
-    heads = times.join(entries, ["source_id", "_chunk"]).groupBy("source_id", "_chunk").applyInPandas(
-        lambda pdf: _chunk_heads(pdf, max_duration_ms), f"source_id {id_type}, _n long, _head long"
+    parts = rows.join(entries, ["source_id", "_chunk"]).groupBy("source_id", "_chunk").applyInPandas(
+        lambda pdf: _chunk_parts(pdf, max_duration_ms),
+        f"source_id {id_type}, _head long, _n long, start_ms long, end_ms long, n_parts long, text string",
     )
-    headed = rows.select("source_id", "_n", "start_ms", "end_ms", "text").join(heads, ["source_id", "_n"])
-    return _joined_texts(headed, ["_n"])
+    return _joined_texts(parts, ["_n"])
 
 
 def _joined_texts(headed: DataFrame, order: list[str]) -> DataFrame:
-    """One row per source and head: bounds, parts, and the texts in order."""
+    """One row per source and head: bounds, parts, and the texts in order; null texts are left out."""
     words = F.array_sort(F.collect_list(F.struct(*order, "text")))
     return headed.groupBy("source_id", "_head").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
-        F.count(F.lit(1)).alias("n_parts"),
+        F.sum("n_parts").alias("n_parts"),
         F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"),
     ).drop("_head")
 
@@ -306,19 +326,30 @@ def _chain_exits(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataF
         yield pd.DataFrame(out, columns=["source_id", "_chunk", "_open_n", "_open_start"])
 
 
-def _chunk_heads(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """Number of the row each row of a chunk is merged into, given the segment open at its beginning."""
+def _chunk_parts(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """The merged segments of a chunk, given the segment open at its beginning: one row for each head.
+
+    The first may go on with a head of an earlier chunk.
+    """
     pdf = pdf.sort_values("_n")
     starts, ends = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()
     cut, numbers = pdf["_cut"].to_numpy(dtype=bool), pdf["_n"].to_numpy()
     following = _next_heads(starts, ends, cut, cap)
     open_n = int(pdf["_open_n"].iloc[0])
     head = 0 if open_n < 0 else _entry_row(ends, cut, int(pdf["_open_start"].iloc[0]), cap)
-    heads = np.full(len(starts), open_n, np.int64)
+    begins, heads = ([0], [open_n]) if head else ([], [])
     while head < len(starts):
-        heads[head:following[head]] = numbers[head]
+        begins.append(head)
+        heads.append(int(numbers[head]))
         head = int(following[head])
-    return pd.DataFrame({"source_id": pdf["source_id"].to_numpy(), "_n": numbers, "_head": heads})
+    stops = [*begins[1:], len(starts)]
+    texts = pdf["text"].to_list()
+    joined = [[t for t in texts[lo:hi] if t is not None] for lo, hi in zip(begins, stops)]
+    return pd.DataFrame({
+        "source_id": pdf["source_id"].iloc[0], "_head": heads, "_n": numbers[begins], "start_ms": starts[begins],
+        "end_ms": np.maximum.reduceat(ends, begins), "n_parts": np.diff([*begins, len(starts)]),
+        "text": [" ".join(t) if t else None for t in joined],
+    })
 
 
 def threshold_segments(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cue_ranges as cr
 from ..operators import cues as cu
 from ..sources import files as fl
 from . import fixtures as fx
@@ -78,6 +79,26 @@ def i1(t):
     return cu.parse_timed_text(fx.mixed_sources(t))
 
 
+def _in_ranges(docs, lines=7):
+    """Documents cut into ranges of a few lines, so that most cues of block formats are cut through."""
+    cut = F.split("text", "\n")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / lines)), lambda k: F.array_join(
+        F.slice(cut, (k * lines + 1).cast("int"), F.lit(lines)), "\n"))
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(*rest, F.posexplode(pieces).alias("range_no", "text"))
+
+
+@query("a1_ranges_of_lines", "source_id:s line_start:l idx:l ts_text:s text:s", with_tables("lrc vtt srt plain", f"""
+    SELECT m.doc_id AS source_id, coalesce(l.line_start, p.line_start) AS line_start, m.idx, m.ts_text, m.text
+    FROM ({_MIXED}) m LEFT JOIN lrc l ON m.doc_id % 4 = 0 AND l.doc_id = m.doc_id AND l.idx = m.idx
+    LEFT JOIN plain p ON m.doc_id % 4 = 3 AND p.doc_id = m.doc_id AND p.idx = m.idx"""))
+def a1_ranges(t):
+    cues = cr.parse_ranges(_in_ranges(fx.mixed_sources(t)))
+    # The SQL knows no line numbers of block formats; the tests compare those with the uncut parse.
+    block = (F.col("source_id").cast("long") % 4).isin(1, 2)
+    return cues.withColumn("line_start", F.when(~block, F.col("line_start")))
+
+
 def _as_files(t):
     """Every document as a file row with bytes; extensions in capitals on even ids."""
     src = fx.mixed_sources(t)

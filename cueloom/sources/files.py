@@ -63,6 +63,39 @@ def decode_console_line(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
+def line_ranges(
+    spark: SparkSession, path: str, pattern: str = "*", range_lines: int = 20_000, recursive: bool = True
+) -> DataFrame:
+    """A1 for files of any size: (source_id, range_no, format, text, source_version), each row a run of lines.
+
+    A file is read by several tasks, each its own stretch; a row holds ``range_lines`` lines at most, whatever the
+    file. Ranges sort by their number (start of the stretch, place in it) and, joined by line ends, are the file without
+    its last line end. UTF-8 only; a leading BOM is dropped; extensions other than those of timed text drop out. See
+    :func:`cueloom.operators.cue_ranges.parse_ranges`.
+    """
+    lines = (
+        spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(path)
+        .select(
+            F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("start"),
+            F.col("_metadata.file_modification_time").alias("mtime"), F.monotonically_increasing_id().alias("at"), "value",
+        )
+        .withColumn("format", tx.ext_of(tx.base_name(F.col("source_id"))))
+        .filter(F.col("format").isin(*K.CUE_FORMATS))
+    )
+    # Rows of a task are numbered in the order of lines, so equal parts of that number are runs of lines.
+    run = F.floor(F.col("at") / range_lines)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n")
+    ranges = lines.groupBy("source_id", "format", "start", run.alias("run")).agg(
+        joined.alias("text"), F.max("mtime").alias("mtime")
+    )
+    number = F.concat_ws("-", F.lpad(F.col("start").cast("string"), 19, "0"), F.lpad(F.col("run").cast("string"), 19, "0"))
+    first = (F.col("start") == 0) & F.col("text").startswith("\ufeff")
+    return ranges.select(
+        "source_id", number.alias("range_no"), "format", F.when(first, F.ltrim("text", F.lit("\ufeff"))).otherwise(F.col("text")).alias("text"),
+        F.coalesce(tx.file_version(F.col("mtime")), F.lit("0")).alias("source_version"),
+    )
+
+
 def timed_text_sources(files: DataFrame) -> DataFrame:
     """A1: ``binaryFile`` rows to (source_id, format, text, source_version); other extensions drop out.
 
