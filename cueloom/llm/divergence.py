@@ -3,8 +3,8 @@
 Terms that enough documents of a language hold make its vocabulary. It is sorted and numbered once, cut into ranges of
 bounded size, and each range becomes a minimal acyclic transducer (:mod:`.transducer`). Texts are then counted again:
 a task sums up the words of its texts, every word goes to the transducer of its range, and what the transducer knows
-comes out as an ordinal. From there on terms are numbers: counts are summed by ordinal, compared in blocks of
-neighbouring ordinals, and ties are broken by them, since ordinals are in byte order.
+comes out as an ordinal, under which its counts are added up. From there on terms are numbers: counts are compared in
+blocks of neighbouring ordinals, and ties are broken by them, since ordinals are in byte order.
 
 All arithmetic is on whole numbers. With ``c`` occurrences of a term in a group, ``N`` of all kept terms and ``V`` kept
 terms, ``p = 1 + floor(10**9 (c + 1) / (N + V))``, and a group's ``p`` differs from another's ``q`` by
@@ -33,80 +33,94 @@ UNIT = 1_000_000_000
 RANGE_BYTES, RANGES = 1 << 14, 4096
 #: Ordinals compared together, and the most (source, ordinal) cells of such a block.
 BLOCK_TERMS, BLOCK_CELLS = 256, 1 << 18
-#: Entries a task sums up before it hands them on, and bytes of a text it splits at once.
-HELD, PIECE_BYTES = 300_000, 1 << 22
+#: Bytes of texts a task sums up at once; a longer text is summed up by itself.
+SLICE_BYTES = 1 << 25
 
 _LETTERS = bytes.maketrans(
     bytes(range(128)), bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(128))
 )
 
 
-def _words(text: bytes) -> Iterator[list[bytes]]:
-    """Terms of a text, in order, in lists of bounded size: runs of ASCII letters and other characters beyond ASCII."""
-    if len(text) <= PIECE_BYTES:
-        yield text.translate(_LETTERS).split()
-        return
-    clean, lo = text.translate(_LETTERS), 0
-    while lo < len(clean):
-        hi = clean.find(b" ", lo + PIECE_BYTES)
-        hi = len(clean) if hi < 0 else hi
-        yield clean[lo:hi].split()
-        lo = hi
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
+    """(name, text) batches in slices of about ``SLICE_BYTES``: names, and texts in small letters with blanks between terms."""
+    for batch in batches:
+        names, texts, size = [], [], 0
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            names.append(name)
+            texts.append(text.as_py().translate(_LETTERS))
+            size += len(texts[-1])
+            if size >= SLICE_BYTES:
+                yield names, texts
+                names, texts, size = [], [], 0
+        if names:
+            yield names, texts
+
+
+def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For every word of the texts the number of its text and of its term, and the terms, each with a blank behind it."""
+    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = joined != 32
+    before = np.zeros(len(inside), bool)
+    before[1:] = inside[:-1]
+    starts, stops = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(stops - starts + 1, out=offsets[1:])
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside | before])]
+    ).dictionary_encode()
+    first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    return np.searchsorted(first, starts, "right") - 1, words.indices.to_numpy().astype(np.int64), words.dictionary
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, term, n): in how many of the task's documents a term is."""
-    held: defaultdict[str, Counter] = defaultdict(Counter)
-
-    def handed():
-        for lang, terms in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms), pa.string()), pa.array(list(terms), pa.string()),
-                 pa.array(list(terms.values()), pa.int64())], ["lang", "term", "n"],
-            )
-        held.clear()
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own: set[bytes] = set()
-            for words in _words(text.as_py()):
-                own.update(words)
-            held[lang].update(own)
-            if sum(map(len, held.values())) > HELD:
-                yield from handed()
-    yield from handed()
+    """(lang, text) to (lang, term, n): in how many documents of a slice a term is."""
+    for names, texts in _slices(batches):
+        document, code, terms = _terms(texts)
+        langs, lang = np.unique(np.array(names, object), return_inverse=True)
+        width = len(terms) or 1
+        once = np.unique(document * width + code)
+        key, n = np.unique(lang[once // width] * width + once % width, return_counts=True)
+        found = [t[:-1] for t in terms.take(pa.array(key % width)).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(langs[key // width], pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())],
+            ["lang", "term", "n"],
+        )
 
 
 def _word_counts(ranges: dict[str, tuple[list[bytes], list[int]]]):
-    """(lang, source, text) to (lang, part, source, term, n): occurrences in the task's texts, by range of the vocabulary.
+    """((lang, source), text) to (turn, term, sources, counts): a term's occurrences in a slice, for its range.
 
-    ``ranges`` has the first terms and the numbers of each language's ranges.
+    ``ranges`` has the first terms and the turns of each language's ranges.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: defaultdict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def handed():
-            for (lang, source), terms in held.items():
-                starts, parts = ranges[lang]
-                rows = [(parts[at], term, n) for term, n in terms.items() if (at := bisect_right(starts, term) - 1) >= 0]
-                if rows:
-                    part, term, n = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(rows), pa.string()), pa.array(part, pa.int32()),
-                         pa.array([source] * len(rows), pa.string()), pa.array(term, pa.binary()), pa.array(n, pa.int64())],
-                        ["lang", "part", "source", "term", "n"],
-                    )
-            held.clear()
-
-        for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if lang in ranges:
-                    for words in _words(text.as_py()):
-                        held[lang, source].update(words)
-                    if sum(map(len, held.values())) > HELD:
-                        yield from handed()
-        yield from handed()
+        for names, texts in _slices(batches):
+            # Groups sorted by language and source, so a term's counts in one language follow each other.
+            pairs = sorted({(n["lang"], n["source"]) for n in names})
+            at = {pair: i for i, pair in enumerate(pairs)}
+            document, code, terms = _terms(texts)
+            group = np.array([at[n["lang"], n["source"]] for n in names], np.int64)
+            key, n = np.unique(code * len(pairs) + group[document], return_counts=True)
+            code, group = key // len(pairs), key % len(pairs)
+            langs = sorted({lang for lang, _ in pairs})
+            lang = np.array([langs.index(pair[0]) for pair in pairs])[group]
+            head = np.flatnonzero(np.diff(code * len(langs) + lang, prepend=-1))
+            turns, kept, words = [], [], terms.take(pa.array(code[head])).to_pylist()
+            for i, (word, which) in enumerate(zip(words, lang[head].tolist())):
+                starts, own = ranges.get(langs[which], ((), ()))
+                place = bisect_right(starts, word[:-1]) - 1
+                if place >= 0:
+                    turns.append(own[place])
+                    kept.append(i)
+            rows = pa.array(kept, pa.int64())
+            offsets = pa.array(np.append(head, len(key)), pa.int32())
+            sources = pa.array([pair[1] for pair in pairs], pa.string()).take(pa.array(group))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(turns, pa.int64()), pa.array([words[i][:-1] for i in kept], pa.binary()),
+                 pa.ListArray.from_arrays(offsets, sources).take(rows),
+                 pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())).take(rows)],
+                ["turn", "term", "sources", "counts"],
+            )
 
     return run
 
@@ -122,27 +136,49 @@ def _transducers(rows: pa.Table) -> pa.Table:
     })
 
 
+class _Recount:
+    """The sums of one range: terms go through its transducer, counts are added up by ordinal and source."""
+
+    def __init__(self, lang: str, base: int, data: bytes):
+        self._lang, self._base, self._machine = lang, base, Transducer.load(data)
+        self._known: dict[bytes, int] = {}
+        self._sums: defaultdict[str, Counter] = defaultdict(Counter)
+
+    def add(self, terms: list[bytes], sources: list[list[str]], counts: list[list[int]]) -> None:
+        known, ordinal = self._known, self._machine.ordinal
+        for term, names, numbers in zip(terms, sources, counts):
+            place = known.get(term)
+            if place is None:
+                place = known[term] = ordinal(term)
+            if place >= 0:
+                for name, n in zip(names, numbers):
+                    self._sums[name][place] += n
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for source, sums in self._sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self._lang] * len(sums), pa.string()), pa.array([source] * len(sums), pa.string()),
+                 pa.array(np.fromiter(sums, np.int64) + self._base), pa.array(np.fromiter(sums.values(), np.int64))],
+                ["lang", "source", "ordinal", "n"],
+            )
+
+
 def _through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words to ordinals; a range's transducer comes before its words, and equal words follow each other."""
-    machine, base, known, place = None, 0, None, -1
+    """Words to sums by ordinal. Rows come in turns: a range's transducer, then all words of the range."""
+    now = None
     for batch in batches:
-        out_lang, out_source, out_at, out_n = [], [], [], []
-        columns = (batch.column(i).to_pylist() for i in range(6))
-        for lang, source, term, n, start, data in zip(*columns):
-            if data is not None:
-                machine, base, known = Transducer.load(data), start, None
+        turn = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = batch.slice(lo, hi - lo)
+            if turn[lo] % 2:
+                now.add(*(part.column(i).to_pylist() for i in (1, 2, 3)))
                 continue
-            if term != known:
-                known, place = term, machine.ordinal(term)
-            if place >= 0:
-                out_lang.append(lang)
-                out_source.append(source)
-                out_at.append(base + place)
-                out_n.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out_lang, pa.string()), pa.array(out_source, pa.string()), pa.array(out_at, pa.int64()),
-             pa.array(out_n, pa.int64())], ["lang", "source", "ordinal", "n"],
-        )
+            if now is not None:
+                yield from now.rows()
+            now = _Recount(*(part.column(i)[0].as_py() for i in (4, 5, 6)))
+    if now is not None:
+        yield from now.rows()
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -198,25 +234,26 @@ def recount(docs: DataFrame, terms: DataFrame) -> DataFrame:
         terms.select("lang", part.alias("part"), F.col("term").cast("binary").alias("term"), "ordinal").groupBy("lang", "part")
         .applyInArrow(_transducers, "lang string, part int, start binary, base long, machine binary")
     )
-    # The first term of each range: RANGES of them and one for each language at most.
-    ranges: dict[str, tuple[list[bytes], list[int]]] = defaultdict(lambda: ([], []))
-    for r in machines.select("lang", "part", "start").orderBy("lang", "part").collect():
-        ranges[r["lang"]][0].append(bytes(r["start"]))
-        ranges[r["lang"]][1].append(r["part"])
-    ready = machines.select(
-        "lang", "part", F.lit(None).cast("string").alias("source"), F.lit(None).cast("binary").alias("term"),
-        F.lit(None).cast("long").alias("n"), F.col("base").alias("start"), "machine",
+    # The first term of each range, to the driver and to all tasks: RANGES and one for each language at most.
+    found = machines.select("lang", "part", "start").orderBy("lang", "part").collect()
+    ranges: dict[str, tuple[list[bytes], list[int]]] = {}
+    for i, r in enumerate(found):
+        starts, turns = ranges.setdefault(r["lang"], ([], []))
+        starts.append(bytes(r["start"]))
+        turns.append(2 * i + 1)
+    numbers = terms.sparkSession.createDataFrame(
+        [(r["lang"], r["part"], 2 * i) for i, r in enumerate(found)], "lang string, part int, turn long"
     )
-    words = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(
-        _word_counts(dict(ranges)), "lang string, part int, source string, term binary, n long"
+    words = docs.select(F.struct("lang", "source"), F.col("text").cast("binary")).mapInArrow(
+        _word_counts(ranges), "turn long, term binary, sources array<string>, counts array<long>"
     )
-    mixed = words.withColumns({"start": F.lit(None).cast("long"), "machine": F.lit(None).cast("binary")}).unionByName(ready)
-    # Nulls sort first, so the transducer precedes the words of its range.
-    sent = mixed.repartition("lang", "part").sortWithinPartitions("lang", "part", "term")
-    counted = sent.select("lang", "source", "term", "n", "start", "machine").mapInArrow(
+    ready = machines.join(F.broadcast(numbers), ["lang", "part"]).select("turn", "lang", "base", "machine")
+    mixed = words.unionByName(ready, allowMissingColumns=True)
+    # The transducer of a range has the turn before that of its words.
+    sent = mixed.repartition(F.floor(F.col("turn") / 2)).sortWithinPartitions("turn")
+    return sent.select("turn", "term", "sources", "counts", "lang", "base", "machine").mapInArrow(
         _through, "lang string, source string, ordinal long, n long"
     )
-    return counted.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
 
 
 def audit(documents: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:

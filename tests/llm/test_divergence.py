@@ -48,13 +48,13 @@ def test_shares_are_exact():
     assert dv.shares(counts, total).tolist() == want
 
 
-def test_pieces_of_long_texts(monkeypatch):
-    text = ("Über Straße x-ray " * 500 + "z" * 900 + " end").encode()
-    whole = [w for words in dv._words(text) for w in words]
-    monkeypatch.setattr(dv, "PIECE_BYTES", 64)
-    pieces = list(dv._words(text))
-    assert len(pieces) > 50 and [w for words in pieces for w in words] == whole
-    assert "Über".encode() in whole and b"ray" in whole
+def test_terms_of_texts():
+    texts = ["Über Straße x-ray", "", " ,, ", "x " + "z" * 900, "end", "ray"]
+    document, code, terms = dv._terms([t.encode().translate(dv._LETTERS) for t in texts])
+    got = [(d, terms[c].as_py().decode()) for d, c in zip(document.tolist(), code.tolist())]
+    want = [(0, "Über "), (0, "straße "), (0, "x "), (0, "ray "), (3, "x "), (3, "z" * 900 + " "), (4, "end "), (5, "ray ")]
+    assert got == want and len(terms) == len({w for _, w in want})
+    assert [len(x) for x in dv._terms([b"", b" "])] == [0, 0, 0]
 
 
 PATTERN = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -114,9 +114,9 @@ ROWS = [
 
 @pytest.mark.parametrize("small", [False, True])
 def test_audit(spark, monkeypatch, small):
-    """Also with a transducer for every few terms, blocks of two ordinals and counters handed on at once."""
+    """Also with a transducer for every few terms, blocks of two ordinals and slices of a few texts."""
     if small:
-        for name, value in (("RANGE_BYTES", 8), ("BLOCK_TERMS", 2)):
+        for name, value in (("RANGE_BYTES", 8), ("BLOCK_TERMS", 2), ("SLICE_BYTES", 50)):
             monkeypatch.setattr(dv, name, value)
     assert got(dv.audit(table(spark, ROWS))) == plain(ROWS)
 
