@@ -31,7 +31,7 @@ SINGLE_LIMIT_S, BULK_LIMIT_S = 15.0, 300.0
 
 RESULT_SCHEMA = (
     "cache_key string, text string, model string, endpoint string, result_path string, ok boolean, message string, "
-    "attempts int"
+    "attempts int, called_us long, answered_us long"
 )
 
 
@@ -74,15 +74,15 @@ def spread_over_endpoints(work: DataFrame, n_endpoints: Column | int, key: str =
 def assign_endpoints(work: DataFrame, endpoints: DataFrame, key: str = "cache_key") -> DataFrame:
     """K4: work with the ``endpoint`` (name) its key is spread to, of ``endpoints(pos, name)`` in order of ``pos``.
 
-    A list of endpoints is a configuration: it is numbered and broadcast. Without any the endpoint is empty.
+    The endpoints are numbered by a sort and met by that number, so their list may be of any length and never passes
+    through the driver. Without any the endpoint is empty.
     """
-    names = [r["name"] for r in endpoints.orderBy("pos").select("name").collect()]
-    if not names:
-        return work.withColumn("endpoint", F.lit(""))
-    listed = F.array(*[F.lit(n) for n in names])
-    return spread_over_endpoints(work, len(names), key).withColumn(
-        "endpoint", F.get(listed, F.col("slot").cast("int"))
-    ).drop("slot")
+    named = endpoints.select("pos", F.col("name").alias("endpoint"))
+    numbered = global_rank(named, ["pos", "endpoint"], "_rank").select((F.col("_rank") - 1).alias("slot"), "endpoint")
+    n = F.nullif(endpoints.select(F.count(F.lit(1))).scalar(), F.lit(0))
+    return spread_over_endpoints(work, n, key).join(numbered, "slot", "left").withColumn(
+        "endpoint", F.coalesce("endpoint", F.lit(""))
+    ).select(*work.columns, "endpoint")
 
 
 def number_micro_batches(
@@ -181,34 +181,81 @@ def enrich(
 ) -> DataFrame:
     """K1-K5: compute (cache_key, text, model) rows in batches of one model and endpoint.
 
-    ``parallelism`` caps how many calls run at once over the whole job: it is the partition count of this
-    stage. Rows are spread by key hash, so a model with most of the work still fills every partition. With
+    ``parallelism`` caps how many calls of this enrichment run at once: it is the partition count of this stage. For
+    a cap over several enrichments see :func:`enrich_together`. Rows are spread by key hash, so a model with most of the work still fills every partition. With
     ``endpoints`` (pos, name, status; see :func:`available_endpoints`) each row is called at the one its key is
     spread to.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = work.select("cache_key", "text", "model")
+    rows = rows.withColumn("endpoint", F.lit("")) if endpoints is None else assign_endpoints(rows, endpoints)
+    if parallelism:
+        rows = rows.repartition(parallelism, "cache_key")
+    calls = _Calls([compute], batch_size, max_tries, pause_s, fallback, limit_s, bulk_limit_s)
+    return rows.withColumn("job", F.lit(0)).mapInPandas(calls.run, f"job int, {RESULT_SCHEMA}").drop("job")
+
+
+def enrich_together(
+    works: Sequence[tuple[DataFrame, Compute]], cap: int, endpoints: DataFrame | None = None, batch_size: int = 20,
+    max_tries: int = 3, pause_s: float = 1.0, fallback: str = "any", limit_s: float | None = SINGLE_LIMIT_S,
+    bulk_limit_s: float | None = BULK_LIMIT_S,
+) -> DataFrame:
+    """K5: several enrichments with one cap: (job, and the columns of :func:`enrich`), ``job`` the place in ``works``.
+
+    All their rows go through one stage of ``cap`` tasks, each of which has one call under way, so the whole application
+    makes at most ``cap`` calls at a time as long as its work goes through here (and Spark runs no task twice at once,
+    ``spark.speculation``). ``called_us`` and ``answered_us`` tell when the call of a row began and ended.
+    """
+    rows = None
+    for job, (work, _) in enumerate(works):
+        part = work.select(F.lit(job).alias("job"), "cache_key", "text", "model")
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumn("endpoint", F.lit("")) if endpoints is None else assign_endpoints(rows, endpoints)
+    calls = _Calls([compute for _, compute in works], batch_size, max_tries, pause_s, fallback, limit_s, bulk_limit_s)
+    return rows.repartition(cap, "cache_key").mapInPandas(calls.run, f"job int, {RESULT_SCHEMA}")
+
+
+class _Calls:
+    """The calls of one task, one after the other: batches of one job, model and endpoint."""
+
+    def __init__(self, computes: Sequence[Compute], batch_size: int, max_tries: int, pause_s: float, fallback: str,
+                 limit_s: float | None, bulk_limit_s: float | None):
+        self._computes, self._batch_size = list(computes), batch_size
+        self._options = (max_tries, pause_s, fallback)
+        self._limits = (limit_s, bulk_limit_s)
+
+    def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             order, answers = [], []
-            for (model, endpoint), part in pdf.groupby(["model", "endpoint"], sort=False, dropna=False):
+            for (job, model, endpoint), part in pdf.groupby(["job", "model", "endpoint"], sort=False, dropna=False):
                 texts = part["text"].tolist()
-                for at in range(0, len(texts), batch_size):
-                    answers += call_batch(
-                        compute, texts[at: at + batch_size], model, max_tries, pause_s, fallback, endpoint, limit_s,
-                        bulk_limit_s,
+                for at in range(0, len(texts), self._batch_size):
+                    began = time.time_ns() // 1000
+                    got = call_batch(
+                        self._computes[job], texts[at: at + self._batch_size], model, *self._options, endpoint, *self._limits
                     )
+                    ended = time.time_ns() // 1000
+                    answers += [(*answer, began, ended) for answer in got]
                 order.append(part)
             if not order:
                 continue
             out = pd.concat(order, ignore_index=True)
-            out[["result_path", "ok", "message", "attempts"]] = answers
+            out[["result_path", "ok", "message", "attempts", "called_us", "answered_us"]] = answers
             yield out
 
-    rows = work.select("cache_key", "text", "model")
-    rows = rows.withColumn("endpoint", F.lit("")) if endpoints is None else assign_endpoints(rows, endpoints)
-    if parallelism:
-        rows = rows.repartition(parallelism, "cache_key")
-    return rows.mapInPandas(run, RESULT_SCHEMA)
+
+def calls_under_way(results: DataFrame) -> DataFrame:
+    """K5: how many calls of ``results`` (with ``called_us`` and ``answered_us``) were under way when each began.
+
+    ``(called_us, running)`` for every distinct call: those begun up to then less those answered by then, from one scan.
+    """
+    calls = results.select("called_us", "answered_us").distinct()
+    turns = calls.select(F.explode(F.array(
+        F.struct(F.col("called_us").alias("at"), F.lit(1).alias("step"), F.col("answered_us").alias("other")),
+        F.struct(F.col("answered_us").alias("at"), F.lit(-1).alias("step"), F.col("called_us").alias("other")),
+    )).alias("t")).select("t.*")
+    scanned = segmented_scan(turns, [], ["at", "step", "other"], None, sums={"running": "step"})
+    return scanned.filter("step = 1").select(F.col("at").alias("called_us"), "running")
 
 
 def to_cache_rows(results: DataFrame, created_at: Column, batch_no: int = 0) -> DataFrame:

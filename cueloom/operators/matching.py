@@ -66,14 +66,26 @@ def match_subtitles(media: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a name's parts in the index of :func:`match_batch_outputs`.
+FRAGMENT = 4
+
+
+def _fragments(name: Column, size: Column) -> Column:
+    """The distinct parts of a name that have ``size`` characters."""
+    starts = F.sequence(F.lit(1), F.length(name) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda at: F.substring(name, at, size)))
+
+
 def match_batch_outputs(
     tasks: DataFrame, outputs: DataFrame, group: str = "folder", formats: Sequence[str] = ("lrc",)
 ) -> DataFrame:
     """Tasks (group, task_id, source_name) with their output file of the same group in ``output``.
 
     The exact ``name.fmt`` in format order comes first, then the first file in natural order whose name
-    contains the task's name. For the second rule each file lists the parts of its name that are as long
-    as some task name of its group without an exact output, so the join is on equality.
+    contains the task's name. For the second rule files are indexed by the parts of ``FRAGMENT`` characters of their
+    names, one row for each place at most. A task looks up the part of its name that the fewest files have, and what it
+    finds there is compared in full; a part that no file has settles that there is no match. A name shorter than a part
+    is its own part, and only groups with such names list parts of that length.
     """
     offered = outputs.select(group, "name", order_index(tx.ext_of(F.col("name")), formats).alias("_f")).filter(
         F.col("_f").isNotNull()
@@ -82,20 +94,25 @@ def match_batch_outputs(
         F.min_by("name", "_f").alias("_exact")
     )
     first = tasks.join(exact, [group, "source_name"], "left")
-    open_names = first.filter(F.col("_exact").isNull()).select(group, "source_name").distinct()
-    # No more lengths than the longest name of the group has characters.
-    lengths = open_names.groupBy(group).agg(F.collect_set(F.length("source_name")).alias("_lengths"))
-    size = F.length("name")
-    offered = lookup(offered, lengths, group, "inner")
-    parts = F.flatten(
-        F.transform(
-            F.filter("_lengths", lambda n: (n > 0) & (n <= size)),
-            lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(F.col("name"), at, n)),
-        )
+    size = F.least(F.length("source_name"), F.lit(FRAGMENT))
+    wanted = first.filter(F.col("_exact").isNull() & (size > 0)).select(group, "source_name", size.alias("_size")).distinct()
+    # At most FRAGMENT sizes in a group.
+    sizes = wanted.groupBy(group).agg(F.collect_set("_size").alias("_sizes"))
+    fitting = F.filter("_sizes", lambda n: n <= F.length("name"))
+    parts = F.flatten(F.transform(fitting, lambda n: _fragments(F.col("name"), n)))
+    index = offered.select(group, "name").distinct().join(sizes, group).select(group, "name", F.explode(parts).alias("_part"))
+    counts = index.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    asked = wanted.select(group, "source_name", F.explode(_fragments(F.col("source_name"), F.col("_size"))).alias("_part"))
+    rarest = (
+        asked.join(counts, [group, "_part"], "left")
+        .groupBy(group, "source_name")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_part").alias("part"))).alias("_r"))
+        .filter(F.col("_r.n") > 0)
+        .select(group, "source_name", F.col("_r.part").alias("_part"))
     )
     loose = (
-        offered.select(group, "name", F.explode(F.array_distinct(parts)).alias("source_name"))
-        .join(open_names, [group, "source_name"], "left_semi")
+        rarest.join(index, [group, "_part"])
+        .filter(F.contains("name", "source_name"))
         .groupBy(group, "source_name")
         .agg(F.min(F.struct(tx.natural_key(F.col("name")).alias("nk"), F.col("name").alias("name"))).alias("_l"))
         .select(group, "source_name", F.col("_l.name").alias("_loose"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.skew import lookup
+from ..session import freeze
+from ..sources import tables
 
 CACHE_COLUMNS = (
     "cache_key", "text", "result_path", "model", "endpoint", "created_at", "file_size", "use_count"
@@ -30,6 +32,25 @@ def upsert_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("cache_key").agg(latest.alias("_row")).select("cache_key", "_row.*")
 
 
+def merge_into_cache(spark: SparkSession, path: str, new: DataFrame) -> int:
+    """A7 on a bucketed cache table: upsert ``new`` and write only the buckets it touches; their number.
+
+    Buckets without a new key are neither read nor written. The merged rows are written aside before they replace the
+    buckets, and the same ``new`` merged again gives the same table, so a run that broke off is simply repeated.
+    """
+    first = tables.read_bucketed_cache(spark, path, layout=True).select("of").first()
+    of = first["of"] if first else tables.CACHE_BUCKETS
+    fresh = freeze(tables.in_buckets(new, of))
+    # At most as many numbers as there are buckets.
+    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+    if not touched:
+        return 0
+    old = tables.read_bucketed_cache(spark, path, layout=True).filter(F.col("bucket").isin(touched))
+    merged = freeze(tables.in_buckets(upsert_cache(old.select(*CACHE_COLUMNS), fresh.drop("of", "bucket")), of))
+    tables.write_buckets(merged, path, "overwrite")
+    return len(touched)
+
+
 def live_entries(cache: DataFrame, files: DataFrame) -> DataFrame:
     """Cache rows whose result file exists. ``files`` has a ``path`` column."""
     return cache.join(files.select(F.col("path").alias("result_path")).distinct(), "result_path", "left_semi")

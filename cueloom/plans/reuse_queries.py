@@ -37,18 +37,32 @@ def a6(t):
 
 
 # Documents in other languages than English are saved anew, some of the cached ones among them.
-@query("a7_cache_upsert", "cache_key:s result_path:s endpoint:s use_count:l", with_tables("doc_keys cache", """
+_UPSERTED = """
     SELECT cache_key, coalesce(n.result_path, c.result_path) AS result_path,
            CASE WHEN n.cache_key IS NULL THEN 'local' ELSE 'new' END AS endpoint, 1 AS use_count
-    FROM cache c FULL JOIN n USING (cache_key)""", n="""
-    SELECT cache_key, '/new/' || max(doc_id) AS result_path FROM doc_keys WHERE lang <> 'en' GROUP BY cache_key"""))
-def a7(t):
-    new = fx.doc_requests(t).filter(F.col("model") != "en").select(
+    FROM cache c FULL JOIN n USING (cache_key)"""
+_NEW = "SELECT cache_key, '/new/' || max(doc_id) AS result_path FROM doc_keys WHERE lang <> 'en' GROUP BY cache_key"
+
+
+def _new_results(t):
+    return fx.doc_requests(t).filter(F.col("model") != "en").select(
         "cache_key", "text", F.concat(F.lit("/new/"), F.col("doc_id").cast("string")).alias("result_path"), "model",
         F.lit("new").alias("endpoint"), F.timestamp_seconds(F.lit(1800000000) + F.col("doc_id")).alias("created_at"),
         F.length("text").cast("long").alias("file_size"), F.lit(1).alias("batch_no"),
     )
-    return ru.upsert_cache(fx.result_cache(t), new)
+
+
+@query("a7_cache_upsert", "cache_key:s result_path:s endpoint:s use_count:l", with_tables("doc_keys cache", _UPSERTED, n=_NEW))
+def a7(t):
+    return ru.upsert_cache(fx.result_cache(t), _new_results(t))
+
+
+@query("a7_bucketed_upsert", "cache_key:s result_path:s endpoint:s use_count:l", with_tables("doc_keys cache", _UPSERTED, n=_NEW))
+def a7_buckets(t):
+    path = fresh_dir(t.spark, "cache")
+    tb.write_bucketed_cache(fx.result_cache(t), path, 16)
+    ru.merge_into_cache(t.spark, path, _new_results(t))
+    return tb.read_bucketed_cache(t.spark, path)
 
 
 @query("e5_cache_hits", "doc_id:l result_path:s", with_tables("doc_keys files", """

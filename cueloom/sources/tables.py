@@ -21,6 +21,33 @@ def write_result_cache(cache: DataFrame, path: str) -> None:
     cache.write.parquet(path)
 
 
+#: Parts a bucketed cache is cut into by its keys.
+CACHE_BUCKETS = 256
+_LAYOUT = ("of", "bucket")
+
+
+def in_buckets(rows: DataFrame, of: int) -> DataFrame:
+    """Rows with the number of buckets and the bucket of their ``cache_key``."""
+    bucket = F.pmod(F.crc32(F.col("cache_key").cast("binary")), F.lit(of)).cast("int")
+    return rows.withColumns({"of": F.lit(of), "bucket": bucket})
+
+
+def write_buckets(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Write rows of :func:`in_buckets`; with ``mode='overwrite'`` only the buckets that occur are replaced."""
+    rows.repartition(*_LAYOUT).write.option("partitionOverwriteMode", "dynamic").partitionBy(*_LAYOUT).mode(mode).parquet(path)
+
+
+def write_bucketed_cache(cache: DataFrame, path: str, buckets: int = CACHE_BUCKETS) -> None:
+    """A cache table whose rows lie in ``buckets`` folders by key; see :func:`cueloom.operators.reuse.merge_into_cache`."""
+    write_buckets(in_buckets(cache, buckets), path)
+
+
+def read_bucketed_cache(spark: SparkSession, path: str, layout: bool = False) -> DataFrame:
+    """The rows of a bucketed cache; with ``layout`` also the number of buckets (``of``) and the ``bucket``."""
+    rows = spark.read.schema(f"{schemas.RESULT_CACHE}, of int, bucket int").option("basePath", path).parquet(path)
+    return rows if layout else rows.drop(*_LAYOUT)
+
+
 def write_task_snapshot(tasks: DataFrame, path: str, fmt: str = "json") -> None:
     """A8."""
     tasks.write.format(fmt).save(path)
