@@ -14,7 +14,6 @@ terms, ``p = 1 + floor(10**9 (c + 1) / (N + V))``, and a group's ``p`` differs f
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ RANGE_BYTES, RANGES = 1 << 14, 4096
 #: Ordinals compared together, and the most (source, ordinal) cells of such a block.
 BLOCK_TERMS, BLOCK_CELLS = 256, 1 << 18
 #: Bytes of texts a task sums up at once; a longer text is summed up by itself.
-SLICE_BYTES = 1 << 25
+SLICE_BYTES = 12 << 20
 
 _LETTERS = bytes.maketrans(
     bytes(range(128)), bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(128))
@@ -56,20 +55,38 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list
             yield names, texts
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and, for each, the sum of its counts (or how often it is there)."""
+    code, distinct = pd.factorize(keys)
+    if counts is None:
+        return distinct, np.bincount(code, minlength=len(distinct))
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, code, counts)
+    return distinct, sums
+
+
 def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """For every word of the texts the number of its text and of its term, and the terms, each with a blank behind it."""
+    """For every word of the texts the number of its text and of its term, and the terms."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     inside = joined != 32
     before = np.zeros(len(inside), bool)
     before[1:] = inside[:-1]
     starts, stops = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+    # Words with one blank behind each, so that they lie side by side.
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(stops - starts + 1, out=offsets[1:])
-    words = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside | before])]
-    ).dictionary_encode()
+    words = _strings(joined[inside | before], offsets).dictionary_encode()
+    _, ends, data = words.dictionary.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(words.dictionary) + 1]
+    data = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.zeros(0, np.uint8)
     first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-    return np.searchsorted(first, starts, "right") - 1, words.indices.to_numpy().astype(np.int64), words.dictionary
+    number = np.searchsorted(first, starts, "right") - 1
+    return number, words.indices.to_numpy().astype(np.int64), _strings(data[data != 32], ends - np.arange(len(ends)))
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,12 +95,11 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         document, code, terms = _terms(texts)
         langs, lang = np.unique(np.array(names, object), return_inverse=True)
         width = len(terms) or 1
-        once = np.unique(document * width + code)
-        key, n = np.unique(lang[once // width] * width + once % width, return_counts=True)
-        found = [t[:-1] for t in terms.take(pa.array(key % width)).to_pylist()]
+        once = pd.unique(document * width + code)
+        key, n = _summed(lang[once // width] * width + once % width)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs[key // width], pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())],
-            ["lang", "term", "n"],
+            [pa.array(langs[key // width], pa.string()), terms.take(pa.array(key % width)).cast(pa.binary()).cast(pa.string()),
+             pa.array(n, pa.int64())], ["lang", "term", "n"],
         )
 
 
@@ -96,27 +112,29 @@ def _word_counts(ranges: dict[str, tuple[list[bytes], list[int]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, texts in _slices(batches):
             # Groups sorted by language and source, so a term's counts in one language follow each other.
-            pairs = sorted({(n["lang"], n["source"]) for n in names})
+            names = [(n["lang"], n["source"]) for n in names]
+            pairs = sorted(set(names))
             at = {pair: i for i, pair in enumerate(pairs)}
             document, code, terms = _terms(texts)
-            group = np.array([at[n["lang"], n["source"]] for n in names], np.int64)
-            key, n = np.unique(code * len(pairs) + group[document], return_counts=True)
+            group = np.array([at[n] for n in names], np.int64)
+            key, n = _summed(code * len(pairs) + group[document])
+            order = np.argsort(key)
+            key, n = key[order], n[order]
             code, group = key // len(pairs), key % len(pairs)
             langs = sorted({lang for lang, _ in pairs})
-            lang = np.array([langs.index(pair[0]) for pair in pairs])[group]
+            lang = np.array([langs.index(pair[0]) for pair in pairs], np.int64)[group]
             head = np.flatnonzero(np.diff(code * len(langs) + lang, prepend=-1))
-            turns, kept, words = [], [], terms.take(pa.array(code[head])).to_pylist()
-            for i, (word, which) in enumerate(zip(words, lang[head].tolist())):
-                starts, own = ranges.get(langs[which], ((), ()))
-                place = bisect_right(starts, word[:-1]) - 1
-                if place >= 0:
-                    turns.append(own[place])
-                    kept.append(i)
+            words = terms.take(pa.array(code[head]))
+            own = [ranges.get(x, ((), ())) for x in langs]
+            place = [bisect_right(own[which][0], word) - 1 for word, which in zip(words.to_pylist(), lang[head].tolist())]
+            kept = [i for i, at in enumerate(place) if at >= 0]
+            which = lang[head]
+            turns = [own[which[i]][1][place[i]] for i in kept]
             rows = pa.array(kept, pa.int64())
             offsets = pa.array(np.append(head, len(key)), pa.int32())
             sources = pa.array([pair[1] for pair in pairs], pa.string()).take(pa.array(group))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(turns, pa.int64()), pa.array([words[i][:-1] for i in kept], pa.binary()),
+                [pa.array(turns, pa.int64()), words.take(rows).cast(pa.binary()),
                  pa.ListArray.from_arrays(offsets, sources).take(rows),
                  pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())).take(rows)],
                 ["turn", "term", "sources", "counts"],
@@ -139,28 +157,48 @@ def _transducers(rows: pa.Table) -> pa.Table:
 class _Recount:
     """The sums of one range: terms go through its transducer, counts are added up by ordinal and source."""
 
+    #: Sums that wait to be added up.
+    WAITING = 1 << 20
+
     def __init__(self, lang: str, base: int, data: bytes):
         self._lang, self._base, self._machine = lang, base, Transducer.load(data)
         self._known: dict[bytes, int] = {}
-        self._sums: defaultdict[str, Counter] = defaultdict(Counter)
+        self._sources: dict[str, int] = {}
+        self._keys: list[np.ndarray] = []
+        self._counts: list[np.ndarray] = []
 
-    def add(self, terms: list[bytes], sources: list[list[str]], counts: list[list[int]]) -> None:
+    def add(self, terms: pa.Array, sources: pa.ListArray, counts: pa.ListArray) -> None:
         known, ordinal = self._known, self._machine.ordinal
-        for term, names, numbers in zip(terms, sources, counts):
+        places = np.empty(len(terms), np.int64)
+        for i, term in enumerate(terms.to_pylist()):
             place = known.get(term)
             if place is None:
                 place = known[term] = ordinal(term)
-            if place >= 0:
-                for name, n in zip(names, numbers):
-                    self._sums[name][place] += n
+            places[i] = place
+        place = np.repeat(places, np.diff(sources.offsets.to_numpy()))
+        named = sources.flatten().dictionary_encode()
+        numbers = [self._sources.setdefault(name, len(self._sources)) for name in named.dictionary.to_pylist()]
+        source = np.array(numbers, np.int64)[named.indices.to_numpy()]
+        there = place >= 0
+        self._keys.append(source[there] << 32 | place[there])
+        self._counts.append(counts.flatten().to_numpy()[there])
+        if sum(map(len, self._keys)) > 2 * self.WAITING:
+            self._add_up()
+
+    def _add_up(self) -> None:
+        keys, sums = _summed(np.concatenate(self._keys), np.concatenate(self._counts))
+        self._keys, self._counts = [keys], [sums]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for source, sums in self._sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([self._lang] * len(sums), pa.string()), pa.array([source] * len(sums), pa.string()),
-                 pa.array(np.fromiter(sums, np.int64) + self._base), pa.array(np.fromiter(sums.values(), np.int64))],
-                ["lang", "source", "ordinal", "n"],
-            )
+        if not self._keys:
+            return
+        self._add_up()
+        keys, sums = self._keys[0], self._counts[0]
+        names = pa.array(list(self._sources), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([self._lang] * len(keys), pa.string()), names.take(pa.array(keys >> 32)),
+             pa.array((keys & 0xFFFFFFFF) + self._base), pa.array(sums)], ["lang", "source", "ordinal", "n"],
+        )
 
 
 def _through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +210,7 @@ def _through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(cuts, cuts[1:]):
             part = batch.slice(lo, hi - lo)
             if turn[lo] % 2:
-                now.add(*(part.column(i).to_pylist() for i in (1, 2, 3)))
+                now.add(*(part.column(i) for i in (1, 2, 3)))
                 continue
             if now is not None:
                 yield from now.rows()

@@ -79,7 +79,7 @@ class Transducer:
     def dump(self) -> bytes:
         steps = np.array([(k, *v) for k, v in self._arcs.items()], np.int64).reshape(-1, 3)
         out = io.BytesIO()
-        np.savez_compressed(out, steps=steps, final=self._final)
+        np.savez(out, steps=steps if steps.size and steps.max() >= 2**31 else steps.astype(np.int32), final=self._final)
         return out.getvalue()
 
     @classmethod
