@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import sound as sd
+from ..functions import text as tx
 from ..functions.scan import neighbours, segmented_scan
 from ..functions.skew import lookup
 
@@ -270,19 +271,17 @@ def nearest_onsets(
     Rises of at least 30 % of the largest one in the search range are onsets; the nearest to the cue
     is taken, the earliest on a tie, if it is within ``max_offset_ms``; otherwise the cue stays.
 
-    Cues list the time buckets of their range and meet the rises on (signal, bucket). One aggregate over
-    that join keeps the largest rise and the few rises within ``max_offset_ms``, which alone can win.
     ``pieces`` are the signal's samples (signal, at, samples). ``grid='cue'`` anchors the frames at each
-    search start, ``'global'`` at 0.
+    search start, ``'global'`` at 0. On the one grid the largest rise of a range is that of a few blocks of frames
+    (:func:`_covering_blocks`), and only frames within ``max_offset_ms``, which alone can win, are met one by one: a cue
+    with a range of hours reads some hundred rows. Frames of a grid of its own are worked out for each cue, in time
+    buckets.
     """
     cue = [key, "seq"]
     start = F.floor(F.col("lo_ms") * sample_rate / 1000)
     stop = F.floor(F.least(F.col("hi_ms"), F.col("duration_ms")) * sample_rate / 1000)
     ranged = bounded.withColumn("_from", start).withColumn("_to", stop)
     usable = (F.col("hi_ms") > F.col("lo_ms")) & (F.col("_to") - F.col("_from") >= sample_rate)
-    bucket = 64 * hop
-    buckets = F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))
-
     place_ms = F.col("_place") * (1000.0 / sample_rate)
     off = F.abs(place_ms - F.col("start_ms"))
     # At most 2 * max_offset_ms / hop rises are near a cue, so the list is short.
@@ -293,6 +292,8 @@ def nearest_onsets(
     aligned = F.coalesce(F.floor(found), F.col("start_ms")).alias("aligned_ms")
 
     if grid == "cue":
+        bucket = 64 * hop
+        buckets = F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))
         end = F.col("at") + F.size("samples")
         touched = F.sequence(F.floor(F.col("at") / bucket), F.floor((end - 1) / bucket))
         s = F.greatest("at", "_from", F.col("_bucket") * bucket)
@@ -311,19 +312,76 @@ def nearest_onsets(
         best = placed.groupBy(*cue).agg(*picks)
         return bounded.join(best, cue, "left").select(*bounded.columns, aligned)
 
-    # Cues without a usable range keep one row with no bucket, so they come through the left join.
-    none = F.array(F.lit(None).cast("bigint"))
-    spread = ranged.withColumn("_bucket", F.explode(F.when(usable, buckets).otherwise(none))).alias("c")
-    rises = energy_rises(pieces, [key], frame_len, hop).filter(F.col("rise").isNotNull())
-    placed = rises.select(
-        F.col(key).alias("_key"), (F.col("hop_no") * hop).alias("_place"), "rise",
-        F.floor(F.col("hop_no") * hop / bucket).alias("_of"),
-    )
-    met = (
-        (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_of"))
-        & (F.col("_place") >= F.col("_from")) & (F.col("_place") + hop + frame_len <= F.col("_to"))
+    # Frames of the one grid that lie in the range, and those near the cue.
+    low, high = F.ceil(F.col("_from") / hop), F.floor((F.col("_to") - hop - frame_len) / hop)
+    per_ms = sample_rate / 1000.0 / hop
+    near = F.transform(
+        _whole_numbers(
+            F.greatest(low, F.floor((F.col("start_ms") - max_offset_ms) * per_ms)),
+            F.least(high, F.ceil((F.col("start_ms") + max_offset_ms) * per_ms)),
+        ),
+        lambda at: _block(0, at, False),
     )
-    return spread.join(placed, met, "left").groupBy(*bounded.columns).agg(*picks).select(*bounded.columns, aligned)
+    # Cues without a usable range keep one row with no block, so they come through the left join.
+    none = F.array(F.lit(None).cast("struct<level: int, block: bigint, whole: boolean>"))
+    spread = ranged.withColumn(
+        "_b", F.explode_outer(F.when(usable, F.concat(_covering_blocks(low, high), near)).otherwise(none))
+    ).withColumns({"level": F.col("_b.level"), "block": F.col("_b.block")})
+    rises = energy_rises(pieces, [key], frame_len, hop).filter(F.col("rise").isNotNull())
+    met = spread.join(_block_maxima(rises, key), [key, "level", "block"], "left")
+    place_ms = F.col("block") * hop * (1000.0 / sample_rate)
+    off = F.abs(place_ms - F.col("start_ms"))
+    whole = F.col("_b.whole")
+    close = F.when(~whole & (off <= max_offset_ms) & F.col("rise").isNotNull(), F.struct(off.alias("off"), place_ms.alias("ms"), "rise"))
+    picks = [F.max(F.when(whole, F.col("rise"))).alias("_max"), F.sum(F.when(whole, F.col("n"))).alias("_n"),
+             F.collect_list(close).alias("_close")]
+    return met.groupBy(*bounded.columns).agg(*picks).select(*bounded.columns, aligned)
+
+
+#: Frames in a block of the first level, and blocks in one of the next; and the levels above single frames.
+BLOCK_FRAMES, BLOCK_LEVELS = 64, 3
+
+
+def _block(level: int, number: Column, whole: bool) -> Column:
+    return F.struct(F.lit(level).alias("level"), number.cast("long").alias("block"), F.lit(whole).alias("whole"))
+
+
+def _whole_numbers(first: Column, last: Column) -> Column:
+    """All whole numbers from first to last, none if last is smaller."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _covering_blocks(low: Column, high: Column, level: int = 0) -> Column:
+    """The blocks that make up the frames from ``low`` to ``high``: small ones at both ends, large ones between.
+
+    No more than ``2 * BLOCK_FRAMES`` of each level but the last, however long the range.
+    """
+    def listed(first: Column, last: Column) -> Column:
+        return F.transform(_whole_numbers(first, last), lambda at: _block(level, at, True))
+
+    def ends_and_rest(r: Column) -> Column:
+        first, last = r["first"], r["last"]
+        if level == BLOCK_LEVELS:
+            return listed(first, last)
+        up, down = F.ceil(first / BLOCK_FRAMES), F.floor((last + 1) / BLOCK_FRAMES)
+        split = F.concat(
+            listed(first, up * BLOCK_FRAMES - 1), listed(down * BLOCK_FRAMES, last), _covering_blocks(up, down - 1, level + 1)
+        )
+        return F.when(up < down, split).otherwise(listed(first, last))
+
+    return tx.bind(F.struct(low.cast("long").alias("first"), high.cast("long").alias("last")), ends_and_rest)
+
+
+def _block_maxima(rises: DataFrame, key: str) -> DataFrame:
+    """(key, level, block, rise, n): the largest rise and the number of rises of every block; level 0 are the rises."""
+    level = rises.select(key, F.col("hop_no").cast("long").alias("block"), "rise", F.lit(1).cast("long").alias("n"))
+    levels = level.withColumn("level", F.lit(0))
+    for number in range(1, BLOCK_LEVELS + 1):
+        level = level.groupBy(key, F.floor(F.col("block") / BLOCK_FRAMES).alias("block")).agg(
+            F.max("rise").alias("rise"), F.sum("n").alias("n")
+        )
+        levels = levels.unionByName(level.withColumn("level", F.lit(number)))
+    return levels
 
 
 def clip_onsets(

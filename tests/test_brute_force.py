@@ -464,3 +464,49 @@ def test_one_cap_for_several_enrichments(spark):
     assert max(running) == 2 and all(b - a >= 20_000 for a, b in calls)
     measured = en.calls_under_way(spark.createDataFrame(rows)).agg({"running": "max"}).first()[0]
     assert measured == 2
+
+
+# --- E11 ---
+
+def test_covering_blocks(spark):
+    """Every range is covered once, by a bounded number of blocks."""
+    rng = random.Random(4)
+    ranges = [(5, 4), (0, 0), (63, 64), (0, 63), (64, 127), (1, 64**3 + 70), (0, 64**2 - 1), (64**3 - 1, 64**3), (7, 3 * 64**3 + 5)]
+    ranges += [(a, a + rng.randrange(9000)) for a in (rng.randrange(10**6) for _ in range(30))]
+    df = spark.createDataFrame(ranges, "lo long, hi long")
+    for r in df.select("lo", "hi", sg._covering_blocks(F.col("lo"), F.col("hi")).alias("b")).collect():
+        frames = []
+        for x in r.b:
+            frames.append((x.block * 64**x.level, (x.block + 1) * 64**x.level - 1))
+        frames.sort()
+        assert not frames if r.lo > r.hi else (frames[0][0], frames[-1][1]) == (r.lo, r.hi)
+        assert all(a[1] + 1 == b[0] for a, b in zip(frames, frames[1:]))
+        assert len(frames) <= 2 * 64 * 3 + 4
+
+
+def test_nearest_onset_in_long_ranges(spark):
+    """Ranges of thousands of frames against a plain loop over all of them."""
+    rng = np.random.default_rng(8)
+    rate, frame, hop = 1000, 10, 10
+    samples = rng.normal(size=60_000) * np.repeat(rng.choice([0.01, 1.0, 3.0], 600), 100)
+    pieces = spark.createDataFrame([("s", lo, samples[lo : lo + 7_000].tolist()) for lo in range(0, 60_000, 7_000)],
+                                   "signal_id string, at long, samples array<double>")
+    cues = [("s", i, int(start), int(lo), int(hi), 60_000) for i, (start, lo, hi) in enumerate(
+        [(30_000, 0, 60_000), (100, 0, 45_000), (59_990, 3, 60_000), (500, 499, 520), (20_000, 10_005, 20_017)]
+        + [(lo + 700, lo, lo + int(rng.integers(1000, 30_000))) for lo in rng.integers(0, 29_000, 12)])]
+    df = spark.createDataFrame(cues, "signal_id string, seq int, start_ms long, lo_ms long, hi_ms long, duration_ms long")
+    got = {r.seq: r.aligned_ms for r in sg.nearest_onsets(df, pieces, rate, frame, hop).collect()}
+    n = (len(samples) - frame) // hop + 1
+    energy = np.array([np.sqrt(np.mean(samples[i * hop : i * hop + frame] ** 2)) for i in range(n)])
+    rise = np.maximum(np.diff(energy), 0)
+    moved = 0
+    for _, seq, start, lo, hi, _ in cues:
+        want = start
+        inside = [i for i in range(len(rise)) if i * hop >= lo and i * hop + hop + frame <= hi]
+        if hi - lo >= rate and len(inside) >= 2 and max(rise[inside]) >= 1e-10:
+            loud = [i for i in inside if rise[i] >= max(rise[inside]) * 0.3]
+            near = min(loud, key=lambda i: (abs(i * hop - start), i))
+            want = near * hop if abs(near * hop - start) <= 500 else start
+        moved += want != start
+        assert got[seq] == want
+    assert moved > 5
