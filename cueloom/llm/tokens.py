@@ -13,8 +13,8 @@ import pyarrow as pa
 
 #: Bytes worked on at once; a longer text is a chunk by itself.
 CHUNK_BYTES = 1 << 20
-#: Byte positions of a word repeat their weight after so many.
-LONGEST = 1 << 20
+#: Powers kept in a table.
+STRIDE = 1 << 16
 
 _rng = np.random.default_rng(20_240_229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,12 +48,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(pos: np.ndarray, longest: int) -> np.ndarray:
+    """Powers of the base; beyond ``STRIDE`` as a product of two, so the tables stay small whatever a word's length."""
     global _power
-    if len(_power) < n:
-        size = max(4096, 1 << int(n - 1).bit_length())
+    if len(_power) < min(longest, STRIDE):
+        size = min(STRIDE, max(4096, 1 << int(longest - 1).bit_length()))
         _power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _BASE, np.uint64)]))
-    return _power
+    if longest <= STRIDE:
+        return _power[pos]
+    step = np.uint64(pow(int(_BASE), STRIDE, 1 << 64))
+    far = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(longest // STRIDE, step, np.uint64)]))
+    return _power[pos % STRIDE] * far[pos // STRIDE]
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +100,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     lengths = np.diff(first, append=len(idx))
     pos = np.arange(len(idx)) - np.repeat(first, lengths)
-    longest = int(lengths.max())
-    if longest > LONGEST:
-        pos %= LONGEST
-    values = _BYTE[m[idx]] * _powers(min(longest, LONGEST))[pos]
+    values = _BYTE[m[idx]] * _powers(pos, int(lengths.max()))
     hashes = mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
     return hashes, np.searchsorted(idx[first], at)
 

@@ -6,8 +6,7 @@ to how often and how variedly the context was seen, so the order varies with the
 over its characters of the difference of log probabilities, and the cut is set on URLs that did not train.
 
 Counts and estimates are tables keyed by context and character. They grow with the input, are made by aggregations
-and joins, and never pass through the driver or a broadcast. What a character is, is a table of 256 symbols, one for each
-byte: ``BYTES`` keeps all bytes apart, ``CLASSES`` merges letters of either case, digits, and bytes of no meaning.
+and joins, and never pass through the driver or a broadcast. Characters are bytes, and all bytes are kept apart.
 """
 
 from __future__ import annotations
@@ -22,11 +21,10 @@ from pyspark.sql import functions as F
 
 from ..session import freeze
 
-#: Order over ``CLASSES``, and over ``BYTES``. At most eight, so that a context and its character are one 64-bit number.
-ORDER, LONG_ORDER = 4, 8
-#: Classes: 0 before the start, 1 any other byte, 2-27 letters, 28 digits, then the marks below.
-MARKS = "/.-_:%=&+~?#"
-SYMBOLS = 29 + len(MARKS)
+#: Characters of a context and the one behind it: at most eight, so that they are one 64-bit number.
+ORDER = 8
+#: Different bytes, and none before the start; UTF-8 has no byte 255, so its number is that of 254.
+KINDS = 256
 #: Every so many-th decided URL (by hash of its text) sets the cut instead of training.
 FOLDS = 5
 BINS, SPAN = 4000, 10.0
@@ -34,19 +32,8 @@ BINS, SPAN = 4000, 10.0
 Rule = tuple[str, str, str]  # verdict, host, path prefix
 
 
-def _classes() -> np.ndarray:
-    t = np.ones(256, np.uint8)
-    t[97:123] = np.arange(2, 28)
-    t[65:91] = np.arange(2, 28)
-    t[48:58] = 28
-    for i, c in enumerate(MARKS):
-        t[ord(c)] = 29 + i
-    return t
-
-
-CLASSES = _classes()
-#: Number of each byte plus one; UTF-8 has no byte 255.
-BYTES = np.minimum(np.arange(1, 257), 255).astype(np.uint8)
+#: Number of each byte plus one; 0 stands before the start.
+_BYTES = np.minimum(np.arange(1, 257), 255).astype(np.uint8)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -67,7 +54,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def _grams(symbols: np.ndarray, order: int):
+def _grams(order: int):
     """Map ``(id, url)`` to ``(id, gram, n)``: how often each character after its full context is in a URL.
 
     A gram has eight bits for each symbol, the character itself lowest.
@@ -81,7 +68,7 @@ def _grams(symbols: np.ndarray, order: int):
             data, off = tokens.texts_of(batch.column(1))
             for lo, hi in tokens.chunks(off):
                 base, sizes = off[lo], np.diff(off[lo : hi + 1])
-                symbol = symbols[data[base : off[hi]]].astype(np.uint64)
+                symbol = _BYTES[data[base : off[hi]]].astype(np.uint64)
                 owner = np.repeat(np.arange(lo, hi), sizes)
                 place = np.arange(len(symbol)) - np.repeat(off[lo:hi] - base, sizes)
                 gram = symbol.copy()
@@ -102,7 +89,7 @@ def _grams(symbols: np.ndarray, order: int):
     return run
 
 
-def _model(grams: DataFrame, kinds: int, order: int) -> DataFrame:
+def _model(grams: DataFrame, order: int) -> DataFrame:
     """``(gram, ratio)``: difference of the log probabilities, of each row of ``grams(gram, allow, block)``.
 
     Rows with no counts are characters and contexts that only scored URLs have. Every level has one row for each
@@ -119,7 +106,7 @@ def _model(grams: DataFrame, kinds: int, order: int) -> DataFrame:
             *[F.count_if(F.col(c) > 0).over(context).alias(f"{c}_kinds") for c in ("allow", "block")],
         )
         if out is None:
-            mixed = seen.withColumns({f"{c}_p": F.lit(1 / kinds) for c in ("allow", "block")})
+            mixed = seen.withColumns({f"{c}_p": F.lit(1 / KINDS) for c in ("allow", "block")})
         else:
             mixed = seen.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(bits >> 8))).join(
                 out.withColumnRenamed("gram", "suffix"), "suffix"
@@ -148,11 +135,11 @@ def _cut(scored: DataFrame) -> float:
     return float(edges[best][np.argmin(np.abs(edges[best]))])
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], symbols: np.ndarray = CLASSES, order: int = ORDER) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], order: int = ORDER) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` of every row of ``pages(page_id, url)``.
 
     ``verdict`` is the rule's, else ``allow`` if the score reaches the cut. A null or empty url scores 0. If no URL is
-    allowed by a rule, or none is blocked, all scores are 0 and the cut is 0. ``symbols`` is ``CLASSES`` or ``BYTES``.
+    allowed by a rule, or none is blocked, all scores are 0 and the cut is 0. Contexts have ``order - 1`` bytes at most.
     """
     host, path = parts(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select(
@@ -165,7 +152,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], symbols: np.ndarray = CLASSES
         "page_id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"), held.alias("held")
     ).withColumn("id", F.monotonically_increasing_id()))
     grams = freeze(
-        marked.filter("url <> ''").select("id", "url").mapInArrow(_grams(symbols, order), "id long, gram long, n long")
+        marked.filter("url <> ''").select("id", "url").mapInArrow(_grams(order), "id long, gram long, n long")
     )
     learns = marked.filter("ruled IS NOT NULL AND NOT held").select("id", "ruled")
     known = {r["ruled"] for r in learns.join(grams.select("id"), "id", "left_semi").select("ruled").distinct().collect()}
@@ -173,8 +160,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], symbols: np.ndarray = CLASSES
         counted = grams.join(learns, "id", "left").groupBy("gram").agg(*[
             F.sum(F.when(F.col("ruled") == c, F.col("n")).otherwise(0)).alias(c) for c in ("allow", "block")
         ])
-        kinds = SYMBOLS if symbols is CLASSES else 256
-        ratios = _model(freeze(counted), kinds, order)
+        ratios = _model(freeze(counted), order)
         sums = grams.join(ratios, "gram").groupBy("id").agg(F.sum(F.col("n") * F.col("ratio")).alias("total"))
         scored = marked.join(sums, "id", "left").withColumn(
             "score", F.coalesce(F.col("total") / F.octet_length("url"), F.lit(0.0))

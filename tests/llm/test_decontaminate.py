@@ -17,11 +17,12 @@ def brute(docs, items):
             if d is None or i is None:
                 continue
             a, b = words(text), words(item)
+            size = min(dc.WINDOW, len(b))
             hits = [
-                (p, min(sum(x != y for x, y in zip(a[p:p + dc.WINDOW], b[q:q + dc.WINDOW])) for q in range(len(b) - dc.WINDOW + 1)))
-                for p in range(len(a) - dc.WINDOW + 1) if len(b) >= dc.WINDOW
+                (p, min(sum(x != y for x, y in zip(a[p:p + size], b[q:q + size])) for q in range(len(b) - size + 1)))
+                for p in range(len(a) - size + 1) if size
             ]
-            hits = [h for h in hits if h[1] <= dc.SUBSTITUTIONS]
+            hits = [h for h in hits if h[1] <= (dc.SUBSTITUTIONS if size == dc.WINDOW else 0)]
             if hits:
                 out[d, i] = (len(hits), min(p for p, _ in hits), min(m for _, m in hits))
     return sorted((*k, *v) for k, v in out.items())
@@ -30,7 +31,7 @@ def brute(docs, items):
 def planted(seed):
     rng = random.Random(seed)
     vocabulary = [f"v{i}" for i in range(50)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([11, 12, 13, 30])))) for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([2, 3, 5, 11, 12, 13, 30])))) for i in range(12)]
     docs = []
     for d in range(60):
         text = [rng.choice(vocabulary) for _ in range(rng.choice([5, 40, 200]))]
@@ -61,6 +62,14 @@ def test_every_pattern_of_substitutions_is_seen():
             assert any({a % dc.CLASSES, b % dc.CLASSES}.isdisjoint(m) for m in dc.MASKS)
 
 
+def test_short_items_leak_whole(spark, documents):
+    items = items_table(spark, [(1, "one two three"), (2, "Yes"), (3, " ".join(f"k{i}" for i in range(12))), (4, " ")])
+    docs = documents([(1, "zero ONE two three four"), (2, "one two x three"), (3, "yes"), (4, "k0 k1 k2"), (5, "two three"), (6, "")])
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["mismatches"]) for r in dc.leaks(docs, items).collect()}
+    assert got == {(1, 1, 1, 0), (3, 2, 0, 0)}
+    assert sorted(r["doc_id"] for r in dc.drop_leaking(docs, items).collect()) == [2, 4, 5, 6]
+
+
 def test_odd_rows(spark, documents, odd):
     item = " ".join(f"k{i}" for i in range(20))
     items = items_table(spark, [(1, item), (None, item), (2, None), (3, ""), (4, "too short"), (1, item)])
