@@ -228,9 +228,9 @@ def merge_close_segments(
     The greedy rule runs over chunks of rows, not whole sources. What a chunk does depends only on the
     start of the merged segment still open when it begins, and only a few starts lead to different ends;
     so each chunk first reports its end for each of them (:func:`_chunk_exits`), the reports of a source are
-    chained (:func:`_chain_exits`), and every chunk then merges its rows on its own (:func:`_chunk_parts`). The numbered
-    rows are written once and the input is not worked out again; only times take part in the first step, and only
-    merged texts are grouped at the end.
+    chained (:func:`_chain_exits`), and every chunk then merges its rows on its own (:func:`_chunk_parts`). The input is
+    worked out once, and so are the numbered rows; only times take part in the first step, and only merged texts are
+    grouped at the end.
     """
     chunk = F.floor(F.col("start_ms") / window_ms)
     order = ["start_ms", "seg_no"]
@@ -240,7 +240,8 @@ def merge_close_segments(
         )
         return _joined_texts(headed.withColumn("n_parts", F.lit(1)), order)
 
-    scanned = segmented_scan(segments, ["source_id"], order, chunk, rank="_n", lags={"_prev_end": "end_ms"})
+    once = freeze(segments.select("source_id", "seg_no", "start_ms", "end_ms", "text"))
+    scanned = segmented_scan(once, ["source_id"], order, chunk, rank="_n", lags={"_prev_end": "end_ms"})
     cut = F.col("_prev_end").isNull() | (F.col("start_ms") - F.col("_prev_end") > max_gap_ms)
     rows = freeze(scanned.select(
         "source_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"),

@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions import text as tx
 from ..functions.scan import global_rank
 from ..functions.skew import lookup
+from ..session import freeze
 
 
 def order_index(ext: Column, order: Sequence[str]) -> Column:
@@ -100,7 +101,9 @@ def match_batch_outputs(
     sizes = wanted.groupBy(group).agg(F.collect_set("_size").alias("_sizes"))
     fitting = F.filter("_sizes", lambda n: n <= F.length("name"))
     parts = F.flatten(F.transform(fitting, lambda n: _fragments(F.col("name"), n)))
-    index = offered.select(group, "name").distinct().join(sizes, group).select(group, "name", F.explode(parts).alias("_part"))
+    index = freeze(
+        offered.select(group, "name").distinct().join(sizes, group).select(group, "name", F.explode(parts).alias("_part"))
+    )
     counts = index.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     asked = wanted.select(group, "source_name", F.explode(_fragments(F.col("source_name"), F.col("_size"))).alias("_part"))
     rarest = (

@@ -374,14 +374,13 @@ def _covering_blocks(low: Column, high: Column, level: int = 0) -> Column:
 
 def _block_maxima(rises: DataFrame, key: str) -> DataFrame:
     """(key, level, block, rise, n): the largest rise and the number of rises of every block; level 0 are the rises."""
-    level = rises.select(key, F.col("hop_no").cast("long").alias("block"), "rise", F.lit(1).cast("long").alias("n"))
-    levels = level.withColumn("level", F.lit(0))
-    for number in range(1, BLOCK_LEVELS + 1):
-        level = level.groupBy(key, F.floor(F.col("block") / BLOCK_FRAMES).alias("block")).agg(
-            F.max("rise").alias("rise"), F.sum("n").alias("n")
-        )
-        levels = levels.unionByName(level.withColumn("level", F.lit(number)))
-    return levels
+    at = F.col("hop_no").cast("long")
+    blocks = F.array(*[
+        F.struct(F.lit(n).alias("level"), F.floor(at / BLOCK_FRAMES**n).alias("block")) for n in range(BLOCK_LEVELS + 1)
+    ])
+    return rises.select(key, "rise", F.inline(blocks)).groupBy(key, "level", "block").agg(
+        F.max("rise").alias("rise"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def clip_onsets(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.scan import segmented_scan
+from ..session import spread
 
 LINE_CS = 237
 EVENT_RATE = 100
@@ -75,7 +76,7 @@ def render(doc_id: Column, text: Column, fmt: str) -> Column:
 
 def sources(t: Tables, fmt: str) -> DataFrame:
     """Every document as a file of one format."""
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         F.col("doc_id").cast("string").alias("source_id"),
         F.lit(fmt).alias("format"),
         render(F.col("doc_id"), F.col("text"), fmt).alias("text"),
@@ -91,7 +92,7 @@ def mixed_sources(t: Tables) -> DataFrame:
     text = F.lit(None).cast("string")
     for name in K.CUE_FORMATS:
         text = F.when(fmt == name, render(F.col("doc_id"), F.col("text"), name)).otherwise(text)
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         F.col("doc_id").cast("string").alias("source_id"), fmt.alias("format"), text.alias("text"),
         F.lit("0").alias("source_version"),
     )
@@ -101,7 +102,7 @@ def line_requests(t: Tables) -> DataFrame:
     """Lines of all documents as requests: place, text, model (language), key."""
     from ..operators.cues import parse_plain
 
-    docs = t.documents.select(
+    docs = spread(t.documents, "doc_id").select(
         F.col("doc_id").cast("string").alias("source_id"), "doc_id", "text", "lang", "source",
         F.lit("0").alias("source_version"),
     )

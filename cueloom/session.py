@@ -80,6 +80,16 @@ def release(spark: SparkSession) -> int:
     return len(made)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, for work that costs far more than moving a row.
+
+    A table in fewer partitions than there are cores (few files, of few row groups) is dealt out by ``keys``; one with
+    enough of them stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written rows.
 

@@ -173,6 +173,12 @@ def severity_counts(log: DataFrame, window: str = "1 hour", delay: str = "1 hour
 
 # --- J5 ---------------------------------------------------------------------
 
+def _newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of what a task reads at once, the newest report of each task and step."""
+    for pdf in batches:
+        yield pdf.sort_values(["at_us", "event_id"]).drop_duplicates(["task_id", "step"], keep="last")
+
+
 def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of tasks as they are, and one difference for each group instead of one for each of its tasks."""
     for pdf in batches:
@@ -188,16 +194,19 @@ def rollup_changes(events: DataFrame, groups: DataFrame, idle: str | None = None
     the initial state; tasks it does not name are in no group. Differences are summed up in every task of the first
     step, so a group with a third of all tasks sends a row from each.
 
-    The state is one row for each task and for each group. With ``idle`` a task without a report for so long (by event
+    The state is one row for each task and for each group. A task's older reports are left out before the shuffle. With ``idle`` a task without a report for so long (by event
     time, once the watermark is past it) leaves the state and its group; reports that are more than ``delay`` late
     are then left out. Without it nothing is late and nothing leaves. Needs the RocksDB state store
     (:func:`use_rocksdb`).
     """
     rows = events if idle is None else events.withWatermark("ts", delay)
+    reports = rows.filter(F.col("ts").isNotNull() & F.col("step").isin(*K.STEPS)).select(
+        "task_id", "step", "ok", "event_id", F.unix_micros("ts").alias("at_us"), *(["ts"] if idle else [])
+    )
+    # The time column must keep its watermark, so with ``idle`` all reports go on as they are.
+    newest = reports if idle else reports.mapInPandas(_newest, reports.schema)
     changes = (
-        rows.filter(F.col("ts").isNotNull() & F.col("step").isin(*K.STEPS))
-        .select("task_id", "step", "ok", "event_id", F.unix_micros("ts").alias("at_us"), *(["ts"] if idle else []))
-        .groupBy("task_id")
+        newest.groupBy("task_id")
         .transformWithState(
             st.TaskChanges(None if idle is None else span_ms(idle)), st.CHANGE, "append", "none" if idle is None else "EventTime",
             initialState=groups.select("task_id", "group_id").groupBy("task_id"),

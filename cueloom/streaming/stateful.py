@@ -118,7 +118,7 @@ class HandOff(StatefulProcessor):
 
 #: What a task, or a group of tasks, adds up to: tasks, finished steps, tasks done, running and failed.
 COUNTERS = ("n_tasks", "n_steps", "n_done", "n_running", "n_failed")
-_TASK = ", ".join(f"at{s} long, id{s} long, s{s} string" for s in K.STEPS)
+_TASK = "group_id string, " + ", ".join(f"at{s} long, id{s} long, s{s} string" for s in K.STEPS)
 CHANGE = "kind string, id string, group_id string, s1_status string, s2_status string, s3_status string, " + ", ".join(
     f"{c} long" for c in COUNTERS
 )
@@ -141,7 +141,7 @@ class TaskChanges(StatefulProcessor):
 
     A trigger that changes a task gives its wide row (kind ``task``) and, for its group, the difference between what the
     task counts now and what it counted before (kind ``group``). With ``idle_ms`` a task without a report for so long
-    leaves: its state goes, and its group gets all it counted back as a minus.
+    leaves: its reports go, and its group gets all it counted back as a minus.
     """
 
     def __init__(self, idle_ms: int | None):
@@ -149,46 +149,59 @@ class TaskChanges(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._group = handle.getValueState("group", "group_id string")
         self._task = handle.getValueState("task", _TASK)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._group.update((initialState.group_id,))
+        self._task.update((initialState.group_id, *_NO_REPORT))
 
-    def _of(self, task: tuple | None) -> tuple[str, ...]:
-        return tuple((task[3 * i + 2] if task else None) or K.PENDING for i in range(len(K.STEPS)))
+    def _statuses(self, task: tuple) -> tuple[str, ...]:
+        return tuple(status or K.PENDING for status in task[3::3])
+
+    def _counted(self, task: tuple) -> tuple[int, ...]:
+        return counted(self._statuses(task)) if _reported(task) else (0,) * len(COUNTERS)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = tuple(self._task.get()) if self._task.exists() else None
-        now = list(before or (None,) * (3 * len(K.STEPS)))
+        state = self._task.get()
+        before = (None, *_NO_REPORT) if state is None else tuple(state)
+        now = list(before)
         for r in rows:
-            at = 3 * (r.step - 1)
+            at = 3 * r.step - 2
             if now[at] is None or (r.at_us, r.event_id) >= (now[at], now[at + 1]):
                 now[at : at + 3] = r.at_us, r.event_id, K.DONE if r.ok else K.FAILED
         self._task.update(tuple(now))
         if self._idle is not None:
-            self._handle.registerTimer(max(x for x in now[::3] if x is not None) // 1000 + self._idle)
-        group = (self._group.get()[0] if self._group.exists() else None) or ""
-        new, old = counted(self._of(now)), counted(self._of(before)) if before else (0,) * len(COUNTERS)
-        yield change("task", key[0], group, self._of(now), new)
+            self._handle.registerTimer(_reported(now) // 1000 + self._idle)
+        group = now[0] or ""
+        new, old = self._counted(now), self._counted(before)
+        yield change("task", key[0], group, self._statuses(now), new)
         if group and new != old:
             yield change("group", group, group, (None,) * 3, tuple(a - b for a, b in zip(new, old)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self._task.exists():
-            return
-        task = tuple(self._task.get())
-        if max(x for x in task[::3] if x is not None) // 1000 + self._idle > expiredTimerInfo.getExpiryTimeInMs():
+        state = self._task.get()
+        last = None if state is None else _reported(state)
+        if last is None or last // 1000 + self._idle > expiredTimerInfo.getExpiryTimeInMs():
             return
-        self._task.clear()
-        group = (self._group.get()[0] if self._group.exists() else None) or ""
-        if group:
-            yield change("group", group, group, (None,) * 3, tuple(-x for x in counted(self._of(task))))
+        task = tuple(state)
+        # What remains of a task of the table is its group.
+        if task[0]:
+            self._task.update((task[0], *_NO_REPORT))
+            yield change("group", task[0], task[0], (None,) * 3, tuple(-x for x in self._counted(task)))
+        else:
+            self._task.clear()
 
     def close(self) -> None:
         pass
 
 
+_NO_REPORT = (None,) * (3 * len(K.STEPS))
+
+
+def _reported(task) -> int | None:
+    """When the newest report of a task came, in microseconds."""
+    return max((at for at in task[1::3] if at is not None), default=None)
+
+
 class GroupTotals(StatefulProcessor):
     """J5, second step: a group's counters, from the differences its tasks send. A group without tasks leaves.
 
@@ -203,7 +216,8 @@ class GroupTotals(StatefulProcessor):
             for r in rows:
                 yield change("task", r.id, r.group_id, (r.s1_status, r.s2_status, r.s3_status), tuple(r[c] for c in COUNTERS))
             return
-        before = tuple(self._counters.get()) if self._counters.exists() else (0,) * len(COUNTERS)
+        state = self._counters.get()
+        before = (0,) * len(COUNTERS) if state is None else tuple(state)
         total = list(before)
         group = None
         for r in rows:
