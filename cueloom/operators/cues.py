@@ -248,21 +248,43 @@ def merge_close_segments(
         "text", "_n", cut.alias("_cut"), F.floor((F.col("_n") - 1) / chunk_rows).alias("_chunk"),
     ))
     id_type = segments.schema["source_id"].dataType.simpleString()
-    exits = rows.select("source_id", "_chunk", "_n", "start_ms", "end_ms", "_cut").groupBy("source_id", "_chunk").applyInPandas(
-        lambda pdf: _chunk_exits(pdf, max_duration_ms),
+    by_chunk = ("source_id", "_chunk")
+    times = rows.select(*by_chunk, "_n", "start_ms", "end_ms", "_cut")
+    exits = times.repartition(*by_chunk).sortWithinPartitions(*by_chunk, "_n").mapInPandas(
+        lambda batches: _chunk_exits(batches, max_duration_ms),
         f"source_id {id_type}, _chunk long, _limits array<long>, _exit_n array<long>, _exit_start array<long>",
     )
     entries = exits.repartition("source_id").sortWithinPartitions("source_id", "_chunk").mapInPandas(
         lambda batches: _chain_exits(batches, max_duration_ms),
         f"source_id {id_type}, _chunk long, _open_n long, _open_start long",
     )
-    parts = rows.join(entries, ["source_id", "_chunk"]).groupBy("source_id", "_chunk").applyInPandas(
-        lambda pdf: _chunk_parts(pdf, max_duration_ms),
+    opened = rows.join(entries, list(by_chunk)).select(
+        *by_chunk, "_n", "start_ms", "end_ms", "_cut", "text", "_open_n", "_open_start"
+    )
+    parts = opened.repartition(*by_chunk).sortWithinPartitions(*by_chunk, "_n").mapInPandas(
+        lambda batches: _chunk_parts(batches, max_duration_ms),
         f"source_id {id_type}, _head long, _n long, start_ms long, end_ms long, n_parts long, text string",
     )
     return _joined_texts(parts, ["_n"])
 
 
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """Rows in order of (source, chunk, number) as the columns of whole chunks; for each batch those that end in it."""
+    held: dict[str, np.ndarray] | None = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        now = {c: pdf[c].to_numpy() for c in pdf.columns}
+        if held is not None:
+            now = {c: np.concatenate([held[c], now[c]]) for c in now}
+        new = (now["source_id"][1:] != now["source_id"][:-1]) | (now["_chunk"][1:] != now["_chunk"][:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        yield [{c: v[lo:hi] for c, v in now.items()} for lo, hi in zip(cuts, cuts[1:])]
+        held = {c: v[cuts[-1]:] for c, v in now.items()}
+    if held is not None:
+        yield [held]
+
+
 def _joined_texts(headed: DataFrame, order: list[str]) -> DataFrame:
     """One row per source and head: bounds, parts, and the texts in order; null texts are left out."""
     words = F.array_sort(F.collect_list(F.struct(*order, "text")))
@@ -287,27 +309,26 @@ def _entry_row(ends: np.ndarray, cut: np.ndarray, open_start: int, cap: int) ->
     return min(int(np.searchsorted(ends, open_start + cap, side="right")), first_cut)
 
 
-def _chunk_exits(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """For each number of rows an open segment may take from this chunk, the segment open at its end."""
-    pdf = pdf.sort_values("_n")
-    starts, ends = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()
-    cut, numbers = pdf["_cut"].to_numpy(dtype=bool), pdf["_n"].to_numpy()
-    following = _next_heads(starts, ends, cut, cap)
-    most = _entry_row(ends, cut, int(starts[0]), cap)
-    limits, exit_n, exit_start = [], [], []
-    for taken in range(most + 1):
-        # Taking the whole chunk leaves the segment open as it came.
-        head = taken if taken < len(starts) else -1
-        while head >= 0 and following[head] < len(starts):
-            head = int(following[head])
-        limits.append(int(ends[taken]) if taken < most else np.iinfo(np.int64).max)
-        exit_n.append(int(numbers[head]) if head >= 0 else -1)
-        exit_start.append(int(starts[head]) if head >= 0 else -1)
-    first = pdf.iloc[0]
-    return pd.DataFrame({
-        "source_id": [first["source_id"]], "_chunk": [int(first["_chunk"])],
-        "_limits": [limits], "_exit_n": [exit_n], "_exit_start": [exit_start],
-    })
+def _chunk_exits(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+    """For each number of rows an open segment may take from a chunk, the segment open at the chunk's end."""
+    for chunks in _chunks(batches):
+        out = []
+        for rows in chunks:
+            starts, ends, cut, numbers = rows["start_ms"], rows["end_ms"], rows["_cut"].astype(bool), rows["_n"]
+            following = _next_heads(starts, ends, cut, cap).tolist()
+            most = _entry_row(ends, cut, int(starts[0]), cap)
+            limits, exit_n, exit_start = [], [], []
+            for taken in range(most + 1):
+                # Taking the whole chunk leaves the segment open as it came.
+                head = taken if taken < len(starts) else -1
+                while head >= 0 and following[head] < len(starts):
+                    head = following[head]
+                limits.append(int(ends[taken]) if taken < most else np.iinfo(np.int64).max)
+                exit_n.append(int(numbers[head]) if head >= 0 else -1)
+                exit_start.append(int(starts[head]) if head >= 0 else -1)
+            out.append((rows["source_id"][0], int(rows["_chunk"][0]), limits, exit_n, exit_start))
+        if out:
+            yield pd.DataFrame(out, columns=["source_id", "_chunk", "_limits", "_exit_n", "_exit_start"])
 
 
 def _chain_exits(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
@@ -327,30 +348,29 @@ def _chain_exits(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataF
         yield pd.DataFrame(out, columns=["source_id", "_chunk", "_open_n", "_open_start"])
 
 
-def _chunk_parts(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """The merged segments of a chunk, given the segment open at its beginning: one row for each head.
+def _chunk_parts(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+    """The merged segments of each chunk, given the segment open at its beginning: one row for each head.
 
     The first may go on with a head of an earlier chunk.
     """
-    pdf = pdf.sort_values("_n")
-    starts, ends = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()
-    cut, numbers = pdf["_cut"].to_numpy(dtype=bool), pdf["_n"].to_numpy()
-    following = _next_heads(starts, ends, cut, cap)
-    open_n = int(pdf["_open_n"].iloc[0])
-    head = 0 if open_n < 0 else _entry_row(ends, cut, int(pdf["_open_start"].iloc[0]), cap)
-    begins, heads = ([0], [open_n]) if head else ([], [])
-    while head < len(starts):
-        begins.append(head)
-        heads.append(int(numbers[head]))
-        head = int(following[head])
-    stops = [*begins[1:], len(starts)]
-    texts = pdf["text"].to_list()
-    joined = [[t for t in texts[lo:hi] if t is not None] for lo, hi in zip(begins, stops)]
-    return pd.DataFrame({
-        "source_id": pdf["source_id"].iloc[0], "_head": heads, "_n": numbers[begins], "start_ms": starts[begins],
-        "end_ms": np.maximum.reduceat(ends, begins), "n_parts": np.diff([*begins, len(starts)]),
-        "text": [" ".join(t) if t else None for t in joined],
-    })
+    for chunks in _chunks(batches):
+        out = []
+        for rows in chunks:
+            starts, ends, cut, numbers = rows["start_ms"], rows["end_ms"], rows["_cut"].astype(bool), rows["_n"]
+            following = _next_heads(starts, ends, cut, cap).tolist()
+            open_n = int(rows["_open_n"][0])
+            head = 0 if open_n < 0 else _entry_row(ends, cut, int(rows["_open_start"][0]), cap)
+            begins, heads = ([0], [open_n]) if head else ([], [])
+            while head < len(starts):
+                begins.append(head)
+                heads.append(int(numbers[head]))
+                head = following[head]
+            last = np.maximum.reduceat(ends, begins).tolist()
+            for n, lo, hi, end in zip(heads, begins, [*begins[1:], len(starts)], last):
+                texts = [t for t in rows["text"][lo:hi] if t is not None]
+                out.append((rows["source_id"][0], n, int(numbers[lo]), int(starts[lo]), end, hi - lo, " ".join(texts) if texts else None))
+        if out:
+            yield pd.DataFrame(out, columns=["source_id", "_head", "_n", "start_ms", "end_ms", "n_parts", "text"])
 
 
 def threshold_segments(
