@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.scan import segmented_scan
-from ..functions.skew import lookup
 
 STEP_STATUS = {step: f"s{step}_status" for step in K.STEPS}
 
@@ -212,7 +211,7 @@ def completion_gate(tasks: DataFrame, folder: str = "folder") -> DataFrame:
     gates = tasks.groupBy(folder).agg(
         F.bool_and(status_of(3).isin(*K.TERMINAL)).alias("gate_open")
     )
-    return lookup(tasks, gates, folder, "inner")
+    return tasks.join(gates, folder, "inner")
 
 
 def without_failed(tasks: DataFrame, failed: DataFrame) -> DataFrame:

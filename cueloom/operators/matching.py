@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.scan import global_rank
-from ..functions.skew import lookup
 from ..session import freeze
 
 
@@ -146,7 +145,7 @@ def match_folder_outputs(
     ).select("dir", F.col("_o.name").alias("_first"))
     named = tasks.join(exact, ["dir", "source_name"], "left")
     return (
-        lookup(named, first, "dir", "left")
+        named.join(first, "dir", "left")
         .withColumn("output", F.coalesce("_exact", "_first"))
         .drop("_exact", "_first")
     )
@@ -165,7 +164,7 @@ def match_dropped_subtitles(
     )
     fallback = F.lit(current_task).cast("string")
     return (
-        lookup(subs, firsts, "stem", "left")
+        subs.join(firsts, "stem", "left")
         .withColumn("task_id", F.coalesce(F.col("_task"), fallback))
         .withColumn(
             "match_kind",
@@ -215,7 +214,7 @@ def detect_speech(tasks: DataFrame, clips: DataFrame) -> DataFrame:
     )
     folder = tx.join_path(F.col("workspace"), F.col("fingerprint"))
     # Copies of one subtitle share a folder, so that key may be hot.
-    found = lookup(tasks.withColumn("_dir", folder), ready, "_dir", "left_semi")
+    found = tasks.withColumn("_dir", folder).join(ready, "_dir", "left_semi")
     return found.withColumnRenamed("_dir", "speech_dir")
 
 
@@ -255,9 +254,7 @@ def apply_renames(rows: DataFrame, renames: DataFrame, key: str, path: str = "so
     Each path lists its folders and joins on equality; only rows that move come back from the join.
     """
     above = rows.select(key, F.col(path).alias("_path"), F.explode(tx.ancestors(F.col(path))).alias("old"))
-    hits = lookup(
-        above.filter(F.col("old") != ""), renames.select("old", "new"), "old", "inner"
-    )
+    hits = above.filter(F.col("old") != "").join(renames.select("old", "new"), "old", "inner")
     moved = hits.groupBy(key).agg(
         F.max_by(F.struct("old", "new", "_path"), F.length("old")).alias("_m")
     ).select(
@@ -312,7 +309,7 @@ def tree_rank(tasks: DataFrame, groups: DataFrame, out: str = "pos") -> DataFram
     ``tasks`` has (task_id, source_name, group_id), ``groups`` has (group_id, group_name).
     """
     named = tasks.filter(F.col("group_id") != "")
-    children = lookup(named, groups, "group_id", "inner").select(
+    children = named.join(groups, "group_id", "inner").select(
         F.lit("task").alias("kind"), F.col("task_id").alias("id"), F.col("source_name").alias("name"),
         F.col("group_name").alias("_top"), "group_id", F.lit(1).alias("_child"),
     )

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sound as sd
-from ..functions.skew import lookup
 from . import signals as sg
 
 
@@ -122,7 +121,7 @@ def follow_envelope(
         "hop_no": F.least("_hop", "last_hop"),
     })
     segments = sg.envelope_segments(env, ["signal_id"])
-    joined = lookup(cut, segments, ["signal_id", "hop_no"], "left")
+    joined = cut.join(segments, ["signal_id", "hop_no"], "left")
     beyond = F.col("_hop") >= F.col("last_hop")
 
     def gained(x: Column, i: Column) -> Column:
@@ -191,16 +190,16 @@ def mix(
         .withColumn("_start", F.rint(F.col("pos_ms") * sample_rate / 1000).cast("long"))
         .drop("_n", "pos_ms")
     )
-    placed = lookup(placed, lengths, "signal_id", "inner")
+    placed = placed.join(lengths, "signal_id", "inner")
     if auto_volume != "off":
         base_level = sg.signal_level(base, ["signal_id"], width).select("signal_id", F.col("rms_db").alias("base_db"))
-        placed = lookup(placed, base_level, "signal_id", "inner")
+        placed = placed.join(base_level, "signal_id", "inner")
 
     env = None
     if auto_volume == "auto":
         env = sg.envelope(mono, ["signal_id"], sample_rate, width)
         last = env.groupBy("signal_id").agg(F.max("hop_no").alias("last_hop"))
-        placed = lookup(placed, last, "signal_id", "left")
+        placed = placed.join(last, "signal_id", "left")
 
     pieces = clip_pieces.join(placed, "clip_id")
     if clip_width and clip_width != width:

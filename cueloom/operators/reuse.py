@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
-from ..functions.skew import lookup
 from ..session import freeze
 from ..sources import tables
 
@@ -64,20 +63,20 @@ def dangling_entries(cache: DataFrame, files: DataFrame) -> DataFrame:
 def cache_hits(requests: DataFrame, cache: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """E5: requests with the stored result, for keys present whose file exists."""
     usable = cache if files is None else live_entries(cache, files)
-    return lookup(requests, usable.select("cache_key", "result_path"), "cache_key", "inner")
+    return requests.join(usable.select("cache_key", "result_path"), "cache_key", "inner")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Requests without a usable cache row, with all their columns."""
     usable = cache if files is None else live_entries(cache, files)
-    return lookup(requests, usable.select("cache_key"), "cache_key", "left_anti")
+    return requests.join(usable.select("cache_key"), "cache_key", "left_anti")
 
 
 def missing_outputs(cues: DataFrame, existing: DataFrame, folder: str = "folder") -> DataFrame:
     """Cues whose clip file does not exist yet. ``existing`` has (folder, file_name)."""
     named = cues.withColumn("file_name", tx.clip_name(F.col("idx"), F.col("ts_text"), F.col("text")))
     there = existing.select(folder, "file_name").distinct()
-    return lookup(named, there, [folder, "file_name"], "left_anti")
+    return named.join(there, [folder, "file_name"], "left_anti")
 
 
 def distinct_work(requests: DataFrame) -> DataFrame:
@@ -128,7 +127,7 @@ def merge_results(requests: DataFrame, cached: DataFrame, fresh: DataFrame) -> D
     answer = F.min_by(F.struct("result_path", "ok", "message"), F.struct("_from", "message"))
     answers = stored.unionByName(computed).groupBy("cache_key").agg(answer.alias("_a"))
     return (
-        lookup(requests, answers, "cache_key", "left")
+        requests.join(answers, "cache_key", "left")
         .withColumn("ok", F.coalesce(F.col("_a.ok"), F.lit(False)))
         .withColumn("result_path", F.col("_a.result_path"))
         .withColumn("message", F.coalesce(F.col("_a.message"), F.lit(K.MSG_NO_RESULT)))
@@ -145,7 +144,7 @@ def reuse_by_group(requests: DataFrame, cache: DataFrame, group: str) -> DataFra
     counts = requests.groupBy(group, "cache_key").agg(F.count(F.lit(1)).alias("_n"))
     known = cache.select("cache_key").withColumn("_known", F.lit(True))
     hit = F.col("_known").isNotNull()
-    return lookup(counts, known, "cache_key", "left").groupBy(group).agg(
+    return counts.join(known, "cache_key", "left").groupBy(group).agg(
         F.sum("_n").alias("n_cues"),
         F.count(F.lit(1)).alias("n_texts"),
         F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0)).alias("n_reused"),

@@ -20,7 +20,6 @@ from pyspark.sql.types import DoubleType
 from ..functions import sound as sd
 from ..functions import text as tx
 from ..functions.scan import neighbours, segmented_scan
-from ..functions.skew import lookup
 
 VOICE_BAND = (85.0, 3000.0)
 FFT_LEN, FFT_HOP, FFT_RUN = 2048, 1024, 16
@@ -212,7 +211,7 @@ def interpolate_envelope(
     last = env.groupBy(key).agg(F.max("hop_no").alias("_last"))
     pos = F.greatest(F.lit(0.0), F.col("frame_no") / hop_frames)
     placed = (
-        lookup(points, last, key, "inner")
+        points.join(last, key, "inner")
         .withColumn("_pos", F.least(pos, F.col("_last").cast("double")))
         .withColumn("hop_no", F.floor("_pos"))
     )
@@ -249,7 +248,7 @@ def neighbour_bounds(cues: DataFrame, durations: DataFrame, key: str = "signal_i
         lags={"_prev": "start_ms"}, leads={"_next": "start_ms"},
     )
     return (
-        lookup(scanned, durations.select(key, "duration_ms"), key, "inner")
+        scanned.join(durations.select(key, "duration_ms"), key, "inner")
         .withColumn("lo_ms", F.coalesce("_prev", F.lit(0)))
         .withColumn("hi_ms", F.coalesce("_next", "duration_ms"))
         .drop("_prev", "_next")
@@ -400,7 +399,7 @@ def clip_onsets(
     length = F.least(F.lit(1024), F.floor(F.col("_n") / 4))
     whole = whole.withColumn("_len", length).withColumn("_hop", F.floor(length / 2))
     fit = whole.filter((F.col("_len") >= 64) & (F.col("_n") >= sample_rate // 10))
-    known = lookup(pieces.select(key, "at", "samples"), fit.select(key, "_hop"), key, "inner")
+    known = pieces.select(key, "at", "samples").join(fit.select(key, "_hop"), key, "inner")
     # An odd frame reaches one sample into a third cell, so cells carry their first square.
     cells = cells_of(known, [key, "_hop"], F.col("_hop"))
     near = neighbours(cells, [key], "cell", ["ss", "head"], span=2)
@@ -409,7 +408,7 @@ def clip_onsets(
     threshold = F.greatest(F.sqrt("_ms") * ratio, F.lit(1.0))
     begin = F.col("cell") * F.col("_hop")
     first = (
-        lookup(near, fit, key, "inner")
+        near.join(fit, key, "inner")
         .filter((begin < F.col("_n") - F.col("_len")) & (level >= threshold))
         .groupBy(key)
         .agg(F.min(begin).alias("_at"))
@@ -497,7 +496,7 @@ def slice_intervals(intervals: DataFrame, blocks: DataFrame, block_size: int, ke
     s = F.greatest(F.col("from_frame"), begin)
     e = F.least(F.col("to_frame"), begin + F.size("samples"))
     return (
-        lookup(wanted, blocks.select(key, "channel", "block_no", "samples"), [key, "block_no"], "inner")
+        wanted.join(blocks.select(key, "channel", "block_no", "samples"), [key, "block_no"], "inner")
         .withColumn("_s", s)
         .withColumn("_e", e)
         .filter(F.col("_e") > F.col("_s"))
@@ -515,7 +514,7 @@ def detect_sides(
 
     ``lengths`` has (signal_id, n_frames); a signal with one channel counts as both.
     """
-    placed = lookup(clips, lengths.select("signal_id", "n_frames"), "signal_id", "inner")
+    placed = clips.join(lengths.select("signal_id", "n_frames"), "signal_id", "inner")
     begin = F.floor(F.col("start_ms") * sample_rate / 1000)
     timed = placed.withColumn("from_frame", begin).withColumn(
         "to_frame", F.least(begin + SIDE_WINDOW_S * sample_rate, F.col("n_frames"))

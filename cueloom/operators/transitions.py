@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
-from ..functions.skew import lookup
 from .matching import detect_mix_outputs
 
 
@@ -78,9 +77,9 @@ def find_inputs(tasks: DataFrame, site: Site, chosen: Column | None = None) -> D
     spoken = site.inventory.filter(F.col("name").endswith(".wav")).select(F.col("dir").alias("_speech")).distinct()
     prints = site.fingerprints.select(F.col("path").alias("_text"), tx.join_path(F.lit(site.workspace), F.col("fingerprint")).alias("_speech"))
     speech = prints.join(spoken, "_speech", "left_semi")
-    found = lookup(lookup(tasks, paths, "custom_subtitle"), dirs, "custom_mix_folder")
+    found = tasks.join(paths, "custom_subtitle", "left").join(dirs, "custom_mix_folder", "left")
     found = found.withColumn("_text", F.when(F.col("_sub"), F.col("custom_subtitle")).otherwise(F.col("s1_output")))
-    found = detect_mix_outputs(lookup(found, speech, "_text"), site.inventory)
+    found = detect_mix_outputs(found.join(speech, "_text", "left"), site.inventory)
     return found.withColumns({
         "subtitle_found": pick & F.col("_sub").isNotNull(), "dub_found": pick & F.col("_dub").isNotNull(),
         "speech_dir": F.when(pick, F.col("_speech")), "mix_output": F.when(pick, F.col("mix_output")),

@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import scan as sc
-from cueloom.functions.skew import lookup
 from cueloom.operators import cues as cu
 from cueloom.operators import mixing as mx
 from cueloom.operators import signals as sg
@@ -115,7 +114,7 @@ def test_neighbours(spark):
     assert got == {0: (1.0, 2.0, None), 1: (2.0, None, 4.0), 3: (4.0, None, None)}
 
 
-def test_lookup_splits_a_hot_key(spark):
+def test_a_join_splits_a_hot_key(spark):
     """Adaptive execution cuts the hot partition, also in front of a grouping by the same key."""
     tight = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
@@ -128,13 +127,13 @@ def test_lookup_splits_a_hot_key(spark):
             spark.conf.set(k, v)
         left = spark.range(0, 20_000, 1, 8).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
         right = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-        joined = lookup(left, right, "k", "left")
+        joined = left.join(right, "k", "left")
         assert joined.count() == 20_000
         grouped = joined.groupBy("k").agg(F.count("v").alias("n"))
         assert grouped.filter("k = 0").first()["n"] == 6667
         grouped.collect()
         assert "isSkewJoin=true" in grouped._jdf.queryExecution().toString() or "skew=true" in grouped._jdf.queryExecution().toString()
-        assert lookup(left, right.filter("k > 5"), "k", "left_anti").count() == left.filter("k <= 5").count()
+        assert left.join(right.filter("k > 5"), "k", "left_anti").count() == left.filter("k <= 5").count()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
