@@ -133,3 +133,74 @@ def test_quality_odd_rows(spark, documents, odd):
         flat = quality_rules.fit(documents(odd), labels_table(spark, one), F.lit(True))
         assert not flat.rules
     assert quality_rules.score(documents([]), flat).collect() == []
+
+
+def test_toxicity_weights_by_a_plain_loop(spark, documents):
+    """FTRL-proximal with a dictionary of coordinates over sets of words, pairs and pairs with a gap."""
+    rows, labels = labelled(4, 120)
+    rows += [(500, ""), (501, None)]
+    labels += [(500, 0), (501, 1)]
+    weights = toxicity.fit(documents(rows), labels_table(spark, labels), F.lit(True))
+
+    def hashes(text):
+        import pyarrow as pa
+
+        return [int(x) for _, h, _ in tokens.hashed(pa.array([text or ""]), tokens.letter_table()) for x in h]
+
+    def mixed(a, b, m):
+        return int(tokens.mix(np.array([(a * int(m) + b) % 2**64], np.uint64))[0])
+
+    def features(text):
+        h = hashes(text)
+        out = set(h) | {mixed(a, b, toxicity._M1) for a, b in zip(h, h[1:])} | {mixed(a, b, toxicity._M2) for a, b in zip(h, h[2:])}
+        return sorted({x >> (64 - toxicity.BITS) for x in out}) + [toxicity.BIAS]
+
+    order = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    turn = {r["doc_id"]: r["h"] for r in order}
+    texts, want = dict(rows), dict(labels)
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for doc in sorted(want, key=turn.get):
+            x = features(texts[doc])
+            now = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(now[i] for i in x)))))
+            g = p - want[doc]
+            for i in set(x):
+                rate = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - rate * now[i]
+                n[i] = n.get(i, 0.0) + g * g
+    plain = {i: w for i in z if (w := weight(i))}
+    assert plain and set(np.flatnonzero(weights).tolist()) == set(plain)
+    assert all(math.isclose(weights[i], w, rel_tol=1e-4, abs_tol=1e-5) for i, w in plain.items())
+
+
+def test_quality_weights_are_the_lasso_minimum(spark, documents):
+    """At the minimum the loss's slope along a kept rule's weight is the penalty, against the weight's sign."""
+    rows, labels = labelled(6, 500, toxic=False)
+    model = quality_rules.fit(documents(rows), labels_table(spark, labels), F.lit(True))
+    named = quality_rules.statistics(F.col("text"))
+    table = documents(rows).select("doc_id", *[c.alias(f"s_{k}") for k, c in named.items()]).collect()
+    want = dict(labels)
+    y = np.array([want[r["doc_id"]] for r in table], float)
+    stats = np.array([[r[f"s_{k}"] for k in model.names] for r in table], float)
+    holds = np.array([
+        np.all([(stats[:, i] <= cut) if low else (stats[:, i] > cut) for i, low, cut in rule], axis=0) for rule, _ in model.rules
+    ], float)
+    w = np.array([v for _, v in model.rules])
+    p = 1 / (1 + np.exp(-(model.intercept + w @ holds)))
+    slope = holds @ (p - y) / len(y)
+    assert len(w) and abs(np.mean(p - y)) < 1e-4
+    assert np.abs(slope + quality_rules.PENALTY * np.sign(w)).max() < 2e-4
+    # No kept weight can be moved for a smaller loss, and without the rules the loss is far larger.
+    loss = lambda v: np.mean(np.log1p(np.exp(-(2 * y - 1) * (model.intercept + v @ holds)))) + quality_rules.PENALTY * np.abs(v).sum()
+    best = loss(w)
+    assert all(loss(w + d * e) >= best - 1e-9 for e in np.eye(len(w)) for d in (-0.05, 0.05)) and loss(0 * w) > 1.5 * best
+    got = {r["doc_id"]: r["score"] for r in quality_rules.score(documents(rows), model).collect()}
+    assert [got[r["doc_id"]] for r in table] == pytest.approx(p.tolist())

@@ -60,3 +60,18 @@ def test_buckets_on_disk(spark, documents, tmp_path):
 
 def test_empty_table(documents):
     assert packing.pack(documents([]), tokenizer_path()).collect() == []
+
+
+def test_the_fast_way_gives_the_tokenizers_ids(tok):
+    """Over all texts of the second smallest tables, and over strings of the vocabulary's own tokens."""
+    import random
+
+    from pyarrow import parquet
+
+    encode = packing._encoder(tokenizer_path())
+    texts = [t or "" for t in parquet.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    rng = random.Random(2)
+    words = [tok.decode([i]) for i in rng.sample(range(300, tok.get_vocab_size()), 4000)]
+    texts += ["".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text[:200]
