@@ -2,11 +2,14 @@
 
 Archives are written by Spark's text writer: a record's header and block are one value, and the record end (two empty
 lines) is the line separator, so every file system that Spark writes to will do. Files are gzipped and hold a bounded
-number of records. They are read back as binary files and walked by Content-Length, record by record.
+number of records and bytes. They are read back as binary files and walked by Content-Length, record by record.
 
-Revisit resolution shuffles headers only: records are grouped by payload digest and length, the one with the largest
-page id stays the response, and every other record is joined to it. Decisions then go to the archive file they concern,
-and each file is rewritten with fresh headers; payloads are never regrouped.
+Revisit resolution shuffles headers: records are grouped by payload digest and length, the one with the largest
+page id stays the response, and every other record is joined to it. Decisions and files then meet by the file's path,
+for which each (gzipped) file moves once, as a whole, and it is rewritten with fresh headers.
+
+Archives of others may be read too: names of headers are matched whatever their case, digests of responses are worked
+out and not read, records of other types (such as ``warcinfo`` and ``request``) stay as they are.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir
+from ..session import fresh_dir, freeze
 
 RECORD_END = "\r\n\r\n"
-#: Records in one archive file at most.
-FILE_RECORDS = 2_000
+#: Records, and bytes of records before they are gzipped, in one archive file at most; a larger record has its own file.
+FILE_RECORDS, FILE_BYTES = 2_000, 256 << 20
 DATE = "2000-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,10 +62,10 @@ def _record(kind: Column, record_id: Column, page_id: Column, url: Column, diges
     return F.concat(head, block)
 
 
-def _save(values: DataFrame, path: str) -> None:
-    values.write.option("lineSep", RECORD_END).option("compression", "gzip").option(
-        "maxRecordsPerFile", FILE_RECORDS
-    ).text(path)
+def _save(values: DataFrame, path: str, longest: int) -> None:
+    """Write records of at most ``longest`` bytes to files of bounded size."""
+    most = max(1, min(FILE_RECORDS, FILE_BYTES // max(1, longest)))
+    values.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -81,18 +84,44 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit("response"), F.col("id"), F.col("page_id"), F.col("url"), payload_digest(raw), F.octet_length(raw),
         F.concat(F.lit(HTTP), F.col("payload")),
     )
-    _save(rows.select(value.alias("value")), path)
+    longest = rows.agg(F.max(F.octet_length("payload"))).first()[0] or 0
+    _save(rows.select(value.alias("value")), path, longest)
+
+
+class Head(dict):
+    """Headers of a record; names are found whatever their case."""
+
+    def __init__(self, lines: list[bytes]):
+        super().__init__()
+        for line in lines:
+            name, colon, value = line.decode("utf-8", "replace").partition(":")
+            if colon:
+                self[name.strip()] = value.strip()
+
+    def __setitem__(self, name: str, value: str) -> None:
+        super().__setitem__(name.lower(), value)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
 
 
-def walk(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def walk(content: bytes) -> Iterator[tuple[Head, bytes]]:
     """Headers and block of every record of a gzipped archive, one at a time."""
     with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
-        while f.readline():
-            head: dict[str, str] = {}
-            while (line := f.readline()) not in (b"\r\n", b""):
-                name, _, value = line.decode().partition(":")
-                head[name] = value.strip()
-            block = f.read(int(head["Content-Length"]))
+        while line := f.readline():
+            if not line.strip():
+                continue
+            lines = []
+            while (line := f.readline()).strip():
+                lines.append(line)
+            head = Head(lines)
+            block = f.read(int(head.get("Content-Length", "0")))
             f.read(len(RECORD_END))
             yield head, block
 
@@ -106,18 +135,23 @@ def _number(text: str | None) -> int | None:
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Headers of all records; of responses the digest and the length are those of the payload as read."""
+    """Headers of all records; of responses the digest and the length are those of the payload as read.
+
+    What a record does not have is null, also its id; records of other types have no digest.
+    """
     for batch in batches:
         rows = []
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             for head, block in walk(content.as_py()):
-                kind = head["WARC-Type"]
-                digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
+                kind, digest, size = head.get("WARC-Type"), None, None
                 if kind == "response":
                     body = _payload(block)
                     digest, size = base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)
+                elif kind == "revisit":
+                    digest, size = head.get("WARC-Payload-Digest"), _number(head.get("X-Payload-Length"))
+                    digest = digest and digest.removeprefix("sha1:")
                 rows.append((
-                    path, head["WARC-Record-ID"], kind, _number(head.get("X-Page-Id")), head.get("WARC-Target-URI"),
+                    path, head.get("WARC-Record-ID"), kind, _number(head.get("X-Page-Id")), head.get("WARC-Target-URI"),
                     digest, size, head.get("WARC-Refers-To"),
                 ))
         names = ["path", "record_id", "record_type", "page_id", "url", "payload_digest", "payload_bytes", "refers_to_record"]
@@ -126,23 +160,23 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cells, kinds)], names)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
     # One file of bounded size is a row; a task may get one file at a time.
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives under ``path``."""
-    return _files(spark, path).mapInArrow(_heads, f"path string, {_HEAD}")
+def read_headers(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
+    """One row for each record of the gzipped archives under ``path`` whose names fit the pattern."""
+    return _files(spark, path, pattern).mapInArrow(_heads, f"path string, {_HEAD}")
 
 
 def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``(path, record_id, original)`` of every record that revisits another with an equal payload.
+    """``(path, record_id, original)`` of every response that revisits another with an equal payload.
 
-    Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id (nulls smallest,
+    Of responses with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id (nulls smallest,
     ties by record_id) is the original; smaller payloads stay responses.
     """
-    big = heads.filter(F.col("payload_bytes") >= min_bytes)
+    big = heads.filter((F.col("record_type") == "response") & F.col("record_id").isNotNull() & (F.col("payload_bytes") >= min_bytes))
     same = ["payload_digest", "payload_bytes"]
     first = big.groupBy(*same).agg(
         F.max(F.struct("page_id", "record_id", "url")).alias("top"), F.count(F.lit(1)).alias("n")
@@ -152,27 +186,38 @@ def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
+#: Headers a response keeps, and names as the format writes them.
+KEPT = ("WARC-Date", "WARC-Target-URI", "X-Page-Id", "WARC-Payload-Digest", "X-Payload-Length", "Content-Type")
+NAMES = {n.lower(): n for n in (*KEPT, "WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Profile")}
+
+
 def _fresh(record_id: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, record_id)}>"
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of a file with fresh headers; records with a decision become revisits without payload."""
+    """Records of a file with fresh headers; responses with a decision become revisits without payload.
+
+    Records of other types keep their headers.
+    """
     for batch in batches:
         for content, revisits in zip(batch.column(0), batch.column(1)):
             to = {r["record_id"]: r for r in revisits.as_py() or []}
             out, size = [], 0
             for head, block in walk(content.as_py()):
-                r = to.get(head["WARC-Record-ID"])
-                lines = ["WARC/1.1", f"WARC-Type: {'revisit' if r else 'response'}",
-                         f"WARC-Record-ID: {_fresh(head['WARC-Record-ID'])}"]
+                own = head.get("WARC-Record-ID")
+                r = to.get(own)
+                if head.get("WARC-Type") == "response" and own is not None:
+                    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if r else 'response'}", f"WARC-Record-ID: {_fresh(own)}"]
+                    kept = [f"{k}: {head[k]}" for k in KEPT if k in head]
+                else:
+                    lines, kept = ["WARC/1.1"], [f"{NAMES.get(k, k)}: {v}" for k, v in head.items() if k != "content-length"]
                 if r:
                     block = block[: len(block) - len(_payload(block))]
                     lines += [f"WARC-Refers-To: {_fresh(r['original'])}", f"WARC-Profile: {PROFILE}"]
                     if r["original_url"]:
                         lines.append(f"WARC-Refers-To-Target-URI: {r['original_url']}")
-                keep = ("WARC-Date", "WARC-Target-URI", "X-Page-Id", "WARC-Payload-Digest", "X-Payload-Length", "Content-Type")
-                lines += [f"{k}: {head[k]}" for k in keep if k in head] + [f"Content-Length: {len(block)}", "", ""]
+                lines += [*kept, f"Content-Length: {len(block)}", "", ""]
                 out.append("\r\n".join(lines).encode() + block)
                 size += len(out[-1])
                 if size > 8_000_000:
@@ -181,15 +226,18 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
-def rewrite(spark: SparkSession, path: str, revisits: DataFrame, out: str) -> None:
-    """Write the archives under ``path`` to ``out``, each decided record as a revisit."""
+def rewrite(spark: SparkSession, path: str, revisits: DataFrame, out: str, longest: int, pattern: str = "part-*") -> None:
+    """Write the archives under ``path`` to ``out``, each decided record as a revisit.
+
+    ``longest`` are the bytes of the longest payload; records get no longer but for headers.
+    """
     by_file = revisits.groupBy("path").agg(
         F.collect_list(F.struct("record_id", "original", "original_url")).alias("revisits")
     )
-    records = _files(spark, path).join(by_file, "path", "left").select("content", "revisits").mapInArrow(
+    records = _files(spark, path, pattern).join(by_file, "path", "left").select("content", "revisits").mapInArrow(
         _rewrite, "value binary"
     )
-    _save(records.select(F.col("value").cast("string").alias("value")), out)
+    _save(records.select(F.col("value").cast("string").alias("value")), out, longest)
 
 
 def deduplicate(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
@@ -203,8 +251,9 @@ def deduplicate(pages: DataFrame, min_bytes: int = 0, folder: str | None = None)
     spark = pages.sparkSession
     base = folder or fresh_dir(spark, "warc")
     write_archives(pages, f"{base}/crawl")
-    heads = read_headers(spark, f"{base}/crawl")
-    rewrite(spark, f"{base}/crawl", resolve(heads, min_bytes), f"{base}/dedup")
+    heads = freeze(read_headers(spark, f"{base}/crawl"))
+    longest = heads.agg(F.max("payload_bytes")).first()[0] or 0
+    rewrite(spark, f"{base}/crawl", resolve(heads, min_bytes), f"{base}/dedup", longest)
     new = read_headers(spark, f"{base}/dedup")
     responses = new.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")

@@ -68,3 +68,43 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert warc.deduplicate(pages(spark, [])).collect() == []
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Other record types, other cases of names, no digests, revisits that were there before, records without an id."""
+    import gzip
+
+    def record(kind, block, *more):
+        return "\r\n".join(["WARC/1.0", f"warc-type: {kind}", *more, f"CONTENT-LENGTH: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    folder = tmp_path / "crawl"
+    folder.mkdir()
+    one = record("warcinfo", b"software: other", "WARC-Record-ID: <i>") + record("response", http + b"\xff\x00same", "warc-record-id: <a>", "WARC-Target-URI: http://a/")
+    two = record("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Record-ID: <q>") + record("response", http + b"\xff\x00same", "WARC-Record-ID: <b>")
+    two += record("revisit", http, "WARC-Record-ID: <r>", "WARC-Payload-Digest: sha1:ABC", "WARC-Refers-To: <a>") + record("response", http + b"no id")
+    (folder / "x.warc.gz").write_bytes(gzip.compress(one[: len(one) // 2]) + gzip.compress(one[len(one) // 2 :]))
+    (folder / "y.warc.gz").write_bytes(gzip.compress(two))
+    heads = warc.read_headers(spark, str(folder), "*.warc.gz")
+    got = {r["record_id"]: (r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in heads.collect()}
+    same = base64.b32encode(hashlib.sha1(b"\xff\x00same").digest()).decode()
+    assert got["<i>"] == ("warcinfo", None, None) and got["<q>"] == ("request", None, None) and got["<r>"] == ("revisit", None, "ABC")
+    assert got["<a>"] == got["<b>"] == ("response", 6, same) and got[None][:2] == ("response", 5)
+    decided = warc.resolve(heads)
+    assert [(r["record_id"], r["original"]) for r in decided.collect()] == [("<a>", "<b>")]
+    warc.rewrite(spark, str(folder), decided, str(tmp_path / "out"), 6, "*.warc.gz")
+    seen = [(h, b) for r in warc._files(spark, str(tmp_path / "out")).collect() for h, b in warc.walk(bytes(r["content"]))]
+    kinds = sorted((h["WARC-Type"], b) for h, b in seen)
+    assert kinds == sorted([("warcinfo", b"software: other"), ("request", b"GET / HTTP/1.1\r\n\r\n"), ("revisit", http), ("revisit", http),
+                            ("response", http + b"\xff\x00same"), ("response", http + b"no id")])
+    fresh = {warc._fresh("<a>"), warc._fresh("<b>")}
+    assert fresh <= {h.get("WARC-Record-ID") for h, _ in seen} and {h.get("WARC-Refers-To") for h, _ in seen} == {None, "<a>", warc._fresh("<b>")}
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 300_000)
+    rows = [(i, f"http://a/{i}", f"{i} " + "x" * 100_000) for i in range(9)]
+    assert shown(warc.deduplicate(pages(spark, rows).coalesce(1), folder=str(tmp_path))) == brute(rows)
+    for part in ("crawl", "dedup"):
+        counts = [sum(1 for _ in warc.walk(bytes(r["content"]))) for r in warc._files(spark, str(tmp_path / part)).collect()]
+        assert sum(counts) == 9 and max(counts) <= 2
