@@ -78,7 +78,37 @@ def op8(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
 
 
-@query("op2_benchmark_decontamination")
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
+OP2_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), masks AS (
+  SELECT x.c AS m, y.c AS n, list_filter(range(1, 13), lambda p: (p - 1) % 4 = x.c OR (p - 1) % 4 = y.c) AS places
+  FROM (SELECT unnest(range(4)) AS c) x JOIN (SELECT unnest(range(4)) AS c) y ON x.c < y.c
+), dw AS (SELECT doc_id, p, w[p + 1:p + 12] AS x FROM (SELECT doc_id, w, unnest(range(0, len(w) - 11)) AS p FROM d)),
+bw AS (SELECT DISTINCT item_id, w[p + 1:p + 12] AS y FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS p FROM b)),
+ds AS (SELECT doc_id, p, x, m, n, list_select(x, places) AS k FROM dw CROSS JOIN masks),
+bs AS (SELECT item_id, y, m, n, list_select(y, places) AS k FROM bw CROSS JOIN masks),
+met AS (
+  SELECT DISTINCT doc_id, item_id, p, len(list_filter(range(1, 13), lambda j: x[j] <> y[j])) AS k
+  FROM ds JOIN bs USING (m, n, k)
+), short AS (SELECT DISTINCT item_id, w FROM b WHERE len(w) BETWEEN 1 AND 11),
+sizes AS (SELECT DISTINCT len(w) AS z FROM short),
+sw AS (SELECT doc_id, p, w[p + 1:p + z] AS w FROM (SELECT doc_id, w, z, unnest(range(0, len(w) - z + 1)) AS p FROM d CROSS JOIN sizes)),
+found AS (
+  SELECT doc_id, item_id, p, min(k) AS k FROM met WHERE k <= 2 GROUP BY doc_id, item_id, p
+  UNION ALL SELECT DISTINCT doc_id, item_id, p, 0 FROM sw JOIN short USING (w)
+)
+SELECT doc_id, item_id, count(*) AS n_windows, min(p) AS first_word, CAST(min(k) AS BIGINT) AS mismatches
+FROM found GROUP BY doc_id, item_id
+"""
+
+
+@query("op2_benchmark_decontamination", OP2_SQL)
 def op2(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
