@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans (operator 3).
 
 A text is cut into sentences, every run of ``RUN`` consecutive sentences (more, where they are so short that the run
-would have fewer than ``MIN_WORDS`` words) is hashed, and equal runs are found by one global aggregation. Sentences that a run covers go, unless the run is the first of its kind (smallest doc_id, then
-position). Sentences end after ``.``, ``!`` or ``?`` before a blank, or at a line end; one of more than ``PIECE`` words
+would have fewer than ``MIN_WORDS`` words) is hashed, and equal runs are found by one global aggregation. Sentences that
+a run covers go, unless the run is the first of its kind (smallest doc_id, then position). A text too short for a run is
+one run as a whole, so its copies go too. Sentences end after ``.``, ``!`` or ``?`` before a blank, or at a line end; one of more than ``PIECE`` words
 counts as several pieces, so a passage of a few long sentences has runs too.
 
 Runs travel as (hash, doc_id, number): texts are not shuffled for the search. A run that a third of all documents share
@@ -77,11 +78,18 @@ def sentence_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 def _run_hashes(h: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the run that starts at each piece its hash, and its number of pieces (0 where the text ends before it)."""
+    """For the run that starts at each piece its hash, and its number of pieces (0 where the text ends before it).
+
+    Where a text ends before its first run does, that run is the text.
+    """
     words = np.concatenate([[0], np.cumsum(size)])
     last = np.searchsorted(words, words[:-1] + MIN_WORDS)
     at = np.arange(len(h))
     length = np.maximum(last - at, RUN)
+    own = np.diff(bounds)
+    first, own = bounds[:-1][own > 0], own[own > 0]
+    short = length[first] > own
+    length[first[short]] = own[short]
     total = np.zeros(len(h), np.uint64)
     for j in range(min(len(h), max(RUN, MIN_WORDS))):
         total[: len(h) - j] += np.where(j < length[: len(h) - j], h[j:] * _C[j], np.uint64(0))

@@ -31,6 +31,8 @@ def brute(rows):
             n = sp.RUN
             while a + n <= len(p) and sum(len(x[0]) for x in p[a:a + n]) < sp.MIN_WORDS:
                 n += 1
+            if a == 0 and n > len(p):
+                n = len(p)  # a text too short for a run is one
             run = tuple(tuple(x[0]) for x in p[a:a + n])
             if a + n <= len(p) and first.setdefault(run, (i, a)) != (i, a):
                 cut.setdefault((i, t), set()).update(range(a, a + n))
@@ -102,5 +104,12 @@ def test_shouted_passages(documents):
     assert got[1] == rows[0][1] and got[2] == "Other start here. Other end here." and got[3] == rows[2][1]
 
 
+def test_copies_of_short_texts(documents):
+    rows = [(1, "Haanth."), (2, "HAANTH."), (3, "Haanth. Too."), (4, "yes\nno"), (5, "Yes\n no"), (6, "yes no"), (7, "A. B. C. D."), (8, "a. b. c. d."),
+            (9, "Before it. Haanth. And a good deal more of it after that, so that there are runs.")]
+    got = {r["doc_id"]: r["text"] for r in sp.dedup_spans(documents(rows)).collect()}
+    assert {i: t for i, t in got.items() if t != dict(rows)[i]} == {2: "", 5: "", 8: ""}
+
+
 def test_empty_table(documents):
     assert sp.dedup_spans(documents([])).collect() == []
