@@ -3,7 +3,8 @@
 Terms that enough documents of a language hold make its vocabulary. It is sorted and numbered once, cut into ranges of
 bounded size, and each range becomes a minimal acyclic transducer (:mod:`.transducer`). Texts are then counted again:
 a task sums up the words of its texts, every word goes to the transducer of its range, and what the transducer knows
-comes out as an ordinal, under which its counts are added up. From there on terms are numbers: counts are compared in
+comes out as an ordinal, under which its counts are added up. How many rows a range will get is known from the first
+count; one with many is served by several tasks, each with a copy of its transducer. From there on terms are numbers: counts are compared in
 blocks of neighbouring ordinals, and ties are broken by them, since ordinals are in byte order.
 
 All arithmetic is on whole numbers. With ``c`` occurrences of a term in a group, ``N`` of all kept terms and ``V`` kept
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from .transducer import Transducer
 UNIT = 1_000_000_000
 #: Bytes of terms in a transducer, at least; a larger vocabulary is cut into this many ranges and not more.
 RANGE_BYTES, RANGES = 1 << 14, 4096
+#: Rows of words that a task takes through a copy of a transducer, about.
+RANGE_ROWS = 2_000_000
 #: Ordinals compared together, and the most (source, ordinal) cells of such a block.
 BLOCK_TERMS, BLOCK_CELLS = 256, 1 << 18
 #: Bytes of texts a task sums up at once; a longer text is summed up by itself.
@@ -103,13 +107,14 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
-def _word_counts(ranges: dict[str, tuple[list[bytes], list[int]]]):
+def _word_counts(ranges: dict[str, tuple[list[bytes], list[int], list[int]]]):
     """((lang, source), text) to (turn, term, sources, counts): a term's occurrences in a slice, for its range.
 
-    ``ranges`` has the first terms and the turns of each language's ranges.
+    ``ranges`` has the first terms, the first turns and the numbers of copies of each language's ranges.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         for names, texts in _slices(batches):
             # Groups sorted by language and source, so a term's counts in one language follow each other.
             names = [(n["lang"], n["source"]) for n in names]
@@ -125,11 +130,11 @@ def _word_counts(ranges: dict[str, tuple[list[bytes], list[int]]]):
             lang = np.array([langs.index(pair[0]) for pair in pairs], np.int64)[group]
             head = np.flatnonzero(np.diff(code * len(langs) + lang, prepend=-1))
             words = terms.take(pa.array(code[head]))
-            own = [ranges.get(x, ((), ())) for x in langs]
+            own = [ranges.get(x, ((), (), ())) for x in langs]
             place = [bisect_right(own[which][0], word) - 1 for word, which in zip(words.to_pylist(), lang[head].tolist())]
             kept = [i for i, at in enumerate(place) if at >= 0]
             which = lang[head]
-            turns = [own[which[i]][1][place[i]] for i in kept]
+            turns = [own[which[i]][1][place[i]] + 2 * (task % own[which[i]][2][place[i]]) + 1 for i in kept]
             rows = pa.array(kept, pa.int64())
             offsets = pa.array(np.append(head, len(key)), pa.int32())
             sources = pa.array([pair[1] for pair in pairs], pa.string()).take(pa.array(group))
@@ -144,13 +149,14 @@ def _word_counts(ranges: dict[str, tuple[list[bytes], list[int]]]):
 
 
 def _transducers(rows: pa.Table) -> pa.Table:
-    """One range of a vocabulary (lang, part, term, ordinal) as a transducer, with its first term and ordinal."""
+    """One range of a vocabulary (lang, part, term, ordinal, rows) as a transducer, with its first term and ordinal."""
     at = rows.column("ordinal").to_numpy()
     order = np.argsort(at)
     terms = rows.column("term").take(pa.array(order)).to_pylist()
     return pa.table({
         "lang": rows.column("lang")[:1], "part": rows.column("part")[:1], "start": pa.array([terms[0]], pa.binary()),
-        "base": pa.array([int(at[order[0]])], pa.int64()), "machine": pa.array([Transducer.build(terms).dump()], pa.binary()),
+        "base": pa.array([int(at[order[0]])], pa.int64()), "rows": pa.array([int(rows.column("rows").to_numpy().sum())], pa.int64()),
+        "machine": pa.array([Transducer.build(terms).dump()], pa.binary()),
     })
 
 
@@ -251,16 +257,17 @@ def _pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def vocabulary(docs: DataFrame, min_docs: int = 3) -> DataFrame:
-    """``(lang, term, ordinal, n_terms, upto)`` of the terms that at least ``min_docs`` documents of a language hold.
+    """``(lang, term, ordinal, n_terms, upto, bytes, rows)`` of the terms that ``min_docs`` documents of a language hold.
 
-    ``ordinal`` counts from 0 in byte order; ``upto`` are the bytes of terms up to this one.
+    ``ordinal`` counts from 0 in byte order; ``upto`` are the bytes of terms up to this one, ``rows`` the slices of texts
+    that have the term.
     """
     found = docs.select("lang", F.col("text").cast("binary")).mapInArrow(_document_counts, "lang string, term string, n long")
-    kept = found.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select(
-        "lang", "term", (F.octet_length("term") + 1).cast("long").alias("bytes")
-    )
+    kept = found.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).filter(
+        F.col("n") >= min_docs
+    ).select("lang", "term", "rows", (F.octet_length("term") + 1).cast("long").alias("bytes"))
     numbered = segmented_scan(kept, ["lang"], ["term"], None, rank="ordinal", size="n_terms", sums={"upto": "bytes"})
-    return freeze(numbered.select("lang", "term", (F.col("ordinal") - 1).alias("ordinal"), "n_terms", "upto", "bytes"))
+    return freeze(numbered.select("lang", "term", (F.col("ordinal") - 1).alias("ordinal"), "n_terms", "upto", "bytes", "rows"))
 
 
 def recount(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -269,29 +276,36 @@ def recount(docs: DataFrame, terms: DataFrame) -> DataFrame:
     width = max(RANGE_BYTES, -(-size // RANGES))
     part = F.floor((F.col("upto") - F.col("bytes")) / width).cast("int")
     machines = freeze(
-        terms.select("lang", part.alias("part"), F.col("term").cast("binary").alias("term"), "ordinal").groupBy("lang", "part")
-        .applyInArrow(_transducers, "lang string, part int, start binary, base long, machine binary")
+        terms.select("lang", part.alias("part"), F.col("term").cast("binary").alias("term"), "ordinal", "rows")
+        .groupBy("lang", "part")
+        .applyInArrow(_transducers, "lang string, part int, start binary, base long, rows long, machine binary")
     )
     # The first term of each range, to the driver and to all tasks: RANGES and one for each language at most.
-    found = machines.select("lang", "part", "start").orderBy("lang", "part").collect()
-    ranges: dict[str, tuple[list[bytes], list[int]]] = {}
-    for i, r in enumerate(found):
-        starts, turns = ranges.setdefault(r["lang"], ([], []))
+    found = machines.select("lang", "part", "start", "rows").orderBy("lang", "part").collect()
+    ranges: dict[str, tuple[list[bytes], list[int], list[int]]] = {}
+    numbers, turn = [], 0
+    for r in found:
+        starts, turns, copies = ranges.setdefault(r["lang"], ([], [], []))
         starts.append(bytes(r["start"]))
-        turns.append(2 * i + 1)
-    numbers = terms.sparkSession.createDataFrame(
-        [(r["lang"], r["part"], 2 * i) for i, r in enumerate(found)], "lang string, part int, turn long"
-    )
+        turns.append(turn)
+        copies.append(1 + r["rows"] // RANGE_ROWS)
+        numbers.append((r["lang"], r["part"], turn, copies[-1]))
+        turn += 2 * copies[-1]
+    table = terms.sparkSession.createDataFrame(numbers, "lang string, part int, first long, copies long")
     words = docs.select(F.struct("lang", "source"), F.col("text").cast("binary")).mapInArrow(
         _word_counts(ranges), "turn long, term binary, sources array<string>, counts array<long>"
     )
-    ready = machines.join(F.broadcast(numbers), ["lang", "part"]).select("turn", "lang", "base", "machine")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    ready = machines.join(F.broadcast(table), ["lang", "part"]).withColumn("copy", each).select(
+        (F.col("first") + 2 * F.col("copy")).alias("turn"), "lang", "base", "machine"
+    )
     mixed = words.unionByName(ready, allowMissingColumns=True)
-    # The transducer of a range has the turn before that of its words.
+    # A copy of a transducer has the turn before that of its words.
     sent = mixed.repartition(F.floor(F.col("turn") / 2)).sortWithinPartitions("turn")
-    return sent.select("turn", "term", "sources", "counts", "lang", "base", "machine").mapInArrow(
+    sums = sent.select("turn", "term", "sources", "counts", "lang", "base", "machine").mapInArrow(
         _through, "lang string, source string, ordinal long, n long"
     )
+    return sums.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
 
 
 def audit(documents: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:

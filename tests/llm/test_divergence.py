@@ -114,11 +114,11 @@ ROWS = [
 
 @pytest.mark.parametrize("small", [False, True])
 def test_audit(spark, monkeypatch, small):
-    """Also with a transducer for every few terms, blocks of two ordinals and slices of a few texts."""
+    """Also with a transducer for every few terms, blocks of two ordinals, slices of a few texts and copies of transducers."""
     if small:
-        for name, value in (("RANGE_BYTES", 8), ("BLOCK_TERMS", 2), ("SLICE_BYTES", 50)):
+        for name, value in (("RANGE_BYTES", 8), ("BLOCK_TERMS", 2), ("SLICE_BYTES", 50), ("RANGE_ROWS", 3)):
             monkeypatch.setattr(dv, name, value)
-    assert got(dv.audit(table(spark, ROWS))) == plain(ROWS)
+    assert got(dv.audit(table(spark, ROWS).repartition(4))) == plain(ROWS)
 
 
 def test_repeated_rows_and_few_terms(spark):
