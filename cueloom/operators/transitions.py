@@ -65,6 +65,25 @@ class Site:
     workspace: str
 
 
+#: Shares the tasks with an empty key are dealt into by :func:`look_up`.
+EMPTY_SHARES = 1024
+
+
+def look_up(tasks: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Tasks left joined with ``table`` by ``key``, a field that most tasks may have empty.
+
+    The tasks without a value are dealt into shares by their id, so no task of Spark gets them all; a row of ``table``
+    for the empty value is there for every share.
+    """
+    share = F.pmod(F.xxhash64("task_id"), F.lit(EMPTY_SHARES))
+    none = F.coalesce(F.col(key), F.lit("")) == ""
+    first, last = F.lit(0).cast("long"), F.lit(EMPTY_SHARES - 1).cast("long")
+    dealt = tasks.withColumn("_share", F.when(none, share).otherwise(first))
+    copies = F.when(none, F.sequence(first, last)).otherwise(F.array(first))
+    wanted = table.filter(F.col(key).isNotNull()).withColumn("_share", F.explode(copies))
+    return dealt.join(wanted, [key, "_share"], "left").drop("_share")
+
+
 def find_inputs(tasks: DataFrame, site: Site, chosen: Column | None = None) -> DataFrame:
     """Tasks with what the site holds for them: ``subtitle_found``, ``dub_found``, ``speech_dir``, ``mix_output``.
 
@@ -77,9 +96,9 @@ def find_inputs(tasks: DataFrame, site: Site, chosen: Column | None = None) -> D
     spoken = site.inventory.filter(F.col("name").endswith(".wav")).select(F.col("dir").alias("_speech")).distinct()
     prints = site.fingerprints.select(F.col("path").alias("_text"), tx.join_path(F.lit(site.workspace), F.col("fingerprint")).alias("_speech"))
     speech = prints.join(spoken, "_speech", "left_semi")
-    found = tasks.join(paths, "custom_subtitle", "left").join(dirs, "custom_mix_folder", "left")
+    found = look_up(look_up(tasks, paths, "custom_subtitle"), dirs, "custom_mix_folder")
     found = found.withColumn("_text", F.when(F.col("_sub"), F.col("custom_subtitle")).otherwise(F.col("s1_output")))
-    found = detect_mix_outputs(found.join(speech, "_text", "left"), site.inventory)
+    found = detect_mix_outputs(look_up(found, speech, "_text"), site.inventory)
     return found.withColumns({
         "subtitle_found": pick & F.col("_sub").isNotNull(), "dub_found": pick & F.col("_dub").isNotNull(),
         "speech_dir": F.when(pick, F.col("_speech")), "mix_output": F.when(pick, F.col("mix_output")),
