@@ -248,13 +248,30 @@ def repair_paths(rows: DataFrame, inventory: DataFrame, key: str = "task_id", pa
     )
 
 
+#: Paths below one folder that :func:`apply_renames` hands to one share.
+CROWD = 100_000
+
+
 def apply_renames(rows: DataFrame, renames: DataFrame, key: str, path: str = "source_path") -> DataFrame:
     """Paths under a renamed folder (old, new) moved with it; the deepest renamed folder counts.
 
-    Each path lists its folders and joins on equality; only rows that move come back from the join.
+    Each path lists its folders and joins on equality; only rows that move come back from the join. A folder high up
+    may stand above most paths. Folders with more than ``CROWD`` paths below are counted first, their paths dealt into
+    shares by key, and a rename of such a folder goes to all its shares.
     """
-    above = rows.select(key, F.col(path).alias("_path"), F.explode(tx.ancestors(F.col(path))).alias("old"))
-    hits = above.filter(F.col("old") != "").join(renames.select("old", "new"), "old", "inner")
+    listed = rows.select(key, F.col(path).alias("_path"), F.explode(tx.ancestors(F.col(path))).alias("old"))
+    above = listed.filter(F.col("old") != "")
+    # At most one folder for CROWD listed ones.
+    crowded = F.broadcast(
+        above.groupBy("old").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWD)
+        .select("old", F.ceil(F.col("_n") / CROWD).alias("_shares"))
+    )
+    shares = F.coalesce("_shares", F.lit(1))
+    dealt = above.join(crowded, "old", "left").withColumn("_share", F.pmod(F.xxhash64(key), shares)).drop("_shares")
+    wanted = renames.select("old", "new").join(crowded, "old", "left").select(
+        "old", "new", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("_share")
+    )
+    hits = dealt.join(wanted, ["old", "_share"], "inner")
     moved = hits.groupBy(key).agg(
         F.max_by(F.struct("old", "new", "_path"), F.length("old")).alias("_m")
     ).select(
