@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.scan import global_rank, segmented_scan
-from ..session import freeze
+from ..session import freeze, fresh_dir
 from .reuse import count_reuse, distinct_work, live_entries, merge_results, upsert_cache
 
 Compute = Callable[[Sequence[str], str, str], Sequence[str | Exception | None]]
@@ -29,6 +29,9 @@ spread to, empty without endpoints."""
 #: Seconds an attempt for one text may take, and a call for many.
 SINGLE_LIMIT_S, BULK_LIMIT_S = 15.0, 300.0
 
+#: MB of files that one task of a round of :func:`in_rounds` gets, on average.
+ROUND_MB = 64
+
 RESULT_SCHEMA = (
     "cache_key string, text string, model string, endpoint string, result_path string, ok boolean, message string, "
     "attempts int, called_us long, answered_us long"
@@ -101,18 +104,27 @@ def number_micro_batches(
 
 # --- calls ------------------------------------------------------------------
 
-def _within(compute: Compute, texts: Sequence[str], model: str, endpoint: str, limit_s: float | None) -> list:
-    """The answer of one call; a call that takes longer than ``limit_s`` counts as lost."""
-    if not limit_s:
-        return list(compute(texts, model, endpoint))
-    # The pool is not waited for, so a hanging call keeps its thread but not the task.
-    pool = ThreadPoolExecutor(1)
-    try:
-        return list(pool.submit(compute, texts, model, endpoint).result(limit_s))
-    except CallTimeout:
-        raise ConnectionError(f"no answer in {limit_s:g} s") from None
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
+class _Caller:
+    """Makes calls in a thread that is kept for the next call: making one costs more than a short call."""
+
+    def __init__(self):
+        self._pool = None
+
+    def within(self, compute: Compute, texts: Sequence[str], model: str, endpoint: str, limit_s: float | None) -> list:
+        """The answer of one call; a call that takes longer than ``limit_s`` counts as lost."""
+        if not limit_s:
+            return list(compute(texts, model, endpoint))
+        self._pool = self._pool or ThreadPoolExecutor(1)
+        call = self._pool.submit(compute, texts, model, endpoint)
+        try:
+            return list(call.result(limit_s))
+        except CallTimeout:
+            raise ConnectionError(f"no answer in {limit_s:g} s") from None
+        finally:
+            if not call.done():
+                # It is not waited for, so a hanging call keeps its thread but not the task.
+                self._pool.shutdown(wait=False, cancel_futures=True)
+                self._pool = None
 
 
 def _failure(got) -> str | None:
@@ -122,13 +134,13 @@ def _failure(got) -> str | None:
 
 def call_one(
     compute: Compute, text: str, model: str, max_tries: int, pause_s: float, endpoint: str = "",
-    limit_s: float | None = SINGLE_LIMIT_S,
+    limit_s: float | None = SINGLE_LIMIT_S, caller: _Caller | None = None,
 ):
     """K3: up to ``max_tries`` attempts of ``limit_s`` seconds with a pause; the last error is reported."""
-    error = ""
+    caller, error = caller or _Caller(), ""
     for attempt in range(1, max_tries + 1):
         try:
-            got = _within(compute, [text], model, endpoint, limit_s)
+            got = caller.within(compute, [text], model, endpoint, limit_s)
             error = _failure(got[0]) if got else K.MSG_NO_RESULT
             if error is None:
                 return got[0], True, K.MSG_DONE, attempt
@@ -142,6 +154,7 @@ def call_one(
 def call_batch(
     compute: Compute, texts: Sequence[str], model: str, max_tries: int, pause_s: float, fallback: str,
     endpoint: str = "", limit_s: float | None = SINGLE_LIMIT_S, bulk_limit_s: float | None = BULK_LIMIT_S,
+    caller: _Caller | None = None,
 ):
     """K2: one call for many texts: (path, ok, message, attempts) per text.
 
@@ -149,13 +162,15 @@ def call_batch(
     results or a lost connection falls back to one call per text; with ``fallback='any'`` every error does, otherwise
     other errors fail the batch.
     """
+    caller = caller or _Caller()
+
     def singly():
-        return [call_one(compute, t, model, max_tries, pause_s, endpoint, limit_s) for t in texts]
+        return [call_one(compute, t, model, max_tries, pause_s, endpoint, limit_s, caller) for t in texts]
 
     if len(texts) == 1:
         return singly()
     try:
-        got = _within(compute, texts, model, endpoint, bulk_limit_s)
+        got = caller.within(compute, texts, model, endpoint, bulk_limit_s)
     except Exception as exc:  # noqa: BLE001
         if fallback == "any" or isinstance(exc, (NoResult, ConnectionError)):
             return singly()
@@ -181,18 +196,18 @@ def enrich(
 ) -> DataFrame:
     """K1-K5: compute (cache_key, text, model) rows in batches of one model and endpoint.
 
-    ``parallelism`` caps how many calls of this enrichment run at once: it is the partition count of this stage. For
-    a cap over several enrichments see :func:`enrich_together`. Rows are spread by key hash, so a model with most of the work still fills every partition. With
+    ``parallelism`` caps how many calls of this enrichment run at once: it is the partition count of its rounds, which
+    run here and now, see :func:`in_rounds`. For a cap over several enrichments see :func:`enrich_together`. Rows are spread by key hash, so a model with most of the work still fills every partition. With
     ``endpoints`` (pos, name, status; see :func:`available_endpoints`) each row is called at the one its key is
     spread to.
     """
 
     rows = work.select("cache_key", "text", "model")
     rows = rows.withColumn("endpoint", F.lit("")) if endpoints is None else assign_endpoints(rows, endpoints)
-    if parallelism:
-        rows = rows.repartition(parallelism, "cache_key")
     calls = _Calls([compute], batch_size, max_tries, pause_s, fallback, limit_s, bulk_limit_s)
-    return rows.withColumn("job", F.lit(0)).mapInPandas(calls.run, f"job int, {RESULT_SCHEMA}").drop("job")
+    rows = rows.withColumn("job", F.lit(0))
+    done = in_rounds(rows, calls, parallelism) if parallelism else rows.mapInPandas(calls.run, calls.schema)
+    return done.drop("job")
 
 
 def enrich_together(
@@ -202,8 +217,8 @@ def enrich_together(
 ) -> DataFrame:
     """K5: several enrichments with one cap: (job, and the columns of :func:`enrich`), ``job`` the place in ``works``.
 
-    All their rows go through one stage of ``cap`` tasks, each of which has one call under way, so the whole application
-    makes at most ``cap`` calls at a time as long as its work goes through here (and Spark runs no task twice at once,
+    All their rows go through the same rounds of ``cap`` tasks, each of which has one call under way (see
+    :func:`in_rounds`), so the whole application makes at most ``cap`` calls at a time as long as its work goes through here (and Spark runs no task twice at once,
     ``spark.speculation``). ``called_us`` and ``answered_us`` tell when the call of a row began and ended.
     """
     rows = None
@@ -212,12 +227,14 @@ def enrich_together(
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("endpoint", F.lit("")) if endpoints is None else assign_endpoints(rows, endpoints)
     calls = _Calls([compute for _, compute in works], batch_size, max_tries, pause_s, fallback, limit_s, bulk_limit_s)
-    return rows.repartition(cap, "cache_key").mapInPandas(calls.run, f"job int, {RESULT_SCHEMA}")
+    return in_rounds(rows, calls, cap)
 
 
 class _Calls:
     """The calls of one task, one after the other: batches of one job, model and endpoint."""
 
+    schema = f"job int, {RESULT_SCHEMA}"
+
     def __init__(self, computes: Sequence[Compute], batch_size: int, max_tries: int, pause_s: float, fallback: str,
                  limit_s: float | None, bulk_limit_s: float | None):
         self._computes, self._batch_size = list(computes), batch_size
@@ -225,23 +242,51 @@ class _Calls:
         self._limits = (limit_s, bulk_limit_s)
 
     def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = _Caller()
         for pdf in batches:
-            order, answers = [], []
-            for (job, model, endpoint), part in pdf.groupby(["job", "model", "endpoint"], sort=False, dropna=False):
-                texts = part["text"].tolist()
-                for at in range(0, len(texts), self._batch_size):
+            together: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(pdf["job"], pdf["model"], pdf["endpoint"])):
+                together.setdefault(key, []).append(at)
+            texts, answers = pdf["text"].tolist(), [()] * len(pdf)
+            for (job, model, endpoint), places in together.items():
+                for first in range(0, len(places), self._batch_size):
+                    batch = places[first: first + self._batch_size]
                     began = time.time_ns() // 1000
                     got = call_batch(
-                        self._computes[job], texts[at: at + self._batch_size], model, *self._options, endpoint, *self._limits
+                        self._computes[job], [texts[at] for at in batch], model, *self._options, endpoint, *self._limits,
+                        caller,
                     )
                     ended = time.time_ns() // 1000
-                    answers += [(*answer, began, ended) for answer in got]
-                order.append(part)
-            if not order:
+                    for at, answer in zip(batch, got):
+                        answers[at] = (*answer, began, ended)
+            if not answers:
                 continue
-            out = pd.concat(order, ignore_index=True)
-            out[["result_path", "ok", "message", "attempts", "called_us", "answered_us"]] = answers
-            yield out
+            pdf[["result_path", "ok", "message", "attempts", "called_us", "answered_us"]] = answers
+            yield pdf
+
+
+def in_rounds(rows: DataFrame, calls: _Calls, cap: int) -> DataFrame:
+    """K5: the results of ``calls`` for ``rows``, from rounds of ``cap`` tasks that run one after the other, here and now.
+
+    The rows are written first. A round takes files of up to ``cap`` times ``ROUND_MB``, so more rows make more rounds,
+    not larger tasks. Every call is made once, however often the results are read.
+    """
+    spark = rows.sparkSession
+    work = freeze(rows)
+    # One name and size per file.
+    files = work.select("_metadata.file_path", "_metadata.file_size").distinct().collect()
+    rounds, room = [[]], cap * ROUND_MB * 1_000_000
+    for file in sorted(files):
+        if room < file.file_size and rounds[-1]:
+            rounds.append([])
+            room = cap * ROUND_MB * 1_000_000
+        rounds[-1].append(file.file_path)
+        room -= file.file_size
+    path = fresh_dir(spark, "answers")
+    for names in rounds:
+        part = spark.read.schema(work.schema).parquet(*names) if names else work
+        part.repartition(cap, "cache_key").mapInPandas(calls.run, calls.schema).write.mode("append").parquet(path)
+    return spark.read.schema(calls.schema).parquet(path)
 
 
 def calls_under_way(results: DataFrame) -> DataFrame:
