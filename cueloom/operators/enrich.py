@@ -218,8 +218,8 @@ def enrich_together(
     """K5: several enrichments with one cap: (job, and the columns of :func:`enrich`), ``job`` the place in ``works``.
 
     All their rows go through the same rounds of ``cap`` tasks, each of which has one call under way (see
-    :func:`in_rounds`), so the whole application makes at most ``cap`` calls at a time as long as its work goes through here (and Spark runs no task twice at once,
-    ``spark.speculation``). ``called_us`` and ``answered_us`` tell when the call of a row began and ended.
+    :func:`in_rounds`), so the whole application makes at most ``cap`` calls at a time as long as its work goes through
+    here (and Spark runs no task twice at once, ``spark.speculation``). ``called_us`` and ``answered_us`` tell when the call of a row began and ended.
     """
     rows = None
     for job, (work, _) in enumerate(works):
@@ -272,17 +272,18 @@ def in_rounds(rows: DataFrame, calls: _Calls, cap: int) -> DataFrame:
     not larger tasks. Every call is made once, however often the results are read.
     """
     spark = rows.sparkSession
-    work = freeze(rows)
+    at, path = fresh_dir(spark, "work"), fresh_dir(spark, "answers")
+    rows.write.parquet(at)
+    work = spark.read.schema(rows.schema).parquet(at)
     # One name and size per file.
-    files = work.select("_metadata.file_path", "_metadata.file_size").distinct().collect()
+    files = work.select("_metadata.file_name", "_metadata.file_size").distinct().collect()
     rounds, room = [[]], cap * ROUND_MB * 1_000_000
     for file in sorted(files):
         if room < file.file_size and rounds[-1]:
             rounds.append([])
             room = cap * ROUND_MB * 1_000_000
-        rounds[-1].append(file.file_path)
+        rounds[-1].append(f"{at}/{file.file_name}")
         room -= file.file_size
-    path = fresh_dir(spark, "answers")
     for names in rounds:
         part = spark.read.schema(work.schema).parquet(*names) if names else work
         part.repartition(cap, "cache_key").mapInPandas(calls.run, calls.schema).write.mode("append").parquet(path)
