@@ -7,7 +7,8 @@ with the heap of the next tile; heaps of different tasks are merged by Spark.
 
 There are two passes. The first finds each anchor's positives; candidates are packed by a hash of their label, so anchors
 meet only blocks that can hold their own label. The second looks for negatives in the window of scores that each positive
-opens; anchors meet all blocks (the stated anchors against all rows, block by block).
+opens; anchors meet all blocks (the stated anchors against all rows, block by block). Blocks meet through a shuffle, never
+a broadcast: what goes through the driver does not grow with the table.
 
 Numbers are added and multiplied modulo 2**64, which sums and differences of Strassen's method survive: a score is exact
 whenever it fits into a long.
@@ -28,8 +29,10 @@ from ..session import freeze
 
 SCALE = 256
 ANCHOR_ROWS, CANDIDATE_ROWS = 256, 1024
-#: Labels are packed by a hash with so many values; candidates are dealt into so many slices at most.
+#: Labels are packed by a hash with so many values; pairs of blocks are dealt into so many cells at most.
 BUCKETS, SLICES = 64, 1024
+#: Scores a cell has at least, if there are that many, and cells for each core at most.
+SCORES, CELLS = 1 << 22, 16
 #: A product with a side up to this is taken at once.
 LEAF = 16
 #: Blocks of anchors a task holds heaps for before it hands them on.
@@ -139,6 +142,7 @@ def _block(rows: pa.Table) -> pa.Table:
     np.savez(out, **parts)
     return pa.table({
         "dim": rows.column("dim")[:1], "bucket": rows.column("bucket")[:1], "part": rows.column("part")[:1],
+        "rows": pa.array([rows.num_rows], pa.int64()), "size": pa.array([len(out.getvalue())], pa.int64()),
         "block": pa.array([out.getvalue()], pa.binary()),
     })
 
@@ -149,12 +153,52 @@ def _opened(data: bytes) -> dict[str, np.ndarray]:
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """``(dim, bucket, part, block)`` with about ``size`` rows in each block."""
+    """``(dim, bucket, part, rows, size, block)`` with about ``size`` rows in each block, and each block's bytes."""
     # One row for each vector length and label bucket.
     counts = rows.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")
     dealt = rows.join(counts, ["dim", "bucket"]).withColumn("part", part).drop("parts")
-    return freeze(dealt.groupBy("dim", "bucket", "part").applyInArrow(_block, "dim int, bucket int, part int, block binary"))
+    shape = "dim int, bucket int, part int, rows long, size long, block binary"
+    return freeze(dealt.groupBy("dim", "bucket", "part").applyInArrow(_block, shape))
+
+
+def _met(anchors: DataFrame, candidates: DataFrame, *on: str) -> DataFrame:
+    """``(anchors, block)``: each block of anchors with each block of candidates that agrees in ``on``.
+
+    All pairs form a rectangle for each ``on``. It is cut into cells, so many groups of anchors by so many slices of
+    candidates that the copies of both have about the fewest bytes.
+    """
+
+    def summed(blocks: DataFrame, of: str) -> DataFrame:
+        rows, size = (F.sum(x).cast("double").alias(f"{of}_{x}") for x in ("rows", "size"))
+        return blocks.groupBy(*on).agg(F.count(F.lit(1)).alias(f"{of}_n"), rows, size)
+
+    sides = summed(anchors, "a").join(summed(candidates, "c"), [*on])
+    scores = F.col("a_rows") * F.col("c_rows")
+    most = min(SLICES, CELLS * anchors.sparkSession.sparkContext.defaultParallelism)
+    cells = F.ceil(scores / max(SCORES, (sides.agg(F.sum(scores)).first()[0] or 0) / most))
+    even = F.round(F.sqrt(cells * F.col("c_size") / F.col("a_size")))
+    slices = F.least(F.greatest(even, F.ceil(cells / F.col("a_n"))), cells, "c_n")
+    groups = F.least(F.ceil(cells / F.col("slices")), "a_n")
+    sides = sides.withColumn("slices", slices.cast("int")).withColumn("groups", groups.cast("int"))
+    # A few numbers for each vector length and label bucket.
+    sides = F.broadcast(sides.select(*on, "slices", "groups"))
+
+    def share(of: str) -> Column:
+        """Blocks of a bucket go round."""
+        return F.pmod(F.pmod(F.xxhash64("bucket"), F.col(of)) + F.col("part"), F.col(of)).cast("int")
+
+    def each(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    asked = anchors.join(sides, [*on]).select(
+        *on, share("groups").alias("group"), each("slices").alias("slice"), F.col("block").alias("anchors")
+    )
+    given = candidates.join(sides, [*on]).select(
+        *on, each("groups").alias("group"), share("slices").alias("slice"), "block"
+    )
+    # Spark takes exploded rows to be no larger than what they were made of, and would broadcast the copies.
+    return asked.hint("merge").join(given.hint("merge"), [*on, "group", "slice"]).select("anchors", "block")
 
 
 # --- tiles ------------------------------------------------------------------
@@ -254,29 +298,20 @@ def mine(
     one = F.max(F.struct("label", "v", "dim", "bucket")).alias("r")
     anchors = freeze(rows.filter(is_anchor).groupBy("vec_id").agg(one).select("vec_id", "r.*"))
 
-    # Blocks of one bucket: at most SLICES of them meet a block of anchors in different tasks.
-    sliced = candidates.withColumn("slice", F.pmod("part", F.lit(SLICES)))
-    last = sliced.groupBy("dim", "bucket").agg(F.max("slice").alias("last"))
-    asked = _packed(anchors, ANCHOR_ROWS).join(last, ["dim", "bucket"]).select(
-        "dim", "bucket", F.explode(F.sequence(F.lit(0), "last")).alias("slice"), F.col("block").alias("anchors")
-    )
-    hits = asked.join(sliced, ["dim", "bucket", "slice"]).select("anchors", "block").mapInArrow(
+    # Blocks of one bucket.
+    hits = _met(_packed(anchors, ANCHOR_ROWS), candidates, "dim", "bucket").mapInArrow(
         _positives(n_positives), "anchor_id long, vec_id long, score long"
     )
     place = F.row_number().over(W.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id"))
     positives = hits.withColumn("place", place).filter(F.col("place") <= n_positives)
     found = F.array_sort(F.collect_list(F.struct("place", F.col("vec_id").alias("ids"), F.col("score").alias("scores"))))
-    opened = anchors.join(
-        positives.groupBy(F.col("anchor_id").alias("vec_id")).agg(found.alias("found")), "vec_id"
+    # The files of anchors can be far smaller than their rows, so neither side is broadcast by its files.
+    opened = anchors.hint("merge").join(
+        positives.groupBy(F.col("anchor_id").alias("vec_id")).agg(found.alias("found")).hint("merge"), "vec_id"
     )
 
-    # All blocks: dealt into slices, whatever their bucket.
-    slices = max(1, min(SLICES, candidates.count()))
-    everywhere = candidates.withColumn("slice", F.pmod(F.xxhash64("bucket", "part"), F.lit(slices)).cast("int"))
-    sent = _packed(opened, ANCHOR_ROWS).select(
-        "dim", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("block").alias("anchors")
-    )
-    pairs = sent.join(everywhere, ["dim", "slice"]).select("anchors", "block").mapInArrow(
+    # All blocks, whatever their bucket.
+    pairs = _met(_packed(opened, ANCHOR_ROWS), candidates, "dim").mapInArrow(
         _negatives(low, high, n_negatives),
         "anchor_id long, positive_id long, place long, positive_score long, negative_id long, negative_score long",
     )

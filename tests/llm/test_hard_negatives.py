@@ -1,6 +1,7 @@
 """Strassen products and hard negatives against plain loops."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -107,3 +108,30 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert got(hn.mine(table(spark, []), F.col("vec_id") % 10 == 0)) == []
     assert got(hn.mine(table(spark, vectors(20, 3, 1)), F.lit(False))) == []
+
+
+@pytest.mark.parametrize("on", [("dim", "bucket"), ("dim",)])
+@pytest.mark.parametrize("most", [1, 12, 1024])
+def test_blocks_meet_once(spark, monkeypatch, on, most):
+    """Whatever the number of cells, also where a length or a bucket has no anchors."""
+    monkeypatch.setattr(hn, "SCORES", 1)
+    monkeypatch.setattr(hn, "SLICES", most)
+
+    def blocks(counts, size):
+        rows = [(d, b, part, 10 * size, size, f"{d} {b} {part}".encode()) for (d, b), n in counts.items() for part in range(n)]
+        return rows, spark.createDataFrame(rows, "dim int, bucket int, part int, rows long, size long, block binary")
+
+    some, anchors = blocks({(3, 1): 1, (3, 2): 5, (4, 1): 2}, 2)
+    others, candidates = blocks({(3, 1): 9, (3, 2): 4, (3, 5): 1, (4, 1): 1, (7, 0): 3}, 30)
+    want = sorted((x[5], y[5]) for x in some for y in others if x[: len(on)] == y[: len(on)])
+    assert sorted((bytes(a), bytes(b)) for a, b in hn._met(anchors, candidates, *on).collect()) == want
+
+
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch):
+    """Blocks are copied for the cells they meet others in; those copies do not go through the driver."""
+    for name, value in (("ANCHOR_ROWS", 7), ("CANDIDATE_ROWS", 16)):
+        monkeypatch.setattr(hn, name, value)
+    df = hn.mine(table(spark, vectors(260, 6, 3)), F.col("vec_id") % 10 == 0)
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[[^]]*slice", plan) and not re.search(r"BroadcastHashJoin \[[^]]*slice", plan)
